@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerflow.sources import bindings as B
+from ledgerflow.sources import store
 from ledgerflow.operators import statement as ST
 
 DEFAULT_FY = B.DEFAULT_FY
@@ -28,5 +29,5 @@ def job(key: str):
 
 @job("fy_statement")
 def fy_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledgers, entries = B.load(spark, sf_dir)
+    ledgers, entries = store.canonical(spark, sf_dir)
     return ST.fy_statement(ledgers, entries, DEFAULT_FY)

@@ -31,9 +31,14 @@ def _dec(c: str | Column) -> Column:
 
 
 def fy_entries(entries: DataFrame, fy: str) -> DataFrame:
-    """entries with FY start <= date <= FY end (pushed down to the scan)."""
-    start, end, _, _ = fy_bounds(fy)
-    return entries.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """entries with FY start <= date <= FY end (pushed down to the scan; on a
+    stored table partitioned by ``fy`` whole folders are pruned first)."""
+    start, end, sy, ey = fy_bounds(fy)
+    e = entries
+    if "fy" in entries.columns:
+        labels = [f"{y}-{y + 1}" for y in range(min(sy, ey - 1), max(sy, ey - 1) + 1)]
+        e = e.where(F.col("fy").isin(labels))
+    return e.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
 def unique_ledgers(ledgers: DataFrame) -> DataFrame:
@@ -65,7 +70,7 @@ def party_fy_transactions(ledgers: DataFrame, entries: DataFrame, fy: str,
         return exact
     parties = e.select("party_key").distinct()
     unmatched = led.join(parties, led.name_key == parties.party_key, "left_anti")
-    pairs = contains_pairs(unmatched, "name_key", parties, "party_key", length_source=led)
+    pairs = contains_pairs(unmatched, "name_key", parties, "party_key")
     partial = (unmatched.join(pairs, unmatched.name_key == pairs.pattern)
                .select("ledger_name", F.col("text").alias("party_key")))
     partial = (partial.join(e, "party_key")

@@ -35,14 +35,10 @@ def _grams(col: F.Column, g: F.Column) -> F.Column:
 
 
 def contains_pairs(patterns: DataFrame, pattern_col: str, texts: DataFrame, text_col: str,
-                   q: int = DEFAULT_Q, case_insensitive: bool = True,
-                   length_source: DataFrame | None = None) -> DataFrame:
+                   q: int = DEFAULT_Q, case_insensitive: bool = True) -> DataFrame:
     """Distinct (pattern, text) pairs where text contains pattern.
 
     Returns columns ``pattern`` and ``text`` holding the original values.
-    ``length_source`` (a cheap superset of the patterns, same column name) may be
-    given so that finding the gram lengths in use does not evaluate an
-    expensive pattern plan twice.
     """
     low = F.lower if case_insensitive else (lambda c: c)
     pats = (patterns.select(F.col(pattern_col).alias("pattern"))
@@ -54,15 +50,12 @@ def contains_pairs(patterns: DataFrame, pattern_col: str, texts: DataFrame, text
             .where(F.col("text").isNotNull())
             .distinct()
             .withColumn("t_l", low(F.col("text"))))
-    # the gram lengths in use: at most q small integers (a bounded driver read)
-    src = pats if length_source is None else length_source.select(
-        F.least(F.length(low(F.col(pattern_col))), F.lit(q)).alias("g")).where(F.col("g") > 0)
-    lengths = sorted(r[0] for r in src.select("g").distinct().collect())
-    if not lengths:
-        return pats.select("pattern", F.lit(None).cast("string").alias("text")).limit(0)
-    tg = txts.select("text", "t_l", F.explode(F.array(*[
-        F.struct(F.lit(g).alias("g"), _grams(F.col("t_l"), F.lit(g)).alias("gs")) for g in lengths
-    ])).alias("x")).select("text", "t_l", F.explode("x.gs").alias("gram"))
+    # the gram lengths in use (at most q values); texts only emit grams of those
+    # lengths: (text, g) for g in 1..q, kept by an equi semi-join on g
+    lengths = pats.select("g").distinct()
+    tg = (txts.select("text", "t_l", F.explode(F.sequence(F.lit(1), F.lit(q))).alias("g"))
+          .join(lengths, "g", "left_semi")
+          .select("text", "t_l", F.explode(_grams(F.col("t_l"), F.col("g"))).alias("gram")))
     freq = tg.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
     pg = pats.select("pattern", "p_l", F.posexplode(_grams(F.col("p_l"), F.col("g")))
                      .alias("pos", "gram"))
