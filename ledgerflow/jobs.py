@@ -31,3 +31,355 @@ def job(key: str):
 def fy_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledgers, entries = store.canonical(spark, sf_dir)
     return ST.fy_statement(ledgers, entries, DEFAULT_FY)
+
+
+# ---------------------------------------------------------------------------
+# shared inputs
+
+def _tables(spark: SparkSession, sf_dir: str):
+    return store.canonical(spark, sf_dir)
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.requests(B.Tables(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# filters F1-F12 (ledger/entry lists)
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ledgerflow.operators import filters as FL  # noqa: E402
+from ledgerflow.operators import receivable as RV  # noqa: E402
+from ledgerflow.operators import reports as RP  # noqa: E402
+from ledgerflow.operators import resolve as RS  # noqa: E402
+
+LCOLS = ["ledger_name", "parent", "opening_balance", "closing_balance", "altered_on"]
+
+
+def _ledger_filter(pred_fn):
+    def run(spark, sf_dir):
+        led, _ = _tables(spark, sf_dir)
+        return led.where(pred_fn()).select(*LCOLS)
+    return run
+
+
+JOBS["business_filter"] = _ledger_filter(lambda: FL.business("normalized"))
+JOBS["business_filter_as_written"] = _ledger_filter(lambda: FL.business("as_written"))
+JOBS["business_filter_wide"] = _ledger_filter(lambda: FL.business_wide())
+JOBS["business_filter_narrow"] = _ledger_filter(lambda: FL.business_narrow())
+JOBS["nonzero_balance"] = _ledger_filter(FL.nonzero_balance)
+JOBS["year_filter"] = _ledger_filter(lambda: FL.year_range(2000))
+JOBS["pnl_account"] = _ledger_filter(lambda: FL.name_contains(FL.PNL_PATTERN))
+JOBS["debtor_groups"] = _ledger_filter(FL.is_debtor_group)
+JOBS["has_date"] = _ledger_filter(FL.has_date)
+
+
+@job("fy_filter")
+def fy_filter(spark, sf_dir):
+    _, ent = _tables(spark, sf_dir)
+    return ST.fy_entries(ent, DEFAULT_FY).drop("fy")
+
+
+@job("classify_vouchers")
+def classify_vouchers(spark, sf_dir):
+    _, ent = _tables(spark, sf_dir)
+    return ent.select("voucher_no", "entry_no", "voucher_type", "debit_amount", "credit_amount",
+                      FL.voucher_class().alias("voucher_class"))
+
+
+@job("sign_split")
+def sign_split(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return led.select("ledger_name", "closing_balance",
+                      F.when(FL.positive_closing(), F.lit("positive"))
+                      .when(FL.negative_closing(), F.lit("negative"))
+                      .otherwise(F.lit("zero")).alias("side"))
+
+
+@job("receivable_only")
+def receivable_only(spark, sf_dir):
+    """debtor ledgers with closing < 0, and BR rows with due > 0."""
+    led, ent = _tables(spark, sf_dir)
+    return led.where(FL.is_debtor_group() & FL.negative_closing()).select(*LCOLS)
+
+
+# ---------------------------------------------------------------------------
+# aggregates A1-A11, top-k T1-T7, reports R3-R7, R12
+
+@job("pending_metrics")
+def pending_metrics(spark, sf_dir):
+    return RP.pending_metrics(_tables(spark, sf_dir)[0])
+
+
+@job("summary_stats")
+def summary_stats(spark, sf_dir):
+    return RP.summary_stats(_tables(spark, sf_dir)[0])
+
+
+@job("group_totals")
+def group_totals(spark, sf_dir):
+    return RP.group_totals(_tables(spark, sf_dir)[0], 5)
+
+
+@job("net_position")
+def net_position(spark, sf_dir):
+    return RP.net_position(_tables(spark, sf_dir)[0])
+
+
+@job("net_profit")
+def net_profit(spark, sf_dir):
+    return RP.pnl_card(_tables(spark, sf_dir)[0])
+
+
+@job("available_years")
+def available_years(spark, sf_dir):
+    return RP.available_years(_tables(spark, sf_dir)[0])
+
+
+@job("trend_totals")
+def trend_totals(spark, sf_dir):
+    return RP.trend_totals(_tables(spark, sf_dir)[0]).drop("has_dates")
+
+
+@job("has_any_date")
+def has_any_date(spark, sf_dir):
+    return RP.trend_totals(_tables(spark, sf_dir)[0]).select("has_dates")
+
+
+@job("row_and_page_counts")
+def row_and_page_counts(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    p = RP.page_counts(RP.pending(led)).select(F.lit("pending").alias("table"), "rows", "pages")
+    a = RP.page_counts(led).select(F.lit("ledgers").alias("table"), "rows", "pages")
+    b = RP.page_counts(ent).select(F.lit("voucher_entries").alias("table"), "rows", "pages")
+    return p.unionByName(a).unionByName(b)
+
+
+@job("top_k_closing")
+def top_k_closing(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RP.top_k(led.where(FL.business()), 5).select("rank", "ledger_name", "closing_balance", "parent")
+
+
+@job("bottom_k_closing")
+def bottom_k_closing(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RP.bottom_k(led.where(FL.business()), 5).select("rank", "ledger_name", "closing_balance", "parent")
+
+
+@job("recent_k")
+def recent_k(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RP.recent_k(led, 5).select("rank", "ledger_name", "closing_balance", "altered_on")
+
+
+@job("sort_head")
+def sort_head(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RP.paginate(RP.pending(led).select("ledger_name", "closing_balance", "parent"),
+                       RP.pending_order(), 1)
+
+
+@job("paginate")
+def paginate(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RP.paginate(RP.pending(led).select("ledger_name", "closing_balance", "parent"),
+                       RP.pending_order(), 2)
+
+
+@job("pending_report")
+def pending_report(spark, sf_dir):
+    return RP.pending_report(_tables(spark, sf_dir)[0], page=1)
+
+
+@job("financial_analysis")
+def financial_analysis(spark, sf_dir):
+    return RP.financial_analysis(_tables(spark, sf_dir)[0])
+
+
+@job("financial_analysis_as_written")
+def financial_analysis_as_written(spark, sf_dir):
+    return RP.financial_analysis(_tables(spark, sf_dir)[0], mode="as_written")
+
+
+@job("trend_snapshot")
+def trend_snapshot(spark, sf_dir):
+    return RP.trend_snapshot(_tables(spark, sf_dir)[0])
+
+
+@job("business_summary")
+def business_summary(spark, sf_dir):
+    return RP.business_summary(_tables(spark, sf_dir)[0])
+
+
+@job("party_ranking")
+def party_ranking(spark, sf_dir):
+    return RP.party_ranking(_tables(spark, sf_dir)[0], count=10, order="DESC")
+
+
+@job("party_ranking_year")
+def party_ranking_year(spark, sf_dir):
+    return RP.party_ranking(_tables(spark, sf_dir)[0], count=3, order="ASC", year=2001)
+
+
+@job("party_ranking_no_year")
+def party_ranking_no_year(spark, sf_dir):
+    return RP.party_ranking(_tables(spark, sf_dir)[0], count=5, order="DESC", year=2030)
+
+
+@job("pnl_report")
+def pnl_report(spark, sf_dir):
+    return RP.pnl_report(_tables(spark, sf_dir)[0])
+
+
+# ---------------------------------------------------------------------------
+# statements and receivables: J6 J7 W1 W4 U2 T6 R2 W3 W5 J8 J9 A9 A10
+
+@job("party_fy_transactions")
+def party_fy_transactions(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    tx = ST.party_fy_transactions(ST.unique_ledgers(led), ent, DEFAULT_FY, partial_fallback=False)
+    return tx.select("ledger_name", "date", "voucher_no", "entry_no", "debit_amount", "credit_amount")
+
+
+@job("party_partial_fallback")
+def party_partial_fallback(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    tx = ST.party_fy_transactions(ST.unique_ledgers(led), ent, DEFAULT_FY)
+    return tx.where(F.col("source") == "partial").select(
+        "ledger_name", "party_key", "date", "voucher_no", "entry_no")
+
+
+@job("running_balance")
+def running_balance(spark, sf_dir):
+    st = fy_statement(spark, sf_dir)
+    return st.where(F.col("voucher_no").isin("OP-001", "CL-001") == F.lit(False)).select(
+        "ledger_name", "seq", "date", "voucher_no", "debit", "credit", "balance")
+
+
+@job("sort_by_date")
+def sort_by_date(spark, sf_dir):
+    st = fy_statement(spark, sf_dir)
+    return st.select("ledger_name", "seq", "date", "voucher_type", "voucher_no")
+
+
+@job("reconcile")
+def reconcile(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    return ST.reconcile(led, ent)
+
+
+@job("bills_receivable")
+def bills_receivable(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    return RV.bills_receivable(led, ent, DEFAULT_FY)
+
+
+@job("first_invoices")
+def first_invoices(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    tx = RV.party_entries(ST.unique_ledgers(led), ent, DEFAULT_FY)
+    w = RV.Window.partitionBy("ledger_name").orderBy(*RV.ORDER)
+    return (tx.where(FL.is_sale()).withColumn("inv_no", F.row_number().over(w))
+            .where(F.col("inv_no") <= RV.INVOICES_PER_PARTY)
+            .select("ledger_name", "inv_no", "date", "voucher_no", "credit_amount"))
+
+
+@job("payments_total")
+def payments_total(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    tx = RV.party_entries(ST.unique_ledgers(led), ent, DEFAULT_FY)
+    return RV.payments_total(tx).select("ledger_name", F.col("paid").cast("double").alias("paid"),
+                                        "n_payments")
+
+
+@job("invoice_vs_payments")
+def invoice_vs_payments(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    tx = RV.party_entries(ST.unique_ledgers(led), ent, DEFAULT_FY)
+    return RV.invoice_rows(tx).drop("due_exact")
+
+
+@job("debtor_fallback")
+def debtor_fallback(spark, sf_dir):
+    br = bills_receivable(spark, sf_dir)
+    return br.where(F.col("source") == "debtors")
+
+
+@job("fallback_schedule")
+def fallback_schedule(spark, sf_dir):
+    br = bills_receivable(spark, sf_dir)
+    return br.where(F.col("source") == "debtors").select("ledger_name", "seq", "br_date", "due_date",
+                                                         "br_no")
+
+
+@job("receivable_total")
+def receivable_total(spark, sf_dir):
+    br = bills_receivable(spark, sf_dir)
+    return br.select("ledger_name", "total_br").distinct()
+
+
+# ---------------------------------------------------------------------------
+# name resolution J2-J5, T7, U1, R8-R11
+
+@job("resolve_exact")
+def resolve_exact(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RS.exact_matches(_requests(spark, sf_dir), led).select("req_id", "request", "ledger_name")
+
+
+@job("resolve_contains")
+def resolve_contains(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RS.contains_matches(_requests(spark, sf_dir), led).select("req_id", "request", "ledger_name")
+
+
+@job("resolve_status")
+def resolve_status(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RS.resolve_status(_requests(spark, sf_dir), led, RS.STATEMENT_LIST)
+
+
+@job("did_you_mean")
+def did_you_mean(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RS.did_you_mean(_requests(spark, sf_dir), led)
+
+
+@job("match_head")
+def match_head(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    m = RS.contains_matches(_requests(spark, sf_dir), led)
+    cnt = RS.match_counts(m)
+    return RS.first_k(m, RS.LOOKUP_LIST).join(cnt, "req_id").select(
+        "req_id", "rank", "ledger_name", "n_matches")
+
+
+@job("balance_lookup")
+def balance_lookup(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RS.balance_lookup(_requests(spark, sf_dir), led)
+
+
+@job("parent_lookup")
+def parent_lookup(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RS.parent_lookup(_requests(spark, sf_dir), led)
+
+
+@job("compare_lookup")
+def compare_lookup(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RS.compare_lookup(_requests(spark, sf_dir), led)
+
+
+@job("ledger_search")
+def ledger_search(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RS.ledger_search(_requests(spark, sf_dir), led)
+
+
+@job("rank_number")
+def rank_number(spark, sf_dir):
+    return top_k_closing(spark, sf_dir).select("rank", "ledger_name")

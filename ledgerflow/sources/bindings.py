@@ -194,3 +194,19 @@ def ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform_entries(voucher_entries_raw(Tables(spark, sf_dir)))
+
+
+def requests(t: Tables) -> DataFrame:
+    """Name-lookup requests derived from every customer (no sampling):
+    variant 0 = the normalised lower-cased full name (one match),
+    variant 1 = its first 16 characters (several matches),
+    variant 2 = the name with a suffix no ledger has (no match)."""
+    n = F.lower(normalize(F.col("c_name")))
+    c = t.customer.select("c_custkey", n.alias("n"))
+    return c.select(F.explode(F.array(
+        F.struct((F.col("c_custkey") * 3).alias("req_id"), F.col("n").alias("request")),
+        F.struct((F.col("c_custkey") * 3 + 1).alias("req_id"),
+                 F.substring("n", 1, BRANCH_PREFIX_LEN).alias("request")),
+        F.struct((F.col("c_custkey") * 3 + 2).alias("req_id"),
+                 F.concat(F.col("n"), F.lit(" zz")).alias("request")),
+    )).alias("r")).select(F.col("r.req_id").cast("long").alias("req_id"), "r.request")

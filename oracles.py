@@ -157,3 +157,430 @@ SELECT ledger_name, '{FY}' AS financial_year, seq, date, voucher_type, voucher_n
 ORACLES: dict[str, str] = {
     "fy_statement": FY_STATEMENT,
 }
+
+
+# --- group lists (normalised once, as the stored parent column) -------------------
+INTERNAL_N = "('Primary', 'Reserves  Surplus', 'Duties  Taxes', 'GST', 'TDSTCS')"
+INTERNAL_W = "('Primary', 'Reserves & Surplus', 'Duties & Taxes', 'GST', 'TDS/TCS')"
+WIDE_N = ("('Primary', 'Reserves  Surplus', 'Duties  Taxes', 'GST', 'TDSTCS', 'Secured Loans', "
+          "'Unsecured Loans', 'Current Liablities', 'Bank Accounts')")
+WIDE_W = ("('Primary', 'Reserves & Surplus', 'Duties & Taxes', 'GST', 'TDS/TCS', 'Secured Loans', "
+          "'Unsecured Loans', 'Current Liablities', 'Bank Accounts')")
+NARROW_N = "('Primary', 'Reserves  Surplus', 'Duties  Taxes')"
+DEBTOR_RE = "sundry debtors|accounts receivable|trade receivables|debtors"
+LC = "ledger_name, parent, opening_balance, closing_balance, altered_on"
+
+
+def biz(lst: str = INTERNAL_N) -> str:
+    return f"(parent IS NULL OR parent NOT IN {lst})"
+
+
+def dsum(c: str) -> str:
+    return f"SUM(CAST({c} AS DECIMAL(18,2)))"
+
+
+def msum(c: str) -> str:
+    return f"CAST(COALESCE({dsum(c)}, 0) AS DOUBLE)"
+
+
+def mmean(c: str) -> str:
+    return f"CAST({dsum(c)} AS DOUBLE) / COUNT({c})"
+
+
+REQUESTS = f"""
+, cn AS (SELECT c_custkey, lower({norm('c_name')}) AS n FROM customer),
+requests AS (
+  SELECT c_custkey * 3 AS req_id, n AS request FROM cn
+  UNION ALL SELECT c_custkey * 3 + 1, substr(n, 1, 16) FROM cn
+  UNION ALL SELECT c_custkey * 3 + 2, n || ' zz' FROM cn
+),
+cm AS (
+  SELECT r.req_id, r.request, l.* FROM requests r JOIN ledgers l
+    ON contains(lower(l.ledger_name), lower(r.request)) WHERE length(r.request) > 0
+),
+cc AS (SELECT req_id, COUNT(*) AS n_matches FROM cm GROUP BY req_id)
+"""
+
+ORACLES.update({
+    "business_filter": q(f"SELECT {LC} FROM ledgers WHERE {biz()}"),
+    "business_filter_as_written": q(f"SELECT {LC} FROM ledgers WHERE {biz(INTERNAL_W)}"),
+    "business_filter_wide": q(f"SELECT {LC} FROM ledgers WHERE {biz(WIDE_N)}"),
+    "business_filter_narrow": q(f"SELECT {LC} FROM ledgers WHERE {biz(NARROW_N)}"),
+    "nonzero_balance": q(f"SELECT {LC} FROM ledgers WHERE closing_balance <> 0 OR opening_balance <> 0"),
+    "year_filter": q(f"SELECT {LC} FROM ledgers WHERE year(altered_on) = 2000"),
+    "pnl_account": q(f"SELECT {LC} FROM ledgers WHERE contains(lower(ledger_name), 'profit  loss')"),
+    "debtor_groups": q(f"SELECT {LC} FROM ledgers WHERE regexp_matches(lower(parent), '{DEBTOR_RE}')"),
+    "has_date": q(f"SELECT {LC} FROM ledgers WHERE altered_on IS NOT NULL"),
+    "receivable_only": q(f"SELECT {LC} FROM ledgers WHERE regexp_matches(lower(parent), '{DEBTOR_RE}') "
+                         "AND closing_balance < 0"),
+    "fy_filter": q("SELECT date, voucher_type, voucher_no, entry_no, party_name, particulars, "
+                   "debit_amount, credit_amount, party_key FROM fy_e"),
+    "classify_vouchers": q("""
+SELECT voucher_no, entry_no, voucher_type, debit_amount, credit_amount,
+       CASE WHEN credit_amount > 0 AND regexp_matches(lower(voucher_type), 'invoice|sales|bill') THEN 'sale'
+            WHEN debit_amount > 0 AND regexp_matches(lower(voucher_type), 'payment|receipt|cash') THEN 'payment'
+       END AS voucher_class
+FROM entries"""),
+    "sign_split": q("""
+SELECT ledger_name, closing_balance,
+       CASE WHEN closing_balance > 0 THEN 'positive' WHEN closing_balance < 0 THEN 'negative'
+            ELSE 'zero' END AS side FROM ledgers"""),
+    "pending_metrics": q(f"""
+SELECT COUNT(*) AS total_pending, {msum('closing_balance')} AS total_amount,
+       {mmean('closing_balance')} AS avg_pending
+FROM ledgers WHERE (closing_balance <> 0 OR opening_balance <> 0) AND {biz()}"""),
+    "summary_stats": q(f"""
+SELECT COUNT(*) AS total_parties, {msum('closing_balance')} AS total_balance,
+       {mmean('closing_balance')} AS avg_balance, MAX(closing_balance) AS max_balance,
+       MIN(closing_balance) AS min_balance FROM ledgers"""),
+    "group_totals": q(f"""
+, g AS (SELECT parent, {msum('closing_balance')} AS group_balance FROM ledgers WHERE {biz()} GROUP BY parent)
+SELECT parent, group_balance, row_number() OVER (ORDER BY group_balance DESC, parent ASC NULLS FIRST) AS rank
+FROM g ORDER BY group_balance DESC, parent ASC NULLS FIRST LIMIT 5"""),
+    "net_position": q(f"""
+, s AS (SELECT COALESCE(SUM(CASE WHEN closing_balance > 0 THEN CAST(closing_balance AS DECIMAL(18,2)) END), 0) AS p,
+               COALESCE(SUM(CASE WHEN closing_balance < 0 THEN CAST(closing_balance AS DECIMAL(18,2)) END), 0) AS n
+        FROM ledgers WHERE {biz(WIDE_N)})
+SELECT CAST(p AS DOUBLE) AS assets, CAST(abs(n) AS DOUBLE) AS liabilities, CAST(p + n AS DOUBLE) AS net_position FROM s"""),
+    "net_profit": q("""
+SELECT ledger_name AS account, closing_balance AS pnl_closing, opening_balance AS pnl_opening,
+       CAST(CAST(closing_balance AS DECIMAL(18,2)) - CAST(opening_balance AS DECIMAL(18,2)) AS DOUBLE) AS net_profit
+FROM ledgers WHERE contains(lower(ledger_name), 'profit  loss') ORDER BY ledger_name LIMIT 1"""),
+    "available_years": q("SELECT DISTINCT year(altered_on) AS year FROM ledgers WHERE altered_on IS NOT NULL"),
+    "trend_totals": q(f"SELECT COUNT(*) AS total_parties, {msum('closing_balance')} AS net_balance FROM ledgers"),
+    "has_any_date": q("SELECT COUNT(altered_on) > 0 AS has_dates FROM ledgers"),
+    "row_and_page_counts": q(f"""
+, p AS (SELECT COUNT(*) AS n FROM ledgers WHERE (closing_balance <> 0 OR opening_balance <> 0) AND {biz()}),
+a AS (SELECT COUNT(*) AS n FROM ledgers), b AS (SELECT COUNT(*) AS n FROM entries)
+SELECT 'pending' AS "table", n AS rows, CAST(ceil(n / 15) AS BIGINT) AS pages FROM p
+UNION ALL SELECT 'ledgers', n, CAST(ceil(n / 15) AS BIGINT) FROM a
+UNION ALL SELECT 'voucher_entries', n, CAST(ceil(n / 15) AS BIGINT) FROM b"""),
+    "top_k_closing": q(f"""
+SELECT row_number() OVER (ORDER BY closing_balance DESC, ledger_name) AS rank, ledger_name, closing_balance, parent
+FROM ledgers WHERE {biz()} ORDER BY closing_balance DESC, ledger_name LIMIT 5"""),
+    "rank_number": q(f"""
+SELECT row_number() OVER (ORDER BY closing_balance DESC, ledger_name) AS rank, ledger_name
+FROM ledgers WHERE {biz()} ORDER BY closing_balance DESC, ledger_name LIMIT 5"""),
+    "bottom_k_closing": q(f"""
+SELECT row_number() OVER (ORDER BY closing_balance ASC, ledger_name) AS rank, ledger_name, closing_balance, parent
+FROM ledgers WHERE {biz()} ORDER BY closing_balance ASC, ledger_name LIMIT 5"""),
+    "recent_k": q("""
+SELECT row_number() OVER (ORDER BY altered_on DESC, ledger_name) AS rank, ledger_name, closing_balance, altered_on
+FROM ledgers WHERE altered_on IS NOT NULL ORDER BY altered_on DESC, ledger_name LIMIT 5"""),
+})
+
+PENDING = f"""
+, pend AS (
+  SELECT ledger_name, closing_balance, parent,
+         row_number() OVER (ORDER BY closing_balance DESC, ledger_name) AS rank
+  FROM ledgers WHERE (closing_balance <> 0 OR opening_balance <> 0) AND {biz()}
+)
+"""
+
+ORACLES.update({
+    "sort_head": q(PENDING + "SELECT ledger_name, closing_balance, parent, rank FROM pend WHERE rank <= 15"),
+    "paginate": q(PENDING + "SELECT ledger_name, closing_balance, parent, rank FROM pend "
+                            "WHERE rank BETWEEN 16 AND 30"),
+    "pending_report": q(PENDING + f"""
+, m AS (SELECT COUNT(*) AS total_pending, {msum('closing_balance')} AS total_amount,
+               {mmean('closing_balance')} AS avg_pending FROM pend)
+SELECT rank, ledger_name, closing_balance, parent, 1 AS page, total_pending, total_amount, avg_pending,
+       CAST(ceil(total_pending / 15) AS BIGINT) AS pages
+FROM pend, m WHERE rank <= 15"""),
+})
+
+
+def _fin(pattern: str, lst_biz: str, lst_wide: str) -> str:
+    return q(f"""
+, card AS (
+  SELECT ledger_name AS account, closing_balance AS pnl_closing, opening_balance AS pnl_opening,
+         CAST(CAST(closing_balance AS DECIMAL(18,2)) - CAST(opening_balance AS DECIMAL(18,2)) AS DOUBLE) AS net_profit
+  FROM ledgers WHERE contains(lower(ledger_name), '{pattern}') ORDER BY ledger_name LIMIT 1
+),
+found AS (SELECT COUNT(*) > 0 AS f FROM card),
+topp AS (
+  SELECT row_number() OVER (ORDER BY closing_balance DESC, ledger_name) AS rank, ledger_name, parent, closing_balance
+  FROM ledgers WHERE {biz(lst_biz)} ORDER BY closing_balance DESC, ledger_name LIMIT 5
+),
+wide AS (SELECT * FROM ledgers WHERE {biz(lst_wide)}),
+pos AS (
+  SELECT COALESCE(SUM(CASE WHEN closing_balance > 0 THEN CAST(closing_balance AS DECIMAL(18,2)) END), 0) AS p,
+         COALESCE(SUM(CASE WHEN closing_balance < 0 THEN CAST(closing_balance AS DECIMAL(18,2)) END), 0) AS n
+  FROM wide
+),
+ta AS (SELECT row_number() OVER (ORDER BY closing_balance DESC, ledger_name) AS rank, ledger_name, closing_balance
+       FROM wide ORDER BY closing_balance DESC, ledger_name LIMIT 3),
+tl AS (SELECT row_number() OVER (ORDER BY closing_balance ASC, ledger_name) AS rank, ledger_name, closing_balance
+       FROM wide ORDER BY closing_balance ASC, ledger_name LIMIT 3),
+with_pnl AS (
+  SELECT 'pnl_closing' AS section, CAST(NULL AS INTEGER) AS rank, account AS name, CAST(NULL AS VARCHAR) AS parent,
+         pnl_closing AS amount FROM card
+  UNION ALL SELECT 'pnl_opening', NULL, account, NULL, pnl_opening FROM card
+  UNION ALL SELECT 'net_profit', NULL, account, NULL, net_profit FROM card
+  UNION ALL SELECT 'top_party', CAST(rank AS INTEGER), ledger_name, parent, closing_balance FROM topp
+),
+without AS (
+  SELECT 'assets' AS section, CAST(NULL AS INTEGER) AS rank, CAST(NULL AS VARCHAR) AS name,
+         CAST(NULL AS VARCHAR) AS parent, CAST(p AS DOUBLE) AS amount FROM pos
+  UNION ALL SELECT 'liabilities', NULL, NULL, NULL, CAST(abs(n) AS DOUBLE) FROM pos
+  UNION ALL SELECT 'net_position', NULL, NULL, NULL, CAST(p + n AS DOUBLE) FROM pos
+  UNION ALL SELECT 'top_asset', CAST(rank AS INTEGER), ledger_name, NULL, closing_balance FROM ta
+  UNION ALL SELECT 'top_liability', CAST(rank AS INTEGER), ledger_name, NULL, closing_balance FROM tl
+)
+SELECT * FROM with_pnl WHERE (SELECT f FROM found)
+UNION ALL SELECT * FROM without WHERE NOT (SELECT f FROM found)""")
+
+
+TOPB = f"""
+topb AS (SELECT row_number() OVER (ORDER BY closing_balance DESC, ledger_name) AS rank, ledger_name, parent, closing_balance
+         FROM ledgers WHERE {biz()} ORDER BY closing_balance DESC, ledger_name LIMIT 5),
+botb AS (SELECT row_number() OVER (ORDER BY closing_balance ASC, ledger_name) AS rank, ledger_name, parent, closing_balance
+         FROM ledgers WHERE {biz()} ORDER BY closing_balance ASC, ledger_name LIMIT 5)
+"""
+
+ORACLES.update({
+    "financial_analysis": _fin("profit  loss", INTERNAL_N, WIDE_N),
+    "financial_analysis_as_written": _fin("profit & loss", INTERNAL_W, WIDE_W),
+    "trend_snapshot": q(f"""
+, tot AS (SELECT COUNT(*) AS total_parties, {msum('closing_balance')} AS net_balance,
+                 COUNT(altered_on) > 0 AS has_dates FROM ledgers),
+{TOPB},
+rows AS (
+  SELECT 'total_parties' AS section, CAST(NULL AS INTEGER) AS rank, CAST(NULL AS VARCHAR) AS name,
+         CAST(NULL AS VARCHAR) AS parent, CAST(total_parties AS DOUBLE) AS amount FROM tot
+  UNION ALL SELECT 'net_balance', NULL, NULL, NULL, net_balance FROM tot
+  UNION ALL SELECT 'top_positive', CAST(rank AS INTEGER), ledger_name, parent, closing_balance FROM topb
+  UNION ALL SELECT 'top_negative', CAST(rank AS INTEGER), ledger_name, parent, closing_balance FROM botb
+)
+SELECT * FROM rows WHERE (SELECT has_dates FROM tot)
+UNION ALL SELECT 'no_dates', NULL, NULL, NULL, NULL FROM tot WHERE NOT has_dates"""),
+    "business_summary": q(f"""
+, st AS (SELECT COUNT(*) AS total_parties, {msum('closing_balance')} AS total_balance,
+                {mmean('closing_balance')} AS avg_balance, MAX(closing_balance) AS max_balance,
+                MIN(closing_balance) AS min_balance FROM ledgers),
+g AS (SELECT parent, {msum('closing_balance')} AS group_balance FROM ledgers WHERE {biz()} GROUP BY parent),
+tg AS (SELECT row_number() OVER (ORDER BY group_balance DESC, parent ASC NULLS FIRST) AS rank, parent, group_balance
+       FROM g ORDER BY group_balance DESC, parent ASC NULLS FIRST LIMIT 5),
+rc AS (SELECT row_number() OVER (ORDER BY altered_on DESC, ledger_name) AS rank, ledger_name, altered_on, closing_balance
+       FROM ledgers WHERE altered_on IS NOT NULL ORDER BY altered_on DESC, ledger_name LIMIT 5)
+SELECT 'total_parties' AS section, CAST(NULL AS INTEGER) AS rank, CAST(NULL AS VARCHAR) AS name,
+       CAST(NULL AS VARCHAR) AS parent, CAST(total_parties AS DOUBLE) AS amount FROM st
+UNION ALL SELECT 'total_balance', NULL, NULL, NULL, total_balance FROM st
+UNION ALL SELECT 'avg_balance', NULL, NULL, NULL, avg_balance FROM st
+UNION ALL SELECT 'max_balance', NULL, NULL, NULL, max_balance FROM st
+UNION ALL SELECT 'min_balance', NULL, NULL, NULL, min_balance FROM st
+UNION ALL SELECT 'top_group', CAST(rank AS INTEGER), parent, NULL, group_balance FROM tg
+UNION ALL SELECT 'recent', CAST(rank AS INTEGER), ledger_name, strftime(altered_on, '%Y-%m-%d'), closing_balance FROM rc"""),
+    "party_ranking": q(f"""
+SELECT 'ranking' AS section, CAST(row_number() OVER (ORDER BY closing_balance DESC, ledger_name) AS INTEGER) AS rank,
+       ledger_name, closing_balance, parent, altered_on
+FROM ledgers WHERE {biz()} ORDER BY closing_balance DESC, ledger_name LIMIT 10"""),
+    "party_ranking_year": q(f"""
+, base AS (SELECT * FROM ledgers WHERE year(altered_on) = 2001),
+r AS (SELECT 'ranking' AS section, CAST(row_number() OVER (ORDER BY closing_balance ASC, ledger_name) AS INTEGER) AS rank,
+             ledger_name, closing_balance, parent, altered_on
+      FROM base WHERE {biz()} ORDER BY closing_balance ASC, ledger_name LIMIT 3),
+y AS (SELECT DISTINCT 'available_year' AS section, CAST(year(altered_on) AS INTEGER) AS rank,
+             CAST(NULL AS VARCHAR) AS ledger_name, CAST(NULL AS DOUBLE) AS closing_balance,
+             CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS DATE) AS altered_on
+      FROM ledgers WHERE altered_on IS NOT NULL)
+SELECT * FROM r WHERE (SELECT COUNT(*) FROM base) > 0
+UNION ALL SELECT * FROM y WHERE (SELECT COUNT(*) FROM base) = 0"""),
+    "party_ranking_no_year": q(f"""
+, base AS (SELECT * FROM ledgers WHERE year(altered_on) = 2030),
+r AS (SELECT 'ranking' AS section, CAST(row_number() OVER (ORDER BY closing_balance DESC, ledger_name) AS INTEGER) AS rank,
+             ledger_name, closing_balance, parent, altered_on
+      FROM base WHERE {biz()} ORDER BY closing_balance DESC, ledger_name LIMIT 5),
+y AS (SELECT DISTINCT 'available_year' AS section, CAST(year(altered_on) AS INTEGER) AS rank,
+             CAST(NULL AS VARCHAR) AS ledger_name, CAST(NULL AS DOUBLE) AS closing_balance,
+             CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS DATE) AS altered_on
+      FROM ledgers WHERE altered_on IS NOT NULL)
+SELECT * FROM r WHERE (SELECT COUNT(*) FROM base) > 0
+UNION ALL SELECT * FROM y WHERE (SELECT COUNT(*) FROM base) = 0"""),
+    "pnl_report": q(f"""
+, card AS (
+  SELECT ledger_name AS account, closing_balance AS pnl_closing, opening_balance AS pnl_opening,
+         CAST(CAST(closing_balance AS DECIMAL(18,2)) - CAST(opening_balance AS DECIMAL(18,2)) AS DOUBLE) AS net_profit
+  FROM ledgers WHERE contains(lower(ledger_name), 'profit') ORDER BY ledger_name LIMIT 1
+),
+t AS (SELECT row_number() OVER (ORDER BY closing_balance DESC, ledger_name) AS rank, ledger_name, closing_balance
+      FROM ledgers WHERE {biz(NARROW_N)} ORDER BY closing_balance DESC, ledger_name LIMIT 5),
+rows AS (
+  SELECT 'pnl_closing' AS section, CAST(NULL AS INTEGER) AS rank, account AS name, CAST(NULL AS VARCHAR) AS parent,
+         pnl_closing AS amount FROM card
+  UNION ALL SELECT 'pnl_opening', NULL, account, NULL, pnl_opening FROM card
+  UNION ALL SELECT 'net_profit', NULL, account, NULL, net_profit FROM card
+  UNION ALL SELECT 'top_party', CAST(rank AS INTEGER), ledger_name, NULL, closing_balance FROM t
+)
+SELECT * FROM rows WHERE (SELECT COUNT(*) FROM card) > 0
+UNION ALL SELECT 'not_found', NULL, NULL, NULL, NULL WHERE (SELECT COUNT(*) FROM card) = 0"""),
+})
+
+BR = f"""
+, tx AS (SELECT l.ledger_name, e.* FROM ledgers l JOIN fy_e e ON e.party_key = l.name_key),
+sales AS (
+  SELECT *, row_number() OVER (PARTITION BY ledger_name ORDER BY date, voucher_no, entry_no) AS inv_no
+  FROM tx WHERE credit_amount > 0 AND regexp_matches(lower(voucher_type), 'invoice|sales|bill')
+),
+pay AS (
+  SELECT ledger_name, SUM(CAST(debit_amount AS DECIMAL(18,2))) AS paid, COUNT(*) AS n_payments
+  FROM tx WHERE debit_amount > 0 AND regexp_matches(lower(voucher_type), 'payment|receipt|cash')
+  GROUP BY ledger_name
+),
+inv AS (
+  SELECT s.ledger_name, s.inv_no, s.date, s.voucher_no, s.credit_amount,
+         CAST(s.credit_amount AS DECIMAL(18,2)) -
+           CASE WHEN p.n_payments > 0 THEN least(CAST(s.credit_amount AS DECIMAL(18,2)), p.paid) ELSE 0 END AS due
+  FROM sales s LEFT JOIN pay p USING (ledger_name) WHERE s.inv_no <= 10
+),
+inv_rows AS (
+  SELECT ledger_name, 'invoices' AS source, CAST(inv_no AS INTEGER) AS seq, date AS br_date,
+         voucher_no AS br_no, ledger_name AS party, round_even(CAST(due AS DOUBLE), 2) AS amount,
+         date + 30 AS due_date, CASE WHEN due > 0.5 THEN 'Outstanding' ELSE 'Paid' END AS status,
+         CAST(due AS DECIMAL(38,2)) AS due_exact
+  FROM inv WHERE due > 0
+),
+without AS (
+  SELECT ledger_name, name_key FROM ledgers
+  WHERE ledger_name NOT IN (SELECT ledger_name FROM inv_rows)
+),
+debt AS (
+  SELECT ledger_name AS debtor, closing_balance AS d_closing FROM ledgers
+  WHERE regexp_matches(lower(parent), '{DEBTOR_RE}')
+),
+fbm AS (
+  SELECT w.ledger_name, d.debtor, d.d_closing,
+         row_number() OVER (PARTITION BY w.ledger_name ORDER BY d.debtor) - 1 AS i
+  FROM without w JOIN debt d ON contains(lower(d.debtor), lower(w.name_key))
+  WHERE length(w.name_key) > 0
+),
+fb_rows AS (
+  SELECT ledger_name, 'debtors' AS source, CAST(i + 1 AS INTEGER) AS seq,
+         DATE '{FY_START}' + CAST(i * 15 AS INTEGER) AS br_date,
+         'BR-' || lpad(CAST(i + 1 AS VARCHAR), 3, '0') AS br_no, debtor AS party,
+         round_even(abs(d_closing), 2) AS amount,
+         DATE '{FY_START}' + CAST(i * 15 AS INTEGER) + 30 AS due_date, 'Outstanding' AS status,
+         CAST(abs(d_closing) AS DECIMAL(38,2)) AS due_exact
+  FROM fbm WHERE i < 5 AND d_closing < 0
+),
+br_rows AS (SELECT * FROM inv_rows UNION ALL SELECT * FROM fb_rows),
+br AS (
+  SELECT r.ledger_name, '{FY}' AS financial_year, r.source, r.seq, r.br_date, r.br_no, r.party,
+         r.amount, r.due_date, r.status, CAST(t.total_br AS DOUBLE) AS total_br
+  FROM br_rows r JOIN (SELECT ledger_name, SUM(due_exact) AS total_br FROM br_rows GROUP BY ledger_name) t
+    USING (ledger_name)
+)
+"""
+
+STMT_BODY = FY_STATEMENT[len(BINDINGS):]
+
+ORACLES.update({
+    "party_fy_transactions": q("""
+SELECT l.ledger_name, e.date, e.voucher_no, e.entry_no, e.debit_amount, e.credit_amount
+FROM ledgers l JOIN fy_e e ON e.party_key = l.name_key"""),
+    "party_partial_fallback": q("""
+SELECT l.ledger_name, e.party_key, e.date, e.voucher_no, e.entry_no
+FROM ledgers l JOIN fy_e e ON contains(lower(e.party_key), lower(l.name_key))
+WHERE length(l.name_key) > 0 AND NOT EXISTS (SELECT 1 FROM fy_e x WHERE x.party_key = l.name_key)"""),
+    "running_balance": q(f"""
+, st AS ({FY_STATEMENT})
+SELECT ledger_name, seq, date, voucher_no, debit, credit, balance FROM st
+WHERE voucher_no NOT IN ('OP-001', 'CL-001')"""),
+    "sort_by_date": q(f"""
+, st AS ({FY_STATEMENT})
+SELECT ledger_name, seq, date, voucher_type, voucher_no FROM st"""),
+    "reconcile": q("""
+, f AS (SELECT party_key, SUM(CAST(debit_amount AS DECIMAL(18,2)) - CAST(credit_amount AS DECIMAL(18,2))) AS flow,
+               COUNT(*) AS n_entries FROM entries GROUP BY party_key)
+SELECT l.ledger_name, f.n_entries,
+       CAST(CAST(round_even(l.opening_balance, 2) AS DECIMAL(18,2)) + f.flow AS DOUBLE) AS computed_closing,
+       round_even(l.closing_balance, 2) AS stored_closing,
+       CAST(CAST(round_even(l.opening_balance, 2) AS DECIMAL(18,2)) + f.flow
+            - CAST(round_even(l.closing_balance, 2) AS DECIMAL(18,2)) AS DOUBLE) AS drift,
+       CAST(round_even(l.opening_balance, 2) AS DECIMAL(18,2)) + f.flow
+            = CAST(round_even(l.closing_balance, 2) AS DECIMAL(18,2)) AS ok
+FROM ledgers l JOIN f ON l.name_key = f.party_key"""),
+    "bills_receivable": q(BR + " SELECT * FROM br"),
+    "first_invoices": q(BR + """
+SELECT ledger_name, inv_no, date, voucher_no, credit_amount FROM sales WHERE inv_no <= 10"""),
+    "payments_total": q(BR + " SELECT ledger_name, CAST(paid AS DOUBLE) AS paid, n_payments FROM pay"),
+    "invoice_vs_payments": q(BR + """
+SELECT ledger_name, source, seq, br_date, br_no, party, amount, due_date, status FROM inv_rows"""),
+    "debtor_fallback": q(BR + " SELECT * FROM br WHERE source = 'debtors'"),
+    "fallback_schedule": q(BR + """
+SELECT ledger_name, seq, br_date, due_date, br_no FROM br WHERE source = 'debtors'"""),
+    "receivable_total": q(BR + " SELECT DISTINCT ledger_name, total_br FROM br"),
+    "resolve_exact": q(REQUESTS + """
+SELECT r.req_id, r.request, l.ledger_name FROM requests r JOIN ledgers l ON lower(l.ledger_name) = lower(r.request)"""),
+    "resolve_contains": q(REQUESTS + " SELECT req_id, request, ledger_name FROM cm"),
+    "resolve_status": q(REQUESTS + """
+, h AS (
+  SELECT req_id, string_agg(ledger_name, '; ' ORDER BY ledger_name) AS options
+  FROM (SELECT req_id, ledger_name, row_number() OVER (PARTITION BY req_id ORDER BY ledger_name) AS rn FROM cm)
+  WHERE rn <= 5 GROUP BY req_id
+)
+SELECT r.req_id, r.request, COALESCE(c.n_matches, 0) AS n_matches,
+       CASE WHEN COALESCE(c.n_matches, 0) = 0 THEN 'not_found' WHEN c.n_matches = 1 THEN 'resolved'
+            ELSE 'clarification' END AS status,
+       CASE WHEN c.n_matches = 1 THEN h.options END AS resolved_name,
+       COALESCE(h.options, '') AS options
+FROM requests r LEFT JOIN cc c USING (req_id) LEFT JOIN h USING (req_id)"""),
+    "did_you_mean": q(REQUESTS + """
+, d AS (SELECT DISTINCT r.req_id, r.request, l.ledger_name FROM requests r JOIN ledgers l
+          ON contains(lower(l.ledger_name), lower(r.request)) WHERE length(r.request) > 0)
+SELECT req_id, request, CAST(rank AS INTEGER) AS rank, ledger_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY ledger_name) AS rank FROM d) WHERE rank <= 5"""),
+    "match_head": q(REQUESTS + """
+SELECT req_id, CAST(rank AS INTEGER) AS rank, ledger_name, n_matches FROM (
+  SELECT cm.*, cc.n_matches, row_number() OVER (PARTITION BY cm.req_id ORDER BY ledger_name) AS rank
+  FROM cm JOIN cc USING (req_id)) WHERE rank <= 10"""),
+})
+
+LOOK = REQUESTS + """
+, top AS (
+  SELECT * FROM (
+    SELECT cm.*, cc.n_matches, row_number() OVER (PARTITION BY cm.req_id ORDER BY cm.ledger_name) AS rank
+    FROM cm JOIN cc USING (req_id)) WHERE rank <= 10
+),
+nf AS (SELECT * FROM requests WHERE req_id NOT IN (SELECT req_id FROM cc))
+"""
+STATUS = "CASE WHEN n_matches = 1 THEN 'resolved' ELSE 'clarification' END AS status"
+
+ORACLES.update({
+    "balance_lookup": q(LOOK + f"""
+SELECT req_id, request, n_matches, {STATUS}, CAST(rank AS INTEGER) AS rank, ledger_name, parent,
+       opening_balance, closing_balance, altered_on, 'closing' AS balance_type, closing_balance AS balance
+FROM top
+UNION ALL
+SELECT req_id, request, 0, 'not_found', NULL, NULL, NULL, NULL, NULL, NULL, 'closing', NULL FROM nf"""),
+    "parent_lookup": q(LOOK + f"""
+SELECT req_id, request, n_matches, {STATUS}, CAST(rank AS INTEGER) AS rank, ledger_name, parent,
+       closing_balance, opening_balance FROM top
+UNION ALL
+SELECT req_id, request, 0, 'not_found', NULL, NULL, NULL, NULL, NULL FROM nf"""),
+    "compare_lookup": q(LOOK + f"""
+SELECT req_id, request, n_matches, {STATUS}, CAST(rank AS INTEGER) AS rank, ledger_name, parent,
+       opening_balance, closing_balance, altered_on, greatest(n_matches - 10, 0) AS more FROM top
+UNION ALL
+SELECT req_id, request, 0, 'not_found', NULL, NULL, NULL, NULL, NULL, NULL, 0 FROM nf"""),
+    "ledger_search": q(REQUESTS + f"""
+, hits AS (
+  SELECT r.req_id, r.request, l.ledger_name, l.parent, l.opening_balance, l.closing_balance, l.altered_on,
+         CASE WHEN contains(lower(l.ledger_name), lower(r.request)) THEN 0 ELSE 1 END AS hit_rank
+  FROM requests r JOIN ledgers l
+    ON contains(lower(l.ledger_name), lower(r.request)) OR contains(lower(l.parent), lower(r.request))
+  WHERE length(r.request) > 0
+),
+hc AS (SELECT req_id, COUNT(*) AS n_matches FROM hits GROUP BY req_id),
+ranked AS (
+  SELECT hits.*, hc.n_matches,
+         row_number() OVER (PARTITION BY hits.req_id ORDER BY hit_rank, ledger_name, parent) AS rank
+  FROM hits JOIN hc USING (req_id)
+)
+SELECT req_id, request, n_matches, 'found' AS status, CAST(rank AS INTEGER) AS rank, hit_rank,
+       ledger_name, parent, opening_balance, closing_balance, altered_on
+FROM ranked WHERE rank <= 15
+UNION ALL
+SELECT req_id, request, 0, 'not_found', NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM requests WHERE req_id NOT IN (SELECT req_id FROM hc)"""),
+})
