@@ -13,7 +13,7 @@ def _c(c: Column | str) -> Column:
 def parse_yyyymmdd(c: Column | str) -> Column:
     """Strict 8-digit YYYYMMDD text -> date; anything else -> null."""
     s = F.trim(_c(c).cast("string"))
-    return F.when(s.rlike(r"^\d{8}$"), F.try_to_date(s, F.lit("yyyyMMdd")))
+    return F.when(s.rlike(r"^\d{8}$"), F.try_to_date(s, "yyyyMMdd"))
 
 
 def parse_altered_on(c: Column | str) -> Column:

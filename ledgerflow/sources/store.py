@@ -90,3 +90,24 @@ def fy_slice(entries: DataFrame, fy: str) -> DataFrame:
     if "fy" in entries.columns:
         return entries.where(F.col("fy") == fy)
     return entries
+
+
+_XML_MEMO: dict[tuple[str, str, str], str] = {}
+
+
+def xml_drop_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """Write (once per application and input folder) the dirty XML export of the
+    driver's tables into a drop folder under the shared checkpoint dir."""
+    from ledgerflow.sources import bindings as B
+    from ledgerflow.sources import fixtures as FX
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
+    with _LOCK:
+        if key in _XML_MEMO:
+            return _XML_MEMO[key]
+        t = B.Tables(spark, sf_dir)
+        recs = FX.ledger_xml_records(t) if kind == "ledger" else FX.voucher_xml_records(t)
+        path = scratch_path(spark, f"{kind}-xml")
+        recs.select("value").write.mode("overwrite").text(path)
+        _XML_MEMO[key] = path
+        return path
