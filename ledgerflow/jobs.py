@@ -383,3 +383,251 @@ def ledger_search(spark, sf_dir):
 @job("rank_number")
 def rank_number(spark, sf_dir):
     return top_k_closing(spark, sf_dir).select("rank", "ledger_name")
+
+
+# ---------------------------------------------------------------------------
+# ingest S1-S7, J1 and scalar functions P1-P20
+
+from ledgerflow import functions as FN  # noqa: E402
+from ledgerflow.functions import display as DS  # noqa: E402
+from ledgerflow.sources import fixtures as FX  # noqa: E402
+from ledgerflow.sources import xml as X  # noqa: E402
+
+
+def _t(spark, sf_dir):
+    return B.Tables(spark, sf_dir)
+
+
+@job("scan_ledger_xml")
+def scan_ledger_xml(spark, sf_dir):
+    return X.scan_ledger_xml(spark, store.xml_drop_folder(spark, sf_dir, "ledger"))
+
+
+@job("scan_voucher_xml")
+def scan_voucher_xml(spark, sf_dir):
+    return X.scan_voucher_xml(spark, store.xml_drop_folder(spark, sf_dir, "voucher"))
+
+
+@job("sanitize_ledger_xml")
+def sanitize_ledger_xml(spark, sf_dir):
+    """S3 on whole noisy texts (documents) — the regex rules at volume."""
+    d = _t(spark, sf_dir).documents
+    return d.select("doc_id", FN.sanitize_ledger_xml("text").alias("clean"))
+
+
+@job("sanitize_voucher_xml")
+def sanitize_voucher_xml(spark, sf_dir):
+    """S4 on whole noisy texts (documents)."""
+    d = _t(spark, sf_dir).documents
+    return d.select("doc_id", FN.sanitize_voucher_xml("text").alias("clean"))
+
+
+@job("xml_quarantine")
+def xml_quarantine(spark, sf_dir):
+    """Rows-only: unsanitised voucher records that do not parse."""
+    return X.quarantine(spark, store.xml_drop_folder(spark, sf_dir, "voucher"), "VOUCHER", sanitize=False)
+
+
+@job("conform_ledgers")
+def conform_ledgers(spark, sf_dir):
+    recs = X.read_records(spark, store.xml_drop_folder(spark, sf_dir, "ledger"), "LEDGER")
+    return X.conform_ledgers(X.parse_ledgers(recs))
+
+
+@job("source_pruned_scan")
+def source_pruned_scan(spark, sf_dir):
+    return X.source_pruned(_tables(spark, sf_dir)[1])
+
+
+@job("scan_tables")
+def scan_tables(spark, sf_dir):
+    return _tables(spark, sf_dir)[0].select(*LCOLS)
+
+
+@job("trim_column_names")
+def trim_column_names(spark, sf_dir):
+    led = _tables(spark, sf_dir)[0].select(*LCOLS)
+    padded = led.toDF(*[f" {c} " for c in led.columns])
+    return padded.toDF(*[c.strip() for c in padded.columns])
+
+
+@job("sql_passthrough")
+def sql_passthrough(spark, sf_dir):
+    led = _tables(spark, sf_dir)[0]
+    led.createOrReplaceTempView("lf_ledgers")
+    return spark.sql("SELECT ledger_name, closing_balance FROM lf_ledgers "
+                     "WHERE closing_balance > :lo AND parent = :grp",
+                     args={"lo": 0, "grp": "Sundry Debtors"})
+
+
+@job("flatten_entries")
+def flatten_entries(spark, sf_dir):
+    """J1 over the nested voucher form (header + sorted array of entries)."""
+    e = B.voucher_entries_raw(_t(spark, sf_dir))
+    nested = (e.groupBy("date", "voucher_type", "voucher_no", "party_name")
+              .agg(F.sort_array(F.collect_list(F.struct("entry_no", "particulars", "amount"))).alias("entries")))
+    flat = nested.select("date", "voucher_type", "voucher_no", "party_name",
+                         F.posexplode("entries").alias("pos", "e"))
+    return flat.select("date", "voucher_type", "voucher_no", "party_name",
+                       (F.col("pos") + 1).cast("int").alias("entry_no"),
+                       F.col("e.particulars").alias("particulars"),
+                       F.col("e.amount").cast("double").alias("amount"))
+
+
+@job("normalize_names")
+def normalize_names(spark, sf_dir):
+    led = _tables(spark, sf_dir)[0]
+    return led.select("ledger_name_raw", "parent_raw",
+                      FN.normalize("ledger_name_raw").alias("name_1pass"),
+                      FN.normalize_twice("ledger_name_raw").alias("name_2pass"),
+                      FN.normalize("parent_raw").alias("parent_1pass"),
+                      FN.normalize_twice("parent_raw").alias("parent_2pass"))
+
+
+@job("normalize_documents")
+def normalize_documents(spark, sf_dir):
+    """P1 at volume on whole accented texts."""
+    d = _t(spark, sf_dir).documents
+    return d.select("doc_id", FN.normalize("text").alias("norm_1pass"),
+                    FN.normalize_twice("text").alias("norm_2pass"))
+
+
+@job("coerce_balances")
+def coerce_balances(spark, sf_dir):
+    lt = FX.ledger_text(_t(spark, sf_dir))
+    return lt.select("rec_id", "OPENINGBALANCE", "CLOSINGBALANCE",
+                     FN.coerce_number("OPENINGBALANCE").alias("opening_balance"),
+                     FN.coerce_number("CLOSINGBALANCE").alias("closing_balance"))
+
+
+@job("safe_amount")
+def safe_amount(spark, sf_dir):
+    vt = FX.voucher_text(_t(spark, sf_dir))
+    return vt.select("voucher_id", "entry_no", F.col("AMOUNT").alias("amount_text"),
+                     FN.coerce_number("AMOUNT").alias("amount_value"))
+
+
+@job("field_default")
+def field_default(spark, sf_dir):
+    vt = FX.voucher_text(_t(spark, sf_dir))
+    return vt.select("voucher_id", "entry_no",
+                     X.default_text("VOUCHERTYPENAME").alias("voucher_type"),
+                     X.default_text("VOUCHERNUMBER").alias("voucher_no"),
+                     X.default_text("PARTYLEDGERNAME", X.PARTY_DEFAULT).alias("party_name"))
+
+
+@job("entry_field_fallback")
+def entry_field_fallback(spark, sf_dir):
+    vt = FX.voucher_text(_t(spark, sf_dir))
+    return vt.select("voucher_id", "entry_no",
+                     X.default_text("LEDGERNAME").alias("particulars"),
+                     F.coalesce(F.nullif(F.col("AMOUNT"), F.lit("0")), F.lit("0")).alias("amount_text"))
+
+
+@job("parse_altered_on")
+def parse_altered_on(spark, sf_dir):
+    lt = FX.ledger_text(_t(spark, sf_dir))
+    return lt.select("rec_id", "ALTEREDON", FN.parse_altered_on("ALTEREDON").alias("altered_on"))
+
+
+@job("parse_voucher_date")
+def parse_voucher_date(spark, sf_dir):
+    vt = FX.voucher_text(_t(spark, sf_dir))
+    return (vt.select("voucher_id", "entry_no", F.col("DATE").alias("date_text"),
+                      FN.parse_yyyymmdd("DATE").alias("voucher_date"))
+            .where(F.col("voucher_date").isNotNull()))
+
+
+@job("reparse_dates")
+def reparse_dates(spark, sf_dir):
+    led = _tables(spark, sf_dir)[0]
+    return led.select("ledger_name", FN.reparse_date(F.col("altered_on").cast("string")).alias("altered_on"))
+
+
+@job("split_debit_credit")
+def split_debit_credit(spark, sf_dir):
+    vt = FX.voucher_text(_t(spark, sf_dir))
+    a = FN.coerce_number("AMOUNT")
+    return vt.select("voucher_id", "entry_no", FN.split_debit(a).alias("debit_amount"),
+                     FN.split_credit(a).alias("credit_amount"))
+
+
+@job("stringify_keys")
+def stringify_keys(spark, sf_dir):
+    o = _t(spark, sf_dir).orders
+    return o.select(F.col("o_orderkey").cast("string").alias("voucher_no"),
+                    F.col("o_custkey").cast("string").alias("party_name"),
+                    F.col("o_orderstatus").cast("string").alias("voucher_type"))
+
+
+@job("project_entries")
+def project_entries(spark, sf_dir):
+    return scan_voucher_xml(spark, sf_dir).select(*X.ENTRY_COLUMNS)
+
+
+@job("display_columns")
+def display_columns(spark, sf_dir):
+    e = _tables(spark, sf_dir)[1].select(*X.ENTRY_COLUMNS)
+    return e.withColumnsRenamed(DS.DISPLAY_HEADINGS)
+
+
+@job("financial_year")
+def financial_year(spark, sf_dir):
+    e = _tables(spark, sf_dir)[1]
+    return e.select("voucher_no", "entry_no", "date", FN.financial_year("date").alias("financial_year"))
+
+
+@job("fy_bounds")
+def fy_bounds_job(spark, sf_dir):
+    e = _tables(spark, sf_dir)[1]
+    labels = e.select(FN.financial_year("date").alias("label")).distinct()
+    single = labels.select(F.split("label", "-").getItem(0).alias("label"))
+    lab = labels.unionByName(single)
+    return lab.select("label", FN.fy_start_col("label").alias("fy_start"),
+                      FN.fy_end_col("label").alias("fy_end"))
+
+
+@job("due_date")
+def due_date(spark, sf_dir):
+    e = _tables(spark, sf_dir)[1]
+    return e.where(FL.is_sale()).select("voucher_no", "entry_no", "date",
+                                        FN.due_date("date").alias("due_date"))
+
+
+@job("display_truncate")
+def display_truncate(spark, sf_dir):
+    st = fy_statement(spark, sf_dir)
+    return st.select("ledger_name", "seq", DS.cut("voucher_type", DS.CUT_TYPE).alias("voucher_type"),
+                     DS.cut("voucher_no", DS.CUT_NO).alias("voucher_no"),
+                     DS.cut("particulars", DS.CUT_PARTICULARS).alias("particulars"))
+
+
+@job("money_format")
+def money_format(spark, sf_dir):
+    st = fy_statement(spark, sf_dir)
+    return st.select("ledger_name", "seq", DS.money_text_positive("debit").alias("debit"),
+                     DS.money_text_positive("credit").alias("credit"),
+                     DS.money_text("balance").alias("balance"))
+
+
+@job("date_display")
+def date_display(spark, sf_dir):
+    st = fy_statement(spark, sf_dir).select("ledger_name", "seq", FN.statement_day("date").alias("day"),
+                                            F.lit("statement").alias("report"))
+    br = bills_receivable(spark, sf_dir).select("ledger_name", "seq", FN.br_day("br_date").alias("day"),
+                                                F.lit("br").alias("report"))
+    return st.unionByName(br)
+
+
+@job("round_balances")
+def round_balances(spark, sf_dir):
+    led = _tables(spark, sf_dir)[0]
+    return led.select("ledger_name", FN.round2("opening_balance").alias("opening"),
+                      FN.round2("closing_balance").alias("closing"))
+
+
+@job("signed_abs")
+def signed_abs(spark, sf_dir):
+    led = _tables(spark, sf_dir)[0]
+    return led.where(F.col("closing_balance") < 0).select(
+        "ledger_name", F.abs("closing_balance").alias("magnitude"))

@@ -584,3 +584,161 @@ UNION ALL
 SELECT req_id, request, 0, 'not_found', NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM requests WHERE req_id NOT IN (SELECT req_id FROM hc)"""),
 })
+
+# --- text fixtures (dirty export fields), see ledgerflow/sources/fixtures.py ----------
+TEXT = """
+, lt_base AS (
+  SELECT c_custkey * 2 AS rec_id, c_name AS NAME,
+         CASE c_mktsegment WHEN 'BUILDING' THEN 'Sundry Debtors' WHEN 'AUTOMOBILE' THEN 'Trade Receivables'
+              WHEN 'MACHINERY' THEN 'Duties & Taxes' WHEN 'HOUSEHOLD' THEN 'Primary'
+              WHEN 'FURNITURE' THEN 'Bank Accounts' END AS PARENT, c_acctbal AS bal FROM customer
+  UNION ALL SELECT s_suppkey * 2 + 1, s_name, 'Sundry Creditors', s_acctbal FROM supplier
+),
+lt AS (
+  SELECT rec_id, NAME, PARENT,
+         CASE rec_id % 8 WHEN 0 THEN s WHEN 1 THEN '  ' || s || ' ' WHEN 2 THEN s || ' Dr'
+              WHEN 3 THEN '1,' || s WHEN 4 THEN 'nan' WHEN 5 THEN '' WHEN 6 THEN s || 'e0' END AS OPENINGBALANCE,
+         CASE WHEN rec_id % 6 = 5 THEN 'inf' ELSE s END AS CLOSINGBALANCE,
+         CASE rec_id % 5 WHEN 0 THEN d WHEN 1 THEN d || '.0' WHEN 2 THEN 'nan' WHEN 3 THEN substr(d, 1, 7)
+              ELSE substr(d, 1, 4) || '1301' END AS ALTEREDON
+  FROM (SELECT *, CAST(CAST(bal AS DECIMAL(18,2)) AS VARCHAR) AS s,
+               strftime(DATE '1995-01-01' + CAST(rec_id % 2400 AS INTEGER), '%Y%m%d') AS d FROM lt_base)
+),
+vt AS (
+  SELECT CAST(e.voucher_no AS BIGINT) AS voucher_id,
+         CASE WHEN CAST(e.voucher_no AS BIGINT) % 11 = 0 THEN 'x' || strftime(e.date, '%Y%m%d')
+              ELSE strftime(e.date, '%Y%m%d') END AS DATE,
+         CASE WHEN CAST(e.voucher_no AS BIGINT) % 9 = 0 THEN '' ELSE e.voucher_type END AS VOUCHERTYPENAME,
+         e.voucher_no AS VOUCHERNUMBER,
+         CASE WHEN CAST(e.voucher_no AS BIGINT) % 13 = 0 THEN ''
+              WHEN CAST(e.voucher_no AS BIGINT) % 5 = 0 THEN e.party_name || ' & Co'
+              ELSE e.party_name END AS PARTYLEDGERNAME,
+         e.entry_no, e.particulars AS LEDGERNAME,
+         CASE WHEN (CAST(e.voucher_no AS BIGINT) + e.entry_no) % 13 = 0 THEN 'n/a'
+              ELSE CAST(e.amount AS VARCHAR) END AS AMOUNT
+  FROM ve_raw e
+)
+"""
+
+
+def coerce(x: str) -> str:
+    v = f"TRY_CAST(trim({x}) AS DOUBLE)"
+    ok = rf"regexp_full_match({x}, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*')"
+    return (f"COALESCE(CASE WHEN {ok} THEN CASE WHEN isinf({v}) OR isnan({v}) THEN 0.0 ELSE {v} END END, 0.0)")
+
+
+def ymd(x: str) -> str:
+    return rf"CASE WHEN regexp_full_match(trim({x}), '\d{{8}}') THEN CAST(try_strptime(trim({x}), '%Y%m%d') AS DATE) END"
+
+
+def before_dot(x: str) -> str:
+    return f"split_part(CAST({x} AS VARCHAR), '.', 1)"
+
+
+SAN_LEDGER = r"regexp_replace(regexp_replace(text, '&#(?:[0-9]+|[xX][0-9a-fA-F]+);?', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"
+SAN_VOUCHER = (r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(</?)[a-zA-Z0-9_]+:', '\1', 'g'), "
+               r"'[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;', 'g'), '&amp;(amp|lt|gt|apos|quot);', '&\1;', 'g')")
+
+VKEY = "CAST(voucher_no AS BIGINT)"
+
+ORACLES.update({
+    "scan_ledger_xml": q(TEXT + f"""
+SELECT NAME AS ledger_name, PARENT AS parent, {coerce('OPENINGBALANCE')} AS opening_balance,
+       {coerce('CLOSINGBALANCE')} AS closing_balance, {ymd(before_dot('ALTEREDON'))} AS altered_on FROM lt"""),
+    "conform_ledgers": q(TEXT + """
+SELECT NAME AS ledger_name, PARENT AS parent, OPENINGBALANCE AS opening_balance,
+       CLOSINGBALANCE AS closing_balance, ALTEREDON AS altered_on FROM lt"""),
+    "scan_voucher_xml": q(f"""
+SELECT date,
+       (CASE WHEN {VKEY} % 9 = 0 THEN '' ELSE voucher_type END) ||
+       (CASE WHEN {VKEY} % 7 = 0 THEN '&#4;' ELSE '' END) AS voucher_type,
+       voucher_no,
+       CASE WHEN {VKEY} % 13 = 0 THEN 'Unknown' WHEN {VKEY} % 5 = 0 THEN party_name || ' & Co'
+            ELSE party_name END AS party_name,
+       particulars,
+       CASE WHEN ({VKEY} + entry_no) % 13 = 0 THEN 0.0 WHEN amount > 0 THEN CAST(amount AS DOUBLE) ELSE 0.0 END
+         AS debit_amount,
+       CASE WHEN ({VKEY} + entry_no) % 13 = 0 THEN 0.0 WHEN amount < 0 THEN CAST(-amount AS DOUBLE) ELSE 0.0 END
+         AS credit_amount,
+       entry_no
+FROM ve_raw WHERE {VKEY} % 17 <> 0 AND {VKEY} % 11 <> 0"""),
+    "sanitize_ledger_xml": q(f"SELECT doc_id, {SAN_LEDGER} AS clean FROM documents"),
+    "sanitize_voucher_xml": q(f"SELECT doc_id, {SAN_VOUCHER} AS clean FROM documents"),
+    "source_pruned_scan": q("""
+SELECT date, voucher_type, voucher_no, party_name, particulars, debit_amount, credit_amount FROM entries
+WHERE date BETWEEN DATE '2000-04-01' AND DATE '2035-03-31'"""),
+    "scan_tables": q(f"SELECT {LC} FROM ledgers"),
+    "trim_column_names": q(f"SELECT {LC} FROM ledgers"),
+    "sql_passthrough": q("""
+SELECT ledger_name, closing_balance FROM ledgers WHERE closing_balance > 0 AND parent = 'Sundry Debtors'"""),
+    "flatten_entries": q("""
+SELECT date, voucher_type, voucher_no, party_name, entry_no, particulars, CAST(amount AS DOUBLE) AS amount
+FROM ve_raw"""),
+    "normalize_names": q(f"""
+SELECT ledger_name AS ledger_name_raw, parent AS parent_raw, {norm('ledger_name')} AS name_1pass,
+       {norm2('ledger_name')} AS name_2pass, {norm('parent')} AS parent_1pass, {norm2('parent')} AS parent_2pass
+FROM ledgers_raw"""),
+    "normalize_documents": q(f"SELECT doc_id, {norm('text')} AS norm_1pass, {norm2('text')} AS norm_2pass FROM documents"),
+    "coerce_balances": q(TEXT + f"""
+SELECT rec_id, OPENINGBALANCE, CLOSINGBALANCE, {coerce('OPENINGBALANCE')} AS opening_balance,
+       {coerce('CLOSINGBALANCE')} AS closing_balance FROM lt"""),
+    "safe_amount": q(TEXT + f"SELECT voucher_id, entry_no, AMOUNT AS amount_text, {coerce('AMOUNT')} AS amount_value FROM vt"),
+    "field_default": q(TEXT + """
+SELECT voucher_id, entry_no, COALESCE(NULLIF(VOUCHERTYPENAME, ''), '') AS voucher_type,
+       COALESCE(NULLIF(VOUCHERNUMBER, ''), '') AS voucher_no,
+       COALESCE(NULLIF(PARTYLEDGERNAME, ''), 'Unknown') AS party_name FROM vt"""),
+    "entry_field_fallback": q(TEXT + """
+SELECT voucher_id, entry_no, COALESCE(NULLIF(LEDGERNAME, ''), '') AS particulars,
+       COALESCE(NULLIF(AMOUNT, '0'), '0') AS amount_text FROM vt"""),
+    "parse_altered_on": q(TEXT + f"SELECT rec_id, ALTEREDON, {ymd(before_dot('ALTEREDON'))} AS altered_on FROM lt"),
+    "parse_voucher_date": q(TEXT + f"""
+SELECT * FROM (SELECT voucher_id, entry_no, DATE AS date_text, {ymd('DATE')} AS voucher_date FROM vt)
+WHERE voucher_date IS NOT NULL"""),
+    "reparse_dates": q("SELECT ledger_name, altered_on FROM ledgers"),
+    "split_debit_credit": q(TEXT + f"""
+SELECT voucher_id, entry_no,
+       CASE WHEN {coerce('AMOUNT')} > 0 THEN round_even(abs({coerce('AMOUNT')}), 2) ELSE 0.0 END AS debit_amount,
+       CASE WHEN {coerce('AMOUNT')} < 0 THEN round_even(abs({coerce('AMOUNT')}), 2) ELSE 0.0 END AS credit_amount
+FROM vt"""),
+    "stringify_keys": q("""
+SELECT CAST(o_orderkey AS VARCHAR) AS voucher_no, CAST(o_custkey AS VARCHAR) AS party_name,
+       CAST(o_orderstatus AS VARCHAR) AS voucher_type FROM orders"""),
+    "display_columns": q("""
+SELECT date AS "Date", voucher_type AS "Voucher Type", voucher_no AS "Voucher No", party_name AS "Party Name",
+       particulars AS "Particulars", debit_amount AS "Debit Amount", credit_amount AS "Credit Amount" FROM entries"""),
+    "financial_year": q("""
+SELECT voucher_no, entry_no, date,
+       CAST(year(date - INTERVAL 3 MONTH) AS VARCHAR) || '-' || CAST(year(date - INTERVAL 3 MONTH) + 1 AS VARCHAR)
+         AS financial_year FROM entries"""),
+    "fy_bounds": q("""
+, labs AS (SELECT DISTINCT CAST(year(date - INTERVAL 3 MONTH) AS VARCHAR) || '-' ||
+                  CAST(year(date - INTERVAL 3 MONTH) + 1 AS VARCHAR) AS label FROM entries),
+alll AS (SELECT label FROM labs UNION ALL SELECT split_part(label, '-', 1) FROM labs)
+SELECT label, make_date(CAST(split_part(label, '-', 1) AS INTEGER), 4, 1) AS fy_start,
+       make_date(CASE WHEN contains(label, '-') THEN CAST(split_part(label, '-', 2) AS INTEGER)
+                      ELSE CAST(label AS INTEGER) + 1 END, 3, 31) AS fy_end FROM alll"""),
+    "due_date": q("""
+SELECT voucher_no, entry_no, date, CAST(date + 30 AS DATE) AS due_date FROM entries
+WHERE credit_amount > 0 AND regexp_matches(lower(voucher_type), 'invoice|sales|bill')"""),
+    "display_truncate": q(f"""
+, st AS ({FY_STATEMENT})
+SELECT ledger_name, seq, substr(voucher_type, 1, 15) AS voucher_type, substr(voucher_no, 1, 10) AS voucher_no,
+       substr(particulars, 1, 25) AS particulars FROM st"""),
+    "money_format": q(f"""
+, st AS ({FY_STATEMENT})
+SELECT ledger_name, seq,
+       CASE WHEN debit > 0 THEN format('{{:,.2f}}', debit) ELSE '0.00' END AS debit,
+       CASE WHEN credit > 0 THEN format('{{:,.2f}}', credit) ELSE '0.00' END AS credit,
+       format('{{:,.2f}}', balance) AS balance FROM st"""),
+    "date_display": q(BR + f"""
+, st AS ({FY_STATEMENT})
+SELECT ledger_name, seq, strftime(date, '%m-%d') AS day, 'statement' AS report FROM st
+UNION ALL SELECT ledger_name, seq, strftime(br_date, '%d-%m'), 'br' FROM br"""),
+    "round_balances": q("""
+SELECT ledger_name, round_even(opening_balance, 2) AS opening, round_even(closing_balance, 2) AS closing
+FROM ledgers"""),
+    "signed_abs": q("SELECT ledger_name, abs(closing_balance) AS magnitude FROM ledgers WHERE closing_balance < 0"),
+})
+ORACLES["project_entries"] = q(f"""
+, sv AS ({ORACLES["scan_voucher_xml"]})
+SELECT date, voucher_type, voucher_no, party_name, particulars, debit_amount, credit_amount FROM sv""")
