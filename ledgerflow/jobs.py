@@ -631,3 +631,68 @@ def signed_abs(spark, sf_dir):
     led = _tables(spark, sf_dir)[0]
     return led.where(F.col("closing_balance") < 0).select(
         "ledger_name", F.abs("closing_balance").alias("magnitude"))
+
+
+# ---------------------------------------------------------------------------
+# questions N1-N6, R13, unions U1/U2
+
+from ledgerflow.plans import answer as AN  # noqa: E402
+from ledgerflow.plans import questions as QN  # noqa: E402
+
+
+def _questions(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return QN.questions_table(t.customer, t.conversations)
+
+
+@job("route_questions")
+def route_questions(spark, sf_dir):
+    q = _questions(spark, sf_dir)
+    return q.select("q_id", "question", QN.route(F.col("question")).alias("route"))
+
+
+@job("extract_question_params")
+def extract_question_params(spark, sf_dir):
+    q = _questions(spark, sf_dir)
+    return q.select("q_id", QN.extract_params(F.col("question")).alias("p")).select("q_id", "p.*")
+
+
+@job("quick_commands")
+def quick_commands(spark, sf_dir):
+    q = _questions(spark, sf_dir)
+    return QN.routed(q).select("q_id", "question", "command", "route")
+
+
+@job("answer_questions")
+def answer_questions(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    return AN.answer_questions(_questions(spark, sf_dir), led, ent, DEFAULT_FY)
+
+
+@job("followup_rewrite")
+def followup_rewrite(spark, sf_dir):
+    return QN.followup_rewrite(QN.prompt_turns(_t(spark, sf_dir).conversations))
+
+
+@job("conversation_titles")
+def conversation_titles(spark, sf_dir):
+    return QN.conversation_titles(_t(spark, sf_dir).conversations)
+
+
+@job("statement_request")
+def statement_request(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    return AN.statement_requests(_questions(spark, sf_dir), led, ent, DEFAULT_FY)
+
+
+@job("search_union")
+def search_union(spark, sf_dir):
+    led, _ = _tables(spark, sf_dir)
+    return RS.ledger_search(_requests(spark, sf_dir), led, k=1 << 30).select(
+        "req_id", "hit_rank", "ledger_name", "parent")
+
+
+@job("statement_union")
+def statement_union(spark, sf_dir):
+    st = fy_statement(spark, sf_dir)
+    return st.select("ledger_name", "seq", "voucher_type", "voucher_no", "balance")
