@@ -688,8 +688,8 @@ def statement_request(spark, sf_dir):
 @job("search_union")
 def search_union(spark, sf_dir):
     led, _ = _tables(spark, sf_dir)
-    return RS.ledger_search(_requests(spark, sf_dir), led, k=1 << 30).select(
-        "req_id", "hit_rank", "ledger_name", "parent")
+    return (RS.ledger_search(_requests(spark, sf_dir), led, k=1 << 30)
+            .where(F.col("status") == "found").select("req_id", "hit_rank", "ledger_name", "parent"))
 
 
 @job("statement_union")

@@ -24,6 +24,7 @@ from ledgerflow.operators import reports as RP
 from ledgerflow.operators import resolve as RS
 from ledgerflow.operators import statement as ST
 from ledgerflow.plans.questions import routed
+from ledgerflow.session import cut_lineage
 
 LOOKUP_ROUTES = ["balance_query", "parent_query", "comparative_analysis"]
 NAME_ROUTES = LOOKUP_ROUTES + ["search_query", "statement_query", "br_query"]
@@ -54,10 +55,12 @@ def ranking_counts(ledgers: DataFrame) -> DataFrame:
 
 
 def answer_questions(questions: DataFrame, ledgers: DataFrame, entries: DataFrame, fy: str) -> DataFrame:
-    r = routed(questions).select(
+    # routing/extraction is regex-heavy and feeds every branch below: compute it
+    # once into the shared checkpoint folder
+    r = cut_lineage(routed(questions).select(
         "q_id", "question", "route", "command",
         F.col("params.ledger_name").alias("name"), F.col("params.count").alias("count"),
-        F.col("params.year").alias("year"))
+        F.col("params.year").alias("year")))
     led = ST.unique_ledgers(ledgers)
     has_name = F.col("name").isNotNull() & (F.length("name") > 0)
 
@@ -73,6 +76,7 @@ def answer_questions(questions: DataFrame, ledgers: DataFrame, entries: DataFram
         .groupBy("req_id").agg(F.count(F.lit(1)).alias("n_search"))
 
     # statements / receivables only for the resolved ledgers of those routes
+    per_name = cut_lineage(per_name)
     resolved = (r.where(F.col("route").isin("statement_query", "br_query") & has_name)
                 .join(per_name, F.col("name") == F.col("req_id"))
                 .select(F.col("first_name").alias("ledger_name")).distinct())
@@ -140,6 +144,6 @@ def statement_requests(questions: DataFrame, ledgers: DataFrame, entries: DataFr
     led = ST.unique_ledgers(ledgers)
     names = r.select(F.col("name").alias("request")).distinct().withColumn("req_id", F.col("request"))
     first = RS.contains_matches(names, led).groupBy("req_id").agg(F.min("ledger_name").alias("ledger_name"))
-    qn = r.join(first, F.col("name") == F.col("req_id")).select("q_id", "ledger_name")
+    qn = cut_lineage(r.join(first, F.col("name") == F.col("req_id")).select("q_id", "ledger_name"))
     st = ST.fy_statement(led.join(qn.select("ledger_name").distinct(), "ledger_name", "left_semi"), entries, fy)
     return qn.join(st, "ledger_name")

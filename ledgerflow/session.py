@@ -61,3 +61,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df):
+    """Materialise ``df`` into the shared checkpoint folder and return a DataFrame
+    reading it (reliable checkpoint: survives executor loss; keeps later plans
+    small when a derived table feeds many branches)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -742,3 +742,133 @@ FROM ledgers"""),
 ORACLES["project_entries"] = q(f"""
 , sv AS ({ORACLES["scan_voucher_xml"]})
 SELECT date, voucher_type, voucher_no, party_name, particulars, debit_amount, credit_amount FROM sv""")
+
+# --- questions ------------------------------------------------------------------
+from ledgerflow.plans.questions import NAME_FORMS, PLAIN_FORMS  # noqa: E402  (fixture text only)
+
+
+def _sq(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_FORMS = ", ".join(f"({i}, {_sq(f.split('{n}')[0])}, {_sq(f.split('{n}')[1])})" for i, f in enumerate(NAME_FORMS))
+_PLAIN = "[" + ", ".join(_sq(p) for p in PLAIN_FORMS) + "]"
+STRIP_WS = f"regexp_replace(%s, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+QUESTIONS = f"""
+, qforms(i, a, b) AS (VALUES {_FORMS}),
+qn AS (
+  SELECT 'c' || CAST(c.c_custkey AS VARCHAR) || '-' || CAST(f.i AS VARCHAR) AS q_id, f.a || c.c_name || f.b AS question
+  FROM customer c, qforms f
+  UNION ALL
+  SELECT 'p' || CAST(c_custkey AS VARCHAR), {_PLAIN}[CAST(c_custkey % {len(PLAIN_FORMS)} AS INTEGER) + 1] FROM customer
+  UNION ALL
+  SELECT 't' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), text FROM conversations WHERE role = 'user'
+),
+ql AS (SELECT q_id, question, lower(question) AS l FROM qn),
+qr AS (
+  SELECT q_id, question, l,
+    CASE WHEN regexp_matches(l, 'statement') THEN 'statement_query'
+         WHEN regexp_matches(l, 'br|bill\\s+receivable') THEN 'br_query'
+         WHEN contains(l, 'profit') OR contains(l, 'loss') OR contains(l, 'income') OR contains(l, 'expense')
+              OR contains(l, 'revenue') THEN 'financial_analysis'
+         WHEN contains(l, 'pending') OR contains(l, 'due') OR contains(l, 'outstanding') OR contains(l, 'unpaid')
+              THEN 'pending_analysis'
+         WHEN contains(l, 'compare') OR contains(l, 'versus') OR contains(l, 'vs') OR contains(l, 'difference')
+              THEN 'comparative_analysis'
+         WHEN contains(l, 'trend') OR contains(l, 'history') OR contains(l, 'over time') OR contains(l, 'growth')
+              THEN 'trend_analysis'
+         WHEN contains(l, 'summary') OR contains(l, 'overview') OR contains(l, 'report') OR contains(l, 'status')
+              THEN 'summary_report'
+         WHEN contains(l, 'search') OR contains(l, 'find') OR contains(l, 'look for')
+              OR contains(l, 'information about') THEN 'search_query'
+         WHEN contains(l, 'balance') OR contains(l, 'amount') OR contains(l, 'how much') THEN 'balance_query'
+         WHEN contains(l, 'parent') OR contains(l, 'group') OR contains(l, 'category') THEN 'parent_query'
+         WHEN contains(l, 'top') OR contains(l, 'best') OR contains(l, 'highest') OR contains(l, 'most')
+              OR contains(l, 'worst') OR contains(l, 'lowest') THEN 'ranking_query'
+         ELSE 'general_query' END AS nl_route,
+    CASE {STRIP_WS % 'question'}
+         WHEN 'balance_query_prompt' THEN 'balance_prompt' WHEN 'parent_query_prompt' THEN 'parent_prompt'
+         WHEN 'top_parties_report' THEN 'ranking_query' WHEN 'profit_loss_report' THEN 'pnl_report'
+         WHEN 'business_summary' THEN 'summary_report' WHEN 'pending_analysis' THEN 'pending_analysis'
+         WHEN 'trend_analysis' THEN 'trend_analysis' END AS command,
+    NULLIF(regexp_extract(l, '\\b(20\\d{{2}})\\b', 1), '') AS ys,
+    COALESCE(NULLIF(regexp_extract(l, 'statement.*?(?:of|for)\\s*(.+)', 1), ''),
+             NULLIF(regexp_extract(l, 'br.*?(?:of|for)\\s*(.+)', 1), ''),
+             NULLIF(regexp_extract(l, 'bill\\s+receivable.*?(?:of|for)\\s*(.+)', 1), ''),
+             NULLIF(regexp_extract(l, 'balance.*?(?:of|for)\\s*(.+)', 1), ''),
+             NULLIF(regexp_extract(l, 'parent.*?(?:of|for)\\s*(.+)', 1), ''),
+             NULLIF(regexp_extract(l, 'information about\\s*(.+)', 1), ''),
+             NULLIF(regexp_extract(l, 'details of\\s*(.+)', 1), ''),
+             NULLIF(regexp_extract(l, 'who is\\s*(.+)', 1), '')) AS raw_name
+  FROM ql
+),
+qp AS (
+  SELECT q_id, question, nl_route, command, COALESCE(command, nl_route) AS route,
+    NULLIF(regexp_extract(l, '(\\d{{4}})-(\\d{{4}})', 0), '') AS financial_year,
+    CASE WHEN regexp_matches(l, 'statement') THEN 'statement'
+         WHEN regexp_matches(l, 'br|bill\\s+receivable') THEN 'br' END AS query_type,
+    CAST(ys AS INTEGER) AS year,
+    CAST(list_filter(regexp_extract_all(l, '\\b(\\d+)\\b', 1),
+         lambda x: length(ltrim(x, '0')) BETWEEN 1 AND 4 AND TRY_CAST(ltrim(x, '0') AS INTEGER) <= 1000
+                   AND (ys IS NULL OR x <> ys))[1] AS INTEGER) AS count,
+    CASE WHEN raw_name IS NOT NULL THEN {norm("replace(raw_name, '?', '')")} END AS ledger_name,
+    CASE WHEN contains(l, 'opening') THEN 'opening' ELSE 'closing' END AS balance_type,
+    CASE WHEN contains(l, 'lowest') OR contains(l, 'minimum') OR contains(l, 'worst') OR contains(l, 'bottom')
+              OR contains(l, 'least') THEN 'ASC' ELSE 'DESC' END AS "order"
+  FROM qr
+)
+"""
+
+ORACLES.update({
+    "route_questions": q(QUESTIONS + " SELECT q_id, question, nl_route AS route FROM qp"),
+    "extract_question_params": q(QUESTIONS + """
+SELECT q_id, financial_year, query_type, year, count, ledger_name, balance_type, "order" FROM qp"""),
+    "quick_commands": q(QUESTIONS + " SELECT q_id, question, command, route FROM qp"),
+    "conversation_titles": f"""
+WITH f AS (SELECT conv_id, arg_min(text, turn) AS first FROM conversations WHERE role = 'user' GROUP BY conv_id),
+s AS (SELECT conv_id, {STRIP_WS % 'first'} AS t FROM f)
+SELECT conv_id, CASE WHEN length(t) > 35 THEN substr(t, 1, 35) || '...' ELSE t END AS title FROM s""",
+    "followup_rewrite": f"""
+WITH RECURSIVE u AS (
+  SELECT conv_id, turn, text, {STRIP_WS % 'txt'} AS s,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx
+  FROM (SELECT conv_id, turn,
+               CASE WHEN (conv_id * 7 + turn) % 6 <= 1 THEN 'balance_query_prompt'
+                    WHEN (conv_id * 7 + turn) % 6 = 2 THEN 'parent_query_prompt' ELSE text END AS text,
+               CASE WHEN (conv_id * 7 + turn) % 6 <= 1 THEN 'balance_query_prompt'
+                    WHEN (conv_id * 7 + turn) % 6 = 2 THEN 'parent_query_prompt' ELSE text END AS txt
+        FROM conversations WHERE role = 'user')
+),
+sm(conv_id, idx, flag, final_text, rewritten) AS (
+  SELECT conv_id, idx,
+         CASE s WHEN 'balance_query_prompt' THEN 'balance' WHEN 'parent_query_prompt' THEN 'parent' END,
+         s, false
+  FROM u WHERE idx = 1
+  UNION ALL
+  SELECT u.conv_id, u.idx,
+         CASE WHEN sm.flag IS NOT NULL THEN NULL
+              WHEN u.s = 'balance_query_prompt' THEN 'balance' WHEN u.s = 'parent_query_prompt' THEN 'parent' END,
+         CASE WHEN sm.flag IS NOT NULL THEN sm.flag || ' of ' || u.s ELSE u.s END,
+         sm.flag IS NOT NULL
+  FROM sm JOIN u ON u.conv_id = sm.conv_id AND u.idx = sm.idx + 1
+)
+SELECT u.conv_id, u.turn, u.text, sm.final_text, sm.rewritten FROM u JOIN sm USING (conv_id, idx)""",
+    "statement_request": q(QUESTIONS + f"""
+, st AS ({FY_STATEMENT}),
+sq AS (SELECT q_id, ledger_name AS name FROM qp WHERE route = 'statement_query' AND length(ledger_name) > 0),
+fm AS (SELECT s.q_id, min(l.ledger_name) AS ledger_name FROM sq s JOIN ledgers l
+         ON contains(lower(l.ledger_name), lower(s.name)) GROUP BY s.q_id)
+SELECT fm.ledger_name, fm.q_id, st.financial_year, st.seq, st.date, st.voucher_type, st.voucher_no,
+       st.particulars, st.debit, st.credit, st.balance, st.source
+FROM fm JOIN st USING (ledger_name)"""),
+    "search_union": q(REQUESTS + """
+SELECT DISTINCT r.req_id, CASE WHEN contains(lower(l.ledger_name), lower(r.request)) THEN 0 ELSE 1 END AS hit_rank,
+       l.ledger_name, l.parent
+FROM requests r JOIN ledgers l
+  ON contains(lower(l.ledger_name), lower(r.request)) OR contains(lower(l.parent), lower(r.request))
+WHERE length(r.request) > 0"""),
+    "statement_union": q(f"""
+, st AS ({FY_STATEMENT})
+SELECT ledger_name, seq, voucher_type, voucher_no, balance FROM st"""),
+})
