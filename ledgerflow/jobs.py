@@ -696,3 +696,82 @@ def search_union(spark, sf_dir):
 def statement_union(spark, sf_dir):
     st = fy_statement(spark, sf_dir)
     return st.select("ledger_name", "seq", "voucher_type", "voucher_no", "balance")
+
+
+# ---------------------------------------------------------------------------
+# sinks S11-S14 and refresh streams X1-X3
+
+from ledgerflow.session import scratch_path  # noqa: E402
+from ledgerflow.streaming import refresh as RF  # noqa: E402
+
+
+@job("refresh_ledgers")
+def refresh_ledgers(spark, sf_dir):
+    """Two snapshots through the refresh stream; the table is the newest."""
+    return RF.refresh_once(spark, "ledger", store.snapshot_drop_folder(spark, sf_dir, "ledger"))
+
+
+@job("refresh_vouchers")
+def refresh_vouchers(spark, sf_dir):
+    """Same for vouchers (explicit stored schema)."""
+    return RF.refresh_once(spark, "voucher", store.snapshot_drop_folder(spark, sf_dir, "voucher"))
+
+
+@job("refresh_isolation")
+def refresh_isolation(spark, sf_dir):
+    """X3 + S13 (rows-only): a refresh over a drop folder whose newest snapshot
+    has no valid record keeps the previous table; the table read afterwards is
+    the one from the good snapshot."""
+    drop = store.snapshot_drop_folder(spark, sf_dir, "ledger")
+    table = scratch_path(spark, "ledger-table")
+    RF.refresh_once(spark, "ledger", drop, table)
+    empty_drop = scratch_path(spark, "ledger-drop-empty")
+    spark.createDataFrame([("<LEDGER><NAME>broken & </LEDGER>",)], "value string") \
+        .write.text(f"{empty_drop}/snap=0003")
+    RF.refresh_once(spark, "ledger", empty_drop, table)
+    return RF.read_current(spark, table)
+
+
+@job("sink_ledger_snapshot")
+def sink_ledger_snapshot(spark, sf_dir):
+    """Replace the whole ledger table, read it back."""
+    path = scratch_path(spark, "ledger-snapshot")
+    store.write_snapshot(scan_ledger_xml(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@job("sink_voucher_snapshot")
+def sink_voucher_snapshot(spark, sf_dir):
+    """Explicit schema cast, replace the table, read it back."""
+    path = scratch_path(spark, "voucher-snapshot")
+    v = scan_voucher_xml(spark, sf_dir)
+    store.write_snapshot(v.select(F.col("date").cast("date"), *[F.col(c).cast("string") for c in
+                                  ("voucher_type", "voucher_no", "party_name", "particulars")],
+                                  F.col("debit_amount").cast("double"), F.col("credit_amount").cast("double"),
+                                  F.col("entry_no").cast("int")), path)
+    return spark.read.parquet(path)
+
+
+@job("skip_empty_snapshot")
+def skip_empty_snapshot(spark, sf_dir):
+    """S13 (rows-only): writing an empty batch leaves the stored table unchanged."""
+    path = scratch_path(spark, "ledger-snapshot")
+    led = scan_ledger_xml(spark, sf_dir)
+    store.write_snapshot(led, path)
+    empty = led.limit(0)
+    if not empty.isEmpty():
+        store.write_snapshot(empty, path)
+    return spark.read.parquet(path)
+
+
+@job("sink_reports")
+def sink_reports(spark, sf_dir):
+    """One report folder per (company, FY): Statement_<company>_<fy>, spaces -> '_';
+    all parties in one job (partitioned write), read back."""
+    st = fy_statement(spark, sf_dir)
+    key = F.regexp_replace(F.concat(F.lit("Statement_"), F.col("ledger_name"), F.lit("_"),
+                                    F.col("financial_year")), " ", "_")
+    path = scratch_path(spark, "reports")
+    st.withColumn("file_key", key).repartition("file_key").write.mode("overwrite") \
+        .partitionBy("file_key").parquet(path)
+    return spark.read.parquet(path).select("file_key", "ledger_name", "seq", "balance")

@@ -23,6 +23,13 @@ PARTICULARS_WIDTH = 50
 # ---------------------------------------------------------------------------------
 
 ORDER = ["date", "voucher_no", "entry_no"]
+UNIQUE_KEY = "ledgerflow.unique"
+
+
+def mark_unique(ledgers: DataFrame) -> DataFrame:
+    """De-duplicate by name and tag the column so later reports skip the step."""
+    u = unique_ledgers(ledgers)
+    return u.withColumn("ledger_name", F.col("ledger_name").alias("ledger_name", metadata={UNIQUE_KEY: True}))
 
 
 def _dec(c: str | Column) -> Column:
@@ -47,6 +54,8 @@ def unique_ledgers(ledgers: DataFrame) -> DataFrame:
     The reference resolves a name to the first matching row; an aggregate
     (partial + final) keeps that skew-safe instead of a per-name window.
     """
+    if ledgers.schema["ledger_name"].metadata.get(UNIQUE_KEY):
+        return ledgers  # the stored table is written de-duplicated
     cols = [c for c in ledgers.columns if c != "ledger_name"]
     order = F.struct(*[F.col(c) for c in ("ledger_name_raw", "parent", "opening_balance",
                                            "closing_balance") if c in ledgers.columns])

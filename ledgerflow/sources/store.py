@@ -62,8 +62,9 @@ def canonical_paths(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
             return _MEMO[key]
         t = B.Tables(spark, sf_dir)
         er = B.voucher_entries_raw(t)
-        lpath = write_snapshot(B.conform_ledgers(B.ledgers_raw(t, er)).select(*LEDGER_COLUMNS),
-                               scratch_path(spark, "ledgers"))
+        from ledgerflow.operators.statement import mark_unique
+        led = mark_unique(B.conform_ledgers(B.ledgers_raw(t, er))).select(*LEDGER_COLUMNS)
+        lpath = write_snapshot(led, scratch_path(spark, "ledgers"))
         epath = write_entries(B.conform_entries(er).select(*ENTRY_COLUMNS),
                               scratch_path(spark, "voucher_entries"))
         _MEMO[key] = (lpath, epath)
@@ -111,3 +112,24 @@ def xml_drop_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
         recs.select("value").write.mode("overwrite").text(path)
         _XML_MEMO[key] = path
         return path
+
+
+def snapshot_drop_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """A drop folder holding two export snapshots of the driver tables: snap=0001
+    (customers' records only — an older, partial export) and snap=0002 (the full
+    export). A refresh must end with the table equal to snap=0002."""
+    from ledgerflow.sources import bindings as B
+    from ledgerflow.sources import fixtures as FX
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), f"drop-{kind}")
+    with _LOCK:
+        if key in _XML_MEMO:
+            return _XML_MEMO[key]
+        t = B.Tables(spark, sf_dir)
+        recs = FX.ledger_xml_records(t) if kind == "ledger" else FX.voucher_xml_records(t)
+        first_half = (F.col("rec_id") % 2 == 0) if kind == "ledger" else (F.col("voucher_id") % 2 == 0)
+        path = scratch_path(spark, f"{kind}-drop")
+        recs.where(first_half).select("value").write.mode("overwrite").text(f"{path}/snap=0001")
+        recs.select("value").write.mode("overwrite").text(f"{path}/snap=0002")
+        _XML_MEMO[key] = path
+        return path

@@ -872,3 +872,17 @@ WHERE length(r.request) > 0"""),
 , st AS ({FY_STATEMENT})
 SELECT ledger_name, seq, voucher_type, voucher_no, balance FROM st"""),
 })
+
+# --- sinks and refresh streams: the stored table equals the (newest) full export ---
+ORACLES.update({
+    "refresh_ledgers": ORACLES["scan_ledger_xml"],
+    "refresh_isolation": ORACLES["scan_ledger_xml"],
+    "sink_ledger_snapshot": ORACLES["scan_ledger_xml"],
+    "skip_empty_snapshot": ORACLES["scan_ledger_xml"],
+    "refresh_vouchers": ORACLES["scan_voucher_xml"],
+    "sink_voucher_snapshot": ORACLES["scan_voucher_xml"],
+    "sink_reports": q(f"""
+, st AS ({FY_STATEMENT})
+SELECT replace('Statement_' || ledger_name || '_' || financial_year, ' ', '_') AS file_key,
+       ledger_name, seq, balance FROM st"""),
+})
