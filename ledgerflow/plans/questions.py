@@ -42,6 +42,9 @@ LEDGER_PATTERNS = [
     r"details of\s*(.+)",
     r"who is\s*(.+)",
 ]
+# literal each pattern needs (a cheap contains() test before running the regex)
+PATTERN_GUARDS = ["statement", "br", "bill", "balance", "parent", "information about", "details of",
+                  "who is"]
 ASC_WORDS = ["lowest", "minimum", "worst", "bottom", "least"]
 QUICK_COMMANDS = {
     "balance_query_prompt": "balance_prompt",
@@ -84,27 +87,36 @@ def _any_contains(ql: Column, words: list[str]) -> Column:
     return cond
 
 
+def _is_br(ql: Column) -> Column:
+    """'br' or 'bill<ws>receivable' (the regex runs only when 'bill' is present)."""
+    return F.contains(ql, F.lit("br")) | (F.contains(ql, F.lit("bill")) & ql.rlike(r"bill\s+receivable"))
+
+
 def route(q: Column) -> Column:
     """Route of each question (unanchored substring, first hit wins)."""
     ql = _lower(q)
     expr = None
     for name, kind, pat in ROUTES:
-        cond = ql.rlike(pat) if kind == "re" else _any_contains(ql, pat)
+        if kind == "re":
+            cond = F.contains(ql, F.lit(pat)) if pat == "statement" else _is_br(ql)
+        else:
+            cond = _any_contains(ql, pat)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr.otherwise(F.lit(GENERAL_ROUTE))
 
 
-def _first_match(ql: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(ql, pattern, group), F.lit(""))
+def _first_match(ql: Column, pattern: str, group: int, guard: str | None = None) -> Column:
+    m = F.nullif(F.regexp_extract(ql, pattern, group), F.lit(""))
+    return m if guard is None else F.when(F.contains(ql, F.lit(guard)), m)
 
 
 def extract_params(q: Column) -> Column:
     """struct(financial_year, query_type, year, count, ledger_name, balance_type, order)."""
     ql = _lower(q)
-    fy = _first_match(ql, FY_PATTERN, 0)
-    qtype = (F.when(ql.rlike("statement"), F.lit("statement"))
-             .when(ql.rlike(r"br|bill\s+receivable"), F.lit("br")))
-    year_s = _first_match(ql, YEAR_PATTERN, 1)
+    fy = _first_match(ql, FY_PATTERN, 0, "-")
+    qtype = (F.when(F.contains(ql, F.lit("statement")), F.lit("statement"))
+             .when(_is_br(ql), F.lit("br")))
+    year_s = _first_match(ql, YEAR_PATTERN, 1, "20")
     year = year_s.cast("int")
     nums = F.regexp_extract_all(ql, F.lit(NUMBER_PATTERN), 1)
     # whole numbers 1..1000 other than the year's text; compare digits after
@@ -113,8 +125,8 @@ def extract_params(q: Column) -> Column:
                   & (F.regexp_replace(x, "^0+", "") != F.lit(""))
                   & (F.regexp_replace(x, "^0+", "").cast("int") <= 1000)
                   & (year_s.isNull() | (x != year_s)))
-    count = F.try_element_at(ok, F.lit(1)).cast("int")
-    raw_name = F.coalesce(*[_first_match(ql, p, 1) for p in LEDGER_PATTERNS])
+    count = F.when(ql.rlike(r"\d"), F.try_element_at(ok, F.lit(1)).cast("int"))
+    raw_name = F.coalesce(*[_first_match(ql, p, 1, g) for p, g in zip(LEDGER_PATTERNS, PATTERN_GUARDS)])
     name = F.when(raw_name.isNotNull(), normalize(F.replace(raw_name, F.lit("?"), F.lit(""))))
     btype = (F.when(F.contains(ql, F.lit("opening")), F.lit("opening"))
              .otherwise(F.lit("closing")))

@@ -49,15 +49,23 @@ ENTRY_COLUMNS = ["date", "voucher_type", "voucher_no", "party_name", "particular
 def read_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """One row per ``<tag ...>...</tag>`` record (column ``xml``) from text files."""
     raw = spark.read.option("lineSep", f"</{tag}>").text(path)
+    return cut_records(raw, tag)
+
+
+def cut_records(raw: DataFrame, tag: str) -> DataFrame:
+    """Chunks split on the end tag -> whole records. The regex runs once per chunk:
+    it is the input of a generator (``inline``), so the filter on its result is
+    not pushed below it and re-evaluated."""
     rec = F.regexp_extract("value", rf"(?s)(<{tag}[\s>/].*)$", 1)
-    return (raw.select(rec.alias("rec")).where(F.length("rec") > 0)
+    return (raw.select(F.inline(F.array(F.struct(rec.alias("rec"))))).where(F.length("rec") > 0)
             .select(F.concat(F.col("rec"), F.lit(f"</{tag}>")).alias("xml")))
 
 
 def parse_ledgers(records: DataFrame, sanitize: bool = True) -> DataFrame:
     """S3 + parse: struct columns of each <LEDGER> record."""
     x = sanitize_ledger_xml("xml") if sanitize else F.col("xml")
-    return records.select(F.from_xml(x, LEDGER_SCHEMA, XML_OPTIONS).alias("r")).select("r.*")
+    # inline(array(struct)): the parse runs once per record, not once per field
+    return records.select(F.inline(F.array(F.from_xml(x, LEDGER_SCHEMA, XML_OPTIONS))))
 
 
 def conform_ledgers(parsed: DataFrame) -> DataFrame:
@@ -88,7 +96,7 @@ def scan_ledger_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_vouchers(records: DataFrame, sanitize: bool = True) -> DataFrame:
     x = sanitize_voucher_xml("xml") if sanitize else F.col("xml")
-    return records.select(F.from_xml(x, VOUCHER_SCHEMA, XML_OPTIONS).alias("r")).select("r.*")
+    return records.select(F.inline(F.array(F.from_xml(x, VOUCHER_SCHEMA, XML_OPTIONS))))
 
 
 def default_text(c, default: str = ""):
@@ -117,8 +125,9 @@ def flatten_entries(vouchers: DataFrame) -> DataFrame:
 def clean_entries(flat: DataFrame) -> DataFrame:
     """Voucher clean step: P7 (bad dates dropped), P3 amount, P9 split, P10, P11."""
     d = parse_yyyymmdd("date_text")
-    amount = coerce_number("amount_text")
-    return (flat.withColumn("date", d).where(F.col("date").isNotNull())
+    amount = F.col("amount")
+    return (flat.withColumns({"date": d, "amount": coerce_number("amount_text")})
+            .where(F.col("date").isNotNull())
             .select("date", F.col("voucher_type").cast("string").alias("voucher_type"),
                     F.col("voucher_no").cast("string").alias("voucher_no"),
                     F.col("party_name").cast("string").alias("party_name"),

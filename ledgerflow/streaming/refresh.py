@@ -59,10 +59,7 @@ def latest_snapshot(batch: DataFrame, tag: str) -> DataFrame:
     """Records (column ``xml``) of the newest snapshot present in the batch."""
     withsnap = batch.withColumn("snap", F.regexp_extract(F.input_file_name(), SNAP_RE, 1))
     newest = withsnap.agg(F.max("snap").alias("snap"))
-    rows = withsnap.join(newest, "snap")
-    rec = F.regexp_extract("value", rf"(?s)(<{tag}[\s>/].*)$", 1)
-    return (rows.select(rec.alias("rec")).where(F.length("rec") > 0)
-            .select(F.concat(F.col("rec"), F.lit(f"</{tag}>")).alias("xml")))
+    return X.cut_records(withsnap.join(newest, "snap").select("value"), tag)
 
 
 def _write_pointer(spark: SparkSession, table: str, version: str) -> None:
