@@ -886,3 +886,64 @@ ORACLES.update({
 SELECT replace('Statement_' || ledger_name || '_' || financial_year, ' ', '_') AS file_key,
        ledger_name, seq, balance FROM st"""),
 })
+
+# --- N4: one answer row per question ------------------------------------------------
+_GLOBAL = {"financial_analysis": "financial_analysis", "pending_analysis": "pending_report",
+           "trend_analysis": "trend_snapshot", "summary_report": "business_summary", "pnl_report": "pnl_report"}
+_GC = " UNION ALL ".join(f"SELECT '{r}' AS g_route, (SELECT COUNT(*) FROM ({ORACLES[k]})) AS n_rows"
+                         for r, k in _GLOBAL.items())
+_NAME_ROUTES = "('balance_query', 'parent_query', 'comparative_analysis', 'search_query', 'statement_query', 'br_query')"
+_LOOKUP = "('balance_query', 'parent_query', 'comparative_analysis')"
+_GLOBAL_IN = "('" + "', '".join(_GLOBAL) + "')"
+
+ORACLES["answer_questions"] = q(QUESTIONS + BR + f"""
+, st AS ({FY_STATEMENT}),
+qa AS (SELECT q_id, question, route, ledger_name AS name, count, year,
+              ledger_name IS NOT NULL AND length(ledger_name) > 0 AS has_name FROM qp),
+nm AS (SELECT DISTINCT name FROM qa WHERE route IN {_NAME_ROUTES} AND has_name),
+pn AS (SELECT n.name, COUNT(*) AS n_matches, MIN(l.ledger_name) AS first_name
+       FROM nm n JOIN ledgers l ON contains(lower(l.ledger_name), lower(n.name)) GROUP BY n.name),
+sr AS (SELECT n.name, COUNT(*) AS n_search FROM nm n JOIN ledgers l
+         ON contains(lower(l.ledger_name), lower(n.name)) OR contains(lower(l.parent), lower(n.name))
+       GROUP BY n.name),
+stc AS (SELECT ledger_name, COUNT(*) AS st_rows FROM st GROUP BY ledger_name),
+brc AS (SELECT ledger_name, COUNT(*) AS br_rows FROM br GROUP BY ledger_name),
+gc AS ({_GC}),
+ya AS (SELECT year(altered_on) AS y, COUNT(*) AS n_all, COUNT(*) FILTER (WHERE {biz()}) AS n_biz
+       FROM ledgers WHERE altered_on IS NOT NULL GROUP BY 1),
+tot AS (SELECT COUNT(*) FILTER (WHERE {biz()}) AS n_biz FROM ledgers),
+ny AS (SELECT COUNT(*) AS n_years FROM ya),
+j AS (
+  SELECT qa.*, COALESCE(pn.n_matches, 0) AS n, pn.first_name, COALESCE(sr.n_search, 0) AS n_search,
+         stc.st_rows, COALESCE(brc.br_rows, 0) AS br_rows, gc.n_rows AS g_rows,
+         COALESCE(ya.n_all, 0) AS y_all,
+         CASE WHEN qa.year IS NULL THEN (SELECT n_biz FROM tot) ELSE COALESCE(ya.n_biz, 0) END AS rk_biz
+  FROM qa LEFT JOIN pn ON qa.name = pn.name LEFT JOIN sr ON qa.name = sr.name
+  LEFT JOIN stc ON pn.first_name = stc.ledger_name LEFT JOIN brc ON pn.first_name = brc.ledger_name
+  LEFT JOIN gc ON qa.route = gc.g_route LEFT JOIN ya ON qa.year = ya.y
+)
+SELECT q_id, question, route,
+  CASE WHEN route IN ('balance_prompt', 'parent_prompt') THEN 'prompt'
+       WHEN route = 'general_query' THEN 'help'
+       WHEN route IN {_GLOBAL_IN} THEN 'answered'
+       WHEN route = 'ranking_query' THEN CASE WHEN year IS NOT NULL AND y_all = 0 THEN 'no_data' ELSE 'answered' END
+       WHEN NOT has_name THEN 'clarification'
+       WHEN route = 'search_query' THEN CASE WHEN n_search = 0 THEN 'not_found' ELSE 'answered' END
+       WHEN n = 0 THEN 'not_found'
+       WHEN route IN {_LOOKUP} THEN CASE WHEN n = 1 THEN 'answered' ELSE 'clarification' END
+       WHEN route = 'br_query' THEN CASE WHEN br_rows = 0 THEN 'no_data' ELSE 'answered' END
+       ELSE 'answered' END AS status,
+  CASE WHEN route IN {_NAME_ROUTES} AND has_name AND n > 0
+            AND (route IN ('statement_query', 'br_query') OR n = 1) THEN first_name END AS ledger,
+  CAST(CASE WHEN route IN ('balance_prompt', 'parent_prompt', 'general_query') THEN 0
+       WHEN route IN {_GLOBAL_IN} THEN g_rows
+       WHEN route = 'ranking_query' THEN
+            CASE WHEN year IS NOT NULL AND y_all = 0 THEN (SELECT n_years FROM ny)
+                 ELSE least(COALESCE(count, 10), rk_biz) END
+       WHEN NOT has_name THEN 0
+       WHEN route = 'search_query' THEN least(n_search, 15)
+       WHEN route IN {_LOOKUP} THEN least(n, 10)
+       WHEN n = 0 THEN 0
+       WHEN route = 'statement_query' THEN COALESCE(st_rows, 2)
+       ELSE br_rows END AS BIGINT) AS n_rows
+FROM j""")
