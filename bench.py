@@ -5,6 +5,9 @@ Each job's result is fully computed with the ``noop`` sink (no collect to the
 driver). The canonical stored tables and the XML drop folders are prepared
 first (their time is reported as ``prepare_*``, not in the total), like the
 reference whose reports read tables the fetchers stored beforehand.
+
+Every job runs twice: ``queries`` holds the second (warm JVM) run, ``cold`` the
+first; the headline value is the sum of the warm runs.
 """
 
 from __future__ import annotations
@@ -49,14 +52,15 @@ def main() -> None:
     store.xml_drop_folder(spark, sf_dir, "ledger")
     prep["prepare_xml"] = round(time.time() - t, 3)
 
-    times = {}
+    cold, times = {}, {}
     for k in HEADLINE:
-        t = time.time()
-        JOBS[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[k] = round(time.time() - t, 3)
+        for store_to in (cold, times):
+            t = time.time()
+            JOBS[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            store_to[k] = round(time.time() - t, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "prepare": prep, "sf": sf, "cpus": int(cpus)}))
+    print(json.dumps({"metric": "headline_total_warm", "value": round(sum(times.values()), 3), "unit": "sec",
+                      "queries": times, "cold": cold, "prepare": prep, "sf": sf, "cpus": int(cpus)}))
     spark.stop()
 
 

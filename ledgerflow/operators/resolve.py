@@ -100,7 +100,7 @@ def did_you_mean(requests: DataFrame, ledgers: DataFrame, k: int = STATEMENT_LIS
 def _lookup(requests: DataFrame, ledgers: DataFrame, k: int) -> DataFrame:
     m = contains_matches(requests, ledgers)
     cnt = match_counts(m)
-    top = first_k(m.join(cnt, "req_id"), k)
+    top = first_k(m, k).join(cnt, "req_id")
     nf = requests.join(cnt, "req_id", "left_anti")
     return top, nf
 
@@ -174,7 +174,7 @@ def ledger_search(requests: DataFrame, ledgers: DataFrame, k: int = SEARCH_LIST)
     both = (by_name.unionByName(by_parent)
             .groupBy("req_id", "request", *cols).agg(F.min("hit_rank").alias("hit_rank")))
     cnt = match_counts(both)
-    top = first_k(both.join(cnt, "req_id"), k, ["hit_rank", "ledger_name", "parent"])
+    top = first_k(both, k, ["hit_rank", "ledger_name", "parent"]).join(cnt, "req_id")
     found = top.select("req_id", "request", "n_matches", F.lit("found").alias("status"), "rank",
                        "hit_rank", *cols)
     nf = requests.join(cnt, "req_id", "left_anti")

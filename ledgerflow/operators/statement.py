@@ -65,14 +65,17 @@ def unique_ledgers(ledgers: DataFrame) -> DataFrame:
 
 
 def party_fy_transactions(ledgers: DataFrame, entries: DataFrame, fy: str,
-                          partial_fallback: bool = True) -> DataFrame:
+                          partial_fallback: bool = True, carry: list[str] | None = None) -> DataFrame:
     """J6 + J7: statement owner ``ledger_name`` x its FY entries, with ``source``.
 
     J6: entry.party_key == ledger.name_key (2-pass normalised, case-sensitive).
     J7: only for ledgers without a J6 row: party_key contains name_key, any case.
+    ``carry``: extra ledger columns to keep on every row (saves a later join of
+    the big side back to the ledgers).
     """
     e = fy_entries(entries, fy)
-    led = ledgers.select("ledger_name", "name_key")
+    keep = ["ledger_name", "name_key"] + list(carry or [])
+    led = ledgers.select(*keep)
     exact = (led.join(e, e.party_key == led.name_key)
              .drop("name_key").withColumn("source", F.lit("exact")))
     if not partial_fallback:
@@ -81,7 +84,7 @@ def party_fy_transactions(ledgers: DataFrame, entries: DataFrame, fy: str,
     unmatched = led.join(parties, led.name_key == parties.party_key, "left_anti")
     pairs = contains_pairs(unmatched, "name_key", parties, "party_key")
     partial = (unmatched.join(pairs, unmatched.name_key == pairs.pattern)
-               .select("ledger_name", F.col("text").alias("party_key")))
+               .select(*[c for c in keep if c != "name_key"], F.col("text").alias("party_key")))
     partial = (partial.join(e, "party_key")
                .withColumn("source", F.lit("partial")))
     return exact.unionByName(partial)
@@ -95,10 +98,10 @@ def fy_statement(ledgers: DataFrame, entries: DataFrame, fy: str,
     led = unique_ledgers(ledgers).select(
         "ledger_name", "name_key",
         round2("opening_balance").alias("opening"), round2("closing_balance").alias("closing"))
-    tx = party_fy_transactions(led, entries, fy, partial_fallback)
+    tx = party_fy_transactions(led, entries, fy, partial_fallback, carry=["opening"])
     delta = _dec("debit_amount") - _dec("credit_amount")
     rs = running_sums(tx, ["ledger_name"], ORDER, {"run": delta, "seq": F.lit(1)})
-    body = (rs.join(led.select("ledger_name", "opening"), "ledger_name")
+    body = (rs
             .select("ledger_name",
                     F.col("seq").cast("int").alias("seq"),
                     "date", "voucher_type", "voucher_no",

@@ -44,10 +44,12 @@ def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = No
 
 
 def write_entries(entries: DataFrame, path: str) -> str:
-    """Entries partitioned by FY label (hash-partitioned by it first, so each FY
-    folder gets few large files instead of one small file per task)."""
+    """Entries partitioned by FY label. A REBALANCE on (fy, party_key) before the
+    write groups rows of one FY into few large files, and AQE splits a partition
+    that a hot party makes too large (a plain repartition would put the whole
+    party into one task)."""
     e = entries.withColumn("fy", financial_year("date"))
-    e = e.repartition("fy", "party_key")
+    e = e.hint("rebalance", "fy", "party_key")
     return write_snapshot(e, path, partition_by=["fy"], sort_by=["party_key", "date"])
 
 
