@@ -68,15 +68,19 @@ def answer_questions(questions: DataFrame, ledgers: DataFrame, entries: DataFram
     names = (r.where(F.col("route").isin(NAME_ROUTES) & has_name)
              .select(F.col("name").alias("request")).distinct()
              .withColumn("req_id", F.col("request")))
-    m = RS.contains_matches(names, led)
+    # (name, ledger) pairs by name and by parent, computed once (they feed the
+    # counts, the first match and the search counts)
+    hits = cut_lineage(
+        RS.contains_matches(names, led).select("req_id", "ledger_name", F.lit(0).alias("by_parent"))
+        .unionByName(RS.contains_matches(names, led, "parent")
+                     .select("req_id", "ledger_name", F.lit(1).alias("by_parent"))))
+    m = hits.where(F.col("by_parent") == 0)
     per_name = m.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_matches"),
                                        F.min("ledger_name").alias("first_name"))
-    search = RS.contains_matches(names, led, "parent").select("req_id", "ledger_name") \
-        .unionByName(m.select("req_id", "ledger_name")).distinct() \
-        .groupBy("req_id").agg(F.count(F.lit(1)).alias("n_search"))
+    search = (hits.select("req_id", "ledger_name").distinct()
+              .groupBy("req_id").agg(F.count(F.lit(1)).alias("n_search")))
 
     # statements / receivables only for the resolved ledgers of those routes
-    per_name = cut_lineage(per_name)
     resolved = (r.where(F.col("route").isin("statement_query", "br_query") & has_name)
                 .join(per_name, F.col("name") == F.col("req_id"))
                 .select(F.col("first_name").alias("ledger_name")).distinct())
