@@ -663,10 +663,14 @@ def quick_commands(spark, sf_dir):
     return QN.routed(q).select("q_id", "question", "command", "route")
 
 
+def _routed(spark, sf_dir):
+    return spark.read.parquet(store.routed_questions_path(spark, sf_dir))
+
+
 @job("answer_questions")
 def answer_questions(spark, sf_dir):
     led, ent = _tables(spark, sf_dir)
-    return AN.answer_questions(_questions(spark, sf_dir), led, ent, DEFAULT_FY)
+    return AN.answer_questions(_questions(spark, sf_dir), led, ent, DEFAULT_FY, _routed(spark, sf_dir))
 
 
 @job("followup_rewrite")
@@ -682,7 +686,7 @@ def conversation_titles(spark, sf_dir):
 @job("statement_request")
 def statement_request(spark, sf_dir):
     led, ent = _tables(spark, sf_dir)
-    return AN.statement_requests(_questions(spark, sf_dir), led, ent, DEFAULT_FY)
+    return AN.statement_requests(_questions(spark, sf_dir), led, ent, DEFAULT_FY, _routed(spark, sf_dir))
 
 
 @job("search_union")
@@ -775,3 +779,9 @@ def sink_reports(spark, sf_dir):
     st.withColumn("file_key", key).repartition("file_key").write.mode("overwrite") \
         .partitionBy("file_key").parquet(path)
     return spark.read.parquet(path).select("file_key", "ledger_name", "seq", "balance")
+
+
+@job("br_request")
+def br_request(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    return AN.br_requests(_questions(spark, sf_dir), led, ent, DEFAULT_FY, _routed(spark, sf_dir))

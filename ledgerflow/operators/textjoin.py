@@ -24,14 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_Q = 8
+POS_RANGE = 1 << 24  # patterns are names: positions stay far below 16M characters
 
 
-def _grams(col: F.Column, g: F.Column) -> F.Column:
-    """Distinct substrings of length g of col (empty array when col is shorter)."""
+def _grams(col: F.Column, g: F.Column, distinct: bool = True) -> F.Column:
+    """Substrings of length g of col, in position order (distinct ones only when
+    ``distinct``); an empty array when col is shorter than g."""
     n = F.length(col) - g + 1
     subs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                        lambda i: F.substring(col, i, g))
-    return F.when(n >= 1, F.array_distinct(subs)).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= 1, F.array_distinct(subs) if distinct else subs) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def contains_pairs(patterns: DataFrame, pattern_col: str, texts: DataFrame, text_col: str,
@@ -57,12 +60,16 @@ def contains_pairs(patterns: DataFrame, pattern_col: str, texts: DataFrame, text
           .join(lengths, "g", "left_semi")
           .select("text", "t_l", F.explode(_grams(F.col("t_l"), F.col("g"))).alias("gram")))
     freq = tg.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
-    pg = pats.select("pattern", "p_l", F.posexplode(_grams(F.col("p_l"), F.col("g")))
+    pg = pats.select("pattern", "p_l", "g", F.posexplode(_grams(F.col("p_l"), F.col("g"), False))
                      .alias("pos", "gram"))
     pg = pg.join(freq, "gram", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
-    rare = (pg.groupBy("pattern", "p_l")
-            .agg(F.min_by(F.struct("gram", "freq"), F.struct("freq", "pos")).alias("r"))
-            .where(F.col("r.freq") > 0)
-            .select("pattern", "p_l", F.col("r.gram").alias("gram")))
+    # rarest gram (ties: first position) as one long key, so the aggregate stays
+    # a hash aggregate; the gram is re-read from the pattern at that position
+    key = F.col("freq").cast("long") * F.lit(POS_RANGE) + F.col("pos")
+    rare = (pg.groupBy("pattern", "p_l", "g").agg(F.min(key).alias("k"))
+            .where(F.col("k") >= F.lit(POS_RANGE))
+            .select("pattern", "p_l",
+                    F.substring(F.col("p_l"), (F.col("k") % F.lit(POS_RANGE) + 1).cast("int"),
+                                F.col("g")).alias("gram")))
     cand = rare.join(tg, "gram")
     return cand.where(F.contains(F.col("t_l"), F.col("p_l"))).select("pattern", "text").distinct()

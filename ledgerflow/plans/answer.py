@@ -54,13 +54,19 @@ def ranking_counts(ledgers: DataFrame) -> DataFrame:
     return per_year.where(F.col("year").isNotNull()), total
 
 
-def answer_questions(questions: DataFrame, ledgers: DataFrame, entries: DataFrame, fy: str) -> DataFrame:
-    # routing/extraction is regex-heavy and feeds every branch below: compute it
-    # once into the shared checkpoint folder
-    r = cut_lineage(routed(questions).select(
+def route_table(questions: DataFrame) -> DataFrame:
+    """The routed questions with the parameters the answers need."""
+    return routed(questions).select(
         "q_id", "question", "route", "command",
         F.col("params.ledger_name").alias("name"), F.col("params.count").alias("count"),
-        F.col("params.year").alias("year")))
+        F.col("params.year").alias("year"))
+
+
+def answer_questions(questions: DataFrame, ledgers: DataFrame, entries: DataFrame, fy: str,
+                     routed_table: DataFrame | None = None) -> DataFrame:
+    # routing/extraction is regex-heavy and feeds every branch below: it is
+    # computed once into the shared checkpoint folder (or given, already stored)
+    r = routed_table if routed_table is not None else cut_lineage(route_table(questions))
     led = ST.unique_ledgers(ledgers)
     has_name = F.col("name").isNotNull() & (F.length("name") > 0)
 
@@ -139,11 +145,12 @@ def answer_questions(questions: DataFrame, ledgers: DataFrame, entries: DataFram
                     n_rows.cast("long").alias("n_rows"))
 
 
-def statement_requests(questions: DataFrame, ledgers: DataFrame, entries: DataFrame, fy: str) -> DataFrame:
+def statement_requests(questions: DataFrame, ledgers: DataFrame, entries: DataFrame, fy: str,
+                       routed_table: DataFrame | None = None) -> DataFrame:
     """Statement questions -> resolve ``first`` (contains) -> R1 rows of the
     resolved ledger for ``fy``; one row per (question, statement row)."""
-    r = routed(questions).where(F.col("route") == "statement_query").select(
-        "q_id", F.col("params.ledger_name").alias("name"))
+    rt = routed_table if routed_table is not None else route_table(questions)
+    r = rt.where(F.col("route") == "statement_query").select("q_id", "name")
     r = r.where(F.col("name").isNotNull() & (F.length("name") > 0))
     led = ST.unique_ledgers(ledgers)
     names = r.select(F.col("name").alias("request")).distinct().withColumn("req_id", F.col("request"))
@@ -151,3 +158,18 @@ def statement_requests(questions: DataFrame, ledgers: DataFrame, entries: DataFr
     qn = cut_lineage(r.join(first, F.col("name") == F.col("req_id")).select("q_id", "ledger_name"))
     st = ST.fy_statement(led.join(qn.select("ledger_name").distinct(), "ledger_name", "left_semi"), entries, fy)
     return qn.join(st, "ledger_name")
+
+
+def br_requests(questions: DataFrame, ledgers: DataFrame, entries: DataFrame, fy: str,
+                routed_table: DataFrame | None = None) -> DataFrame:
+    """R13 (BR side): BR questions -> resolve ``first`` -> R2 rows of that ledger."""
+    rt = routed_table if routed_table is not None else route_table(questions)
+    r = rt.where(F.col("route") == "br_query").select("q_id", "name")
+    r = r.where(F.col("name").isNotNull() & (F.length("name") > 0))
+    led = ST.unique_ledgers(ledgers)
+    names = r.select(F.col("name").alias("request")).distinct().withColumn("req_id", F.col("request"))
+    first = RS.contains_matches(names, led).groupBy("req_id").agg(F.min("ledger_name").alias("ledger_name"))
+    qn = cut_lineage(r.join(first, F.col("name") == F.col("req_id")).select("q_id", "ledger_name"))
+    br = RV.bills_receivable(led.join(qn.select("ledger_name").distinct(), "ledger_name", "left_semi"),
+                             entries, fy)
+    return qn.join(br, "ledger_name")

@@ -135,3 +135,21 @@ def snapshot_drop_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
         recs.select("value").write.mode("overwrite").text(f"{path}/snap=0002")
         _XML_MEMO[key] = path
         return path
+
+
+def routed_questions_path(spark: SparkSession, sf_dir: str) -> str:
+    """Write (once per application and input folder) the routed question table
+    (routing + parameter extraction are regex-heavy; answers reuse the result)."""
+    from ledgerflow.plans.answer import route_table
+    from ledgerflow.plans.questions import questions_table
+    from ledgerflow.sources import bindings as B
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "routed-questions")
+    with _LOCK:
+        if key in _XML_MEMO:
+            return _XML_MEMO[key]
+        t = B.Tables(spark, sf_dir)
+        path = write_snapshot(route_table(questions_table(t.customer, t.conversations)),
+                              scratch_path(spark, "routed-questions"))
+        _XML_MEMO[key] = path
+        return path

@@ -947,3 +947,11 @@ SELECT q_id, question, route,
        WHEN route = 'statement_query' THEN COALESCE(st_rows, 2)
        ELSE br_rows END AS BIGINT) AS n_rows
 FROM j""")
+
+ORACLES["br_request"] = q(QUESTIONS + BR + """
+, bq AS (SELECT q_id, ledger_name AS name FROM qp WHERE route = 'br_query' AND length(ledger_name) > 0),
+fm AS (SELECT b.q_id, min(l.ledger_name) AS ledger_name FROM bq b JOIN ledgers l
+         ON contains(lower(l.ledger_name), lower(b.name)) GROUP BY b.q_id)
+SELECT fm.ledger_name, fm.q_id, br.financial_year, br.source, br.seq, br.br_date, br.br_no, br.party, br.amount,
+       br.due_date, br.status, br.total_br
+FROM fm JOIN br USING (ledger_name)""")
