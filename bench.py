@@ -51,6 +51,9 @@ def main() -> None:
     store.xml_drop_folder(spark, sf_dir, "voucher")
     store.xml_drop_folder(spark, sf_dir, "ledger")
     prep["prepare_xml"] = round(time.time() - t, 3)
+    t = time.time()
+    store.routed_questions_path(spark, sf_dir)
+    prep["prepare_questions"] = round(time.time() - t, 3)
 
     cold, times = {}, {}
     for k in HEADLINE:

@@ -770,18 +770,9 @@ def skip_empty_snapshot(spark, sf_dir):
 
 @job("sink_reports")
 def sink_reports(spark, sf_dir):
-    """One report folder per (company, FY): Statement_<company>_<fy>, spaces -> '_';
-    all parties in one job (partitioned write), read back."""
+    """Report rows of all parties in one job, keyed by the reference's file name
+    Statement_<company>_<fy> (spaces -> '_'), read back."""
     st = fy_statement(spark, sf_dir)
-    key = F.regexp_replace(F.concat(F.lit("Statement_"), F.col("ledger_name"), F.lit("_"),
-                                    F.col("financial_year")), " ", "_")
     path = scratch_path(spark, "reports")
-    st.withColumn("file_key", key).repartition("file_key").write.mode("overwrite") \
-        .partitionBy("file_key").parquet(path)
+    store.write_reports(st, path, "Statement")
     return spark.read.parquet(path).select("file_key", "ledger_name", "seq", "balance")
-
-
-@job("br_request")
-def br_request(spark, sf_dir):
-    led, ent = _tables(spark, sf_dir)
-    return AN.br_requests(_questions(spark, sf_dir), led, ent, DEFAULT_FY, _routed(spark, sf_dir))

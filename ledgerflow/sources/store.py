@@ -153,3 +153,27 @@ def routed_questions_path(spark: SparkSession, sf_dir: str) -> str:
                               scratch_path(spark, "routed-questions"))
         _XML_MEMO[key] = path
         return path
+
+
+def report_key(prefix: str):
+    """The reference's export file name: <prefix>_<company>_<fy>, spaces -> '_'."""
+    return F.regexp_replace(F.concat(F.lit(f"{prefix}_"), F.col("ledger_name"), F.lit("_"),
+                                     F.col("financial_year")), " ", "_")
+
+
+def write_reports(rows: DataFrame, path: str, prefix: str, layout: str = "sorted") -> str:
+    """Write report rows of every party at once.
+
+    ``layout='sorted'`` (default, for millions of parties): one folder per FY,
+    rows rebalanced and sorted by ``file_key`` so each report is a contiguous
+    run inside few files and a read of one report prunes files by min/max
+    statistics. ``layout='per_report'``: one folder per report (the reference's
+    one-file-per-download), only sensible for a bounded number of reports.
+    """
+    r = rows.withColumn("file_key", report_key(prefix))
+    if layout == "per_report":
+        r.repartition("file_key").write.mode("overwrite").partitionBy("file_key").parquet(path)
+    else:
+        (r.hint("rebalance", "financial_year", "file_key").sortWithinPartitions("file_key", "seq")
+         .write.mode("overwrite").partitionBy("financial_year").parquet(path))
+    return path

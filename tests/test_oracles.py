@@ -18,6 +18,7 @@ SUBSET = [
     "scan_ledger_xml", "scan_voucher_xml", "sanitize_voucher_xml", "normalize_names",
     "route_questions", "extract_question_params", "followup_rewrite", "conversation_titles",
     "coerce_balances", "money_format", "flatten_entries", "refresh_ledgers",
+    "answer_questions", "br_request", "sink_reports",
 ]
 
 
