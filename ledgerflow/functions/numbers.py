@@ -57,3 +57,15 @@ def split_credit(amount: Column | str) -> Column:
 def round2(c: Column | str) -> Column:
     """Round to 2 dp the way pandas/numpy do (half-even)."""
     return F.bround(_c(c), 2)
+
+
+def cents(c: Column | str) -> Column:
+    """Money with 2 decimals as exact integer cents (LONG). Sums of LONG stay in
+    hash aggregation and codegen (a DECIMAL(38) buffer forces sort-based
+    aggregation), and overflow raises under ANSI mode instead of wrapping."""
+    return F.round(finite_or_zero(_c(c).cast("double")) * F.lit(100)).cast("long")
+
+
+def from_cents(c: Column | str) -> Column:
+    """Integer cents back to a DOUBLE amount (the nearest double, as a DECIMAL cast)."""
+    return _c(c).cast("double") / F.lit(100.0)

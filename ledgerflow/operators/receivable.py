@@ -112,8 +112,10 @@ def bills_receivable(ledgers: DataFrame, entries: DataFrame, fy: str) -> DataFra
         inv.select("ledger_name").distinct(), "ledger_name", "left_anti")
     fb = debtor_fallback(led, without, fy)
     rows = inv.unionByName(fb)
-    totals = rows.groupBy("ledger_name").agg(F.sum("due_exact").alias("total_br"))
-    return rows.join(totals, "ledger_name").select(
+    # a ledger has at most 10 invoice rows or 5 fallback rows, so this window
+    # partition is bounded (and spares a second pass over the whole pipeline)
+    total = F.sum("due_exact").over(Window.partitionBy("ledger_name"))
+    return rows.withColumn("total_br", total).select(
         "ledger_name", F.lit(fy).alias("financial_year"), "source", "seq", "br_date", "br_no",
         "party", "amount", "due_date", "status",
         F.col("total_br").cast("double").alias("total_br"))

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import fy_bounds, round2
-from ledgerflow.functions.numbers import MONEY
+from ledgerflow.functions.numbers import MONEY, cents, from_cents
 from ledgerflow.operators.textjoin import contains_pairs
 from ledgerflow.operators.windows import running_sums
+from ledgerflow.session import cut_lineage
 
 # --- fixed values: statement row labels ---------------------------------------
 OPENING_LABEL, OPENING_NO = "Opening Balance", "OP-001"
@@ -98,9 +99,12 @@ def fy_statement(ledgers: DataFrame, entries: DataFrame, fy: str,
     led = unique_ledgers(ledgers).select(
         "ledger_name", "name_key",
         round2("opening_balance").alias("opening"), round2("closing_balance").alias("closing"))
-    tx = party_fy_transactions(led, entries, fy, partial_fallback, carry=["opening"])
-    delta = _dec("debit_amount") - _dec("credit_amount")
-    rs = running_sums(tx, ["ledger_name"], ORDER, {"run": delta, "seq": F.lit(1)})
+    # the matched rows feed the running sums (three reads) and the row counts:
+    # materialise them once in the shared checkpoint folder instead of running
+    # the exact/partial matching four times
+    tx = cut_lineage(party_fy_transactions(led, entries, fy, partial_fallback, carry=["opening"]))
+    delta = cents("debit_amount") - cents("credit_amount")
+    rs = running_sums(tx, ["ledger_name"], ORDER, {"run": delta, "seq": F.lit(1).cast("long")})
     body = (rs
             .select("ledger_name",
                     F.col("seq").cast("int").alias("seq"),
@@ -108,10 +112,14 @@ def fy_statement(ledgers: DataFrame, entries: DataFrame, fy: str,
                     F.substring("particulars", 1, PARTICULARS_WIDTH).alias("particulars"),
                     round2("debit_amount").alias("debit"),
                     round2("credit_amount").alias("credit"),
-                    (_dec("opening") + F.col("run")).cast("double").alias("balance"),
+                    from_cents(cents("opening") + F.col("run")).alias("balance"),
                     "source"))
-    counts = tx.groupBy("ledger_name").agg(F.count(F.lit(1)).alias("n"),
-                                          F.max("source").alias("source"))
+    # source is constant per ledger; an integer code keeps the aggregate hash-based
+    counts = (tx.groupBy("ledger_name")
+              .agg(F.count(F.lit(1)).alias("n"),
+                   F.max(F.when(F.col("source") == "exact", F.lit(2)).otherwise(F.lit(1))).alias("src"))
+              .select("ledger_name", "n", F.when(F.col("src") == 2, F.lit("exact"))
+                      .otherwise(F.lit("partial")).alias("source")))
     heads = led.join(counts, "ledger_name", "left").select(
         "ledger_name", "opening", "closing",
         F.coalesce("n", F.lit(0)).alias("n"),
@@ -144,15 +152,16 @@ def reconcile(ledgers: DataFrame, entries: DataFrame, fy: str | None = None) ->
     """
     e = entries if fy is None else fy_entries(entries, fy)
     flow = e.groupBy("party_key").agg(
-        F.sum(_dec("debit_amount") - _dec("credit_amount")).alias("flow"),
+        F.sum(cents("debit_amount") - cents("credit_amount")).alias("flow"),
         F.count(F.lit(1)).alias("n_entries"))
     led = unique_ledgers(ledgers)
     j = led.join(flow, led.name_key == flow.party_key)
-    computed = (_dec(round2("opening_balance")) + F.col("flow"))
+    computed = cents(round2("opening_balance")) + F.col("flow")
+    stored = cents(round2("closing_balance"))
     return j.select(
         "ledger_name",
         "n_entries",
-        computed.cast("double").alias("computed_closing"),
+        from_cents(computed).alias("computed_closing"),
         round2("closing_balance").alias("stored_closing"),
-        (computed - _dec(round2("closing_balance"))).cast("double").alias("drift"),
-        (computed == _dec(round2("closing_balance"))).alias("ok"))
+        from_cents(computed - stored).alias("drift"),
+        (computed == stored).alias("ok"))
