@@ -776,3 +776,9 @@ def sink_reports(spark, sf_dir):
     path = scratch_path(spark, "reports")
     store.write_reports(st, path, "Statement")
     return spark.read.parquet(path).select("file_key", "ledger_name", "seq", "balance")
+
+
+@job("br_request")
+def br_request(spark, sf_dir):
+    led, ent = _tables(spark, sf_dir)
+    return AN.br_requests(_questions(spark, sf_dir), led, ent, DEFAULT_FY, _routed(spark, sf_dir))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import (
-    coerce_number, normalize, normalize_twice, split_credit, split_debit,
+    coerce_number, finite_or_zero, normalize, normalize_twice, split_credit, split_debit,
 )
 from ledgerflow.functions.numbers import MONEY
 
@@ -145,14 +145,20 @@ def ledgers_raw(t: Tables, entries_raw: DataFrame | None = None) -> DataFrame:
 def conform_ledgers(raw: DataFrame) -> DataFrame:
     """Viewer load rules for the ledger table (P1, P2, P8):
 
-    ledger_name/parent normalised once (raw kept), balances coerced (bad -> 0),
+    ledger_name/parent normalised once (raw kept), balances coerced (bad -> 0;
+    text goes through the numeric parser, numbers only through the NaN/inf rule),
     altered_on as DATE, plus ``name_key`` = the 2-pass normalised name (join key).
     """
+    def bal(c: str):
+        numeric = dict(raw.dtypes)[c] in ("double", "float", "int", "bigint") or \
+            dict(raw.dtypes)[c].startswith("decimal")
+        return finite_or_zero(F.col(c).cast("double")) if numeric else coerce_number(c)
+
     return raw.select(
         normalize("ledger_name").alias("ledger_name"),
         normalize("parent").alias("parent"),
-        coerce_number("opening_balance").alias("opening_balance"),
-        coerce_number("closing_balance").alias("closing_balance"),
+        bal("opening_balance").alias("opening_balance"),
+        bal("closing_balance").alias("closing_balance"),
         F.col("altered_on").cast("date").alias("altered_on"),
         normalize_twice("ledger_name").alias("name_key"),
         F.col("ledger_name").alias("ledger_name_raw"),

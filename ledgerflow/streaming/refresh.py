@@ -27,6 +27,7 @@ import json
 import traceback
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +39,16 @@ SNAP_RE = r"snap=([^/]+)/"
 REFRESH_INTERVAL = "60 seconds"
 
 
-def _parse(kind: str, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good typed rows, quarantined raw records) for one snapshot's records."""
+def _parse(kind: str, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(good typed rows, quarantined raw records, the persisted parse) for one
+    snapshot's records."""
+    # parsed once per batch and reused for the good rows and the quarantine
+    # (memory, spilling to disk for a large snapshot); released by the caller
     if kind == "ledger":
-        p = X.parse_ledgers(records)
+        p = X.parse_ledgers(records).persist(StorageLevel.MEMORY_AND_DISK)
         good = X.type_ledgers(X.conform_ledgers(p.where(F.col(X.CORRUPT).isNull())))
     else:
-        p = X.parse_vouchers(records)
+        p = X.parse_vouchers(records).persist(StorageLevel.MEMORY_AND_DISK)
         good = X.clean_entries(X.flatten_entries(p.where(F.col(X.CORRUPT).isNull())))
         # Explicit schema of the stored voucher-entry table
         good = good.select(F.col("date").cast("date"), *[F.col(c).cast("string") for c in
@@ -52,7 +56,7 @@ def _parse(kind: str, records: DataFrame) -> tuple[DataFrame, DataFrame]:
                            F.col("debit_amount").cast("double"), F.col("credit_amount").cast("double"),
                            F.col("entry_no").cast("int"))
     bad = p.where(F.col(X.CORRUPT).isNotNull()).select(F.col(X.CORRUPT).alias("record"))
-    return good, bad
+    return good, bad, p
 
 
 def latest_snapshot(batch: DataFrame, tag: str) -> DataFrame:
@@ -84,9 +88,10 @@ def snapshot_writer(spark: SparkSession, kind: str, table: str, quarantine_dir:
     tag = "LEDGER" if kind == "ledger" else "VOUCHER"
 
     def apply(batch: DataFrame, epoch_id: int) -> None:
+        parsed = None
         try:
             recs = latest_snapshot(batch, tag)
-            good, bad = _parse(kind, recs)
+            good, bad, parsed = _parse(kind, recs)
             bad.write.mode("append").parquet(quarantine_dir)
             if good.isEmpty():  # S13: an empty fetch never replaces the table
                 return
@@ -98,6 +103,9 @@ def snapshot_writer(spark: SparkSession, kind: str, table: str, quarantine_dir:
                                     traceback.format_exc()[-4000:])],
                                   "epoch long, error string, message string, trace string") \
                 .write.mode("append").parquet(errors_dir)
+        finally:
+            if parsed is not None:
+                parsed.unpersist()
 
     return apply
 
