@@ -99,7 +99,7 @@ def sign_split(spark, sf_dir):
 
 @job("receivable_only")
 def receivable_only(spark, sf_dir):
-    """debtor ledgers with closing < 0, and BR rows with due > 0."""
+    """debtor ledgers with closing < 0 (the due > 0 half is in invoice_vs_payments)."""
     led, ent = _tables(spark, sf_dir)
     return led.where(FL.is_debtor_group() & FL.negative_closing()).select(*LCOLS)
 
@@ -254,7 +254,7 @@ def party_partial_fallback(spark, sf_dir):
 @job("running_balance")
 def running_balance(spark, sf_dir):
     st = fy_statement(spark, sf_dir)
-    return st.where(F.col("voucher_no").isin("OP-001", "CL-001") == F.lit(False)).select(
+    return st.where(~F.col("voucher_no").isin(ST.OPENING_NO, ST.CLOSING_NO)).select(
         "ledger_name", "seq", "date", "voucher_no", "debit", "credit", "balance")
 
 
@@ -692,8 +692,7 @@ def statement_request(spark, sf_dir):
 @job("search_union")
 def search_union(spark, sf_dir):
     led, _ = _tables(spark, sf_dir)
-    return (RS.ledger_search(_requests(spark, sf_dir), led, k=1 << 30)
-            .where(F.col("status") == "found").select("req_id", "hit_rank", "ledger_name", "parent"))
+    return RS.search_hits(_requests(spark, sf_dir), led).select("req_id", "hit_rank", "ledger_name", "parent")
 
 
 @job("statement_union")

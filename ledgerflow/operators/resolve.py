@@ -164,15 +164,22 @@ def compare_lookup(requests: DataFrame, ledgers: DataFrame, k: int = LOOKUP_LIST
     return found.unionByName(missing)
 
 
-def ledger_search(requests: DataFrame, ledgers: DataFrame, k: int = SEARCH_LIST) -> DataFrame:
-    """Ledgers whose name or parent contains the request; whole-row
-    duplicates removed (a row hit by both counts once, as a name hit); name
-    hits first, then parent hits; first k per request plus the total count."""
+def search_hits(requests: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """Every ledger whose name or parent contains the request, whole-row
+    duplicates removed; a row hit by both counts once, as a name hit
+    (hit_rank 0 = name, 1 = parent)."""
     cols = _ledger_cols(ledgers)
     by_name = contains_matches(requests, ledgers, "ledger_name").withColumn("hit_rank", F.lit(0))
     by_parent = contains_matches(requests, ledgers, "parent").withColumn("hit_rank", F.lit(1))
-    both = (by_name.unionByName(by_parent)
+    return (by_name.unionByName(by_parent)
             .groupBy("req_id", "request", *cols).agg(F.min("hit_rank").alias("hit_rank")))
+
+
+def ledger_search(requests: DataFrame, ledgers: DataFrame, k: int = SEARCH_LIST) -> DataFrame:
+    """U1 hits, name hits first then parent hits, first k per request plus
+    the total count; requests without a hit get a not_found row."""
+    cols = _ledger_cols(ledgers)
+    both = search_hits(requests, ledgers)
     cnt = match_counts(both)
     top = first_k(both, k, ["hit_rank", "ledger_name", "parent"]).join(cnt, "req_id")
     found = top.select("req_id", "request", "n_matches", F.lit("found").alias("status"), "rank",
