@@ -40,16 +40,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_LOCAL_BASE: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the platform (a shared file system). Only when
-    it is unset (local tests) a fresh scratch folder is created and set.
+    it is unset (local tests) a scratch folder is created for this application;
+    ``spark.checkpoint.dir`` is a static setting, so it is not written back —
+    the folder is registered with the SparkContext instead.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="ledgerflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_BASE:
+            _LOCAL_BASE[app] = tempfile.mkdtemp(prefix="ledgerflow-ckpt-")
+        d = _LOCAL_BASE[app]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
