@@ -39,7 +39,7 @@ def coerce_number(c: Column | str) -> Column:
 
 def money(c: Column | str) -> Column:
     """Double money value as exact DECIMAL(18,2)."""
-    return finite_or_zero(_c(c).cast("double")).cast(MONEY)
+    return finite_or_zero(_c(c).cast("double")).try_cast(MONEY)
 
 
 def split_debit(amount: Column | str) -> Column:
@@ -63,7 +63,7 @@ def cents(c: Column | str) -> Column:
     """Money with 2 decimals as exact integer cents (LONG). Sums of LONG stay in
     hash aggregation and codegen (a DECIMAL(38) buffer forces sort-based
     aggregation), and overflow raises under ANSI mode instead of wrapping."""
-    return F.round(finite_or_zero(_c(c).cast("double")) * F.lit(100)).cast("long")
+    return F.round(finite_or_zero(_c(c).cast("double")) * F.lit(100)).try_cast("long")
 
 
 def from_cents(c: Column | str) -> Column:

@@ -22,7 +22,7 @@ PAGE_SIZE = 15
 
 
 def _dsum(c: str) -> Column:
-    return F.sum(F.col(c).cast(MONEY))
+    return F.sum(F.col(c).try_cast(MONEY))
 
 
 def money_sum(c: str) -> Column:
@@ -87,8 +87,8 @@ def group_totals(ledgers: DataFrame, k: int = 5, mode: str = "normalized") -> Da
 def net_position(ledgers: DataFrame, mode: str = "normalized") -> DataFrame:
     """A4: one pass with conditional sums over F2 ledgers."""
     b = ledgers.where(FL.business_wide(mode))
-    pos = F.sum(F.when(F.col("closing_balance") > 0, F.col("closing_balance").cast(MONEY)))
-    neg = F.sum(F.when(F.col("closing_balance") < 0, F.col("closing_balance").cast(MONEY)))
+    pos = F.sum(F.when(F.col("closing_balance") > 0, F.col("closing_balance").try_cast(MONEY)))
+    neg = F.sum(F.when(F.col("closing_balance") < 0, F.col("closing_balance").try_cast(MONEY)))
     z = F.lit(0).cast(MONEY)
     return b.agg(F.coalesce(pos, z).alias("p"), F.coalesce(neg, z).alias("n")).select(
         F.col("p").cast("double").alias("assets"),
@@ -103,7 +103,7 @@ def pnl_card(ledgers: DataFrame, pattern: str = FL.PNL_PATTERN, mode: str = "nor
         F.col("ledger_name").alias("account"),
         F.col("closing_balance").alias("pnl_closing"),
         F.col("opening_balance").alias("pnl_opening"),
-        (F.col("closing_balance").cast(MONEY) - F.col("opening_balance").cast(MONEY))
+        (F.col("closing_balance").try_cast(MONEY) - F.col("opening_balance").try_cast(MONEY))
         .cast("double").alias("net_profit"))
 
 

@@ -35,7 +35,7 @@ def mark_unique(ledgers: DataFrame) -> DataFrame:
 
 def _dec(c: str | Column) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    return col.cast(MONEY)
+    return col.try_cast(MONEY)
 
 
 def fy_entries(entries: DataFrame, fy: str) -> DataFrame:

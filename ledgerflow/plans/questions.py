@@ -123,7 +123,7 @@ def extract_params(q: Column) -> Column:
     # dropping leading zeros so huge numbers never overflow an int
     ok = F.filter(nums, lambda x: (F.length(F.regexp_replace(x, "^0+", "")) <= 4)
                   & (F.regexp_replace(x, "^0+", "") != F.lit(""))
-                  & (F.regexp_replace(x, "^0+", "").cast("int") <= 1000)
+                  & (F.regexp_replace(x, "^0+", "").try_cast("int") <= 1000)
                   & (year_s.isNull() | (x != year_s)))
     count = F.when(ql.rlike(r"\d"), F.try_element_at(ok, F.lit(1)).cast("int"))
     raw_name = F.coalesce(*[_first_match(ql, p, 1, g) for p, g in zip(LEDGER_PATTERNS, PATTERN_GUARDS)])
