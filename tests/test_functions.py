@@ -79,3 +79,20 @@ def test_voucher_without_entries_and_defaults(spark):
     r = rows[0]
     assert (r.party_name, r.voucher_type, r.voucher_no, r.debit_amount, r.credit_amount) == \
         ("Unknown", "", "", 0.0, 3.5)
+
+
+def test_extreme_inputs_do_not_raise_under_ansi(spark):
+    from ledgerflow.functions.numbers import cents
+    from ledgerflow.plans import questions as QN
+
+    assert spark.conf.get("spark.sql.ansi.enabled") in ("true", "True")
+    assert _one(spark, ["1e400", "-1e400", "1e300", "123456789012345678901234567890"],
+                FN.coerce_number) == [0.0, 0.0, 1e300, 1.2345678901234568e29]
+    assert _one(spark, [1e300, 12.34, float("inf")], cents, "double") == [None, 1234, 0]
+    qs = ["top 000000000000000000000000000000005 parties", "top 123456789012345678901234567890 parties",
+          "statement of ((a. for 2023-2024", "br"]
+    df = spark.createDataFrame([(str(i), q) for i, q in enumerate(qs)], "q_id string, question string")
+    rows = QN.routed(df).orderBy("q_id").collect()
+    assert [r.params["count"] for r in rows] == [5, None, None, None]
+    assert rows[2].params["ledger_name"] == "((a. for 2023-2024"
+    assert rows[3].route == "br_query" and rows[3].params["ledger_name"] is None
