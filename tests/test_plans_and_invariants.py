@@ -89,3 +89,15 @@ def test_entry_smoke(spark):
     assert df.count() > 0
     assert df.columns == ["ledger_name", "financial_year", "seq", "date", "voucher_type", "voucher_no",
                           "particulars", "debit", "credit", "balance", "source"]
+
+
+def test_first_k_per_group_is_limited_before_the_shuffle(spark):
+    for k in ("match_head", "first_invoices", "did_you_mean", "bills_receivable"):
+        p = _plan(JOBS[k](spark, SMOKE))
+        assert "WindowGroupLimit" in p and "Partial" in p, k
+
+
+def test_statement_plan_is_hash_aggregated_and_small(spark):
+    p = _plan(JOBS["fy_statement"](spark, SMOKE))
+    assert "SortAggregate" not in p
+    assert p.count("Exchange") - p.count("ReusedExchange") <= 20
