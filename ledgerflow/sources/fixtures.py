@@ -9,8 +9,9 @@ ledger records (customers + suppliers), rec_id = 2*custkey / 2*suppkey+1
   opening text by rec_id % 8: plain, padded, ' Dr' suffix, '1,' prefix, 'nan',
   empty, 'e0' exponent, missing;  closing 'inf' when rec_id % 6 == 5;
   altered_on by rec_id % 5: yyyyMMdd, yyyyMMdd.0, 'nan', 7 digits, month 13;
-  XML: name as attribute only when rec_id % 4 == 0, a control char in the name
-  when % 10 == 0, '&#4;' in the name when % 7 == 0.
+  XML: name as attribute only when rec_id % 4 == 0, the whole record as one
+  self-closing attribute-only element when rec_id % 4 == 3, a control char in
+  the name when % 10 == 0, '&#4;' in the name when % 7 == 0.
 voucher records (orders, entries = lineitems), key = orderkey
   date 'x'-prefixed when % 11 == 0; empty type when % 9 == 0; party empty when
   % 13 == 0, ' & Co' appended when % 5 == 0; entry amount 'n/a' when
@@ -110,7 +111,17 @@ def ledger_xml_records(t: Tables) -> DataFrame:
         _el("OPENINGBALANCE", F.col("OPENINGBALANCE")), F.lit("\n "),
         _el("CLOSINGBALANCE", F.col("CLOSINGBALANCE")), F.lit("\n "),
         _el("ALTEREDON", F.col("ALTEREDON")))
-    return lt.select("rec_id", F.concat(head, F.lit("\n "), body, F.lit("\n</LEDGER>\n")).alias("value"))
+
+    def attr(tag: str, c: Column) -> Column:
+        v = F.regexp_replace(c, '"', "&quot;")
+        return F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit(f' {tag}="'), v, F.lit('"')))
+
+    selfclosing = F.concat(F.lit("<LEDGER"), attr("NAME", name), attr("PARENT", _esc(F.col("PARENT"))),
+                           attr("OPENINGBALANCE", F.col("OPENINGBALANCE")),
+                           attr("CLOSINGBALANCE", F.col("CLOSINGBALANCE")),
+                           attr("ALTEREDON", F.col("ALTEREDON")), F.lit("/>\n"))
+    full = F.concat(head, F.lit("\n "), body, F.lit("\n</LEDGER>\n"))
+    return lt.select("rec_id", F.when(rid % 4 == 3, selfclosing).otherwise(full).alias("value"))
 
 
 def voucher_xml_records(t: Tables) -> DataFrame:

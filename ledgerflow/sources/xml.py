@@ -24,11 +24,11 @@ from ledgerflow.functions import (
 S = T.StringType()
 CORRUPT = "_corrupt_record"
 
-LEDGER_SCHEMA = T.StructType([
-    T.StructField("NAME", S), T.StructField("_NAME", S), T.StructField("PARENT", S),
-    T.StructField("OPENINGBALANCE", S), T.StructField("CLOSINGBALANCE", S),
-    T.StructField("ALTEREDON", S), T.StructField(CORRUPT, S),
-])
+LEDGER_FIELDS = ["NAME", "PARENT", "OPENINGBALANCE", "CLOSINGBALANCE", "ALTEREDON"]
+# each field as a child element or as an attribute (``_`` prefix), like read_xml
+LEDGER_SCHEMA = T.StructType(
+    [T.StructField(f, S) for f in LEDGER_FIELDS] + [T.StructField(f"_{f}", S) for f in LEDGER_FIELDS]
+    + [T.StructField(CORRUPT, S)])
 ENTRY = T.StructType([T.StructField("LEDGERNAME", S), T.StructField("AMOUNT", S)])
 VOUCHER_SCHEMA = T.StructType([
     T.StructField("DATE", S), T.StructField("VOUCHERTYPENAME", S),
@@ -53,12 +53,20 @@ def read_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
 
 
 def cut_records(raw: DataFrame, tag: str) -> DataFrame:
-    """Chunks split on the end tag -> whole records. The regex runs once per chunk:
-    it is the input of a generator (``inline``), so the filter on its result is
-    not pushed below it and re-evaluated."""
-    rec = F.regexp_extract("value", rf"(?s)(<{tag}[\s>/].*)$", 1)
-    return (raw.select(F.inline(F.array(F.struct(rec.alias("rec"))))).where(F.length("rec") > 0)
-            .select(F.concat(F.col("rec"), F.lit(f"</{tag}>")).alias("xml")))
+    """Chunks split on the end tag -> whole records.
+
+    A chunk holds the text after the previous end tag: maybe some self-closing
+    attribute-only records (``<LEDGER NAME="x"/>``, which have no end tag of
+    their own) and then the start of one full record. Both are taken: the
+    self-closing ones with ``regexp_extract_all``, the full one from its
+    (non-self-closing) start tag to the end, with the end tag re-appended. The
+    regexes run once per chunk (they feed a generator, so later filters are not
+    pushed below them and re-evaluated)."""
+    selfclosing = F.regexp_extract_all("value", F.lit(rf"<{tag}(?:\s[^>]*)?/>"), 0)
+    full = F.regexp_extract("value", rf"(?s)(<{tag}(?:\s[^>]*)?(?<!/)>.*)$", 1)
+    full_rec = F.when(F.length(full) > 0, F.array(F.concat(full, F.lit(f"</{tag}>")))) \
+        .otherwise(F.array().cast("array<string>"))
+    return raw.select(F.explode(F.concat(selfclosing, full_rec)).alias("xml"))
 
 
 def parse_ledgers(records: DataFrame, sanitize: bool = True) -> DataFrame:
@@ -69,14 +77,17 @@ def parse_ledgers(records: DataFrame, sanitize: bool = True) -> DataFrame:
 
 
 def conform_ledgers(parsed: DataFrame) -> DataFrame:
-    """Canonical 5 text columns; the name comes from the child element or the
-    NAME attribute (``read_xml`` reads both)."""
+    """Canonical 5 text columns; each comes from the child element or the
+    attribute of the same name (``read_xml`` reads both)."""
+    def field(f: str):
+        return F.coalesce(F.col(f), F.col(f"_{f}"))
+
     return parsed.select(
-        F.coalesce(F.col("NAME"), F.col("_NAME")).alias("ledger_name"),
-        F.col("PARENT").alias("parent"),
-        F.col("OPENINGBALANCE").alias("opening_balance"),
-        F.col("CLOSINGBALANCE").alias("closing_balance"),
-        F.col("ALTEREDON").alias("altered_on"))
+        field("NAME").alias("ledger_name"),
+        field("PARENT").alias("parent"),
+        field("OPENINGBALANCE").alias("opening_balance"),
+        field("CLOSINGBALANCE").alias("closing_balance"),
+        field("ALTEREDON").alias("altered_on"))
 
 
 def type_ledgers(conformed: DataFrame) -> DataFrame:

@@ -96,3 +96,12 @@ def test_extreme_inputs_do_not_raise_under_ansi(spark):
     assert [r.params["count"] for r in rows] == [5, None, None, None]
     assert rows[2].params["ledger_name"] == "((a. for 2023-2024"
     assert rows[3].route == "br_query" and rows[3].params["ledger_name"] is None
+
+
+def test_records_split_on_end_tag_with_self_closing_neighbours(spark):
+    text = ('<ENVELOPE><LEDGER NAME="A" PARENT="P"/>\n<LEDGER><NAME>B</NAME></LEDGER>'
+            '<LEDGER NAME="C"/><LEDGER NAME="D" RESERVEDNAME=""><PARENT>Q</PARENT></LEDGER></ENVELOPE>')
+    raw = spark.createDataFrame([(c,) for c in text.split("</LEDGER>")], "value string")
+    led = X.conform_ledgers(X.parse_ledgers(X.cut_records(raw, "LEDGER")))
+    got = sorted((r.ledger_name, r.parent) for r in led.collect())
+    assert got == [("A", "P"), ("B", None), ("C", None), ("D", "Q")]
