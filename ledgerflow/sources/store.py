@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import financial_year
-from ledgerflow.session import scratch_path
+from ledgerflow.session import cut_lineage, scratch_path
 
 _LOCK = threading.Lock()
 _MEMO: dict[tuple[str, str], tuple[str, str]] = {}
@@ -63,7 +63,8 @@ def canonical_paths(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
         if key in _MEMO:
             return _MEMO[key]
         t = B.Tables(spark, sf_dir)
-        er = B.voucher_entries_raw(t)
+        # the bound entries (a four-way join) feed both tables: materialise once
+        er = cut_lineage(B.voucher_entries_raw(t))
         from ledgerflow.operators.statement import mark_unique
         led = mark_unique(B.conform_ledgers(B.ledgers_raw(t, er))).select(*LEDGER_COLUMNS)
         lpath = write_snapshot(led, scratch_path(spark, "ledgers"))
