@@ -22,9 +22,15 @@ STATEMENT_LIST = 5
 SEARCH_LIST = 15
 
 
+GROUP_BROADCAST_LIMIT = 1024
+
+
 def contains_matches(requests: DataFrame, ledgers: DataFrame, text_col: str = "ledger_name") -> DataFrame:
-    """Every (request row, ledger row) with lower(text_col) containing lower(request)."""
-    pairs = contains_pairs(requests, "request", ledgers, text_col)
+    """Every (request row, ledger row) with lower(text_col) containing lower(request).
+    Group names (``parent``) are few: they are counted and, under the limit,
+    broadcast instead of indexed."""
+    small = GROUP_BROADCAST_LIMIT if text_col == "parent" else None
+    pairs = contains_pairs(requests, "request", ledgers, text_col, broadcast_texts_up_to=small)
     r = requests.join(pairs, requests.request == pairs.pattern).drop("pattern")
     return r.join(ledgers, r.text == ledgers[text_col]).drop("text")
 

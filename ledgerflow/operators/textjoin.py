@@ -38,10 +38,16 @@ def _grams(col: F.Column, g: F.Column, distinct: bool = True) -> F.Column:
 
 
 def contains_pairs(patterns: DataFrame, pattern_col: str, texts: DataFrame, text_col: str,
-                   q: int = DEFAULT_Q, case_insensitive: bool = True) -> DataFrame:
+                   q: int = DEFAULT_Q, case_insensitive: bool = True,
+                   broadcast_texts_up_to: int | None = None) -> DataFrame:
     """Distinct (pattern, text) pairs where text contains pattern.
 
     Returns columns ``pattern`` and ``text`` holding the original values.
+
+    ``broadcast_texts_up_to``: for texts of low cardinality (e.g. group names),
+    count the distinct texts first; when there are at most that many, broadcast
+    them and test every pattern against each (a nested loop over a proven-small
+    side, no shuffle of the patterns); otherwise use the q-gram join.
     """
     low = F.lower if case_insensitive else (lambda c: c)
     pats = (patterns.select(F.col(pattern_col).alias("pattern"))
@@ -53,6 +59,11 @@ def contains_pairs(patterns: DataFrame, pattern_col: str, texts: DataFrame, text
             .where(F.col("text").isNotNull())
             .distinct()
             .withColumn("t_l", low(F.col("text"))))
+    if broadcast_texts_up_to is not None:
+        n = txts.limit(broadcast_texts_up_to + 1).count()
+        if n <= broadcast_texts_up_to:
+            j = pats.join(F.broadcast(txts), F.contains(F.col("t_l"), F.col("p_l")))
+            return j.select("pattern", "text")
     # the gram lengths in use (at most q values); texts only emit grams of those
     # lengths: (text, g) for g in 1..q, kept by an equi semi-join on g
     lengths = pats.select("g").distinct()
