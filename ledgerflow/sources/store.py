@@ -118,9 +118,10 @@ def xml_drop_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
 
 
 def snapshot_drop_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    """A drop folder holding two export snapshots of the driver tables: snap=0001
-    (customers' records only — an older, partial export) and snap=0002 (the full
-    export). A refresh must end with the table equal to snap=0002."""
+    """A drop folder holding two export snapshots of the driver tables, both with
+    every record: snap=0001 is an older state (every ledger's group, or every
+    voucher number, carries an 'old' marker) and snap=0002 the current export.
+    A refresh must end with the table equal to snap=0002."""
     from ledgerflow.sources import bindings as B
     from ledgerflow.sources import fixtures as FX
 
@@ -130,9 +131,13 @@ def snapshot_drop_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
             return _XML_MEMO[key]
         t = B.Tables(spark, sf_dir)
         recs = FX.ledger_xml_records(t) if kind == "ledger" else FX.voucher_xml_records(t)
-        first_half = (F.col("rec_id") % 2 == 0) if kind == "ledger" else (F.col("voucher_id") % 2 == 0)
+        if kind == "ledger":
+            older = F.regexp_replace(F.regexp_replace("value", "<PARENT>", "<PARENT>Old "),
+                                     'PARENT="', 'PARENT="Old ')
+        else:
+            older = F.regexp_replace("value", "<VOUCHERNUMBER>", "<VOUCHERNUMBER>old-")
         path = scratch_path(spark, f"{kind}-drop")
-        recs.where(first_half).select("value").write.mode("overwrite").text(f"{path}/snap=0001")
+        recs.select(older.alias("value")).write.mode("overwrite").text(f"{path}/snap=0001")
         recs.select("value").write.mode("overwrite").text(f"{path}/snap=0002")
         _XML_MEMO[key] = path
         return path
