@@ -83,4 +83,5 @@ def contains_pairs(patterns: DataFrame, pattern_col: str, texts: DataFrame, text
                     F.substring(F.col("p_l"), (F.col("k") % F.lit(POS_RANGE) + 1).cast("int"),
                                 F.col("g")).alias("gram")))
     cand = rare.join(tg, "gram")
-    return cand.where(F.contains(F.col("t_l"), F.col("p_l"))).select("pattern", "text").distinct()
+    # one rare gram per pattern and one row per (text, gram): pairs are already unique
+    return cand.where(F.contains(F.col("t_l"), F.col("p_l"))).select("pattern", "text")
