@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import fy_bounds, round2
-from ledgerflow.functions.numbers import MONEY, cents, from_cents
+from ledgerflow.functions.numbers import cents, from_cents
 from ledgerflow.operators.textjoin import contains_pairs
 from ledgerflow.operators.windows import running_sums
 from ledgerflow.session import cut_lineage
@@ -33,11 +33,6 @@ def mark_unique(ledgers: DataFrame) -> DataFrame:
     return u.withColumn("ledger_name", F.col("ledger_name").alias("ledger_name", metadata={UNIQUE_KEY: True}))
 
 
-def _dec(c: str | Column) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return col.try_cast(MONEY)
-
-
 def fy_entries(entries: DataFrame, fy: str) -> DataFrame:
     """entries with FY start <= date <= FY end (pushed down to the scan; on a
     stored table partitioned by ``fy`` whole folders are pruned first)."""

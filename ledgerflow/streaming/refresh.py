@@ -23,7 +23,6 @@ name and rename it into the drop folder when complete.
 
 from __future__ import annotations
 
-import json
 import traceback
 import uuid
 

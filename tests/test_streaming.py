@@ -50,3 +50,18 @@ def test_voucher_refresh_has_stored_schema(spark):
     want = X.scan_voucher_xml(spark, f"{drop}/snap=0002")
     assert got.count() == want.count()
     assert got.agg(F.sum("debit_amount")).first()[0] == want.agg(F.sum("debit_amount")).first()[0]
+
+
+def test_report_sink_layouts_read_back_the_same_rows(spark):
+    rows = spark.createDataFrame(
+        [("A Co", "2023-2024", 0, 1.0), ("A Co", "2023-2024", 1, 2.0), ("B", "2023-2024", 0, 3.0)],
+        "ledger_name string, financial_year string, seq int, balance double")
+    got = {}
+    for layout in ("sorted", "per_report"):
+        path = scratch_path(spark, f"t-reports-{layout}")
+        store.write_reports(rows, path, "Statement", layout=layout)
+        got[layout] = sorted((r.file_key, r.seq, r.balance) for r in
+                             spark.read.parquet(path).select("file_key", "seq", "balance").collect())
+    assert got["sorted"] == got["per_report"] == [
+        ("Statement_A_Co_2023-2024", 0, 1.0), ("Statement_A_Co_2023-2024", 1, 2.0),
+        ("Statement_B_2023-2024", 0, 3.0)]
