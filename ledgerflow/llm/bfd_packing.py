@@ -37,12 +37,15 @@ MIN_PIECE = 32      # gaps and cut pieces from here on
 class Piece:
     doc_id: int | None
     start: int
-    ids: list[int]
+    ids: bytes  # four for each
     doc_tokens: int
 
+    def __len__(self) -> int:
+        return len(self.ids) // 4
+
     def cut(self, n: int) -> tuple[Piece, Piece]:
-        return (Piece(self.doc_id, self.start, self.ids[:n], self.doc_tokens),
-                Piece(self.doc_id, self.start + n, self.ids[n:], self.doc_tokens))
+        return (Piece(self.doc_id, self.start, self.ids[:4 * n], self.doc_tokens),
+                Piece(self.doc_id, self.start + n, self.ids[4 * n:], self.doc_tokens))
 
 
 @dataclass
@@ -53,7 +56,7 @@ class Window:
 
     def put(self, piece: Piece) -> None:
         self.pieces.append(piece)
-        self.used += len(piece.ids)
+        self.used += len(piece)
 
     @property
     def room(self) -> int:
@@ -96,8 +99,8 @@ class CapacityTree:
 
 def best_fit_decreasing(pieces: list[Piece], size: int = WINDOW) -> list[Window]:
     tree, out = CapacityTree(size), []
-    for piece in sorted(pieces, key=lambda p: -len(p.ids)):
-        window = tree.tightest(len(piece.ids))
+    for piece in sorted(pieces, key=lambda p: -len(p)):
+        window = tree.tightest(len(piece))
         if window is None:
             window = Window(size)
             out.append(window)
@@ -122,7 +125,7 @@ def fill_gaps(windows: list[Window], least: int = MIN_PIECE) -> list[Window]:
             loose = order.pop().pieces
             continue
         piece = loose.pop()
-        if len(piece.ids) > w.room:
+        if len(piece) > w.room:
             piece, rest = piece.cut(w.room)
             loose.append(rest)
         w.put(piece)
@@ -136,13 +139,13 @@ def fill_gaps(windows: list[Window], least: int = MIN_PIECE) -> list[Window]:
 
 def powers_of_two(pieces: list[Piece], size: int) -> Iterator[Window]:
     """Windows whose fill is a power of two each, greatest first."""
-    total, todo = sum(len(p.ids) for p in pieces), list(reversed(pieces))
+    total, todo = sum(len(p) for p in pieces), list(reversed(pieces))
     while total:
         want = min(size, 1 << (total.bit_length() - 1))
         w = Window(want)
         while w.room:
             piece = todo.pop()
-            if len(piece.ids) > w.room:
+            if len(piece) > w.room:
                 piece, rest = piece.cut(w.room)
                 todo.append(rest)
             w.put(piece)
@@ -160,18 +163,18 @@ def pack(pieces: Iterator[Piece], size: int = WINDOW, pool: int = POOL) -> Itera
         windows = fill_gaps(best_fit_decreasing(held, size)) if held else []
         windows.sort(key=lambda w: w.room)
         held = windows.pop().pieces if windows and windows[-1].room >= MIN_PIECE else []
-        tokens = sum(len(p.ids) for p in held)
+        tokens = sum(len(p) for p in held)
         yield from windows
 
     for piece in pieces:
-        while len(piece.ids) >= size:
+        while len(piece) >= size:
             head, piece = piece.cut(size)
             full = Window(size)
             full.put(head)
             yield full
-        if piece.ids:
+        if len(piece):
             held.append(piece)
-            tokens += len(piece.ids)
+            tokens += len(piece)
             if tokens >= pool:
                 yield from closed()
     yield from closed()
@@ -186,21 +189,20 @@ def packed_sequences(docs: DataFrame, size: int = WINDOW, tokenizer: str = "word
     d = doc_columns(docs, id_col, text_col)
 
     def run(batches):
-        tok = load(tokenizer, tokenizer_path)
+        tok, end = load(tokenizer, tokenizer_path), little_endian([end_id])
 
         def whole():
             for pdf in batches:
                 for i, text in zip(pdf["doc_id"], pdf["text"]):
-                    ids = tok.ids(text)
-                    ids.append(end_id)
-                    yield Piece(None if pd.isna(i) else int(i), 0, ids, len(ids))
+                    ids = tok.packed(text) + end
+                    yield Piece(None if pd.isna(i) else int(i), 0, ids, len(ids) // 4)
 
         base, out, n = TaskContext.get().partitionId() << 36, [], 0
         for number, window in enumerate(pack(whole(), size)):
             offset = 0
             for p in window.pieces:
-                out.append((p.doc_id, p.start, little_endian(p.ids), len(p.ids), p.doc_tokens, base + number, offset))
-                offset += len(p.ids)
+                out.append((p.doc_id, p.start, p.ids, len(p), p.doc_tokens, base + number, offset))
+                offset += len(p)
             n += offset
             if n > POOL:
                 yield frame(out)

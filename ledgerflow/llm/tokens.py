@@ -12,15 +12,35 @@ from __future__ import annotations
 import base64
 import os
 import re
-
-import numpy as np
+import struct
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 300_000
+REMEMBERED = 300_000  # words of each of two generations
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([.,;:!?*%&$#|()\-]*)")
 
 
+class Remembered(dict):
+    """key -> made value, for the keys used lately: two generations of bounded size."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
+def little_endian(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable
     Latin-1 characters for themselves, the others from U+0100 on in order."""
@@ -41,41 +61,35 @@ class WordBpe:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts = Remembered(self._part)
+        self.words = Remembered(self._word)
+        self.words[""] = b""
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            spelled = "".join(self.letters[b] for b in part.encode())
-            got = self.parts[part] = tuple(t.id for t in self.tokenizer.model.tokenize(spelled))
-        return got
+    def _part(self, part: str) -> bytes:
+        spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
+        return little_endian([t.id for t in self.tokenizer.model.tokenize(spelled)])
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word)
-        if plain:
-            ids = (self._part(plain[1].lower()) if plain[1] else ()) + (self._part(plain[2]) if plain[2] else ())
-        else:
-            ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
+        if not plain:
+            return little_endian(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        letters, marks = plain.groups()
+        if not marks:
+            return self.parts[letters.lower()] if letters else b""
+        return self.parts[letters.lower()] + self.parts[marks] if letters else self.parts[marks]
+
+    def packed(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        if not text:
+            return b""
+        spaced = text.replace("\n", " ").replace("\r", " ").replace("\t", " ")
+        return b"".join(map(self.words.__getitem__, spaced.split(" ")))
 
     def ids(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known, add = self.words.get, out.extend
-        for line in re.split(r"[\n\r\t]", text or ""):
-            for word in line.split(" "):
-                if word:
-                    got = known(word)
-                    add(self._word(word) if got is None else got)
-        return out
+        return list(struct.unpack(f"<{len(data := self.packed(text)) // 4}I", data))
 
     def count(self, text: str | None) -> int:
-        return len(self.ids(text))
+        return len(self.packed(text)) // 4
 
 
 class ByteBpe:
@@ -103,7 +117,3 @@ def load(kind: str, path: str | None = None):
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = KINDS[kind](path)
     return _LOADED[kind, path]
-
-
-def little_endian(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
