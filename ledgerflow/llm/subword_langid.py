@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import doc_columns
 from ledgerflow.llm.pairwise_quality import remainder
 
-SAMPLE = 2_000       # training documents of each language, at most
+SAMPLE = 1_000       # training documents of each language, at most
 BUCKETS = 1 << 15
 DIM = 12
 SIZES = (2, 3, 4)    # bytes in a subword
@@ -150,12 +150,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     def run(batches):
         for pdf in batches:
             keep = [(x, *bag(t)) for x, t in zip(pdf["lang"], pdf["text"]) if _LETTER.search(t)]
-            yield pd.DataFrame(keep, columns=["lang", "at", "share"]).assign(
-                at=lambda f: [a.astype(np.int32) for a in f["at"]], share=lambda f: [s.astype(np.float32) for s in f["share"]])
+            yield pd.DataFrame([(x, at.astype(np.int32).tobytes(), share.astype(np.float32).tobytes())
+                                for x, at, share in keep], columns=["lang", "at", "share"])
 
     rows = d.join(ids.distinct(), "doc_id").select("lang", "text").mapInPandas(
-        run, "lang string, at array<int>, share array<float>").toPandas()
-    return fit_bags(list(zip(rows["at"], rows["share"])), rows["lang"].tolist())
+        run, "lang string, at binary, share binary").collect()
+    return fit_bags([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows],
+                    [r["lang"] for r in rows])
 
 
 def predict_columns(model: LanguageModel):
