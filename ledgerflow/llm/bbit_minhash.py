@@ -32,7 +32,7 @@ from ledgerflow.llm.components import connected_components
 ROWS = 6        # minima in a band
 BITS = 4        # low bits kept of a minimum
 MISS = 1e-7     # chance that a pair exactly at the threshold meets in no band
-BLOCK = 1 << 21  # shingles of the texts that one task compares at once
+BLOCK = 1 << 20  # shingles of the texts that one task compares at once
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:

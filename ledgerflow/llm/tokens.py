@@ -16,21 +16,21 @@ import struct
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 300_000  # words of each of two generations
+WORDS, PARTS = 200_000, 200_000  # remembered of each of two generations
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([.,;:!?*%&$#|()\-]*)")
 
 
 class Remembered(dict):
     """key -> made value, for the keys used lately: two generations of bounded size."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, size: int):
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = got
@@ -61,8 +61,8 @@ class WordBpe:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
-        self.parts = Remembered(self._part)
-        self.words = Remembered(self._word)
+        self.parts = Remembered(self._part, PARTS)
+        self.words = Remembered(self._word, WORDS)
         self.words[""] = b""
 
     def _part(self, part: str) -> bytes:
