@@ -1,4 +1,4 @@
-"""Date expressions: financial year labels and bounds, tally-style dates."""
+"""Date expressions: financial year labels and bounds, accounting-export dates."""
 
 from __future__ import annotations
 

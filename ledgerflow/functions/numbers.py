@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+# Sums: wide enough for any balance under 1e32, six places, inputs not rounded to cents.
+EXACT = "decimal(38,6)"
 # Plain decimal / scientific numbers with optional sign and surrounding blanks.
 # Rejects '1,234', '-7.5 Dr', '1.5d' (Spark would accept the last one).
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"

@@ -11,12 +11,11 @@ Group-list matching has two modes (SURVEY Q2):
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import fy_bounds
+from ledgerflow.functions.text import normalize
 
 # --- fixed values: group lists and patterns ------------------------------------
 INTERNAL_GROUPS = ["Primary", "Reserves & Surplus", "Duties & Taxes", "GST", "TDS/TCS"]
@@ -31,18 +30,12 @@ PNL_QUICK_PATTERN = "Profit"
 # ---------------------------------------------------------------------------------
 
 
-def normalize_text(s: str) -> str:
-    """Driver-side twin of functions.text.normalize for literal lists (small, fixed)."""
-    s = s.strip()
-    s = re.sub(r"\s+", " ", s)
-    return re.sub(r"[^\w\s().\-]", "", s)
-
-
-def group_list(groups: list[str], mode: str = "normalized") -> list[str]:
+def group_list(groups: list[str], mode: str = "normalized") -> list[Column]:
+    """The list as literals; Catalyst folds the normaliser over them."""
     if mode == "normalized":
-        return [normalize_text(g) for g in groups]
+        return [normalize(F.lit(g)) for g in groups]
     if mode == "as_written":
-        return list(groups)
+        return [F.lit(g) for g in groups]
     raise ValueError(f"unknown group_match mode {mode!r}")
 
 
@@ -86,8 +79,8 @@ def in_fy(fy: str, col: str = "date") -> Column:
 
 def name_contains(pattern: str, mode: str = "normalized", col: str = "ledger_name") -> Column:
     """F7 predicate: name contains the P&L pattern, any case (literal)."""
-    p = normalize_text(pattern) if mode == "normalized" else pattern
-    return F.contains(F.lower(F.col(col)), F.lit(p.lower()))
+    p = normalize(F.lit(pattern)) if mode == "normalized" else F.lit(pattern)
+    return F.contains(F.lower(F.col(col)), F.lower(p))
 
 
 def is_sale() -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import fy_bounds
-from ledgerflow.functions.numbers import MONEY
+from ledgerflow.functions.numbers import EXACT
 from ledgerflow.operators import filters as FL
 from ledgerflow.operators.statement import fy_entries, unique_ledgers
 from ledgerflow.operators.textjoin import contains_pairs
@@ -45,7 +45,7 @@ def payments_total(tx: DataFrame) -> DataFrame:
     """FY payment total per ledger (payment vouchers with debit > 0)."""
     return (tx.where(FL.is_payment())
             .groupBy("ledger_name")
-            .agg(F.sum(F.col("debit_amount").try_cast(MONEY)).alias("paid"),
+            .agg(F.sum(F.col("debit_amount").cast(EXACT)).alias("paid"),
                  F.count(F.lit(1)).alias("n_payments")))
 
 
@@ -57,9 +57,9 @@ def invoice_rows(tx: DataFrame) -> DataFrame:
              .where(F.col("inv_no") <= INVOICES_PER_PARTY))
     pay = payments_total(tx)
     j = sales.join(pay, "ledger_name", "left")
-    credit = F.col("credit_amount").try_cast(MONEY)
+    credit = F.col("credit_amount").cast(EXACT)
     received = F.when(F.col("n_payments") > 0, F.least(credit, F.col("paid"))) \
-        .otherwise(F.lit(0).cast(MONEY))
+        .otherwise(F.lit(0).cast(EXACT))
     j = j.withColumn("due", credit - received).where(F.col("due") > 0)
     return j.select(
         "ledger_name",
@@ -99,7 +99,7 @@ def debtor_fallback(ledgers: DataFrame, without: DataFrame, fy: str) -> DataFram
         F.bround(F.abs(F.col("d_closing")), 2).alias("amount"),
         F.date_add(br_date, DUE_DAYS).alias("due_date"),
         F.lit("Outstanding").alias("status"),
-        F.abs(F.col("d_closing")).try_cast(MONEY).alias("due_exact"))
+        F.abs(F.col("d_closing")).cast(EXACT).alias("due_exact"))
 
 
 def bills_receivable(ledgers: DataFrame, entries: DataFrame, fy: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Single-table reports over the ledger table.
 
-Money aggregates are DECIMAL sums cast back to DOUBLE; means are that exact sum
+Money aggregates are DECIMAL(38,6) sums of unrounded balances cast back to DOUBLE; means are that exact sum
 divided by the count. Top-k is ``orderBy(...).limit(k)`` (TakeOrderedAndProject:
 each task keeps k rows, no full sort); ranks are numbered after the limit, so
 no window ever runs over the whole table. Every order ends in ``ledger_name``
@@ -15,18 +15,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.numbers import MONEY
+from ledgerflow.functions.numbers import EXACT
 from ledgerflow.operators import filters as FL
 
 PAGE_SIZE = 15
+ALL_SETTLED = "All accounts are settled"
 
 
 def _dsum(c: str) -> Column:
-    return F.sum(F.col(c).try_cast(MONEY))
+    return F.sum(F.col(c).cast(EXACT))
 
 
 def money_sum(c: str) -> Column:
-    return F.coalesce(_dsum(c), F.lit(0).cast(MONEY)).cast("double")
+    return F.coalesce(_dsum(c), F.lit(0).cast(EXACT)).cast("double")
 
 
 def money_mean(c: str) -> Column:
@@ -87,9 +88,9 @@ def group_totals(ledgers: DataFrame, k: int = 5, mode: str = "normalized") -> Da
 def net_position(ledgers: DataFrame, mode: str = "normalized") -> DataFrame:
     """A4: one pass with conditional sums over F2 ledgers."""
     b = ledgers.where(FL.business_wide(mode))
-    pos = F.sum(F.when(F.col("closing_balance") > 0, F.col("closing_balance").try_cast(MONEY)))
-    neg = F.sum(F.when(F.col("closing_balance") < 0, F.col("closing_balance").try_cast(MONEY)))
-    z = F.lit(0).cast(MONEY)
+    pos = F.sum(F.when(F.col("closing_balance") > 0, F.col("closing_balance").cast(EXACT)))
+    neg = F.sum(F.when(F.col("closing_balance") < 0, F.col("closing_balance").cast(EXACT)))
+    z = F.lit(0).cast(EXACT)
     return b.agg(F.coalesce(pos, z).alias("p"), F.coalesce(neg, z).alias("n")).select(
         F.col("p").cast("double").alias("assets"),
         F.abs(F.col("n")).cast("double").alias("liabilities"),
@@ -103,7 +104,7 @@ def pnl_card(ledgers: DataFrame, pattern: str = FL.PNL_PATTERN, mode: str = "nor
         F.col("ledger_name").alias("account"),
         F.col("closing_balance").alias("pnl_closing"),
         F.col("opening_balance").alias("pnl_opening"),
-        (F.col("closing_balance").try_cast(MONEY) - F.col("opening_balance").try_cast(MONEY))
+        (F.col("closing_balance").cast(EXACT) - F.col("opening_balance").cast(EXACT))
         .cast("double").alias("net_profit"))
 
 
@@ -147,6 +148,11 @@ def pending_report(ledgers: DataFrame, page: int = 1, mode: str = "normalized")
     p = pending(ledgers, mode)
     m = pending_metrics(ledgers, mode)
     rows = paginate(p.select("ledger_name", "closing_balance", "parent"), pending_order(), page)
+    # nothing pending: one row that says so, as the other reports have
+    settled = m.where(F.col("total_pending") == 0).select(
+        F.lit(0).cast(rows.schema["rank"].dataType).alias("rank"), F.lit(ALL_SETTLED).alias("ledger_name"),
+        F.lit(0.0).alias("closing_balance"), F.lit("").alias("parent"))
+    rows = rows.select("rank", "ledger_name", "closing_balance", "parent").unionByName(settled)
     return rows.select(
         "rank", "ledger_name", "closing_balance", "parent",
         F.lit(page).alias("page"),

@@ -60,9 +60,14 @@ def status_col(n: str = "n_matches"):
 
 
 def resolve_status(requests: DataFrame, ledgers: DataFrame, k: int = STATEMENT_LIST) -> DataFrame:
-    """J4 over J3: one row per request: status, n_matches, resolved name (when
-    unique), and the first k names joined by '; ' (bounded by k)."""
-    m = contains_matches(requests, ledgers)
+    """J4 over J2 and J3: one row per request: status, n_matches, resolved name (when
+    unique), and the first k names joined by '; ' (bounded by k). A request that is
+    some ledger's whole name resolves to that ledger (the first by name); only the
+    others are looked for inside names. Alike names count once."""
+    names = ledgers.select("ledger_name").distinct()
+    exact = (exact_matches(requests, names).groupBy("req_id").agg(F.min("ledger_name").alias("ledger_name")))
+    rest = requests.join(exact, "req_id", "left_anti")
+    m = exact.unionByName(contains_matches(rest, names).select("req_id", "ledger_name"))
     cnt = match_counts(m)
     head = (first_k(m, k).groupBy("req_id")
             .agg(F.sort_array(F.collect_list(F.struct("rank", "ledger_name"))).alias("h"))
@@ -75,27 +80,6 @@ def resolve_status(requests: DataFrame, ledgers: DataFrame, k: int = STATEMENT_L
         F.coalesce(F.array_join("options", "; "), F.lit("")).alias("options"))
 
 
-def resolve_first(requests: DataFrame, ledgers: DataFrame) -> DataFrame:
-    """Resolve mode ``first`` (statement/BR questions): the first contains-match.
-
-    Returns req_id, request, n_matches, ledger_name (null when nothing matched).
-    """
-    m = contains_matches(requests, ledgers)
-    firsts = (m.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_matches"),
-                                      F.min("ledger_name").alias("ledger_name")))
-    return requests.join(firsts, "req_id", "left").select(
-        "req_id", "request", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "ledger_name")
-
-
-def resolve_exact_then_contains(requests: DataFrame, ledgers: DataFrame) -> DataFrame:
-    """J2 then J3 for requests without an exact match (the generator's rule):
-    req_id, request, match_kind ('exact'|'contains'), ledger rows."""
-    ex = exact_matches(requests, ledgers).withColumn("match_kind", F.lit("exact"))
-    rest = requests.join(ex.select("req_id").distinct(), "req_id", "left_anti")
-    co = contains_matches(rest, ledgers).withColumn("match_kind", F.lit("contains"))
-    return ex.unionByName(co)
-
-
 def did_you_mean(requests: DataFrame, ledgers: DataFrame, k: int = STATEMENT_LIST) -> DataFrame:
     """Distinct ledger names literally containing the request, first k per request."""
     names = ledgers.select("ledger_name").distinct()

@@ -1,7 +1,7 @@
 """Financial-year statements for every ledger in one job.
 
 Per ledger and FY: an opening row, every entry of the party in the FY in
-(date, voucher_no, entry_no) order with a running balance, and a closing row
+(date, voucher, entry) order with a running balance, and a closing row
 carrying the stored closing balance (not the computed one; ``reconcile`` compares
 the two).
 """
@@ -23,14 +23,15 @@ CLOSING_LABEL, CLOSING_NO = "Closing Balance", "CL-001"
 PARTICULARS_WIDTH = 50
 # ---------------------------------------------------------------------------------
 
-ORDER = ["date", "voucher_no", "entry_no"]
-UNIQUE_KEY = "ledgerflow.unique"
+#: Voucher numbers repeat across voucher types and branches, so the type, the other leg
+#: and the amounts decide too; entries equal in all of it are interchangeable.
+ORDER = ["date", "voucher", "entry"]
 
 
-def mark_unique(ledgers: DataFrame) -> DataFrame:
-    """De-duplicate by name and tag the column so later reports skip the step."""
-    u = unique_ledgers(ledgers)
-    return u.withColumn("ledger_name", F.col("ledger_name").alias("ledger_name", metadata={UNIQUE_KEY: True}))
+def ordered(entries: DataFrame) -> DataFrame:
+    """Entries with the ``voucher`` and ``entry`` columns of ORDER."""
+    return (entries.withColumn("voucher", F.struct("voucher_no", "voucher_type"))
+            .withColumn("entry", F.struct("entry_no", "particulars", "debit_amount", "credit_amount")))
 
 
 def fy_entries(entries: DataFrame, fy: str) -> DataFrame:
@@ -50,8 +51,6 @@ def unique_ledgers(ledgers: DataFrame) -> DataFrame:
     The reference resolves a name to the first matching row; an aggregate
     (partial + final) keeps that skew-safe instead of a per-name window.
     """
-    if ledgers.schema["ledger_name"].metadata.get(UNIQUE_KEY):
-        return ledgers  # the stored table is written de-duplicated
     cols = [c for c in ledgers.columns if c != "ledger_name"]
     order = F.struct(*[F.col(c) for c in ("ledger_name_raw", "parent", "opening_balance",
                                            "closing_balance") if c in ledgers.columns])
@@ -99,7 +98,7 @@ def fy_statement(ledgers: DataFrame, entries: DataFrame, fy: str,
     # the exact/partial matching four times
     tx = cut_lineage(party_fy_transactions(led, entries, fy, partial_fallback, carry=["opening"]))
     delta = cents("debit_amount") - cents("credit_amount")
-    rs = running_sums(tx, ["ledger_name"], ORDER, {"run": delta, "seq": F.lit(1).cast("long")})
+    rs = running_sums(ordered(tx), ["ledger_name"], ORDER, {"run": delta, "seq": F.lit(1).cast("long")})
     body = (rs
             .select("ledger_name",
                     F.col("seq").cast("int").alias("seq"),
@@ -143,14 +142,16 @@ def reconcile(ledgers: DataFrame, entries: DataFrame, fy: str | None = None) ->
     ``fy=None`` reconciles over the full history (where the binding guarantees
     drift 0); with a FY it reconciles the FY slice as the reference's statement
     would. Exact join on the 2-pass key; one aggregate per party (partial
-    aggregation before the shuffle, so a hot party costs one row per task).
+    aggregation before the shuffle, so a hot party costs one row per task). A
+    ledger without entries has flow 0.
     """
     e = entries if fy is None else fy_entries(entries, fy)
     flow = e.groupBy("party_key").agg(
         F.sum(cents("debit_amount") - cents("credit_amount")).alias("flow"),
         F.count(F.lit(1)).alias("n_entries"))
     led = unique_ledgers(ledgers)
-    j = led.join(flow, led.name_key == flow.party_key)
+    j = led.join(flow, led.name_key == flow.party_key, "left").withColumns(
+        {"flow": F.coalesce("flow", F.lit(0)), "n_entries": F.coalesce("n_entries", F.lit(0))})
     computed = cents(round2("opening_balance")) + F.col("flow")
     stored = cents(round2("closing_balance"))
     return j.select(

@@ -34,17 +34,20 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     deterministic (as any running total needs). Values should be exact types
     (DECIMAL / integral) so the result does not depend on evaluation order.
     """
-    keys, order = list(keys), list(order)
+    columns = list(df.columns)
+    # in a struct a null equals a null, so the level joins lose no row
+    boxed = {f"__k_{i}": F.struct(F.col(c)) for i, c in enumerate([*keys, *order])}
+    keys, order = list(boxed)[:len(keys)], list(boxed)[len(keys):]
     names = list(values)
     tmp = {n: f"__v_{i}" for i, n in enumerate(names)}
-    base = df.withColumns({tmp[n]: values[n] for n in names})
+    base = df.withColumns({tmp[n]: values[n] for n in names}).withColumns(boxed)
     if len(order) == 1:
         w = (Window.partitionBy(*keys).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         out = base.withColumns({n: F.sum(tmp[n]).over(w) for n in names})
         if not inclusive:
             out = out.withColumns({n: F.col(n) - F.col(tmp[n]) for n in names})
-        return out.drop(*tmp.values())
+        return out.select(*columns, *names)
 
     # offsets[j]: per (keys, order[:j+1]) exclusive prefix of everything before the block
     offsets: DataFrame | None = None
@@ -72,5 +75,4 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         v = F.col(f"__r_{i}") + F.col(f"__o{last}_{i}")
         cols[n] = v if inclusive else v - F.col(tmp[n])
     out = out.withColumns(cols)
-    return out.drop(*tmp.values(), *[f"__r_{i}" for i in range(len(names))],
-                    *[f"__o{last}_{i}" for i in range(len(names))])
+    return out.select(*columns, *names)

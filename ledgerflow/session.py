@@ -52,6 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     the folder is registered with the SparkContext instead.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_BASE:

@@ -65,8 +65,7 @@ def canonical_paths(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
         t = B.Tables(spark, sf_dir)
         # the bound entries (a four-way join) feed both tables: materialise once
         er = cut_lineage(B.voucher_entries_raw(t))
-        from ledgerflow.operators.statement import mark_unique
-        led = mark_unique(B.conform_ledgers(B.ledgers_raw(t, er))).select(*LEDGER_COLUMNS)
+        led = B.conform_ledgers(B.ledgers_raw(t, er)).select(*LEDGER_COLUMNS)
         lpath = write_snapshot(led, scratch_path(spark, "ledgers"))
         epath = write_entries(B.conform_entries(er).select(*ENTRY_COLUMNS),
                               scratch_path(spark, "voucher_entries"))

@@ -29,7 +29,10 @@ LEDGER_FIELDS = ["NAME", "PARENT", "OPENINGBALANCE", "CLOSINGBALANCE", "ALTEREDO
 LEDGER_SCHEMA = T.StructType(
     [T.StructField(f, S) for f in LEDGER_FIELDS] + [T.StructField(f"_{f}", S) for f in LEDGER_FIELDS]
     + [T.StructField(CORRUPT, S)])
-ENTRY = T.StructType([T.StructField("LEDGERNAME", S), T.StructField("AMOUNT", S)])
+# Entry fields come in either spelling; the lower-case one is renamed before the parse,
+# which matches names in any case and would keep the last of both.
+LOWER_ENTRY_TAG = r"<(/?)(amount|ledgername)>"
+ENTRY = T.StructType([T.StructField(f, S) for f in ("LEDGERNAME", "AMOUNT", "ledgername_lower", "amount_lower")])
 VOUCHER_SCHEMA = T.StructType([
     T.StructField("DATE", S), T.StructField("VOUCHERTYPENAME", S),
     T.StructField("VOUCHERNUMBER", S), T.StructField("PARTYLEDGERNAME", S),
@@ -107,6 +110,7 @@ def scan_ledger_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_vouchers(records: DataFrame, sanitize: bool = True) -> DataFrame:
     x = sanitize_voucher_xml("xml") if sanitize else F.col("xml")
+    x = F.regexp_replace(x, LOWER_ENTRY_TAG, "<$1$2_lower>")
     return records.select(F.inline(F.array(F.from_xml(x, VOUCHER_SCHEMA, XML_OPTIONS))))
 
 
@@ -128,9 +132,11 @@ def flatten_entries(vouchers: DataFrame) -> DataFrame:
     return v.select(
         "date_text", "voucher_type", "voucher_no", "party_name",
         (F.col("pos") + 1).cast("int").alias("entry_no"),
-        default_text(F.col("e.LEDGERNAME")).alias("particulars"),
-        # P5: amount text, missing -> "0"
-        F.coalesce(F.nullif(F.col("e.AMOUNT"), F.lit("")), F.lit("0")).alias("amount_text"))
+        default_text(F.coalesce(F.nullif(F.col("e.LEDGERNAME"), F.lit("")), F.col("e.ledgername_lower")))
+        .alias("particulars"),
+        # P5: the upper-case amount unless it is missing or "0", then the lower-case one, then "0"
+        F.coalesce(F.nullif(F.nullif(F.col("e.AMOUNT"), F.lit("")), F.lit("0")),
+                   F.nullif(F.col("e.amount_lower"), F.lit("")), F.lit("0")).alias("amount_text"))
 
 
 def clean_entries(flat: DataFrame) -> DataFrame:

@@ -3,17 +3,20 @@
 The accounting server is polled every 60 s for a whole-table export. Here an
 exporter drops each export as a folder ``snap=<sortable id>/`` of XML text
 files into a drop folder; a file-stream query picks up new files, and each
-micro-batch (``foreachBatch``):
-
-1. keeps only the newest snapshot in the batch (max snapshot id, a lazy join,
-   nothing collected) — a snapshot is a whole table, so older ones are stale;
-2. parses it with the splittable XML ingest (records that do not parse go to a
-   quarantine folder instead of failing the batch);
-3. skips the write when the snapshot has no valid rows (an empty fetch never
-   replaces the table, S13);
-4. writes the rows into a new version folder and then swaps a small pointer
-   file, so readers never see a half-written table (write-then-swap);
-5. on any error, records it and returns, so the next trigger still runs (X3).
+micro-batch (``foreachBatch``) is the signal to look at snapshots:
+
+1. candidates are the snapshots with files in the batch and those whose last try
+   failed, if they are not older than the published one; the newest comes first;
+2. a candidate's whole folder is read, so files that come in several triggers end
+   in one complete table, and parsed once into a stored table (records that do not
+   parse go to the snapshot's quarantine folder instead of failing the batch);
+3. a snapshot without valid rows is passed over for the next older candidate
+   (an empty fetch never replaces the table, S13);
+4. the rows go into a new version folder, named by snapshot id, and then a small
+   pointer publishes it, so readers never see a half-written table and an older
+   snapshot never replaces a newer one, in whatever order or stream they come;
+5. an error is recorded with its snapshot id, which stays a candidate, and the next
+   trigger still runs (X3).
 
 ``trigger(processingTime='60 seconds')`` reproduces the polling interval; tests
 use ``availableNow``. The streaming checkpoint lives under the shared
@@ -24,9 +27,8 @@ name and rename it into the drop folder when complete.
 from __future__ import annotations
 
 import traceback
-import uuid
 
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,51 +36,89 @@ from ledgerflow.session import scratch_path
 from ledgerflow.sources import xml as X
 
 POINTER = "_CURRENT"
-SNAP_RE = r"snap=([^/]+)/"
+SNAP_RE = r"/snap=([^/]+)/"
+SNAP_FOLDER_RE = r"^(.*/snap=[^/]+)/"
 REFRESH_INTERVAL = "60 seconds"
 
 
-def _parse(kind: str, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(good typed rows, quarantined raw records, the persisted parse) for one
-    snapshot's records."""
-    # parsed once per batch and reused for the good rows and the quarantine
-    # (memory, spilling to disk for a large snapshot); released by the caller
+def _parse(kind: str, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good typed rows, quarantined raw records) of one snapshot, parsed once."""
+    spark = records.sparkSession
+    parsed = X.parse_ledgers(records) if kind == "ledger" else X.parse_vouchers(records)
+    path = scratch_path(spark, f"refresh-{kind}-parsed")
+    parsed.write.parquet(path)
+    p = spark.read.schema(parsed.schema).parquet(path)
+    fine = p.where(F.col(X.CORRUPT).isNull())
     if kind == "ledger":
-        p = X.parse_ledgers(records).persist(StorageLevel.MEMORY_AND_DISK)
-        good = X.type_ledgers(X.conform_ledgers(p.where(F.col(X.CORRUPT).isNull())))
+        good = X.type_ledgers(X.conform_ledgers(fine))
     else:
-        p = X.parse_vouchers(records).persist(StorageLevel.MEMORY_AND_DISK)
-        good = X.clean_entries(X.flatten_entries(p.where(F.col(X.CORRUPT).isNull())))
+        good = X.clean_entries(X.flatten_entries(fine))
         # Explicit schema of the stored voucher-entry table
         good = good.select(F.col("date").cast("date"), *[F.col(c).cast("string") for c in
                            ("voucher_type", "voucher_no", "party_name", "particulars")],
                            F.col("debit_amount").cast("double"), F.col("credit_amount").cast("double"),
                            F.col("entry_no").cast("int"))
     bad = p.where(F.col(X.CORRUPT).isNotNull()).select(F.col(X.CORRUPT).alias("record"))
-    return good, bad, p
+    return good, bad
 
 
-def latest_snapshot(batch: DataFrame, tag: str) -> DataFrame:
-    """Records (column ``xml``) of the newest snapshot present in the batch."""
-    withsnap = batch.withColumn("snap", F.regexp_extract(F.input_file_name(), SNAP_RE, 1))
-    newest = withsnap.agg(F.max("snap").alias("snap"))
-    return X.cut_records(withsnap.join(newest, "snap").select("value"), tag)
+def batch_folders(batch: DataFrame) -> dict[str, str]:
+    """snapshot id -> its folder, for the snapshots that have files in the batch."""
+    path = F.input_file_name()
+    rows = (batch.select(F.regexp_extract(path, SNAP_RE, 1).alias("snap"),
+                         F.regexp_extract(path, SNAP_FOLDER_RE, 1).alias("folder")).distinct().collect())
+    return {r["snap"]: r["folder"] for r in rows if r["snap"]}
 
 
-def _write_pointer(spark: SparkSession, table: str, version: str) -> None:
-    """Publish a committed version: pointers are append-only one-row folders, the
-    largest version name wins, so a reader never sees a half-written table."""
-    spark.createDataFrame([(version,)], "version string").write.mode("overwrite") \
-        .parquet(f"{table}/{POINTER}/{version}")
+def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, None where nothing was written yet; any other
+    error is an error."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def published(spark: SparkSession, table: str) -> tuple[str, int] | None:
+    """(snapshot id, try) of the version that readers see."""
+    pointers = _table_or_none(spark, f"{table}/{POINTER}")
+    top = None if pointers is None else pointers.agg(F.max(F.struct("snap", "n")).alias("v")).first()["v"]
+    return None if top is None else (top["snap"], top["n"])
+
+
+def _version(snap: str, n: int) -> str:
+    return f"v={snap}-{n:06d}"
+
+
+def publish(spark: SparkSession, rows: DataFrame, table: str, snap: str) -> bool:
+    """Write ``rows`` as a new version for the snapshot and point readers to it; False
+    if there are none or a newer snapshot is published. Pointers are only added, and
+    the greatest (snapshot, try) counts."""
+    now = published(spark, table)
+    if rows.isEmpty() or now is not None and now[0] > snap:
+        return False
+    n = now[1] + 1 if now is not None and now[0] == snap else 0
+    rows.write.mode("overwrite").parquet(f"{table}/{_version(snap, n)}")
+    (spark.createDataFrame([(snap, n)], "snap string, n int").coalesce(1)
+     .write.mode("append").parquet(f"{table}/{POINTER}"))
+    return True
 
 
 def read_current(spark: SparkSession, table: str) -> DataFrame | None:
     """The current version of a refreshed table (None before the first write)."""
-    try:
-        v = spark.read.parquet(f"{table}/{POINTER}/*").agg(F.max("version")).first()[0]
-    except Exception:  # noqa: BLE001 - no pointer yet
-        return None
-    return None if v is None else spark.read.parquet(f"{table}/{v}")
+    now = published(spark, table)
+    return None if now is None else spark.read.parquet(f"{table}/{_version(*now)}")
+
+
+def _failed(spark: SparkSession, errors_dir: str, since: str) -> dict[str, str]:
+    """Snapshots from ``since`` on whose tries failed: id -> folder."""
+    errors = _table_or_none(spark, errors_dir)
+    if errors is None:
+        return {}
+    rows = errors.where((F.col("snap") > since) & (F.col("folder") != "")).select("snap", "folder").distinct().collect()
+    return {r["snap"]: r["folder"] for r in rows}
 
 
 def snapshot_writer(spark: SparkSession, kind: str, table: str, quarantine_dir: str,
@@ -86,25 +126,27 @@ def snapshot_writer(spark: SparkSession, kind: str, table: str, quarantine_dir:
     """The ``foreachBatch`` body for one refreshed table."""
     tag = "LEDGER" if kind == "ledger" else "VOUCHER"
 
+    def record(epoch_id: int, snap: str, folder: str, ex: Exception) -> None:
+        spark.createDataFrame([(epoch_id, snap, folder, type(ex).__name__, str(ex), traceback.format_exc())],
+                              "epoch long, snap string, folder string, error string, message string, trace string") \
+            .write.mode("append").parquet(errors_dir)
+
     def apply(batch: DataFrame, epoch_id: int) -> None:
-        parsed = None
         try:
-            recs = latest_snapshot(batch, tag)
-            good, bad, parsed = _parse(kind, recs)
-            bad.write.mode("append").parquet(quarantine_dir)
-            if good.isEmpty():  # S13: an empty fetch never replaces the table
-                return
-            version = f"v={epoch_id:012d}-{uuid.uuid4().hex[:8]}"
-            good.write.mode("overwrite").parquet(f"{table}/{version}")
-            _write_pointer(spark, table, version)
+            now = published(spark, table)
+            since = "" if now is None else now[0]
+            todo = _failed(spark, errors_dir, since) | {s: f for s, f in batch_folders(batch).items() if s >= since}
         except Exception as ex:  # noqa: BLE001 - X3: log, keep the stream alive
-            spark.createDataFrame([(epoch_id, type(ex).__name__, str(ex)[:2000],
-                                    traceback.format_exc()[-4000:])],
-                                  "epoch long, error string, message string, trace string") \
-                .write.mode("append").parquet(errors_dir)
-        finally:
-            if parsed is not None:
-                parsed.unpersist()
+            record(epoch_id, "", "", ex)
+            return
+        for snap in sorted(todo, reverse=True):
+            try:
+                good, bad = _parse(kind, X.read_records(spark, todo[snap], tag))
+                bad.write.mode("overwrite").parquet(f"{quarantine_dir}/snap={snap}")
+                if publish(spark, good, table, snap):
+                    return
+            except Exception as ex:  # noqa: BLE001 - X3
+                record(epoch_id, snap, todo[snap], ex)
 
     return apply
 

@@ -492,14 +492,14 @@ SELECT ledger_name, seq, date, voucher_type, voucher_no FROM st"""),
     "reconcile": q("""
 , f AS (SELECT party_key, SUM(CAST(debit_amount AS DECIMAL(18,2)) - CAST(credit_amount AS DECIMAL(18,2))) AS flow,
                COUNT(*) AS n_entries FROM entries GROUP BY party_key)
-SELECT l.ledger_name, f.n_entries,
-       CAST(CAST(round_even(l.opening_balance, 2) AS DECIMAL(18,2)) + f.flow AS DOUBLE) AS computed_closing,
+SELECT l.ledger_name, COALESCE(f.n_entries, 0) AS n_entries,
+       CAST(CAST(round_even(l.opening_balance, 2) AS DECIMAL(18,2)) + COALESCE(f.flow, 0) AS DOUBLE) AS computed_closing,
        round_even(l.closing_balance, 2) AS stored_closing,
-       CAST(CAST(round_even(l.opening_balance, 2) AS DECIMAL(18,2)) + f.flow
+       CAST(CAST(round_even(l.opening_balance, 2) AS DECIMAL(18,2)) + COALESCE(f.flow, 0)
             - CAST(round_even(l.closing_balance, 2) AS DECIMAL(18,2)) AS DOUBLE) AS drift,
-       CAST(round_even(l.opening_balance, 2) AS DECIMAL(18,2)) + f.flow
+       CAST(round_even(l.opening_balance, 2) AS DECIMAL(18,2)) + COALESCE(f.flow, 0)
             = CAST(round_even(l.closing_balance, 2) AS DECIMAL(18,2)) AS ok
-FROM ledgers l JOIN f ON l.name_key = f.party_key"""),
+FROM ledgers l LEFT JOIN f ON l.name_key = f.party_key"""),
     "bills_receivable": q(BR + " SELECT * FROM br"),
     "first_invoices": q(BR + """
 SELECT ledger_name, inv_no, date, voucher_no, credit_amount FROM sales WHERE inv_no <= 10"""),
@@ -514,9 +514,16 @@ SELECT ledger_name, seq, br_date, due_date, br_no FROM br WHERE source = 'debtor
 SELECT r.req_id, r.request, l.ledger_name FROM requests r JOIN ledgers l ON lower(l.ledger_name) = lower(r.request)"""),
     "resolve_contains": q(REQUESTS + " SELECT req_id, request, ledger_name FROM cm"),
     "resolve_status": q(REQUESTS + """
-, h AS (
+, ex AS (SELECT r.req_id, min(l.ledger_name) AS ledger_name FROM requests r
+         JOIN ledgers l ON lower(l.ledger_name) = lower(r.request) GROUP BY r.req_id),
+hits AS (
+  SELECT req_id, ledger_name FROM ex UNION ALL
+  SELECT DISTINCT req_id, ledger_name FROM cm WHERE req_id NOT IN (SELECT req_id FROM ex)
+),
+n AS (SELECT req_id, COUNT(*) AS n_matches FROM hits GROUP BY req_id),
+h AS (
   SELECT req_id, string_agg(ledger_name, '; ' ORDER BY ledger_name) AS options
-  FROM (SELECT req_id, ledger_name, row_number() OVER (PARTITION BY req_id ORDER BY ledger_name) AS rn FROM cm)
+  FROM (SELECT req_id, ledger_name, row_number() OVER (PARTITION BY req_id ORDER BY ledger_name) AS rn FROM hits)
   WHERE rn <= 5 GROUP BY req_id
 )
 SELECT r.req_id, r.request, COALESCE(c.n_matches, 0) AS n_matches,
@@ -524,7 +531,7 @@ SELECT r.req_id, r.request, COALESCE(c.n_matches, 0) AS n_matches,
             ELSE 'clarification' END AS status,
        CASE WHEN c.n_matches = 1 THEN h.options END AS resolved_name,
        COALESCE(h.options, '') AS options
-FROM requests r LEFT JOIN cc c USING (req_id) LEFT JOIN h USING (req_id)"""),
+FROM requests r LEFT JOIN n c USING (req_id) LEFT JOIN h USING (req_id)"""),
     "did_you_mean": q(REQUESTS + """
 , d AS (SELECT DISTINCT r.req_id, r.request, l.ledger_name FROM requests r JOIN ledgers l
           ON contains(lower(l.ledger_name), lower(r.request)) WHERE length(r.request) > 0)

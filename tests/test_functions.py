@@ -21,16 +21,10 @@ def test_normalize_one_and_two_pass(spark):
     assert _one(spark, vals[:3], FN.normalize_twice) == ["Duties Taxes", "TDSTCS", "Profit Loss Ac"]
 
 
-def test_normalize_matches_python_rule(spark):
-    import re
-
-    def py(s):
-        s = str(s).strip()
-        s = re.sub(r"\s+", " ", s)
-        return re.sub(r"[^\w\s\(\)\-\.]", "", s)
-
-    vals = ["Ärger & Co. (GmbH) - 2", "日本 商事/東京", "a_b  c d", "₹ 5,000.00", "x​y", "١٢٣ abc"]
-    assert _one(spark, vals, FN.normalize) == [py(v) for v in vals]
+def test_normalize_keeps_letters_digits_and_a_few_marks(spark):
+    vals = ["Ärger & Co. (GmbH) - 2", "日本 商事/東京", "a_b  c d", "₹ 5,000.00", "x​y", "١٢٣ abc"]
+    assert _one(spark, vals, FN.normalize) == [
+        "Ärger  Co. (GmbH) - 2", "日本 商事東京", "a_b c d", " 5000.00", "xy", "١٢٣ abc"]
 
 
 def test_coerce_number(spark):

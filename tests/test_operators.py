@@ -128,3 +128,60 @@ def test_followup_rewrite(spark):
     out = [r.final_text for r in QN.followup_rewrite(df).orderBy("turn").collect()]
     assert out == ["balance_query_prompt", "balance of X", "balance_query_prompt",
                    "balance of parent_query_prompt", "Y"]
+
+
+def test_running_sums_keep_null_order_values(spark):
+    from ledgerflow.operators.windows import running_sums
+
+    df = spark.createDataFrame([("a", None, "1", 1), ("a", 1, None, 2), ("a", 1, "1", 4), (None, 1, "1", 8)],
+                               "k string, d int, v string, x long")
+    got = running_sums(df, ["k"], ["d", "v", "x"], {"s": F.col("x")})
+    assert sorted((r.k or "", r.s) for r in got.collect()) == [("", 8), ("a", 1), ("a", 3), ("a", 7)]
+
+
+def test_totals_keep_alike_names_small_and_huge_balances(spark):
+    from ledgerflow.operators import reports as RP
+
+    led = spark.createDataFrame([("A  B", 0.004), ("A  B", 0.004), ("C", 1e20), ("D", -1e20)],
+                                "ledger_name string, closing_balance double")
+    r = led.agg(RP.money_sum("closing_balance").alias("s"), F.count("*").alias("n")).first()
+    assert (round(r.s, 6), r.n) == (0.008, 4)
+
+
+def test_a_whole_name_resolves_before_names_that_contain_it(spark):
+    led = spark.createDataFrame([("Customer0000000",), ("Customer00000001",), ("Customer00000001",)], "ledger_name string")
+    req = spark.createDataFrame([(1, "customer0000000"), (2, "customer"), (3, "omer00000001"), (4, "zz")],
+                                "req_id long, request string")
+    got = {r.req_id: (r.status, r.resolved_name, r.n_matches) for r in RS.resolve_status(req, led).collect()}
+    assert got == {1: ("resolved", "Customer0000000", 1), 2: ("clarification", None, 2),
+                   3: ("resolved", "Customer00000001", 1), 4: ("not_found", None, 0)}
+
+
+def test_entry_fields_in_both_spellings(spark):
+    from ledgerflow.sources import xml as X
+
+    entry = "<ALLLEDGERENTRIES.LIST>{}</ALLLEDGERENTRIES.LIST>"
+    body = "".join(entry.format(x) for x in (
+        "<AMOUNT>5</AMOUNT><amount>7</amount>", "<amount>9</amount><AMOUNT>0</AMOUNT>", "<amount>-3</amount>", ""))
+    recs = spark.createDataFrame([(f"<VOUCHER><DATE>20230401</DATE>{body}</VOUCHER>",)], "xml string")
+    got = X.flatten_entries(X.parse_vouchers(recs)).orderBy("entry_no").collect()
+    assert [r.amount_text for r in got] == ["5", "9", "-3", "0"]
+
+
+def test_settled_books_say_so(spark):
+    from ledgerflow.operators import reports as RP
+
+    led = spark.createDataFrame([("A", "Sundry Debtors", 0.0, 0.0)],
+                                "ledger_name string, parent string, opening_balance double, closing_balance double")
+    rows = RP.pending_report(led).collect()
+    assert [(r.ledger_name, r.total_pending) for r in rows] == [(RP.ALL_SETTLED, 0)]
+
+
+def test_reconcile_covers_ledgers_without_entries(spark):
+    from ledgerflow.operators import statement as ST
+
+    led = spark.createDataFrame([("A", "A", 5.0, 9.0, "A", "p")], "ledger_name string, name_key string, opening_balance "
+                                "double, closing_balance double, ledger_name_raw string, parent string")
+    ent = spark.createDataFrame([], "party_key string, debit_amount double, credit_amount double")
+    r = ST.reconcile(led, ent).first()
+    assert (r.n_entries, r.computed_closing, r.drift, r.ok) == (0, 5.0, -4.0, False)

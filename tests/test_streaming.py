@@ -35,11 +35,60 @@ def test_refresh_takes_newest_snapshot_and_survives_bad_ones(spark):
 def test_refresh_records_errors_and_keeps_running(spark):
     table = scratch_path(spark, "t-err-table")
     writer = RF.snapshot_writer(spark, "ledger", table, f"{table}/_q", f"{table}/_errors")
-    # a batch without the expected text column makes the body fail
-    writer(spark.createDataFrame([(1,)], "x int"), 7)
+    drop = scratch_path(spark, "t-err-drop")
+    batch = _drop(spark, drop, "0001", "A")
+    gone = batch.select("value")
+    parse, RF._parse = RF._parse, None  # any failure of the body
+    try:
+        writer(gone, 7)
+    finally:
+        RF._parse = parse
     errs = spark.read.parquet(f"{table}/_errors").collect()
-    assert len(errs) == 1 and errs[0].epoch == 7
+    assert len(errs) == 1 and errs[0].epoch == 7 and errs[0].snap == "0001"
     assert RF.read_current(spark, table) is None
+    # the failed snapshot is tried again with the next batch, even one without valid rows
+    writer(_drop(spark, drop, "0000", ""), 8)
+    assert _names(spark, table) == ["A"]
+
+
+def _drop(spark, drop, snap, *names):
+    """A snapshot folder with one record per name, in a file of its own; its files as text."""
+    for n in names:
+        rec = f"<LEDGER><NAME>{n}</NAME></LEDGER>" if n else "<LEDGER><NAME>x & </LEDGER>"
+        spark.createDataFrame([(rec,)], "value string").coalesce(1).write.mode("append").text(f"{drop}/snap={snap}")
+    return spark.read.text(f"{drop}/snap={snap}")
+
+
+def _names(spark, table):
+    return sorted(r.ledger_name for r in RF.read_current(spark, table).collect())
+
+
+def test_refresh_order_of_snapshots(spark):
+    for first, then in (("0001", "0002"), ("0002", "0001")):
+        table = scratch_path(spark, "t-order")
+        for snap in (first, then):  # two drop folders, two checkpoints, one table
+            drop = scratch_path(spark, "t-order-drop")
+            _drop(spark, drop, snap, f"S{snap}")
+            RF.refresh_once(spark, "ledger", drop, table)
+        assert _names(spark, table) == ["S0002"]
+
+
+def test_refresh_of_split_and_empty_snapshots(spark):
+    table, drop = scratch_path(spark, "t-split"), scratch_path(spark, "t-split-drop")
+    ckpt = scratch_path(spark, "t-split-ckpt")
+
+    def trigger():
+        RF.start_refresh(spark, "ledger", drop, table, ckpt, available_now=True).awaitTermination()
+
+    _drop(spark, drop, "0001", "P1")
+    trigger()
+    _drop(spark, drop, "0001", "P2")  # the same snapshot's second file comes later
+    trigger()
+    assert _names(spark, table) == ["P1", "P2"]
+    _drop(spark, drop, "0002", "Q")
+    _drop(spark, drop, "0003", "")    # good and then empty in one batch
+    trigger()
+    assert _names(spark, table) == ["Q"]
 
 
 def test_voucher_refresh_has_stored_schema(spark):
