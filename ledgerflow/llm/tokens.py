@@ -82,8 +82,9 @@ class WordBpe:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        spaced = text.replace("\n", " ").replace("\r", " ").replace("\t", " ")
-        return b"".join(map(self.words.__getitem__, spaced.split(" ")))
+        # split() takes four control characters for white space that the file doesn't
+        words = text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return b"".join(map(self.words.__getitem__, words))
 
     def ids(self, text: str | None) -> list[int]:
         return list(struct.unpack(f"<{len(data := self.packed(text)) // 4}I", data))
