@@ -424,8 +424,9 @@ def sanitize_voucher_xml(spark, sf_dir):
 
 @job("xml_quarantine")
 def xml_quarantine(spark, sf_dir):
-    """Rows-only: unsanitised voucher records that do not parse."""
-    return X.quarantine(spark, store.xml_drop_folder(spark, sf_dir, "voucher"), "VOUCHER", sanitize=False)
+    """Voucher numbers of the unsanitised records that do not parse (S5 keeps their text)."""
+    bad = X.quarantine(spark, store.xml_drop_folder(spark, sf_dir, "voucher"), "VOUCHER", sanitize=False)
+    return bad.select(F.regexp_extract("record", "<VOUCHERNUMBER>([^<]*)<", 1).alias("voucher_no"))
 
 
 @job("conform_ledgers")

@@ -885,6 +885,10 @@ ORACLES.update({
     "refresh_ledgers": ORACLES["scan_ledger_xml"],
     "refresh_isolation": ORACLES["scan_ledger_xml"],
     "sink_ledger_snapshot": ORACLES["scan_ledger_xml"],
+    # the export writes a control character, a numeric reference or a bare '&' into these
+    "xml_quarantine": q("""
+, k AS (SELECT DISTINCT voucher_no, CAST(voucher_no AS BIGINT) AS n FROM ve_raw)
+SELECT voucher_no FROM k WHERE n % 10 = 0 OR n % 7 = 0 OR (n % 5 = 0 AND n % 13 <> 0)"""),
     "skip_empty_snapshot": ORACLES["scan_ledger_xml"],
     "refresh_vouchers": ORACLES["scan_voucher_xml"],
     "sink_voucher_snapshot": ORACLES["scan_voucher_xml"],

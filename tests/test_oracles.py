@@ -58,8 +58,10 @@ def test_matches_oracle(spark, duck, key):
     assert r1 == r2
 
 
-def test_every_query_has_oracle_or_is_rows_only():
+def test_every_ledger_query_has_an_oracle():
     import __spark_entry__ as E
 
-    rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only <= {"xml_quarantine"}
+    from ledgerflow.jobs import JOBS
+
+    assert set(JOBS) <= set(E.queries())
+    assert set(JOBS) <= set(E.oracle_sql())
