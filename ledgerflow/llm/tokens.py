@@ -16,7 +16,8 @@ import struct
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-WORDS, PARTS = 200_000, 200_000  # remembered of each of two generations
+WORDS, PARTS = 300_000, 200_000  # remembered of each of two generations
+_MARKS = ".,;:!?"
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([.,;:!?*%&$#|()\-]*)")
 
 
@@ -61,15 +62,21 @@ class WordBpe:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
+        self.bytes_of = [little_endian([i]) for i in range(self.tokenizer.get_vocab_size())]
         self.parts = Remembered(self._part, PARTS)
         self.words = Remembered(self._word, WORDS)
         self.words[""] = b""
 
     def _part(self, part: str) -> bytes:
         spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-        return little_endian([t.id for t in self.tokenizer.model.tokenize(spelled)])
+        one = self.bytes_of
+        return b"".join([one[t.id] for t in self.tokenizer.model.tokenize(spelled)])
 
     def _word(self, word: str) -> bytes:
+        core = word.rstrip(_MARKS)
+        if core.isascii() and core.isalpha():
+            ids = self.parts[core.lower()]
+            return ids if len(core) == len(word) else ids + self.parts[word[len(core):]]
         plain = _PLAIN.fullmatch(word)
         if not plain:
             return little_endian(self.tokenizer.encode(word, add_special_tokens=False).ids)
