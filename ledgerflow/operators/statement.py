@@ -8,7 +8,7 @@ the two).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import fy_bounds, round2
@@ -48,15 +48,13 @@ def fy_entries(entries: DataFrame, fy: str) -> DataFrame:
 def unique_ledgers(ledgers: DataFrame) -> DataFrame:
     """One row per normalised ledger name: the first by (raw name, parent, balances).
 
-    The reference resolves a name to the first matching row; an aggregate
-    (partial + final) keeps that skew-safe instead of a per-name window.
+    The reference resolves a name to the first matching row; ``row_number() = 1``
+    keeps at most one row per name and task before the shuffle (WindowGroupLimit),
+    so a name that many rows share is no hot key.
     """
-    cols = [c for c in ledgers.columns if c != "ledger_name"]
-    order = F.struct(*[F.col(c) for c in ("ledger_name_raw", "parent", "opening_balance",
-                                           "closing_balance") if c in ledgers.columns])
-    return (ledgers.groupBy("ledger_name")
-            .agg(F.min_by(F.struct(*cols), order).alias("r"))
-            .select("ledger_name", *[F.col(f"r.{c}").alias(c) for c in cols]))
+    order = [c for c in ("ledger_name_raw", "parent", "opening_balance", "closing_balance") if c in ledgers.columns]
+    place = F.row_number().over(Window.partitionBy("ledger_name").orderBy(*(order or ["ledger_name"])))
+    return ledgers.withColumn("__place", place).where(F.col("__place") == 1).drop("__place")
 
 
 def party_fy_transactions(ledgers: DataFrame, entries: DataFrame, fy: str,
