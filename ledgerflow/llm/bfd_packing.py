@@ -198,16 +198,19 @@ def packed_sequences(docs: DataFrame, size: int = WINDOW, tokenizer: str = "word
                     yield Piece(None if pd.isna(i) else int(i), 0, ids, len(ids) // 4)
 
         base, out, n = TaskContext.get().partitionId() << 36, [], 0
-        for number, window in enumerate(pack(whole(), size)):
-            offset = 0
-            for p in window.pieces:
-                out.append((p.doc_id, p.start, p.ids, len(p), p.doc_tokens, base + number, offset))
-                offset += len(p)
-            n += offset
-            if n > POOL:
-                yield frame(out)
-                out, n = [], 0
-        yield frame(out)
+        try:
+            for number, window in enumerate(pack(whole(), size)):
+                offset = 0
+                for p in window.pieces:
+                    out.append((p.doc_id, p.start, p.ids, len(p), p.doc_tokens, base + number, offset))
+                    offset += len(p)
+                n += offset
+                if n > POOL:
+                    yield frame(out)
+                    out, n = [], 0
+            yield frame(out)
+        finally:
+            tok.forget()
 
     def frame(rows):
         return pd.DataFrame(rows, columns=["doc_id", "start", "ids", "length", "doc_tokens", "sequence_id",

@@ -60,11 +60,15 @@ class TokenRollup:
 
         def run(batches):
             toks = {name: load(kind, path) for name, (kind, path) in versions.items()}
-            for pdf in batches:
-                for name, tok in toks.items():
-                    yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "source": pdf["source"],
-                                        "lang": pdf["lang"], "tokenizer": name,
-                                        "n_tokens": [tok.count(t) for t in pdf["text"]]})
+            try:
+                for pdf in batches:
+                    for name, tok in toks.items():
+                        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "source": pdf["source"],
+                                            "lang": pdf["lang"], "tokenizer": name,
+                                            "n_tokens": [tok.count(t) for t in pdf["text"]]})
+            finally:
+                for tok in toks.values():
+                    tok.forget()
 
         return docs.mapInPandas(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
 

@@ -37,6 +37,10 @@ class Remembered(dict):
         self[key] = got
         return got
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 def little_endian(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -65,7 +69,6 @@ class WordBpe:
         self.bytes_of = [little_endian([i]) for i in range(self.tokenizer.get_vocab_size())]
         self.parts = Remembered(self._part, PARTS)
         self.words = Remembered(self._word, WORDS)
-        self.words[""] = b""
 
     def _part(self, part: str) -> bytes:
         spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
@@ -99,6 +102,11 @@ class WordBpe:
     def count(self, text: str | None) -> int:
         return len(self.packed(text)) // 4
 
+    def forget(self) -> None:
+        """Drop the remembered words: a worker process outlives the task."""
+        self.parts.forget()
+        self.words.forget()
+
 
 class ByteBpe:
     """Counts by a byte-level BPE given as ranks."""
@@ -115,13 +123,16 @@ class ByteBpe:
     def count(self, text: str | None) -> int:
         return len(self.encoding.encode_ordinary(text)) if text else 0
 
+    def forget(self) -> None:
+        """It remembers nothing."""
+
 
 KINDS = {"word_bpe_49k": WordBpe, "byte_bpe_50k": ByteBpe}
 _LOADED: dict[tuple[str, str | None], WordBpe | ByteBpe] = {}
 
 
 def load(kind: str, path: str | None = None):
-    """The tokenizer, once per worker process; what it remembers stays with it."""
+    """The tokenizer, once per worker process; tasks make it forget at their end."""
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = KINDS[kind](path)
     return _LOADED[kind, path]
