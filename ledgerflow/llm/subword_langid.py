@@ -153,8 +153,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
             yield pd.DataFrame([(x, at.astype(np.int32).tobytes(), share.astype(np.float32).tobytes())
                                 for x, at, share in keep], columns=["lang", "at", "share"])
 
-    rows = d.join(ids.distinct(), "doc_id").select("lang", "text").mapInPandas(
-        run, "lang string, at binary, share binary").collect()
+    # in one order, so that the fit doesn't depend on how Spark joined and partitioned
+    rows = sorted(d.join(ids.distinct(), "doc_id").select("lang", "text").mapInPandas(
+        run, "lang string, at binary, share binary").collect())
     return fit_bags([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows],
                     [r["lang"] for r in rows])
 
