@@ -42,6 +42,17 @@ def test_quality_without_labels_and_with_odd_texts(sp):
     assert len(scored) == 3 and scored[0]["score"] == scored[1]["score"]
 
 
+def test_fits_do_not_depend_on_partitioning(sp):
+    docs = sp.read.parquet(f"{SMOKE}/documents.parquet")
+    labels = sp.read.parquet(f"{SMOKE}/labels.parquet")
+    one, many = docs.coalesce(1), docs.repartition(5, "text")
+    a, b = (pairwise_quality.train(d, labels) for d in (one, many))
+    assert (a.weights == b.weights).all() and a.threshold == b.threshold
+    got = [sorted(subword_langid.language_of(docs, subword_langid.train(d)).select("doc_id", "score").collect())
+           for d in (one, many)]
+    assert got[0] == got[1]
+
+
 def test_language_on_held_out_documents(sp):
     got = queries.op8_subword_langid(sp, SMALL).collect()
     lang = dict(duckdb.sql(f"select doc_id, lang from '{SMALL}/documents.parquet'").fetchall())
@@ -119,6 +130,14 @@ def test_word_ids_equal_the_files_own():
     assert [tokens.load("word_bpe_49k").ids(t) for t in texts] == reference_ids(texts)
 
 
+def test_a_tokenizer_that_forgets_gives_the_same_ids():
+    tok, text = tokens.load("word_bpe_49k"), "The cat, the  CAT sat.  "
+    before = tok.packed(text)
+    tok.forget()
+    assert not tok.words and not tok.words.old and not tok.parts
+    assert tok.packed(text) == before == tok.packed(text)
+
+
 def test_packing_round_trip(sp):
     rows = [(r[0], r[1]) for r in duckdb.sql(f"select doc_id, text from '{SMOKE}/documents.parquet'").fetchall()]
     rows += [(9000, None), (9001, ""), (9002, "word " * 20_000)]
