@@ -207,3 +207,46 @@ def test_winnowing_keeps_the_least_of_every_window():
         got = set(chaining.winnow(h, 16).tolist())
         want = {i + 16 - 1 - int(np.argmin(h[i:i + 16][::-1])) for i in range(max(0, n - 15))}
         assert got == want or n < 17 and len(got) == (1 if n else 0)
+
+
+def brute_chain_scores(p, q, k):
+    """Best score of a chain that ends in each match, over all earlier matches."""
+    score = [float(k)] * len(p)
+    for x in sorted(range(len(p)), key=lambda i: (p[i], q[i])):
+        for y in range(len(p)):
+            dp, dq = p[x] - p[y], q[x] - q[y]
+            if dp > 0 and dq > 0 and max(dp, dq) <= chaining.MAX_GAP + k:
+                gain = min(k, dp, dq)
+                score[x] = max(score[x], score[y] + gain - chaining.GAP_COST * (dp + dq - 2 * gain) / 2)
+    return score
+
+
+def test_chains_match_brute_force():
+    rng = np.random.default_rng(11)
+    for n, reach in ((60, 200), (80, 800), (40, 3000)):
+        p, q = rng.integers(0, reach, n), rng.integers(0, reach, n)
+        run = np.arange(0, 90, 9)  # passages one after the other, each beyond the last one's reach
+        at = [(0, 5), (200, 150), (350, 900), (600, 400)]
+        p = np.concatenate([p] + [a + run for a, _ in at])
+        q = np.concatenate([q] + [b + run for _, b in at])
+        found = chaining.chains(p, q, 5)
+        assert sorted(x for c in found for x in c) == list(range(len(p)))
+        want = brute_chain_scores(p.tolist(), q.tolist(), 5)
+        best = max(range(len(p)), key=lambda i: want[i])
+        steps = list(zip(found[0], found[0][1:]))
+        got = 5.0
+        for y, x in steps:
+            dp, dq = int(p[x] - p[y]), int(q[x] - q[y])
+            gain = min(5, dp, dq)
+            assert 0 < dp <= 45 and 0 < dq <= 45
+            got += gain - chaining.GAP_COST * (dp + dq - 2 * gain) / 2
+        assert got == pytest.approx(want[best])
+
+
+def test_every_passage_shared_with_one_document_is_found(sp):
+    rng = random.Random(12)
+    shared = [prose(rng, n) for n in (80, 60, 70)]
+    docs = [(1, (" " + prose(rng, 150) + " ").join(shared)), (2, (" " + prose(rng, 100) + " ").join(shared))]
+    found = chaining.repeated_passages(sp.createDataFrame(docs, "doc_id long, text string")).collect()
+    words = docs[1][1].split()
+    assert sorted(" ".join(words[r["start"]:r["end"]]) for r in found) == sorted(shared)
