@@ -250,3 +250,41 @@ def test_every_passage_shared_with_one_document_is_found(sp):
     found = chaining.repeated_passages(sp.createDataFrame(docs, "doc_id long, text string")).collect()
     words = docs[1][1].split()
     assert sorted(" ".join(words[r["start"]:r["end"]]) for r in found) == sorted(shared)
+
+
+def covered(docs, n):
+    """Places of every word in a run of n words that an earlier document has."""
+    seen, out = set(), set()
+    for i, text in docs:
+        w = text.split()
+        here = [" ".join(w[a:a + n]) for a in range(len(w) - n + 1)]
+        out |= {(i, a + x) for a, run in enumerate(here) if run in seen for x in range(n)}
+        seen |= set(here)
+    return out
+
+
+def test_passages_whose_parts_occur_in_several_documents(sp):
+    rng = random.Random(13)
+    x, y, z, line = (prose(rng, n) for n in (30, 30, 40, 30))
+    near = [(1, [x]), (2, [y]), (3, [x + " " + y]), (4, [x]), (5, [y]), (6, [x + " " + y]),
+            (7, [z]), (8, [z + " " + prose(rng, 12)]),
+            (10, [line, line + " " + prose(rng, 22)])]
+    near += [(9, near[7][1]), (11, near[8][1][1:])]
+    docs = sorted((i, " ".join([prose(rng, 120)] + [t + " " + prose(rng, 120) for t in ts])) for i, ts in near)
+    want = covered(docs, 50)
+    assert {i for i, _ in want} == {6, 9, 11}
+    found = chaining.repeated_passages(sp.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], p) for r in found for p in range(r["start"], r["end"])}
+    assert want <= got and len(got - want) <= 10
+    for r in found:
+        assert r["identity"] >= 0.9 and r["n_words"] >= 50 and r["doc_id"] > r["other_doc_id"]
+
+
+def test_no_run_of_equal_words_is_lost(sp):
+    rng = random.Random(14)
+    parts = [prose(rng, rng.randint(15, 45)) for _ in range(12)]
+    docs = [(i, " ".join(rng.choice(parts) if rng.random() < 0.8 else prose(rng, 20) for _ in range(8)))
+            for i in range(40)]
+    want = covered(docs, 50)
+    found = chaining.repeated_passages(sp.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(want) > 500 and want <= {(r["doc_id"], p) for r in found for p in range(r["start"], r["end"])}
