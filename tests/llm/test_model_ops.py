@@ -42,6 +42,32 @@ def test_quality_without_labels_and_with_odd_texts(sp):
     assert len(scored) == 3 and scored[0]["score"] == scored[1]["score"]
 
 
+def test_the_threshold_follows_all_labels_beyond_the_sample(sp):
+    rng = np.random.default_rng(15)
+    words = np.array([f"word{i}" for i in range(300)])
+    rows = []
+    for i in range(1500):  # good and bad overlap
+        y = int(rng.random() < 0.855)
+        text = rng.choice(words, 120)
+        text[rng.random(120) < np.clip(rng.normal(0.1 if y else 0.2, 0.06), 0, 1)] = "!!!"
+        rows.append((i, " ".join(text), y))
+    docs = sp.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = sp.createDataFrame([(i, y) for i, _, y in rows] + [(10_000 + i, 0) for i in range(3000)],
+                                "doc_id long, quality int")
+    train = [(t, y) for i, t, y in rows if not pairwise_quality.held_out(i)]
+    x, bad = np.array([pairwise_quality.features(t) for t, _ in train]), np.mean([not y for _, y in train])
+    for sample in (100, 5000):
+        model = pairwise_quality.train(docs, labels, sample)
+        assert abs((model.score(x) < pairwise_quality.CUT).mean() - bad) < 0.04
+
+
+def test_weighted_quantile_counts_what_values_stand_for():
+    x = np.random.default_rng(16).normal(size=101)
+    assert pairwise_quality.weighted_quantile(x, np.ones(101), 0.14) == pytest.approx(np.quantile(x, 0.14))
+    heavy = np.where(x > 0, 5.0, 1.0)
+    assert pairwise_quality.weighted_quantile(x, heavy, 0.3) == pytest.approx(np.quantile(np.repeat(x, heavy.astype(int)), 0.3), abs=0.05)
+
+
 def test_fits_do_not_depend_on_partitioning(sp):
     docs = sp.read.parquet(f"{SMOKE}/documents.parquet")
     labels = sp.read.parquet(f"{SMOKE}/labels.parquet")
