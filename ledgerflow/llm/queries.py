@@ -1,12 +1,13 @@
-"""The ten operators as queries over whole tables, with their SQL where it can say them."""
+"""The thirteen operators as queries over whole tables, with their SQL where it can say them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import (bbit_minhash, bfd_packing, chaining, containment, host_suffix, pairwise_quality,
-                            subword_langid, token_rollup, topk_inner, warc_index)
+from ledgerflow.llm import (bbit_minhash, bfd_packing, chaining, containment, divergence_rules, host_suffix,
+                            nra_search, pairwise_quality, simplex_clusters, subword_langid, token_rollup, topk_inner,
+                            warc_index)
 from ledgerflow.llm.common import importable, stored
 from ledgerflow.session import scratch_path
 
@@ -95,12 +96,52 @@ def op10_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfd_packing.piece_digests(bfd_packing.packed_sequences(_table(spark, sf_dir, "documents")))
 
 
+def op11_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight integer centroids over all embeddings, ten rounds."""
+    return simplex_clusters.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item."""
+    return nra_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of all documents."""
+    return divergence_rules.judged(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_index, op2_bbit_minhash, op3_containment, op4_topk_inner, op5_chaining, op6_pairwise_quality,
-    op7_host_suffix, op8_subword_langid, op9_token_rollup, op10_bfd_packing)}
+    op7_host_suffix, op8_subword_langid, op9_token_rollup, op10_bfd_packing, op11_simplex_clusters, op12_nra_search,
+    op13_divergence_rules)}
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _cluster_rounds(rounds: int) -> str:
+    """Ten rounds of assignment and floor means, each as three tables."""
+    each = []
+    for i in range(rounds + 1):
+        each.append(f"""
+d{i} AS MATERIALIZED (
+  SELECT x.r, c.c, sum((x.x - c.x) * (x.x - c.x)) AS d FROM x JOIN c{i} c USING (j) GROUP BY ALL
+), a{i} AS MATERIALIZED (
+  SELECT r, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+)""")
+        if i < rounds:
+            each.append(f"""
+s{i} AS (
+  SELECT a.c, x.j, sum(x.x) AS s, count(*) AS n FROM x JOIN a{i} a USING (r) GROUP BY ALL
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.c, c.j, CASE WHEN n IS NULL THEN c.x ELSE (s - (s % n + n) % n) // n END AS x
+  FROM c{i} c LEFT JOIN s{i} USING (c, j)
+)""")
+    return ",".join(each)
+
+
 ORACLES = {
     "op1_warc_index": f"""
 WITH p AS (
@@ -173,4 +214,114 @@ WITH v AS (
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
   vec_id, score FROM s QUALIFY rank <= 5""",
+    "op11_simplex_clusters": f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT r, unnest(range(64)) AS j, unnest(e) AS x FROM v
+), c0 AS MATERIALIZED (
+  SELECT c, unnest(range(64)) AS j, unnest(e) AS x FROM (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS c, e FROM v QUALIFY c < 8)
+),{_cluster_rounds(10)}, h AS (
+  SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c10 GROUP BY c
+)
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+  CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  centroid_sha256
+FROM a10 a JOIN v USING (r) JOIN h USING (c)""",
+    "op12_nra_search": rf"""
+WITH t AS (
+  SELECT doc, row_number() OVER () AS r, id, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT true AS doc, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark)
+), d AS MATERIALIZED (
+  SELECT r, id, ws, CAST(len(ws) AS BIGINT) AS n FROM t WHERE doc AND len(ws) > 0
+), z AS (
+  SELECT count(*) AS N, CAST(sum(n) AS BIGINT) AS L FROM d
+), f AS MATERIALIZED (
+  SELECT r, id, n, term, count(*) AS tf FROM (SELECT r, id, n, unnest(ws) AS term FROM d) GROUP BY ALL
+), q AS (
+  SELECT DISTINCT id AS item_id, unnest(ws) AS term FROM t WHERE NOT doc
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * CAST(any_value(N) AS DOUBLE) + 2) / (2 * CAST(count(*) AS DOUBLE) + 1))) AS BIGINT) AS w
+  FROM f, z GROUP BY term
+), s AS (
+  SELECT q.item_id, f.r, f.id AS doc_id,
+    CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * f.n * N) // L)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term), z GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10""",
+    "op13_divergence_rules": rf"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, '=' || lang AS own, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), rep AS (
+  SELECT r, count(DISTINCT i + o) AS n_repeat_words
+  FROM (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1), range(3) AS t(o) GROUP BY r
+), dup AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), e AS (
+  SELECT own, unnest(ws) AS word FROM w WHERE len(ws) >= {divergence_rules.MIN_WORDS}
+), cnt AS (
+  SELECT key, word, count(*) AS n FROM (
+    SELECT '{divergence_rules.ALL}' AS key, word FROM e UNION ALL SELECT own, word FROM e WHERE own IS NOT NULL) GROUP BY ALL
+), held AS MATERIALIZED (
+  SELECT key, sum(n) AS total FROM cnt GROUP BY key
+  HAVING total * {divergence_rules.MIN_SHARE} >= (SELECT count(*) FROM e)
+), common AS MATERIALIZED (
+  SELECT key, word, n / total AS q FROM cnt JOIN held USING (key) WHERE n * {divergence_rules.COMMON} >= total
+), k AS MATERIALIZED (
+  SELECT w.*, CASE WHEN own IN (SELECT key FROM held) THEN own ELSE '{divergence_rules.ALL}' END AS key,
+    len(regexp_replace(text, '\P{{Lu}}', '', 'g')) AS c1, len(regexp_replace(text, '\P{{L}}', '', 'g')) - c1 AS c2,
+    len(regexp_replace(text, '\P{{Nd}}', '', 'g')) AS c3, len(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) AS c4,
+    len(regexp_replace(text, '[^.,;:!?''"()\-]', '', 'g')) AS c5, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS c6,
+    len(text) - c1 - c2 - c3 - c4 - c5 - c6 AS c7 FROM w
+), hist AS (
+  SELECT r, key, i, [c1, c2, c3, c4, c5, c6, c7][i] AS n FROM k, range(1, 8) AS t(i)
+), refs AS (
+  SELECT key, i, sum(n) AS n FROM (
+    SELECT h.key, i, n FROM hist h JOIN k USING (r) WHERE len(ws) >= {divergence_rules.MIN_WORDS} AND h.key <> '{divergence_rules.ALL}'
+    UNION ALL
+    SELECT '{divergence_rules.ALL}', i, n FROM hist h JOIN k USING (r) WHERE len(ws) >= {divergence_rules.MIN_WORDS}) GROUP BY ALL
+), cpq AS (
+  SELECT r, h.n / sum(h.n) OVER (PARTITION BY r) AS p, f.n / sum(f.n) OVER (PARTITION BY r) AS q
+  FROM hist h JOIN refs f USING (key, i)
+), cdist AS (
+  SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END), 0) / 2) AS dist FROM cpq GROUP BY r
+), hit AS (
+  SELECT r, key, word, count(*) AS n FROM (SELECT r, key, unnest(ws) AS word FROM k WHERE len(ws) >= {divergence_rules.GUARD})
+  SEMI JOIN common USING (key, word) GROUP BY ALL
+), bin AS (
+  SELECT k.r, coalesce(h.n, 0) / len(k.ws) AS p, c.q
+  FROM k JOIN common c USING (key) LEFT JOIN hit h ON h.r = k.r AND h.word = c.word WHERE len(k.ws) >= {divergence_rules.GUARD}
+), wpq AS (
+  SELECT r, p, q FROM bin UNION ALL
+  SELECT k.r, 1 - coalesce(sum(p), 0), 1 - coalesce(sum(q), 0) FROM k LEFT JOIN bin USING (r)
+  WHERE len(k.ws) >= {divergence_rules.GUARD} GROUP BY k.r
+), wdist AS (
+  SELECT r, sqrt(greatest(sum(CASE WHEN p > 1e-12 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 1e-12 THEN q * log2(2 * q / (p + q)) ELSE 0 END), 0) / 2) AS dist FROM wpq GROUP BY r
+), bins AS (
+  SELECT key, count(*) AS n FROM common GROUP BY key
+), m AS (
+  SELECT k.*, len(ws) AS n_words, len(text) - c4 AS word_chars, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, cdist.dist AS cd, wdist.dist AS wd, coalesce(bins.n, 0) AS n_bins
+  FROM k LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN cdist USING (r) LEFT JOIN wdist USING (r) LEFT JOIN bins USING (key)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(c6 AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT base_failed AND (n_words < {divergence_rules.GUARD} OR (
+    coalesce(cd <= {divergence_rules.CHAR_LIMIT} + sqrt(7 / (8.0 * word_chars)), true)
+    AND coalesce(wd <= {divergence_rules.WORD_LIMIT} + sqrt(n_bins / (8.0 * n_words)), true))) AS kept
+FROM m""",
 }
