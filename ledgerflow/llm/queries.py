@@ -240,17 +240,17 @@ WITH t AS (
 ), d AS MATERIALIZED (
   SELECT r, id, ws, CAST(len(ws) AS BIGINT) AS n FROM t WHERE doc AND len(ws) > 0
 ), z AS (
-  SELECT count(*) AS N, CAST(sum(n) AS BIGINT) AS L FROM d
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d
 ), f AS MATERIALIZED (
   SELECT r, id, n, term, count(*) AS tf FROM (SELECT r, id, n, unnest(ws) AS term FROM d) GROUP BY ALL
 ), q AS (
   SELECT DISTINCT id AS item_id, unnest(ws) AS term FROM t WHERE NOT doc
 ), w AS (
-  SELECT term, CAST(floor(1000 * ln((2 * CAST(any_value(N) AS DOUBLE) + 2) / (2 * CAST(count(*) AS DOUBLE) + 1))) AS BIGINT) AS w
+  SELECT term, CAST(floor(1000 * ln((2 * CAST(any_value(docs) AS DOUBLE) + 2) / (2 * CAST(count(*) AS DOUBLE) + 1))) AS BIGINT) AS w
   FROM f, z GROUP BY term
 ), s AS (
   SELECT q.item_id, f.r, f.id AS doc_id,
-    CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * f.n * N) // L)))) AS BIGINT) AS score
+    CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * f.n * docs) // total)))) AS BIGINT) AS score
   FROM q JOIN f USING (term) JOIN w USING (term), z GROUP BY ALL
 )
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
