@@ -3,11 +3,10 @@
 Base measures of a whole text are array expressions inside its row. The verdict
 compares two histograms of a document with those of its language by Jensen-Shannon
 distance (0 same, 1 disjoint): character classes (upper-case letters, other letters,
-digits, white space, sentence marks, symbols, the rest) and common words (each word
-that makes up at least one in ``COMMON`` of a language's words, and one bin for all
-other words).
+white space, symbols, the rest) and common words (each word that makes up at least one
+in ``COMMON`` of a language's words, and one bin for all other words).
 
-References count all documents of ``MIN_WORDS`` words or more. Common words are found
+References count all documents of ``MIN_CHARS`` characters or more. Common words are found
 in two passes of bounded aggregates: words are first counted by hash bucket, and only
 words of buckets heavy enough to hold a common word are then counted by themselves, so
 no vocabulary is ever shuffled. A language gets a reference when it has at least one in
@@ -36,16 +35,14 @@ from ledgerflow.llm.common import stored
 
 COMMON = 200        # a common word is one in so many of its language's words, or more
 MIN_SHARE = 1000    # a language needs one in so many of all words to have a reference
-MIN_WORDS = 50      # a document needs so many words to count in a reference
+MIN_CHARS = 300     # a document needs so many characters to count in a reference
 GUARD = 100         # words from which the histograms are judged
 CHAR_LIMIT = 0.2    # largest distance of character classes that is kept, in a long text
 WORD_LIMIT = 0.2    # largest distance of common words that is kept, in a long text
 BUCKETS = 1 << 16
 
 SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-MARKS = ".,;:!?'\"()-"
-CLASSES = ("upper", "lower", "digit", "space", "mark", "symbol", "rest")
+CLASSES = ("upper", "lower", "space", "symbol", "rest")
 ALL = "*all"  # key of the reference over all documents; languages are keyed "=" + lang
 
 
@@ -54,7 +51,8 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _flat(text: Column) -> Column:
+def flat(text: Column) -> Column:
+    """All ASCII white space as spaces."""
     for c in SPACE[1:]:
         text = F.replace(text, F.lit(c), F.lit(" "))
     return text
@@ -62,7 +60,7 @@ def _flat(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of characters other than ASCII white space."""
-    return F.array_remove(F.split(_flat(text), " "), "")
+    return F.array_remove(F.split(flat(text), " "), "")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -72,28 +70,37 @@ def duplicate_lines(text: Column) -> Column:
 
 
 def repeated_words(ws: Column) -> Column:
-    """Words that stand in a 3-word window which the text has twice or more. Texts whose
-    windows all hash apart have none; others sort their windows with the positions and
-    look at neighbours."""
+    """Words that stand in a 3-word window which the text has twice or more. Windows are
+    hashed; those whose hash comes twice are sorted as text with their positions, and
+    neighbours compared. (With many such hashes all windows are sorted: looking each
+    window up among them would cost more.)"""
+    at = lambda a, i: F.get(a, i)
+    # the last two have no window and hash as nothing else does, or are sorted out as text
+    hashes = lambda a: F.transform(a, lambda w, i: F.xxhash64(w, at(a, i + 1), at(a, i + 2)))
+    twice = lambda h: let(F.sort_array(h), lambda s: F.array_distinct(
+        F.filter(s, lambda x, j: (j > 0) & (at(s, j - 1) == x))))
     starts = lambda a: F.sequence(F.lit(0), F.size(a) - 3)
-    hashes = lambda a: F.transform(starts(a), lambda i: F.xxhash64(a[i], a[i + 1], a[i + 2]))
     # words hold no space, so equal windows are neighbours in the order of these strings
-    keys = lambda a: F.sort_array(F.transform(starts(a), lambda i: F.concat(
-        a[i], F.lit(" "), a[i + 1], F.lit(" "), a[i + 2], F.lit(" "), F.lpad(i.cast("string"), 10, "0"))))
+    key = lambda a, i: F.concat(at(a, i), F.lit(" "), at(a, i + 1), F.lit(" "), at(a, i + 2), F.lit(" "),
+                                F.lpad(i.cast("string"), 10, "0"))
     window = lambda s: F.substring(s, F.lit(1), F.length(s) - 10)
-    at = lambda s: F.substring(s, F.length(s) - 9, F.lit(10)).cast("int")
+    place = lambda s: F.substring(s, F.length(s) - 9, F.lit(10)).cast("int")
 
     def neighbours(s):
-        same = lambda x, j: F.get(s, j).isNotNull() & (window(F.get(s, j)) == window(x))
+        same = lambda x, j: at(s, j).isNotNull() & (window(at(s, j)) == window(x))
         return F.filter(s, lambda x, j: ((j > 0) & same(x, j - 1)) | ((j < F.size(s) - 1) & same(x, j + 1)))
 
     def covered(p):  # each window covers three words, or as many as there are up to the next one
         return F.aggregate(F.transform(p, lambda x, j: F.when(
-            j < F.size(p) - 1, F.least(F.lit(3), F.get(p, j + 1) - x)).otherwise(3)), F.lit(0), lambda s, x: s + x)
+            j < F.size(p) - 1, F.least(F.lit(3), at(p, j + 1) - x)).otherwise(3)), F.lit(0), lambda s, x: s + x)
+
+    def exact(a, h, d):
+        of = F.when(F.size(d) <= 64, F.filter(starts(a), lambda i: F.array_contains(d, at(h, i)))).otherwise(starts(a))
+        keys = let(of, lambda p: F.sort_array(F.transform(p, lambda i: key(a, i))))
+        return let(F.sort_array(F.transform(let(keys, neighbours), place)), covered)
 
-    exact = lambda a: let(F.sort_array(F.transform(let(keys(a), neighbours), at)), covered)
     return let(ws, lambda a: F.when(F.size(a) < 4, 0).otherwise(let(hashes(a), lambda h: F.when(
-        F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(exact(a))))).cast("long")
+        F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(twice(h), lambda d: exact(a, h, d)))))).cast("long")
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -106,8 +113,8 @@ def _keyed(df: DataFrame) -> DataFrame:
 def word_references(docs: DataFrame) -> DataFrame:
     """(key, common, shares) of every language that gets a reference: its common words
     and their shares of its words, in the same order."""
-    each = docs.where("text is not null").select("lang", words(F.col("text")).alias("ws")).where(
-        F.size("ws") >= MIN_WORDS).select("lang", F.explode("ws").alias("word"))
+    long_enough = docs.where(F.length("text") >= MIN_CHARS)
+    each = long_enough.select("lang", F.explode(F.split(flat(F.col("text")), " ")).alias("word")).where("word <> ''")
     bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
     by_bucket = stored(each.groupBy("lang", bucket.alias("b")).agg(F.count("*").alias("n")), "word-buckets")
     by_key = _keyed(by_bucket)
@@ -131,26 +138,21 @@ def word_references(docs: DataFrame) -> DataFrame:
 def measures(docs: DataFrame, refs: DataFrame) -> DataFrame:
     """(doc_id, lang, text) -> key of its reference, base measures, counts per character
     class, distance of its common words from the reference."""
-    text = F.col("text")
-    without = lambda chars: F.length(F.regexp_replace(text, chars, ""))
     own = refs.select("key", F.struct("key", "common", "shares").alias("own"))
     whole = refs.where(F.col("key") == ALL).select(F.struct("key", "common", "shares")).scalar()
     df = docs.select("doc_id", F.concat(F.lit("="), "lang").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     df = df.join(F.broadcast(own), "key", "left").withColumn("ref", F.coalesce("own", whole))
+    text = F.col("text")
+    removed = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
     df = df.select("doc_id", "text", "ref", words(text).alias("ws")).withColumns({
         "n_words": F.size("ws").cast("long"), "n_chars": F.length(text).cast("long"),
-        "word_chars": F.length(F.replace(_flat(text), F.lit(" "), F.lit(""))).cast("long"),
+        "word_chars": F.length(F.replace(flat(text), F.lit(" "), F.lit(""))).cast("long"),
         "n_dup_lines": duplicate_lines(text), "n_repeat_words": repeated_words(F.col("ws")),
-        "symbol": (F.length(text) - without(r"[#*$%&|<>]+")).cast("long"),
-        "mark": (F.length(text) - without(r"[.,;:!?'\"()\-]+")).cast("long"),
-        "upper": (F.length(text) - without(r"\p{Lu}+")).cast("long"),
-        "letter": without(r"\P{L}+").cast("long"),
-        "digit": (F.length(text) - without(r"\p{Nd}+")).cast("long"),
+        "symbol": removed(r"[#*$%&|<>]+"), "upper": removed(r"\p{Lu}+"), "other": removed(r"[^\p{L}\x20\x09-\x0D]+"),
         "word_distance": F.when(F.size("ws") >= GUARD, word_distance(
             F.col("ws"), F.col("ref.common"), F.col("ref.shares")))})
-    classes = [F.col("upper"), F.col("letter") - F.col("upper"), F.col("digit"),
-               F.col("n_chars") - F.col("word_chars"), F.col("mark"), F.col("symbol"),
-               F.col("word_chars") - F.col("letter") - F.col("digit") - F.col("mark") - F.col("symbol")]
+    classes = [F.col("upper"), F.col("word_chars") - F.col("other") - F.col("upper"),
+               F.col("n_chars") - F.col("word_chars"), F.col("symbol"), F.col("other") - F.col("symbol")]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return df.select("doc_id", F.col("ref.key").alias("key"), "n_words", "word_chars",
                      F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
@@ -162,7 +164,7 @@ def class_references(measured: DataFrame) -> DataFrame:
     """(key, ref): counts per character class of the documents long enough, of each
     language that has a reference, and of all."""
     sums = F.array(*(F.sum(F.col("classes")[i]) for i in range(len(CLASSES)))).alias("ref")
-    counted = measured.where(F.col("n_words") >= MIN_WORDS)
+    counted = measured.where(F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x) >= MIN_CHARS)
     return stored(counted.groupBy("key").agg(sums).where(F.col("key") != ALL).unionByName(
         counted.agg(sums).select(F.lit(ALL).alias("key"), "ref")), "class-references")
 
@@ -197,9 +199,10 @@ def word_distance(toks: Column, common: Column, shares: Column) -> Column:
         return let(first, lambda f: F.transform(f, lambda i, j: F.struct(
             F.get(hits, i).alias("word"), (F.coalesce(F.get(f, j + 1), F.size(hits)) - i).alias("n"))))
 
-    def distance(t, c, s):
+    def distance(t, c, s, joined):
         n = F.size(t)
-        hits = F.sort_array(F.filter(t, lambda w: F.array_contains(c, w)))
+        # words hold no space, so a word between spaces is found only where it is one of them
+        hits = F.sort_array(F.filter(t, lambda w: F.contains(joined, F.concat(F.lit(" "), w, F.lit(" ")))))
 
         def bins(h):
             seen = F.when(F.size(h) > 0, runs(h)).otherwise(F.array().cast("array<struct<word:string,n:int>>"))
@@ -212,8 +215,9 @@ def word_distance(toks: Column, common: Column, shares: Column) -> Column:
 
         return F.when(n > 0, _distance(let(hits, bins)))
 
-    return let(F.struct(toks.alias("t"), common.alias("c"), shares.alias("s")),
-               lambda x: distance(x["t"], x["c"], x["s"]))
+    joined = F.concat(F.lit(" "), F.array_join(common, " "), F.lit(" "))
+    return let(F.struct(toks.alias("t"), common.alias("c"), shares.alias("s"), joined.alias("j")),
+               lambda x: distance(x["t"], x["c"], x["s"], x["j"]))
 
 
 def judged(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT,

@@ -269,7 +269,7 @@ WITH w AS MATERIALIZED (
   SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
 ), e AS (
-  SELECT own, unnest(ws) AS word FROM w WHERE len(ws) >= {divergence_rules.MIN_WORDS}
+  SELECT own, unnest(ws) AS word FROM w WHERE len(text) >= {divergence_rules.MIN_CHARS}
 ), cnt AS (
   SELECT key, word, count(*) AS n FROM (
     SELECT '{divergence_rules.ALL}' AS key, word FROM e UNION ALL SELECT own, word FROM e WHERE own IS NOT NULL) GROUP BY ALL
@@ -281,16 +281,15 @@ WITH w AS MATERIALIZED (
 ), k AS MATERIALIZED (
   SELECT w.*, CASE WHEN own IN (SELECT key FROM held) THEN own ELSE '{divergence_rules.ALL}' END AS key,
     len(regexp_replace(text, '\P{{Lu}}', '', 'g')) AS c1, len(regexp_replace(text, '\P{{L}}', '', 'g')) - c1 AS c2,
-    len(regexp_replace(text, '\P{{Nd}}', '', 'g')) AS c3, len(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) AS c4,
-    len(regexp_replace(text, '[^.,;:!?''"()\-]', '', 'g')) AS c5, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS c6,
-    len(text) - c1 - c2 - c3 - c4 - c5 - c6 AS c7 FROM w
+    len(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) AS c3, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS c4,
+    len(text) - c1 - c2 - c3 - c4 AS c5 FROM w
 ), hist AS (
-  SELECT r, key, i, [c1, c2, c3, c4, c5, c6, c7][i] AS n FROM k, range(1, 8) AS t(i)
+  SELECT r, key, i, [c1, c2, c3, c4, c5][i] AS n FROM k, range(1, 6) AS t(i)
 ), refs AS (
   SELECT key, i, sum(n) AS n FROM (
-    SELECT h.key, i, n FROM hist h JOIN k USING (r) WHERE len(ws) >= {divergence_rules.MIN_WORDS} AND h.key <> '{divergence_rules.ALL}'
+    SELECT h.key, i, n FROM hist h JOIN k USING (r) WHERE len(text) >= {divergence_rules.MIN_CHARS} AND h.key <> '{divergence_rules.ALL}'
     UNION ALL
-    SELECT '{divergence_rules.ALL}', i, n FROM hist h JOIN k USING (r) WHERE len(ws) >= {divergence_rules.MIN_WORDS}) GROUP BY ALL
+    SELECT '{divergence_rules.ALL}', i, n FROM hist h JOIN k USING (r) WHERE len(text) >= {divergence_rules.MIN_CHARS}) GROUP BY ALL
 ), cpq AS (
   SELECT r, h.n / sum(h.n) OVER (PARTITION BY r) AS p, f.n / sum(f.n) OVER (PARTITION BY r) AS q
   FROM hist h JOIN refs f USING (key, i)
@@ -313,15 +312,15 @@ WITH w AS MATERIALIZED (
 ), bins AS (
   SELECT key, count(*) AS n FROM common GROUP BY key
 ), m AS (
-  SELECT k.*, len(ws) AS n_words, len(text) - c4 AS word_chars, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  SELECT k.*, len(ws) AS n_words, len(text) - c3 AS word_chars, coalesce(n_dup_lines, 0) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, cdist.dist AS cd, wdist.dist AS wd, coalesce(bins.n, 0) AS n_bins
   FROM k LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN cdist USING (r) LEFT JOIN wdist USING (r) LEFT JOIN bins USING (key)
 )
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(c6 AS BIGINT) AS n_symbols,
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(c4 AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT base_failed AND (n_words < {divergence_rules.GUARD} OR (
-    coalesce(cd <= {divergence_rules.CHAR_LIMIT} + sqrt(7 / (8.0 * word_chars)), true)
+    coalesce(cd <= {divergence_rules.CHAR_LIMIT} + sqrt(5 / (8.0 * word_chars)), true)
     AND coalesce(wd <= {divergence_rules.WORD_LIMIT} + sqrt(n_bins / (8.0 * n_words)), true))) AS kept
 FROM m""",
 }
