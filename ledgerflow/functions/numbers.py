@@ -1,7 +1,10 @@
 """Numeric coercion and money arithmetic.
 
 Money is public as DOUBLE; sums are done on DECIMAL so results do not depend
-on partition order, then cast back.
+on partition order, then cast back. Amounts in cents are DECIMAL(38,2) and fail
+the job from 1e36 on; unrounded balances are summed in two limbs (``exact_sum``),
+whole units and what is beyond the point, so any DOUBLE under 1e38 counts in full.
+Such sums are hash aggregates in Spark.
 """
 
 from __future__ import annotations
@@ -10,8 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
-# Sums: wide enough for any balance under 1e32, six places, inputs not rounded to cents.
-EXACT = "decimal(38,6)"
+# Sums of amounts rounded to cents.
+CENTS = "decimal(38,2)"
+CENTS_LIMIT = 1e36
+WHOLE_LIMIT = 1e38
 # Plain decimal / scientific numbers with optional sign and surrounding blanks.
 # Rejects '1,234', '-7.5 Dr', '1.5d' (Spark would accept the last one).
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -61,13 +66,40 @@ def round2(c: Column | str) -> Column:
     return F.bround(_c(c), 2)
 
 
-def cents(c: Column | str) -> Column:
-    """Money with 2 decimals as exact integer cents (LONG). Sums of LONG stay in
-    hash aggregation and codegen (a DECIMAL(38) buffer forces sort-based
-    aggregation), and overflow raises under ANSI mode instead of wrapping."""
-    return F.round(finite_or_zero(_c(c).cast("double")) * F.lit(100)).try_cast("long")
-
-
-def from_cents(c: Column | str) -> Column:
-    """Integer cents back to a DOUBLE amount (the nearest double, as a DECIMAL cast)."""
-    return _c(c).cast("double") / F.lit(100.0)
+def money2(c: Column | str) -> Column:
+    """An amount as exact DECIMAL(38,2); one of 1e36 or more fails the job instead of
+    being left out of every later sum."""
+    x = finite_or_zero(_c(c).cast("double"))
+    return F.when(F.abs(x) < CENTS_LIMIT, x.cast(CENTS)).otherwise(
+        F.raise_error(F.lit("an amount of 1e36 or more can't be summed exactly")).cast(CENTS))
+
+
+def limbs(c: Column | str) -> tuple[Column, Column]:
+    """A balance as whole units, rounded down, and the rest (0 <= rest < 1): exact
+    decimals of its shortest decimal form. A DOUBLE from 2**53 on has no rest."""
+    x = finite_or_zero(_c(c).cast("double"))
+    small = F.abs(x) < float(2 ** 53)
+    whole = F.when(small, F.floor(x).cast("decimal(38,0)")).when(F.abs(x) < WHOLE_LIMIT, x.cast("decimal(38,0)")).otherwise(
+        F.raise_error(F.lit("a balance of 1e38 or more can't be summed exactly")).cast("decimal(38,0)"))
+    rest = F.when(small, x.cast("decimal(35,18)") - F.floor(x).cast("decimal(17,0)")).otherwise(F.lit(0).cast("decimal(36,18)"))
+    return whole, rest.cast("decimal(36,18)")
+
+
+def joined(whole: Column, rest: Column) -> Column:
+    """The DOUBLE nearest to whole + rest, through its decimal digits."""
+    units = (whole + F.floor(rest).cast("decimal(38,0)")).cast("decimal(38,0)")
+    part = (rest - F.floor(rest)).cast("decimal(19,18)")
+    down = (units < 0) & (part > 0)  # -3 and 0.25 is -2.75
+    units = F.when(down, units + 1).otherwise(units).cast("decimal(38,0)")
+    part = F.when(down, 1 - part).otherwise(part).cast("decimal(19,18)")
+    digits = F.concat(F.abs(units).cast("string"), F.substring(part.cast("string"), 2, 19)).cast("double")
+    return F.when(down | (units < 0), -digits).otherwise(digits)
+
+
+def exact_sum(c: Column | str, where: Column | None = None) -> tuple[Column, Column]:
+    """The two limbs of a sum over the rows that meet ``where``; 0 over no rows."""
+    keep = (lambda x: x) if where is None else (lambda x: F.when(where, x))
+    whole, rest = limbs(c)
+    zero = lambda t: F.lit(0).cast(t)
+    return (F.coalesce(F.sum(keep(whole)), zero("decimal(38,0)")),
+            F.coalesce(F.sum(keep(rest)), zero("decimal(38,18)")))

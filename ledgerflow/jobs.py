@@ -188,6 +188,13 @@ def paginate(spark, sf_dir):
                        RP.pending_order(), 2)
 
 
+@job("paginate_all")
+def paginate_all(spark, sf_dir):
+    """T5 for every page of the pending list at once."""
+    led, _ = _tables(spark, sf_dir)
+    return RP.paginate_all(RP.pending(led).select("ledger_name", "closing_balance", "parent"), RP.pending_order())
+
+
 @job("pending_report")
 def pending_report(spark, sf_dir):
     return RP.pending_report(_tables(spark, sf_dir)[0], page=1)
@@ -280,10 +287,7 @@ def bills_receivable(spark, sf_dir):
 def first_invoices(spark, sf_dir):
     led, ent = _tables(spark, sf_dir)
     tx = RV.party_entries(ST.unique_ledgers(led), ent, DEFAULT_FY)
-    w = RV.Window.partitionBy("ledger_name").orderBy(*RV.ORDER)
-    return (tx.where(FL.is_sale()).withColumn("inv_no", F.row_number().over(w))
-            .where(F.col("inv_no") <= RV.INVOICES_PER_PARTY)
-            .select("ledger_name", "inv_no", "date", "voucher_no", "credit_amount"))
+    return RV.first_invoices(tx).select("ledger_name", "inv_no", "date", "voucher_no", "credit_amount")
 
 
 @job("payments_total")
@@ -674,6 +678,25 @@ def answer_questions(spark, sf_dir):
     return AN.answer_questions(_questions(spark, sf_dir), led, ent, DEFAULT_FY, _routed(spark, sf_dir))
 
 
+@job("answer_rows")
+def answer_rows(spark, sf_dir):
+    """The answers themselves; the fields that all reports share, taken from the rows."""
+    led, ent = _tables(spark, sf_dir)
+    a = AN.answer_rows(_questions(spark, sf_dir), led, ent, DEFAULT_FY, _routed(spark, sf_dir))
+    text = lambda *paths: F.coalesce(*(F.try_variant_get("row", f"$.{p}", "string") for p in paths))
+    number = lambda *paths: F.coalesce(*(F.try_variant_get("row", f"$.{p}", "double") for p in paths))
+    return a.select("q_id", "route", "status", "seq", text("section").alias("section"),
+                    text("ledger_name", "name").alias("name"), text("parent").alias("parent"),
+                    text("br_no", "voucher_no").alias("number"),
+                    number("balance", "closing_balance", "amount", "year").alias("amount"))
+
+
+@job("request_status")
+def request_status(spark, sf_dir):
+    """How every statement and BR question resolves when a name has to be unique."""
+    return AN.request_status(_questions(spark, sf_dir), _tables(spark, sf_dir)[0], _routed(spark, sf_dir))
+
+
 @job("followup_rewrite")
 def followup_rewrite(spark, sf_dir):
     return QN.followup_rewrite(QN.prompt_turns(_t(spark, sf_dir).conversations))

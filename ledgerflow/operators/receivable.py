@@ -1,7 +1,7 @@
 """Bills receivable for every ledger in one job.
 
 Per ledger and FY (exact party match only, as the reference):
-  invoices: the first 10 sales (by date, voucher_no, entry_no); each is reduced
+  invoices: the first 10 sales (in the statement's order); each is reduced
   by the party's *total* FY payments (no allocation), due = credit - min(credit,
   payments); rows with due > 0 are listed, 'Outstanding' if due > 0.5 else 'Paid'.
   fallback, only for ledgers without invoice rows: the first 5 debtor-group
@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import fy_bounds
-from ledgerflow.functions.numbers import EXACT
+from ledgerflow.functions.numbers import CENTS, money2
 from ledgerflow.operators import filters as FL
-from ledgerflow.operators.statement import fy_entries, unique_ledgers
+from ledgerflow.operators.statement import ORDER, fy_entries, ordered, unique_ledgers
 from ledgerflow.operators.textjoin import contains_pairs
 
 # --- fixed values ------------------------------------------------------------------
@@ -31,9 +31,6 @@ FALLBACK_STEP_DAYS = 15
 PAID_TOLERANCE = 0.5
 # ------------------------------------------------------------------------------------
 
-ORDER = ["date", "voucher_no", "entry_no"]
-
-
 def party_entries(ledgers: DataFrame, entries: DataFrame, fy: str) -> DataFrame:
     """J6 (exact key) for the BR report: ledger_name x its FY entries."""
     led = ledgers.select("ledger_name", "name_key")
@@ -45,21 +42,27 @@ def payments_total(tx: DataFrame) -> DataFrame:
     """FY payment total per ledger (payment vouchers with debit > 0)."""
     return (tx.where(FL.is_payment())
             .groupBy("ledger_name")
-            .agg(F.sum(F.col("debit_amount").cast(EXACT)).alias("paid"),
+            .agg(F.sum(money2("debit_amount")).alias("paid"),
                  F.count(F.lit(1)).alias("n_payments")))
 
 
+def first_invoices(tx: DataFrame) -> DataFrame:
+    """The first 10 sales of every ledger, numbered in the statement's order, in
+    which only equal entries tie."""
+    w = Window.partitionBy("ledger_name").orderBy(*ORDER)
+    return (ordered(tx.where(FL.is_sale()))
+            .withColumn("inv_no", F.row_number().over(w))
+            .where(F.col("inv_no") <= INVOICES_PER_PARTY).drop("voucher", "entry"))
+
+
 def invoice_rows(tx: DataFrame) -> DataFrame:
     """W3 + J8 + F11: first 10 sales per ledger against the party's payment total."""
-    w = Window.partitionBy("ledger_name").orderBy(*ORDER)
-    sales = (tx.where(FL.is_sale())
-             .withColumn("inv_no", F.row_number().over(w))
-             .where(F.col("inv_no") <= INVOICES_PER_PARTY))
+    sales = first_invoices(tx)
     pay = payments_total(tx)
     j = sales.join(pay, "ledger_name", "left")
-    credit = F.col("credit_amount").cast(EXACT)
+    credit = money2("credit_amount")
     received = F.when(F.col("n_payments") > 0, F.least(credit, F.col("paid"))) \
-        .otherwise(F.lit(0).cast(EXACT))
+        .otherwise(F.lit(0).cast(CENTS))
     j = j.withColumn("due", credit - received).where(F.col("due") > 0)
     return j.select(
         "ledger_name",
@@ -99,7 +102,7 @@ def debtor_fallback(ledgers: DataFrame, without: DataFrame, fy: str) -> DataFram
         F.bround(F.abs(F.col("d_closing")), 2).alias("amount"),
         F.date_add(br_date, DUE_DAYS).alias("due_date"),
         F.lit("Outstanding").alias("status"),
-        F.abs(F.col("d_closing")).cast(EXACT).alias("due_exact"))
+        money2(F.abs(F.col("d_closing"))).alias("due_exact"))
 
 
 def bills_receivable(ledgers: DataFrame, entries: DataFrame, fy: str) -> DataFrame:

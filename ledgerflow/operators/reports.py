@@ -1,7 +1,7 @@
 """Single-table reports over the ledger table.
 
-Money aggregates are DECIMAL(38,6) sums of unrounded balances cast back to DOUBLE; means are that exact sum
-divided by the count. Top-k is ``orderBy(...).limit(k)`` (TakeOrderedAndProject:
+Money aggregates are exact sums of unrounded balances (``exact_sum``) cast back to DOUBLE; means are that
+sum divided by the count. Top-k is ``orderBy(...).limit(k)`` (TakeOrderedAndProject:
 each task keeps k rows, no full sort); ranks are numbered after the limit, so
 no window ever runs over the whole table. Every order ends in ``ledger_name``
 so ties are deterministic.
@@ -15,23 +15,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.numbers import EXACT
+from ledgerflow.functions.numbers import exact_sum, joined, limbs
 from ledgerflow.operators import filters as FL
+from ledgerflow.session import cut_lineage
 
 PAGE_SIZE = 15
 ALL_SETTLED = "All accounts are settled"
 
 
-def _dsum(c: str) -> Column:
-    return F.sum(F.col(c).cast(EXACT))
-
-
 def money_sum(c: str) -> Column:
-    return F.coalesce(_dsum(c), F.lit(0).cast(EXACT)).cast("double")
+    return joined(*exact_sum(c))
 
 
 def money_mean(c: str) -> Column:
-    return _dsum(c).cast("double") / F.count(F.col(c))
+    return F.when(F.count(F.col(c)) > 0, money_sum(c) / F.count(F.col(c)))
 
 
 def ranked(df: DataFrame, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
@@ -88,24 +85,24 @@ def group_totals(ledgers: DataFrame, k: int = 5, mode: str = "normalized") -> Da
 def net_position(ledgers: DataFrame, mode: str = "normalized") -> DataFrame:
     """A4: one pass with conditional sums over F2 ledgers."""
     b = ledgers.where(FL.business_wide(mode))
-    pos = F.sum(F.when(F.col("closing_balance") > 0, F.col("closing_balance").cast(EXACT)))
-    neg = F.sum(F.when(F.col("closing_balance") < 0, F.col("closing_balance").cast(EXACT)))
-    z = F.lit(0).cast(EXACT)
-    return b.agg(F.coalesce(pos, z).alias("p"), F.coalesce(neg, z).alias("n")).select(
-        F.col("p").cast("double").alias("assets"),
-        F.abs(F.col("n")).cast("double").alias("liabilities"),
-        (F.col("p") + F.col("n")).cast("double").alias("net_position"))
+    p, n = (exact_sum("closing_balance", x) for x in (F.col("closing_balance") > 0, F.col("closing_balance") < 0))
+    sums = b.agg(F.struct(*p).alias("p"), F.struct(*n).alias("n"))
+    whole, rest = (lambda x: F.col(f"{x}.col1")), (lambda x: F.col(f"{x}.col2"))
+    return sums.select(
+        joined(whole("p"), rest("p")).alias("assets"),
+        F.abs(joined(whole("n"), rest("n"))).alias("liabilities"),
+        joined(whole("p") + whole("n"), rest("p") + rest("n")).alias("net_position"))
 
 
 def pnl_card(ledgers: DataFrame, pattern: str = FL.PNL_PATTERN, mode: str = "normalized") -> DataFrame:
     """F7 + A5: the first P&L account (by name): closing, opening, closing - opening."""
     first = FL.pnl_accounts(ledgers, pattern, mode).orderBy("ledger_name").limit(1)
+    closing, opening = limbs("closing_balance"), limbs("opening_balance")
     return first.select(
         F.col("ledger_name").alias("account"),
         F.col("closing_balance").alias("pnl_closing"),
         F.col("opening_balance").alias("pnl_opening"),
-        (F.col("closing_balance").cast(EXACT) - F.col("opening_balance").cast(EXACT))
-        .cast("double").alias("net_profit"))
+        joined(closing[0] - opening[0], closing[1] - opening[1]).alias("net_profit"))
 
 
 def available_years(ledgers: DataFrame) -> DataFrame:
@@ -139,6 +136,34 @@ def paginate(df: DataFrame, order: list[Column], page: int, size: int = PAGE_SIZ
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) + F.lit(start))
 
 
+def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank") -> DataFrame:
+    """Number all rows 1..n by ``order`` without bringing them together: rows are dealt to
+    key ranges and stored, ranges are counted, and a row's rank is its place within its
+    range plus the rows of the ranges before. The order should end in a unique key; rows
+    equal in all of it are numbered in any order, over a range border as well as within.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
+    counts = dict(dealt.groupBy("__range").count().collect())  # a row for each range, shuffle partitions at most
+    before, total = [], 0
+    for i in sorted(counts):
+        before.append((i, total))
+        total += counts[i]
+    offsets = df.sparkSession.createDataFrame(before, "__range int, __before long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return (dealt.withColumn("__place", place).join(F.broadcast(offsets), "__range")
+            .withColumn(rank_col, F.col("__before") + F.col("__place")).select(*df.columns, rank_col))
+
+
+def paginate_all(df: DataFrame, order: list[Column], size: int = PAGE_SIZE) -> DataFrame:
+    """T5 for all pages at once: rank, page, and which rows of how many the page shows."""
+    ranked_rows = global_rank(df, order)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    page = F.ceil(F.col("rank") / F.lit(size)).cast("long")
+    return ranked_rows.withColumn("page", page).withColumns({
+        "first_row": (F.col("page") - 1) * size + 1, "last_row": F.least(F.col("page") * size, total), "rows": total})
+
+
 def pending_order() -> list[Column]:
     return [F.col("closing_balance").desc(), F.col("ledger_name").asc()]
 

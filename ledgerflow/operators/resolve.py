@@ -16,21 +16,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.textjoin import contains_pairs
+from ledgerflow.session import cut_lineage
 
 LOOKUP_LIST = 10
 STATEMENT_LIST = 5
 SEARCH_LIST = 15
 
 
-GROUP_BROADCAST_LIMIT = 1024
-
-
 def contains_matches(requests: DataFrame, ledgers: DataFrame, text_col: str = "ledger_name") -> DataFrame:
-    """Every (request row, ledger row) with lower(text_col) containing lower(request).
-    Group names (``parent``) are few: they are counted and, under the limit,
-    broadcast instead of indexed."""
-    small = GROUP_BROADCAST_LIMIT if text_col == "parent" else None
-    pairs = contains_pairs(requests, "request", ledgers, text_col, broadcast_texts_up_to=small)
+    """Every (request row, ledger row) with lower(text_col) containing lower(request)."""
+    pairs = contains_pairs(requests, "request", ledgers, text_col)
     r = requests.join(pairs, requests.request == pairs.pattern).drop("pattern")
     return r.join(ledgers, r.text == ledgers[text_col]).drop("text")
 
@@ -87,8 +82,16 @@ def did_you_mean(requests: DataFrame, ledgers: DataFrame, k: int = STATEMENT_LIS
     return first_k(m, k).select("req_id", "request", "rank", "ledger_name")
 
 
-def _lookup(requests: DataFrame, ledgers: DataFrame, k: int) -> DataFrame:
-    m = contains_matches(requests, ledgers)
+def stored_matches(requests: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """J3 once for all lookups of a batch: the (request row, ledger row) matches, in the
+    shared checkpoint folder."""
+    return cut_lineage(contains_matches(requests, ledgers))
+
+
+def _lookup(requests: DataFrame, ledgers: DataFrame, k: int, matches: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """First k matches with their count, and the requests without one. Counts and heads
+    read the matches, so they are stored unless given."""
+    m = stored_matches(requests, ledgers) if matches is None else matches
     cnt = match_counts(m)
     top = first_k(m, k).join(cnt, "req_id")
     nf = requests.join(cnt, "req_id", "left_anti")
@@ -100,11 +103,11 @@ def _ledger_cols(df: DataFrame) -> list:
 
 
 def balance_lookup(requests: DataFrame, ledgers: DataFrame, balance_type: str | None = None,
-                   k: int = LOOKUP_LIST) -> DataFrame:
+                   k: int = LOOKUP_LIST, matches: DataFrame | None = None) -> DataFrame:
     """Per request the matching ledger's balance; several matches -> first k
     (clarification); none -> a not_found row. ``balance_type`` per request comes
     from a column of that name when present, else the argument (default closing)."""
-    top, nf = _lookup(requests, ledgers, k)
+    top, nf = _lookup(requests, ledgers, k, matches)
     bt = (F.col("balance_type") if "balance_type" in requests.columns
           else F.lit(balance_type or "closing"))
     bt = F.coalesce(bt, F.lit("closing"))
@@ -124,9 +127,10 @@ def balance_lookup(requests: DataFrame, ledgers: DataFrame, balance_type: str |
     return found.unionByName(missing)
 
 
-def parent_lookup(requests: DataFrame, ledgers: DataFrame, k: int = LOOKUP_LIST) -> DataFrame:
+def parent_lookup(requests: DataFrame, ledgers: DataFrame, k: int = LOOKUP_LIST,
+                  matches: DataFrame | None = None) -> DataFrame:
     """Group, closing and opening per request (first k when several)."""
-    top, nf = _lookup(requests, ledgers, k)
+    top, nf = _lookup(requests, ledgers, k, matches)
     found = top.select("req_id", "request", "n_matches", status_col().alias("status"), "rank",
                        "ledger_name", "parent", "closing_balance", "opening_balance")
     missing = nf.select(
@@ -138,9 +142,10 @@ def parent_lookup(requests: DataFrame, ledgers: DataFrame, k: int = LOOKUP_LIST)
     return found.unionByName(missing)
 
 
-def compare_lookup(requests: DataFrame, ledgers: DataFrame, k: int = LOOKUP_LIST) -> DataFrame:
+def compare_lookup(requests: DataFrame, ledgers: DataFrame, k: int = LOOKUP_LIST,
+                   matches: DataFrame | None = None) -> DataFrame:
     """One match -> full card; several -> first k and how many more."""
-    top, nf = _lookup(requests, ledgers, k)
+    top, nf = _lookup(requests, ledgers, k, matches)
     found = top.select("req_id", "request", "n_matches", status_col().alias("status"), "rank",
                        *_ledger_cols(top),
                        F.greatest(F.col("n_matches") - F.lit(k), F.lit(0)).alias("more"))
@@ -165,16 +170,39 @@ def search_hits(requests: DataFrame, ledgers: DataFrame) -> DataFrame:
             .groupBy("req_id", "request", *cols).agg(F.min("hit_rank").alias("hit_rank")))
 
 
+def search_groups(requests: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """(req_id, request, parent): the groups whose name contains the request. A hit on a
+    group stands for all its ledgers, which are not listed."""
+    pairs = contains_pairs(requests, "request", ledgers, "parent")
+    return requests.join(pairs, requests.request == pairs.pattern).select("req_id", "request", F.col("text").alias("parent"))
+
+
 def ledger_search(requests: DataFrame, ledgers: DataFrame, k: int = SEARCH_LIST) -> DataFrame:
-    """U1 hits, name hits first then parent hits, first k per request plus
-    the total count; requests without a hit get a not_found row."""
+    """Ledgers whose name or group contains the request (U1), name hits first, first
+    k per request plus the total count; requests without a hit get a not_found row.
+
+    Group hits are counted by group size and never listed: of a hit group only its first
+    2k - 1 ledgers are candidates, enough for k places after at most k - 1 name hits.
+    """
     cols = _ledger_cols(ledgers)
-    both = search_hits(requests, ledgers)
-    cnt = match_counts(both)
-    top = first_k(both, k, ["hit_rank", "ledger_name", "parent"]).join(cnt, "req_id")
+    order = ["ledger_name", "parent", "opening_balance", "closing_balance", "altered_on"]
+    rows = ledgers.select(*cols).distinct()
+    by_name = cut_lineage(contains_matches(requests.select("req_id", "request"), rows))
+    groups = cut_lineage(search_groups(requests, rows))
+    sizes = rows.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.count(F.lit(1)).alias("size"))
+    in_both = F.coalesce(F.contains(F.lower("parent"), F.lower("request")), F.lit(False))
+    counts = (by_name.select("req_id", F.when(in_both, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("n"))
+              .unionByName(groups.join(sizes, "parent").select("req_id", F.col("size").alias("n")))
+              .groupBy("req_id").agg(F.sum("n").alias("n_matches")))
+    place = F.row_number().over(Window.partitionBy("parent").orderBy(*order))
+    heads = rows.where(F.col("parent").isNotNull()).withColumn("place", place).where(F.col("place") < 2 * k).drop("place")
+    by_group = (groups.join(heads, "parent")
+                .where(~F.coalesce(F.contains(F.lower("ledger_name"), F.lower("request")), F.lit(False))))
+    both = by_name.withColumn("hit_rank", F.lit(0)).unionByName(by_group.withColumn("hit_rank", F.lit(1)))
+    top = first_k(both, k, ["hit_rank", *order]).join(counts, "req_id")
     found = top.select("req_id", "request", "n_matches", F.lit("found").alias("status"), "rank",
                        "hit_rank", *cols)
-    nf = requests.join(cnt, "req_id", "left_anti")
+    nf = requests.join(counts, "req_id", "left_anti")
     missing = nf.select(
         "req_id", "request", F.lit(0).cast("long").alias("n_matches"),
         F.lit("not_found").alias("status"), F.lit(None).cast("int").alias("rank"),

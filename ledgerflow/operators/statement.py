@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import fy_bounds, round2
-from ledgerflow.functions.numbers import cents, from_cents
+from ledgerflow.functions.numbers import CENTS, money2
 from ledgerflow.operators.textjoin import contains_pairs
 from ledgerflow.operators.windows import running_sums
 from ledgerflow.session import cut_lineage
@@ -95,7 +95,7 @@ def fy_statement(ledgers: DataFrame, entries: DataFrame, fy: str,
     # materialise them once in the shared checkpoint folder instead of running
     # the exact/partial matching four times
     tx = cut_lineage(party_fy_transactions(led, entries, fy, partial_fallback, carry=["opening"]))
-    delta = cents("debit_amount") - cents("credit_amount")
+    delta = money2("debit_amount") - money2("credit_amount")
     rs = running_sums(ordered(tx), ["ledger_name"], ORDER, {"run": delta, "seq": F.lit(1).cast("long")})
     body = (rs
             .select("ledger_name",
@@ -104,7 +104,7 @@ def fy_statement(ledgers: DataFrame, entries: DataFrame, fy: str,
                     F.substring("particulars", 1, PARTICULARS_WIDTH).alias("particulars"),
                     round2("debit_amount").alias("debit"),
                     round2("credit_amount").alias("credit"),
-                    from_cents(cents("opening") + F.col("run")).alias("balance"),
+                    (money2("opening") + F.col("run")).cast("double").alias("balance"),
                     "source"))
     # source is constant per ledger; an integer code keeps the aggregate hash-based
     counts = (tx.groupBy("ledger_name")
@@ -145,17 +145,17 @@ def reconcile(ledgers: DataFrame, entries: DataFrame, fy: str | None = None) ->
     """
     e = entries if fy is None else fy_entries(entries, fy)
     flow = e.groupBy("party_key").agg(
-        F.sum(cents("debit_amount") - cents("credit_amount")).alias("flow"),
+        F.sum(money2("debit_amount") - money2("credit_amount")).alias("flow"),
         F.count(F.lit(1)).alias("n_entries"))
     led = unique_ledgers(ledgers)
     j = led.join(flow, led.name_key == flow.party_key, "left").withColumns(
-        {"flow": F.coalesce("flow", F.lit(0)), "n_entries": F.coalesce("n_entries", F.lit(0))})
-    computed = cents(round2("opening_balance")) + F.col("flow")
-    stored = cents(round2("closing_balance"))
+        {"flow": F.coalesce("flow", F.lit(0).cast(CENTS)), "n_entries": F.coalesce("n_entries", F.lit(0))})
+    computed = money2(round2("opening_balance")) + F.col("flow")
+    stored = money2(round2("closing_balance"))
     return j.select(
         "ledger_name",
         "n_entries",
-        from_cents(computed).alias("computed_closing"),
+        computed.cast("double").alias("computed_closing"),
         round2("closing_balance").alias("stored_closing"),
-        from_cents(computed - stored).alias("drift"),
+        (computed - stored).cast("double").alias("drift"),
         (computed == stored).alias("ok"))

@@ -24,7 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_Q = 8
-POS_RANGE = 1 << 24  # patterns are names: positions stay far below 16M characters
+# The rarest gram is looked for among a pattern's first POS_RANGE grams (any gram of it
+# finds all its texts), and grams of FREQ_RANGE texts or more count as equally frequent.
+POS_RANGE = 1 << 24
+FREQ_RANGE = 1 << 38
 
 
 def _grams(col: F.Column, g: F.Column, distinct: bool = True) -> F.Column:
@@ -38,16 +41,10 @@ def _grams(col: F.Column, g: F.Column, distinct: bool = True) -> F.Column:
 
 
 def contains_pairs(patterns: DataFrame, pattern_col: str, texts: DataFrame, text_col: str,
-                   q: int = DEFAULT_Q, case_insensitive: bool = True,
-                   broadcast_texts_up_to: int | None = None) -> DataFrame:
+                   q: int = DEFAULT_Q, case_insensitive: bool = True) -> DataFrame:
     """Distinct (pattern, text) pairs where text contains pattern.
 
     Returns columns ``pattern`` and ``text`` holding the original values.
-
-    ``broadcast_texts_up_to``: for texts of low cardinality (e.g. group names),
-    count the distinct texts first; when there are at most that many, broadcast
-    them and test every pattern against each (a nested loop over a proven-small
-    side, no shuffle of the patterns); otherwise use the q-gram join.
     """
     low = F.lower if case_insensitive else (lambda c: c)
     pats = (patterns.select(F.col(pattern_col).alias("pattern"))
@@ -59,11 +56,6 @@ def contains_pairs(patterns: DataFrame, pattern_col: str, texts: DataFrame, text
             .where(F.col("text").isNotNull())
             .distinct()
             .withColumn("t_l", low(F.col("text"))))
-    if broadcast_texts_up_to is not None:
-        n = txts.limit(broadcast_texts_up_to + 1).count()
-        if n <= broadcast_texts_up_to:
-            j = pats.join(F.broadcast(txts), F.contains(F.col("t_l"), F.col("p_l")))
-            return j.select("pattern", "text")
     # the gram lengths in use (at most q values); texts only emit grams of those
     # lengths: (text, g) for g in 1..q, kept by an equi semi-join on g
     lengths = pats.select("g").distinct()
@@ -73,7 +65,8 @@ def contains_pairs(patterns: DataFrame, pattern_col: str, texts: DataFrame, text
     freq = tg.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
     pg = pats.select("pattern", "p_l", "g", F.posexplode(_grams(F.col("p_l"), F.col("g"), False))
                      .alias("pos", "gram"))
-    pg = pg.join(freq, "gram", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    pg = (pg.where(F.col("pos") < POS_RANGE).join(freq, "gram", "left")
+          .withColumn("freq", F.least(F.coalesce("freq", F.lit(0)), F.lit(FREQ_RANGE))))
     # rarest gram (ties: first position) as one long key, so the aggregate stays
     # a hash aggregate; the gram is re-read from the pattern at that position
     key = F.col("freq").cast("long") * F.lit(POS_RANGE) + F.col("pos")

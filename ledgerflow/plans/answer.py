@@ -15,7 +15,7 @@ reference used the current FY of the wall clock).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import filters as FL
@@ -59,7 +59,8 @@ def route_table(questions: DataFrame) -> DataFrame:
     return routed(questions).select(
         "q_id", "question", "route", "command",
         F.col("params.ledger_name").alias("name"), F.col("params.count").alias("count"),
-        F.col("params.year").alias("year"))
+        F.col("params.year").alias("year"), F.col("params.balance_type").alias("balance_type"),
+        F.col("params.order").alias("order"))
 
 
 def answer_questions(questions: DataFrame, ledgers: DataFrame, entries: DataFrame, fy: str,
@@ -145,31 +146,213 @@ def answer_questions(questions: DataFrame, ledgers: DataFrame, entries: DataFram
                     n_rows.cast("long").alias("n_rows"))
 
 
-def statement_requests(questions: DataFrame, ledgers: DataFrame, entries: DataFrame, fy: str,
-                       routed_table: DataFrame | None = None) -> DataFrame:
-    """Statement questions -> resolve ``first`` (contains) -> R1 rows of the
-    resolved ledger for ``fy``; one row per (question, statement row)."""
+RESOLVE_MODES = ("first", "unique")
+
+
+def _requested(questions: DataFrame, route: str, routed_table: DataFrame | None) -> DataFrame:
+    """(q_id, request) of one route's questions; request is null where no name was given."""
     rt = routed_table if routed_table is not None else route_table(questions)
-    r = rt.where(F.col("route") == "statement_query").select("q_id", "name")
-    r = r.where(F.col("name").isNotNull() & (F.length("name") > 0))
+    name = F.when(F.length("name") > 0, F.col("name"))
+    return rt.where(F.col("route") == route).select("q_id", name.alias("request"))
+
+
+def resolved_requests(requested: DataFrame, ledgers: DataFrame, mode: str = "first",
+                      k: int = RS.STATEMENT_LIST) -> DataFrame:
+    """(q_id, request, status, ledger_name, n_matches, options) for every question.
+
+    ``first`` takes the first ledger by name that contains the request, as question
+    batches do; ``unique`` takes the ledger named so, else the only one that contains
+    the request, and asks back (status ``clarification``, first k names as ``options``)
+    when several do. No name at all: ``clarification``; no ledger: ``not_found``.
+    Each distinct request is resolved once; questions without a name join nothing.
+    """
+    if mode not in RESOLVE_MODES:
+        raise ValueError(f"mode is one of {RESOLVE_MODES}")
+    named = requested.where(F.col("request").isNotNull())
+    names = named.select("request").distinct().withColumn("req_id", F.col("request"))
+    if mode == "unique":
+        per = RS.resolve_status(names, ledgers, k).select(
+            "req_id", F.when(F.col("status") == "resolved", F.lit("answered")).otherwise(F.col("status")).alias("status"),
+            F.col("resolved_name").alias("ledger_name"), "n_matches", "options")
+    else:
+        hits = RS.contains_matches(names, ledgers).groupBy("req_id").agg(
+            F.min("ledger_name").alias("ledger_name"), F.count(F.lit(1)).alias("n_matches"))
+        per = names.select("req_id").join(hits, "req_id", "left").select(
+            "req_id", F.when(F.col("ledger_name").isNull(), F.lit("not_found")).otherwise(F.lit("answered")).alias("status"),
+            "ledger_name", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.lit("").alias("options"))
+    found = named.join(per, F.col("request") == F.col("req_id")).drop("req_id")
+    unnamed = requested.where(F.col("request").isNull()).select(
+        "q_id", "request", F.lit("clarification").alias("status"), F.lit(None).cast("string").alias("ledger_name"),
+        F.lit(0).cast("long").alias("n_matches"), F.lit("").alias("options"))
+    return found.unionByName(unnamed)
+
+
+def _requested_report(resolved: DataFrame, report: DataFrame) -> DataFrame:
+    """Report rows of the ledgers that questions resolved to, one per (question, row)."""
+    return resolved.where(F.col("ledger_name").isNotNull()).select("q_id", "ledger_name").join(report, "ledger_name")
+
+
+def statement_requests(questions: DataFrame, ledgers: DataFrame, entries: DataFrame, fy: str,
+                       routed_table: DataFrame | None = None, mode: str = "first") -> DataFrame:
+    """Statement questions -> R1 rows of the resolved ledger for ``fy``; one row per
+    (question, statement row). ``request_status`` has the questions without one."""
     led = ST.unique_ledgers(ledgers)
-    names = r.select(F.col("name").alias("request")).distinct().withColumn("req_id", F.col("request"))
-    first = RS.contains_matches(names, led).groupBy("req_id").agg(F.min("ledger_name").alias("ledger_name"))
-    qn = cut_lineage(r.join(first, F.col("name") == F.col("req_id")).select("q_id", "ledger_name"))
-    st = ST.fy_statement(led.join(qn.select("ledger_name").distinct(), "ledger_name", "left_semi"), entries, fy)
-    return qn.join(st, "ledger_name")
+    resolved = cut_lineage(resolved_requests(_requested(questions, "statement_query", routed_table), led, mode))
+    wanted = resolved.select("ledger_name").distinct()
+    return _requested_report(resolved, ST.fy_statement(led.join(wanted, "ledger_name", "left_semi"), entries, fy))
 
 
 def br_requests(questions: DataFrame, ledgers: DataFrame, entries: DataFrame, fy: str,
+                routed_table: DataFrame | None = None, mode: str = "first") -> DataFrame:
+    """R13 (BR side): BR questions -> R2 rows of the resolved ledger."""
+    led = ST.unique_ledgers(ledgers)
+    resolved = cut_lineage(resolved_requests(_requested(questions, "br_query", routed_table), led, mode))
+    wanted = resolved.select("ledger_name").distinct()
+    return _requested_report(resolved, RV.bills_receivable(led.join(wanted, "ledger_name", "left_semi"), entries, fy))
+
+
+def request_status(questions: DataFrame, ledgers: DataFrame, routed_table: DataFrame | None = None,
+                   mode: str = "unique") -> DataFrame:
+    """What becomes of every statement and BR question: (q_id, route, request, status,
+    ledger_name, n_matches, options)."""
+    led = ST.unique_ledgers(ledgers)
+    routes = ("statement_query", "br_query")
+    rt = routed_table if routed_table is not None else cut_lineage(route_table(questions))
+    each = [resolved_requests(_requested(questions, x, rt), led, mode).withColumn("route", F.lit(x)) for x in routes]
+    return each[0].unionByName(each[1]).select("q_id", "route", "request", "status", "ledger_name", "n_matches", "options")
+
+
+# ---------------------------------------------------------------------------
+# answer rows
+
+def _variant(*cols) -> F.Column:
+    return F.to_variant_object(F.struct(*cols))
+
+
+def _rows(df: DataFrame, route: str, status, seq, *cols) -> DataFrame:
+    status = F.lit(status) if isinstance(status, str) else status
+    return df.select("q_id", F.lit(route).alias("route"), status.alias("status"),
+                     F.coalesce(seq, F.lit(0)).cast("long").alias("seq"), _variant(*cols).alias("row"))
+
+
+def _status_rows(df: DataFrame, route: str, status: str, *cols) -> DataFrame:
+    return _rows(df, route, status, F.lit(0), F.lit(status).alias("section"), *cols)
+
+
+def global_rows(ledgers: DataFrame) -> DataFrame:
+    """(route, seq, row): the rows of the reports that no question parameter changes.
+    At most some twenty rows a report, numbered by section and rank."""
+    tables = {"financial_analysis": RP.financial_analysis(ledgers), "trend_analysis": RP.trend_snapshot(ledgers),
+              "summary_report": RP.business_summary(ledgers), "pnl_report": RP.pnl_report(ledgers),
+              "pending_analysis": RP.pending_report(ledgers).select(
+                  F.lit("pending").alias("section"), F.col("rank").cast("int").alias("rank"),
+                  F.col("ledger_name").alias("name"), "parent", F.col("closing_balance").alias("amount"))}
+    rows = None
+    for route, df in tables.items():
+        one = df.select(F.lit(route).alias("route"), "section", "rank", "name", "parent", "amount")
+        rows = one if rows is None else rows.unionByName(one)
+    seq = F.row_number().over(Window.partitionBy("route").orderBy("section", "rank", "name"))
+    return rows.select("route", seq.alias("seq"), _variant("section", "rank", "name", "parent", "amount").alias("row"))
+
+
+MAX_COUNT = 1000  # the largest number a question's count can be (see extract_params)
+DEFAULT_COUNT = 10
+
+
+def ranking_rows(asked: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """R7 for many (q_id, count, order, year): every year's first and last business ledgers
+    are numbered once, as many as the largest count, and each question takes its head.
+    A year without ledgers answers with the years there are."""
+    year = F.coalesce(F.year("altered_on"), F.lit(0))
+    biz = FL.business()
+    each = ledgers.select("ledger_name", "closing_balance", "parent", "altered_on", year.alias("y"), biz.alias("biz"))
+    scoped = each.where("y > 0").unionByName(each.withColumn("y", F.lit(0)))  # 0: all years
+    by = {"DESC": [F.desc("closing_balance"), F.asc("ledger_name")], "ASC": [F.asc("closing_balance"), F.asc("ledger_name")]}
+    heads = None
+    for order, cols in by.items():
+        place = F.row_number().over(Window.partitionBy("y").orderBy(*cols))
+        one = scoped.where("biz").withColumn("place", place).where(F.col("place") <= MAX_COUNT).withColumn("o", F.lit(order))
+        heads = one if heads is None else heads.unionByName(one)
+    q = asked.select("q_id", F.coalesce("count", F.lit(DEFAULT_COUNT)).alias("n"), "order",
+                     F.coalesce("year", F.lit(0)).alias("year"))
+    hit = q.join(heads, (q.year == heads.y) & (q.order == heads.o) & (F.col("place") <= F.col("n")))
+    ranked = _rows(hit, "ranking_query", "answered", F.col("place"), F.lit("ranking").alias("section"),
+                   F.col("place").alias("rank"), "ledger_name", "closing_balance", "parent",
+                   F.date_format("altered_on", "yyyy-MM-dd").alias("altered_on"))
+    years = scoped.where("y > 0").select(F.col("y").alias("available")).distinct()
+    none = q.where("year > 0").join(years, q.year == years.available, "left_anti")
+    # a list of calendar years, the same for every question without a ledger in its year
+    listed = years.withColumn("place", F.row_number().over(Window.orderBy("available"))).withColumn("years", F.lit(1))
+    other = _rows(none.withColumn("years", F.lit(1)).join(F.broadcast(listed), "years"), "ranking_query", "no_data",
+                  F.col("place"), F.lit("available_year").alias("section"), F.col("available").alias("year"))
+    return ranked.unionByName(other)
+
+
+def answer_rows(questions: DataFrame, ledgers: DataFrame, entries: DataFrame, fy: str,
                 routed_table: DataFrame | None = None) -> DataFrame:
-    """R13 (BR side): BR questions -> resolve ``first`` -> R2 rows of that ledger."""
-    rt = routed_table if routed_table is not None else route_table(questions)
-    r = rt.where(F.col("route") == "br_query").select("q_id", "name")
-    r = r.where(F.col("name").isNotNull() & (F.length("name") > 0))
+    """(q_id, route, status, seq, row) - the rows that answer every question, each as a
+    VARIANT of its report's columns.
+
+    The routed questions are stored by route, so each route is a branch that reads its
+    own folder. Every distinct name is matched once for all lookups; reports are never
+    built to be counted. Questions that can't be answered get one row that says why
+    (``section`` = status, and names to choose from in ``options``).
+    """
+    r = routed_table if routed_table is not None else cut_lineage(route_table(questions))
     led = ST.unique_ledgers(ledgers)
-    names = r.select(F.col("name").alias("request")).distinct().withColumn("req_id", F.col("request"))
-    first = RS.contains_matches(names, led).groupBy("req_id").agg(F.min("ledger_name").alias("ledger_name"))
-    qn = cut_lineage(r.join(first, F.col("name") == F.col("req_id")).select("q_id", "ledger_name"))
-    br = RV.bills_receivable(led.join(qn.select("ledger_name").distinct(), "ledger_name", "left_semi"),
-                             entries, fy)
-    return qn.join(br, "ledger_name")
+    has_name = F.col("name").isNotNull() & (F.length("name") > 0)
+    of = lambda route: r.where(F.col("route") == route)
+    named = {x: of(x).where(has_name) for x in NAME_ROUTES}
+
+    # lookups: distinct names of the three routes, matched once
+    asked = None
+    for x in LOOKUP_ROUTES:
+        one = named[x].select(F.col("name").alias("request"))
+        asked = one if asked is None else asked.unionByName(one)
+    names = asked.distinct().withColumn("req_id", F.col("request"))
+    matches = RS.stored_matches(names, led)
+    answered = F.when(F.col("status") == "resolved", F.lit("answered")).otherwise(F.col("status"))
+    out = []
+    for x, table in (("balance_query", RS.balance_lookup(names, led, matches=matches).drop("balance", "balance_type")),
+                     ("parent_query", RS.parent_lookup(names, led, matches=matches)),
+                     ("comparative_analysis", RS.compare_lookup(names, led, matches=matches))):
+        q = named[x].select("q_id", "name", "balance_type").join(table.drop("request"), F.col("name") == F.col("req_id"))
+        cols = [c for c in table.columns if c not in ("req_id", "request", "status", "altered_on")]
+        if x == "balance_query":
+            amount = F.when(F.col("balance_type") == "opening", F.col("opening_balance")).otherwise(F.col("closing_balance"))
+            cols += ["balance_type", amount.alias("balance")]
+        out.append(_rows(q, x, answered, F.col("rank"), F.col("status").alias("section"), F.col("name").alias("request"), *cols))
+
+    search = named["search_query"].select(F.col("name").alias("request")).distinct().withColumn("req_id", F.col("request"))
+    hits = RS.ledger_search(search, led).drop("request", "altered_on")
+    q = named["search_query"].select("q_id", "name").join(hits, F.col("name") == F.col("req_id"))
+    found = F.when(F.col("status") == "found", F.lit("answered")).otherwise(F.col("status"))
+    out.append(_rows(q, "search_query", found, F.col("rank"), F.col("status").alias("section"),
+                     F.col("name").alias("request"), *[c for c in hits.columns if c not in ("req_id", "status")]))
+
+    out.append(ranking_rows(of("ranking_query").select("q_id", "count", "order", "year"), ledgers))
+    report = F.broadcast(global_rows(ledgers))  # some twenty rows for each of five routes
+    routes = r.where(F.col("route").isin(GLOBAL_ROUTES)).select("q_id", F.col("route").alias("g_route"))
+    out.append(routes.join(report, F.col("g_route") == F.col("route")).select(
+        "q_id", "route", F.lit("answered").alias("status"), F.col("seq").cast("long").alias("seq"), "row"))
+
+    # statements and bills: the ledgers that questions resolve to, each reported once
+    for x, build in (("statement_query", ST.fy_statement), ("br_query", RV.bills_receivable)):
+        resolved = cut_lineage(resolved_requests(_requested(questions, x, r), led))
+        rows = build(led.join(resolved.select("ledger_name").distinct(), "ledger_name", "left_semi"), entries, fy)
+        rows = cut_lineage(rows)
+        text = [F.date_format(c, "yyyy-MM-dd").alias(c) if t == "date" else F.col(c) for c, t in rows.dtypes]
+        out.append(_rows(_requested_report(resolved, rows), x, "answered", F.col("seq"), *text))
+        bare = resolved.where(F.col("ledger_name").isNotNull()).join(
+            rows.select("ledger_name").distinct(), "ledger_name", "left_anti")
+        out.append(_status_rows(bare, x, "no_data", "ledger_name"))
+        for status in ("clarification", "not_found"):
+            out.append(_status_rows(resolved.where(F.col("status") == status), x, status, "request", "options"))
+    for x in (*LOOKUP_ROUTES, "search_query"):
+        out.append(_status_rows(of(x).where(~F.coalesce(has_name, F.lit(False))), x, "clarification"))
+    for x, status in (("balance_prompt", "prompt"), ("parent_prompt", "prompt"), ("general_query", "help")):
+        out.append(_status_rows(of(x), x, status))
+    rows = out[0]
+    for one in out[1:]:
+        rows = rows.unionByName(one)
+    return rows

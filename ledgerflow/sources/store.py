@@ -154,8 +154,9 @@ def routed_questions_path(spark: SparkSession, sf_dir: str) -> str:
         if key in _XML_MEMO:
             return _XML_MEMO[key]
         t = B.Tables(spark, sf_dir)
+        # a folder per route: each route's answers read only their own questions
         path = write_snapshot(route_table(questions_table(t.customer, t.conversations)),
-                              scratch_path(spark, "routed-questions"))
+                              scratch_path(spark, "routed-questions"), partition_by=["route"])
         _XML_MEMO[key] = path
         return path
 

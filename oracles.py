@@ -131,7 +131,8 @@ body AS (
               - CAST(t.credit_amount AS DECIMAL(18,2))) OVER w AS DOUBLE) AS balance,
          t.source
   FROM tx t JOIN led l USING (ledger_name)
-  WINDOW w AS (PARTITION BY t.ledger_name ORDER BY t.date, t.voucher_no, t.entry_no
+  WINDOW w AS (PARTITION BY t.ledger_name ORDER BY t.date, t.voucher_no, t.voucher_type, t.entry_no, t.particulars,
+               t.debit_amount, t.credit_amount
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ),
 heads AS (
@@ -281,6 +282,12 @@ ORACLES.update({
     "sort_head": q(PENDING + "SELECT ledger_name, closing_balance, parent, rank FROM pend WHERE rank <= 15"),
     "paginate": q(PENDING + "SELECT ledger_name, closing_balance, parent, rank FROM pend "
                             "WHERE rank BETWEEN 16 AND 30"),
+    "paginate_all": q(PENDING + """
+, n AS (SELECT COUNT(*) AS n FROM pend)
+SELECT ledger_name, closing_balance, parent, rank, CAST((rank + 14) // 15 AS BIGINT) AS page,
+       CAST((rank - 1) // 15 * 15 + 1 AS BIGINT) AS first_row,
+       CAST(least(((rank + 14) // 15) * 15, n) AS BIGINT) AS last_row, n AS rows
+FROM pend, n"""),
     "pending_report": q(PENDING + f"""
 , m AS (SELECT COUNT(*) AS total_pending, {msum('closing_balance')} AS total_amount,
                {mmean('closing_balance')} AS avg_pending FROM pend)
@@ -419,7 +426,8 @@ UNION ALL SELECT 'not_found', NULL, NULL, NULL, NULL WHERE (SELECT COUNT(*) FROM
 BR = f"""
 , tx AS (SELECT l.ledger_name, e.* FROM ledgers l JOIN fy_e e ON e.party_key = l.name_key),
 sales AS (
-  SELECT *, row_number() OVER (PARTITION BY ledger_name ORDER BY date, voucher_no, entry_no) AS inv_no
+  SELECT *, row_number() OVER (PARTITION BY ledger_name ORDER BY date, voucher_no, voucher_type, entry_no, particulars,
+              debit_amount, credit_amount) AS inv_no
   FROM tx WHERE credit_amount > 0 AND regexp_matches(lower(voucher_type), 'invoice|sales|bill')
 ),
 pay AS (
@@ -966,3 +974,90 @@ fm AS (SELECT b.q_id, min(l.ledger_name) AS ledger_name FROM bq b JOIN ledgers l
 SELECT fm.ledger_name, fm.q_id, br.financial_year, br.source, br.seq, br.br_date, br.br_no, br.party, br.amount,
        br.due_date, br.status, br.total_br
 FROM fm JOIN br USING (ledger_name)""")
+
+# --- N4: the answers themselves, R13: how names resolve ------------------------------
+_GLOBAL_ROWS = " UNION ALL ".join(
+    f"SELECT '{r}' AS route, section, rank, name, parent, amount FROM ({ORACLES[k]})" if k != "pending_report" else
+    f"SELECT '{r}', 'pending', rank, ledger_name, parent, closing_balance FROM ({ORACLES[k]})"
+    for r, k in _GLOBAL.items())
+_NO_ROW = "NULL AS name, NULL AS parent, NULL AS number, NULL AS amount"
+
+ORACLES["answer_rows"] = q(QUESTIONS + BR + f"""
+, st AS ({FY_STATEMENT}),
+qa AS (SELECT q_id, route, count, year, balance_type, "order" AS ord,
+              CASE WHEN length(ledger_name) > 0 THEN ledger_name END AS name FROM qp),
+nm AS (SELECT DISTINCT name FROM qa WHERE route IN {_NAME_ROUTES} AND name IS NOT NULL),
+hits AS (
+  SELECT n.name AS ask, l.*, COUNT(*) OVER (PARTITION BY n.name) AS n,
+         row_number() OVER (PARTITION BY n.name ORDER BY l.ledger_name) AS place
+  FROM nm n JOIN ledgers l ON contains(lower(l.ledger_name), lower(n.name))
+),
+firsts AS (SELECT ask, ledger_name FROM hits WHERE place = 1),
+found AS (
+  SELECT n.name AS ask, l.*, row_number() OVER (PARTITION BY n.name ORDER BY
+           CASE WHEN contains(lower(l.ledger_name), lower(n.name)) THEN 0 ELSE 1 END, l.ledger_name, l.parent) AS place
+  FROM nm n JOIN ledgers l ON contains(lower(l.ledger_name), lower(n.name)) OR contains(lower(l.parent), lower(n.name))
+),
+scoped AS (
+  SELECT CAST(year(altered_on) AS INTEGER) AS y, ledger_name, parent, closing_balance FROM ledgers WHERE altered_on IS NOT NULL
+  UNION ALL SELECT 0, ledger_name, parent, closing_balance FROM ledgers
+),
+heads AS (
+  SELECT *, row_number() OVER (PARTITION BY y ORDER BY closing_balance DESC, ledger_name) AS hi,
+            row_number() OVER (PARTITION BY y ORDER BY closing_balance, ledger_name) AS lo
+  FROM scoped WHERE {biz()}
+),
+years AS (SELECT y, row_number() OVER (ORDER BY y) AS place FROM (SELECT DISTINCT y FROM scoped WHERE y > 0)),
+gl AS (SELECT route, row_number() OVER (PARTITION BY route ORDER BY section, rank NULLS FIRST, name NULLS FIRST) AS seq,
+              section, name, parent, amount FROM ({_GLOBAL_ROWS})),
+res AS (SELECT q_id, route, name AS request, ledger_name FROM qa LEFT JOIN firsts ON name = ask
+        WHERE route IN ('statement_query', 'br_query')),
+rep AS (
+  SELECT 'statement_query' AS route, ledger_name, seq, voucher_no AS number, balance AS amount FROM st
+  UNION ALL SELECT 'br_query', ledger_name, seq, br_no, amount FROM br
+),
+a AS (
+  SELECT q_id, route, CASE WHEN n = 1 THEN 'answered' ELSE 'clarification' END AS status, place AS seq,
+    CASE WHEN n = 1 THEN 'resolved' ELSE 'clarification' END AS section, ledger_name AS name, parent, NULL AS number,
+    CASE WHEN route = 'balance_query' AND balance_type = 'opening' THEN opening_balance ELSE closing_balance END AS amount
+  FROM qa JOIN hits ON qa.name = ask WHERE route IN {_LOOKUP} AND place <= 10
+  UNION ALL SELECT q_id, route, 'not_found', 0, 'not_found', {_NO_ROW} FROM qa
+  WHERE route IN {_LOOKUP} AND qa.name IS NOT NULL AND qa.name NOT IN (SELECT ask FROM hits)
+  UNION ALL SELECT q_id, route, 'answered', place, 'found', ledger_name, parent, NULL, closing_balance
+  FROM qa JOIN found ON qa.name = ask WHERE route = 'search_query' AND place <= 15
+  UNION ALL SELECT q_id, route, 'not_found', 0, 'not_found', {_NO_ROW} FROM qa
+  WHERE route = 'search_query' AND qa.name IS NOT NULL AND qa.name NOT IN (SELECT ask FROM found)
+  UNION ALL SELECT q_id, route, 'clarification', 0, 'clarification', {_NO_ROW} FROM qa
+  WHERE route IN {_NAME_ROUTES} AND qa.name IS NULL
+  UNION ALL SELECT q_id, route, 'answered', CASE WHEN ord = 'ASC' THEN lo ELSE hi END, 'ranking', ledger_name, parent, NULL,
+    closing_balance
+  FROM qa JOIN heads ON COALESCE(year, 0) = y AND CASE WHEN ord = 'ASC' THEN lo ELSE hi END <= COALESCE(count, 10)
+  WHERE route = 'ranking_query'
+  UNION ALL SELECT q_id, route, 'no_data', place, 'available_year', NULL, NULL, NULL, y FROM qa, years
+  WHERE route = 'ranking_query' AND year IS NOT NULL AND year NOT IN (SELECT y FROM scoped)
+  UNION ALL SELECT q_id, qa.route, 'answered', seq, section, gl.name, parent, NULL, amount FROM qa JOIN gl USING (route)
+  UNION ALL SELECT q_id, route, 'answered', seq, NULL, ledger_name, NULL, number, amount FROM res JOIN rep USING (route, ledger_name)
+  UNION ALL SELECT q_id, route, 'no_data', 0, 'no_data', ledger_name, NULL, NULL, NULL FROM res
+  WHERE ledger_name IS NOT NULL AND (route, ledger_name) NOT IN (SELECT (route, ledger_name) FROM rep)
+  UNION ALL SELECT q_id, route, 'not_found', 0, 'not_found', {_NO_ROW} FROM res WHERE request IS NOT NULL AND ledger_name IS NULL
+  UNION ALL SELECT q_id, route, CASE WHEN route = 'general_query' THEN 'help' ELSE 'prompt' END, 0,
+    CASE WHEN route = 'general_query' THEN 'help' ELSE 'prompt' END, {_NO_ROW} FROM qa
+  WHERE route IN ('general_query', 'balance_prompt', 'parent_prompt')
+)
+SELECT q_id, route, status, CAST(seq AS BIGINT) AS seq, section, name, parent, number, CAST(amount AS DOUBLE) AS amount FROM a""")
+
+ORACLES["request_status"] = q(QUESTIONS + """
+, rq AS (SELECT q_id, route, CASE WHEN length(ledger_name) > 0 THEN ledger_name END AS request
+         FROM qp WHERE route IN ('statement_query', 'br_query')),
+rn AS (SELECT DISTINCT request FROM rq WHERE request IS NOT NULL),
+ex AS (SELECT request, min(ledger_name) AS ledger_name FROM rn JOIN ledgers ON lower(ledger_name) = lower(request) GROUP BY 1),
+hit AS (SELECT * FROM ex UNION ALL
+        SELECT DISTINCT request, ledger_name FROM rn JOIN ledgers ON contains(lower(ledger_name), lower(request))
+        WHERE request NOT IN (SELECT request FROM ex)),
+per AS (SELECT request, COUNT(*) AS n, min(ledger_name) AS one FROM hit GROUP BY 1),
+opt AS (SELECT request, string_agg(ledger_name, '; ' ORDER BY ledger_name) AS options FROM (
+          SELECT *, row_number() OVER (PARTITION BY request ORDER BY ledger_name) AS p FROM hit) WHERE p <= 5 GROUP BY 1)
+SELECT q_id, route, request, CASE WHEN request IS NULL OR n > 1 THEN 'clarification' WHEN n = 1 THEN 'answered'
+         ELSE 'not_found' END AS status,
+       CASE WHEN n = 1 THEN one END AS ledger_name, COALESCE(n, 0) AS n_matches, COALESCE(options, '') AS options
+FROM rq LEFT JOIN per USING (request) LEFT JOIN opt USING (request)""")
