@@ -74,26 +74,49 @@ def money2(c: Column | str) -> Column:
         F.raise_error(F.lit("an amount of 1e36 or more can't be summed exactly")).cast(CENTS))
 
 
+def _integer(x: Column) -> Column:
+    """An integral DOUBLE under 1e38 as the decimal it is, bit by bit: its printed form
+    may be off in the last digit."""
+    top = F.floor(x / float(2 ** 93))
+    middle = F.floor(x / float(2 ** 53) - top.cast("double") * float(2 ** 40))
+    low = x - top.cast("double") * float(2 ** 93) - middle.cast("double") * float(2 ** 53)
+    wide = lambda c: c.cast("long").cast("decimal(38,0)")
+    times = lambda c, n: (c * F.lit(2 ** n).cast("decimal(16,0)")).cast("decimal(38,0)")
+    return times(times(wide(top), 40) + wide(middle), 53) + wide(low)
+
+
 def limbs(c: Column | str) -> tuple[Column, Column]:
     """A balance as whole units, rounded down, and the rest (0 <= rest < 1): exact
-    decimals of its shortest decimal form. A DOUBLE from 2**53 on has no rest."""
+    decimals, the rest to 18 places. A DOUBLE from 2**53 on has no rest."""
     x = finite_or_zero(_c(c).cast("double"))
     small = F.abs(x) < float(2 ** 53)
-    whole = F.when(small, F.floor(x).cast("decimal(38,0)")).when(F.abs(x) < WHOLE_LIMIT, x.cast("decimal(38,0)")).otherwise(
+    whole = F.when(small, F.floor(x).cast("decimal(38,0)")).when(
+        F.abs(x) < WHOLE_LIMIT, F.when(x < 0, -_integer(-x)).otherwise(_integer(x)).cast("decimal(38,0)")).otherwise(
         F.raise_error(F.lit("a balance of 1e38 or more can't be summed exactly")).cast("decimal(38,0)"))
     rest = F.when(small, x.cast("decimal(35,18)") - F.floor(x).cast("decimal(17,0)")).otherwise(F.lit(0).cast("decimal(36,18)"))
     return whole, rest.cast("decimal(36,18)")
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def joined(whole: Column, rest: Column) -> Column:
     """The DOUBLE nearest to whole + rest, through its decimal digits."""
-    units = (whole + F.floor(rest).cast("decimal(38,0)")).cast("decimal(38,0)")
-    part = (rest - F.floor(rest)).cast("decimal(19,18)")
-    down = (units < 0) & (part > 0)  # -3 and 0.25 is -2.75
-    units = F.when(down, units + 1).otherwise(units).cast("decimal(38,0)")
-    part = F.when(down, 1 - part).otherwise(part).cast("decimal(19,18)")
-    digits = F.concat(F.abs(units).cast("string"), F.substring(part.cast("string"), 2, 19)).cast("double")
-    return F.when(down | (units < 0), -digits).otherwise(digits)
+    def carried(x):
+        units = (x["whole"] + F.floor(x["rest"]).cast("decimal(38,0)")).cast("decimal(38,0)")
+        return F.struct(units.alias("units"), (x["rest"] - F.floor(x["rest"])).cast("decimal(19,18)").alias("part"))
+
+    def signed(x):  # -3 and 0.25 is -2.75
+        down = (x["units"] < 0) & (x["part"] > 0)
+        units = F.when(down, x["units"] + 1).otherwise(x["units"]).cast("decimal(38,0)")
+        part = F.when(down, 1 - x["part"]).otherwise(x["part"]).cast("decimal(19,18)")
+        digits = F.concat(F.abs(units).cast("string"), F.substring(part.cast("string"), 2, 19)).cast("double")
+        return F.when(x["units"] < 0, -digits).otherwise(digits)
+
+    limb = F.struct(whole.alias("whole"), rest.alias("rest"))
+    return _once(_once(limb, carried), signed)
 
 
 def exact_sum(c: Column | str, where: Column | None = None) -> tuple[Column, Column]:

@@ -330,13 +330,13 @@ def receivable_total(spark, sf_dir):
 @job("resolve_exact")
 def resolve_exact(spark, sf_dir):
     led, _ = _tables(spark, sf_dir)
-    return RS.exact_matches(_requests(spark, sf_dir), led).select("req_id", "request", "ledger_name")
+    return RS.resolve_exact(_requests(spark, sf_dir), led).select("req_id", "request", "ledger_name")
 
 
 @job("resolve_contains")
 def resolve_contains(spark, sf_dir):
     led, _ = _tables(spark, sf_dir)
-    return RS.contains_matches(_requests(spark, sf_dir), led).select("req_id", "request", "ledger_name")
+    return RS.resolve_contains(_requests(spark, sf_dir), led).select("req_id", "request", "ledger_name")
 
 
 @job("resolve_status")
@@ -395,6 +395,7 @@ def rank_number(spark, sf_dir):
 from ledgerflow import functions as FN  # noqa: E402
 from ledgerflow.functions import display as DS  # noqa: E402
 from ledgerflow.sources import fixtures as FX  # noqa: E402
+from ledgerflow.sources import versions as V  # noqa: E402
 from ledgerflow.sources import xml as X  # noqa: E402
 
 
@@ -446,7 +447,11 @@ def source_pruned_scan(spark, sf_dir):
 
 @job("scan_tables")
 def scan_tables(spark, sf_dir):
-    return _tables(spark, sf_dir)[0].select(*LCOLS)
+    """Every row of both stored tables, under the table's name."""
+    led, ent = _tables(spark, sf_dir)
+    led = led.select(F.lit("ledgers").alias("table"), *LCOLS)
+    ent = ent.select(F.lit("voucher_entries").alias("table"), *store.ENTRY_COLUMNS)
+    return led.unionByName(ent, allowMissingColumns=True)
 
 
 @job("trim_column_names")
@@ -523,10 +528,9 @@ def field_default(spark, sf_dir):
 
 @job("entry_field_fallback")
 def entry_field_fallback(spark, sf_dir):
-    vt = FX.voucher_text(_t(spark, sf_dir))
-    return vt.select("voucher_id", "entry_no",
-                     X.default_text("LEDGERNAME").alias("particulars"),
-                     F.coalesce(F.nullif(F.col("AMOUNT"), F.lit("0")), F.lit("0")).alias("amount_text"))
+    """P5 over the voucher XML, whose entries come in either spelling."""
+    recs = X.read_records(spark, store.xml_drop_folder(spark, sf_dir, "voucher"), "VOUCHER")
+    return X.flatten_entries(X.parse_vouchers(recs)).select("voucher_no", "entry_no", "particulars", "amount_text")
 
 
 @job("parse_altered_on")
@@ -559,10 +563,13 @@ def split_debit_credit(spark, sf_dir):
 
 @job("stringify_keys")
 def stringify_keys(spark, sf_dir):
-    o = _t(spark, sf_dir).orders
-    return o.select(F.col("o_orderkey").cast("string").alias("voucher_no"),
-                    F.col("o_custkey").cast("string").alias("party_name"),
-                    F.col("o_orderstatus").cast("string").alias("voucher_type"))
+    """P10: the four key columns of every entry as text, from typed columns."""
+    t = _t(spark, sf_dir)
+    li = t.lineitem.select("l_orderkey", "l_partkey")
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    keys = {"voucher_type": "o_orderstatus", "voucher_no": "o_orderkey", "party_name": "o_custkey", "particulars": "l_partkey"}
+    return o.join(li, o.o_orderkey == li.l_orderkey, "left").select(
+        *[F.col(c).cast("string").alias(name) for name, c in keys.items()])
 
 
 @job("project_entries")
@@ -759,46 +766,59 @@ def refresh_isolation(spark, sf_dir):
     return RF.read_current(spark, table)
 
 
+def _older(spark, sf_dir, kind):
+    """The export before the current one (see ``snapshot_drop_folder``)."""
+    return f"{store.snapshot_drop_folder(spark, sf_dir, kind)}/snap=0001"
+
+
 @job("sink_ledger_snapshot")
 def sink_ledger_snapshot(spark, sf_dir):
-    """Replace the whole ledger table, read it back."""
-    path = scratch_path(spark, "ledger-snapshot")
-    store.write_snapshot(scan_ledger_xml(spark, sf_dir), path)
-    return spark.read.parquet(path)
+    """An older export, then the current one in its place, read back."""
+    table = scratch_path(spark, "ledger-snapshot")
+    V.publish(spark, X.scan_ledger_xml(spark, _older(spark, sf_dir, "ledger")), table, "0001")
+    V.publish(spark, scan_ledger_xml(spark, sf_dir), table, "0002")
+    V.vacuum(spark, table, keep=1)
+    return V.read_current(spark, table)
 
 
 @job("sink_voucher_snapshot")
 def sink_voucher_snapshot(spark, sf_dir):
-    """Explicit schema cast, replace the table, read it back."""
-    path = scratch_path(spark, "voucher-snapshot")
+    """A first load drops what was there; explicit schema cast; read back."""
+    table = scratch_path(spark, "voucher-snapshot")
+    V.publish(spark, X.scan_voucher_xml(spark, _older(spark, sf_dir, "voucher")), table, "0009")
+    V.drop(spark, table)
     v = scan_voucher_xml(spark, sf_dir)
-    store.write_snapshot(v.select(F.col("date").cast("date"), *[F.col(c).cast("string") for c in
-                                  ("voucher_type", "voucher_no", "party_name", "particulars")],
-                                  F.col("debit_amount").cast("double"), F.col("credit_amount").cast("double"),
-                                  F.col("entry_no").cast("int")), path)
-    return spark.read.parquet(path)
+    typed = v.select(F.col("date").cast("date"), *[F.col(c).cast("string") for c in
+                     ("voucher_type", "voucher_no", "party_name", "particulars")],
+                     F.col("debit_amount").cast("double"), F.col("credit_amount").cast("double"),
+                     F.col("entry_no").cast("int"))
+    V.publish(spark, typed, table, "0001")
+    return V.read_current(spark, table)
 
 
 @job("skip_empty_snapshot")
 def skip_empty_snapshot(spark, sf_dir):
-    """S13 (rows-only): writing an empty batch leaves the stored table unchanged."""
-    path = scratch_path(spark, "ledger-snapshot")
-    led = scan_ledger_xml(spark, sf_dir)
-    store.write_snapshot(led, path)
-    empty = led.limit(0)
-    if not empty.isEmpty():
-        store.write_snapshot(empty, path)
-    return spark.read.parquet(path)
+    """A later snapshot without one valid record leaves the stored table as it is;
+    the writer itself refuses it."""
+    table = scratch_path(spark, "ledger-snapshot")
+    V.publish(spark, scan_ledger_xml(spark, sf_dir), table, "0001")
+    no_record = X.quarantine(spark, store.xml_drop_folder(spark, sf_dir, "ledger"), "LEDGER")
+    rows = X.type_ledgers(X.conform_ledgers(X.parse_ledgers(no_record.withColumnRenamed("record", "xml"))
+                                            .where(F.col(X.CORRUPT).isNull())))
+    V.publish(spark, rows, table, "0002")
+    return V.read_current(spark, table)
 
 
 @job("sink_reports")
 def sink_reports(spark, sf_dir):
-    """Report rows of all parties in one job, keyed by the reference's file name
-    Statement_<company>_<fy> (spaces -> '_'), read back."""
-    st = fy_statement(spark, sf_dir)
-    path = scratch_path(spark, "reports")
-    store.write_reports(st, path, "Statement")
-    return spark.read.parquet(path).select("file_key", "ledger_name", "seq", "balance")
+    """Statements and BR reports of all parties, keyed by the reference's file name
+    (Statement_ or BR_Report_, company, FY; spaces -> '_'), read back."""
+    out = []
+    for rows, prefix, amount in ((fy_statement(spark, sf_dir), "statement", "balance"),
+                                 (bills_receivable(spark, sf_dir), "bills_receivable", "amount")):
+        path = store.write_reports(rows, scratch_path(spark, f"reports-{prefix}"), store.REPORT_FILES[prefix])
+        out.append(spark.read.parquet(path).select("file_key", "ledger_name", "seq", F.col(amount).alias("amount")))
+    return out[0].unionByName(out[1])
 
 
 @job("br_request")

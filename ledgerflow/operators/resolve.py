@@ -37,6 +37,17 @@ def exact_matches(requests: DataFrame, ledgers: DataFrame) -> DataFrame:
     return r.join(led, "__k").drop("__k")
 
 
+def resolve_exact(requests: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """The ledger whose whole name is the request, the first by name if several."""
+    return first_k(exact_matches(requests, ledgers), 1).drop("rank")
+
+
+def resolve_contains(requests: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """J3 as statements use it: matches inside names, for requests that are no whole name."""
+    named = exact_matches(requests, ledgers).select("req_id").distinct()
+    return contains_matches(requests.join(named, "req_id", "left_anti"), ledgers)
+
+
 def first_k(matches: DataFrame, k: int, order: list[str] | None = None) -> DataFrame:
     """First k matches per request, numbered."""
     w = Window.partitionBy("req_id").orderBy(*(order or ["ledger_name"]))

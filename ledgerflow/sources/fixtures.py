@@ -5,7 +5,8 @@ builders turn *every* row of the driver tables into the text records the
 ingest side must handle, adding dirt deterministically by key (no rows are
 dropped or sampled):
 
-ledger records (customers + suppliers), rec_id = 2*custkey / 2*suppkey+1
+ledger records (customers, suppliers, branches, the P&L account), rec_id = 2*custkey /
+  2*suppkey+1 / 2*(BRANCH_BASE + least custkey of the branch) / 2*PNL_BASE+1
   opening text by rec_id % 8: plain, padded, ' Dr' suffix, '1,' prefix, 'nan',
   empty, 'e0' exponent, missing;  closing 'inf' when rec_id % 6 == 5;
   altered_on by rec_id % 5: yyyyMMdd, yyyyMMdd.0, 'nan', 7 digits, month 13;
@@ -17,7 +18,9 @@ voucher records (orders, entries = lineitems), key = orderkey
   % 13 == 0, ' & Co' appended when % 5 == 0; entry amount 'n/a' when
   (orderkey + entry_no) % 13 == 0; XML: control char in the party when % 10 == 0,
   '&#4;' in the type when % 7 == 0, a namespaced <UDF:NARRATION> when % 3 == 0,
-  no entries when % 17 == 0.
+  no entries when % 17 == 0 or where the order has no lines; entry fields in lower case
+  when (orderkey + entry_no) % 4 == 1, and an AMOUNT of 0 before a lower-case amount
+  when it is 2.
 """
 
 from __future__ import annotations
@@ -26,9 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.sources.bindings import (
-    SEGMENT_PARENT, STATUS_TYPE, SUPPLIER_PARENT, Tables, _map, voucher_entries_raw,
+    BRANCH_PARENT, BRANCH_PREFIX_LEN, PNL_NAME, PNL_PARENT, SEGMENT_PARENT, STATUS_TYPE, SUPPLIER_PARENT, Tables, _map,
+    voucher_entries_raw,
 )
 
+BRANCH_BASE, PNL_BASE = 10 ** 9, 2 * 10 ** 9
+
 CTRL = "\u0001"
 CHARREF = "&#4;"
 BASE_DATE = "1995-01-01"
@@ -46,7 +52,14 @@ def ledger_text(t: Tables) -> DataFrame:
                              F.col("c_acctbal").alias("bal"))
     supp = t.supplier.select((F.col("s_suppkey") * 2 + 1).alias("rec_id"), F.col("s_name").alias("NAME"),
                              F.lit(SUPPLIER_PARENT).alias("PARENT"), F.col("s_acctbal").alias("bal"))
-    b = cust.unionByName(supp)
+    branch = t.customer.groupBy(F.substring("c_name", 1, BRANCH_PREFIX_LEN).alias("NAME")).agg(
+        F.min("c_custkey").alias("k"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).alias("bal")).select(
+        ((F.col("k") + BRANCH_BASE) * 2).alias("rec_id"), "NAME", F.lit(BRANCH_PARENT).alias("PARENT"),
+        F.col("bal").cast("double").alias("bal"))
+    pnl = t.lineitem.agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("bal")).select(
+        F.lit(2 * PNL_BASE + 1).cast("long").alias("rec_id"), F.lit(PNL_NAME).alias("NAME"),
+        F.lit(PNL_PARENT).alias("PARENT"), F.coalesce(F.col("bal").cast("double"), F.lit(0.0)).alias("bal"))
+    b = cust.unionByName(supp).unionByName(branch).unionByName(pnl)
     s = F.col("bal").cast("decimal(18,2)").cast("string")
     m8 = F.col("rec_id") % 8
     opening = (F.when(m8 == 0, s).when(m8 == 1, F.concat(F.lit("  "), s, F.lit(" ")))
@@ -63,23 +76,30 @@ def ledger_text(t: Tables) -> DataFrame:
                     closing.alias("CLOSINGBALANCE"), altered.alias("ALTEREDON"))
 
 
-def voucher_text(t: Tables) -> DataFrame:
-    """Flat text view: one row per (voucher, entry) with header text fields."""
-    e = voucher_entries_raw(t)
-    o = t.orders.select("o_orderkey", "o_orderstatus")
-    j = e.join(o, e.voucher_no == o.o_orderkey.cast("string"))
+def _headers(t: Tables) -> DataFrame:
+    """One row per order: the text fields of its voucher."""
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    j = o.join(t.customer.select("c_custkey", F.col("c_name").alias("party_name")), F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
-    d = F.date_format("date", "yyyyMMdd")
+    d = F.date_format("o_orderdate", "yyyyMMdd")
     return j.select(
         key.alias("voucher_id"),
         F.when(key % 11 == 0, F.concat(F.lit("x"), d)).otherwise(d).alias("DATE"),
         F.when(key % 9 == 0, F.lit("")).otherwise(_map("o_orderstatus", STATUS_TYPE))
         .alias("VOUCHERTYPENAME"),
-        F.col("voucher_no").alias("VOUCHERNUMBER"),
+        key.cast("string").alias("VOUCHERNUMBER"),
         F.when(key % 13 == 0, F.lit(""))
         .when(key % 5 == 0, F.concat(F.col("party_name"), F.lit(" & Co")))
-        .otherwise(F.col("party_name")).alias("PARTYLEDGERNAME"),
-        "entry_no",
+        .otherwise(F.col("party_name")).alias("PARTYLEDGERNAME"))
+
+
+def voucher_text(t: Tables) -> DataFrame:
+    """Flat text view: one row per (voucher, entry) with header text fields."""
+    e = voucher_entries_raw(t).select("voucher_no", "entry_no", "particulars", "amount")
+    h = _headers(t)
+    key = F.col("voucher_id")
+    return h.join(e, h.VOUCHERNUMBER == e.voucher_no).select(
+        *h.columns, "entry_no",
         F.col("particulars").alias("LEDGERNAME"),
         F.when((key + F.col("entry_no")) % 13 == 0, F.lit("n/a"))
         .otherwise(F.col("amount").cast("string")).alias("AMOUNT"),
@@ -128,18 +148,24 @@ def voucher_xml_records(t: Tables) -> DataFrame:
     """One dirty <VOUCHER> record per order (column ``value``); entries nested."""
     vt = voucher_text(t)
     key = F.col("voucher_id")
-    entry = F.concat(F.lit("<ALLLEDGERENTRIES.LIST><LEDGERNAME>"), _esc(F.col("LEDGERNAME")),
-                     F.lit("</LEDGERNAME><AMOUNT>"), F.col("AMOUNT"),
-                     F.lit("</AMOUNT></ALLLEDGERENTRIES.LIST>"))
-    g = (vt.groupBy("voucher_id", "DATE", "VOUCHERTYPENAME", "VOUCHERNUMBER", "PARTYLEDGERNAME")
+    spelling = (key + F.col("entry_no")) % 4
+    name, amount = _esc(F.col("LEDGERNAME")), F.col("AMOUNT")
+    entry = F.concat(F.lit("<ALLLEDGERENTRIES.LIST>"), F.when(spelling == 1, F.concat(
+        _el("ledgername", name), _el("amount", amount))).when(spelling == 2, F.concat(
+            _el("LEDGERNAME", name), _el("AMOUNT", F.lit("0")), _el("amount", amount))).otherwise(F.concat(
+                _el("LEDGERNAME", name), _el("AMOUNT", amount))), F.lit("</ALLLEDGERENTRIES.LIST>"))
+    g = (vt.groupBy(key.alias("entries_of"))
          .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry_no", entry.alias("x")))),
                                        lambda s: s["x"]), "\n ").alias("entries")))
+    h = _headers(t)
+    g = h.join(g, h.voucher_id == F.col("entries_of"), "left").drop("entries_of")
     party = F.col("PARTYLEDGERNAME")  # bare '&' left in on purpose (dirty export)
     party = F.when(key % 10 == 0, F.concat(F.lit(CTRL), party)).otherwise(party)
     vtype = F.when(key % 7 == 0, F.concat(F.col("VOUCHERTYPENAME"), F.lit(CHARREF))) \
         .otherwise(F.col("VOUCHERTYPENAME"))
     narration = F.when(key % 3 == 0, F.lit("\n <UDF:NARRATION>note</UDF:NARRATION>")).otherwise(F.lit(""))
-    entries = F.when(key % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("\n "), F.col("entries")))
+    entries = F.when((key % 17 == 0) | F.col("entries").isNull(), F.lit("")).otherwise(
+        F.concat(F.lit("\n "), F.col("entries")))
     value = F.concat(F.lit("<VOUCHER>\n "), _el("DATE", F.col("DATE")), F.lit("\n "),
                      _el("VOUCHERTYPENAME", vtype), F.lit("\n "),
                      _el("VOUCHERNUMBER", F.col("VOUCHERNUMBER")), F.lit("\n "),

@@ -32,7 +32,8 @@ ENTRY_COLUMNS = ["date", "voucher_type", "voucher_no", "entry_no", "party_name",
 
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None,
                    sort_by: list[str] | None = None) -> str:
-    """Replace the whole table at ``path`` (overwrite, parquet)."""
+    """Write a whole table into a folder of its own (parquet). Tables that readers hold on
+    to are replaced by ``versions.publish`` instead."""
     w = df
     if sort_by:
         w = w.sortWithinPartitions(*sort_by)
@@ -161,6 +162,10 @@ def routed_questions_path(spark: SparkSession, sf_dir: str) -> str:
         return path
 
 
+# --- fixed values: file name prefixes of exported reports
+REPORT_FILES = {"statement": "Statement", "bills_receivable": "BR_Report"}
+
+
 def report_key(prefix: str):
     """The reference's export file name: <prefix>_<company>_<fy>, spaces -> '_'."""
     return F.regexp_replace(F.concat(F.lit(f"{prefix}_"), F.col("ledger_name"), F.lit("_"),
@@ -168,7 +173,7 @@ def report_key(prefix: str):
 
 
 def write_reports(rows: DataFrame, path: str, prefix: str, layout: str = "sorted") -> str:
-    """Write report rows of every party at once.
+    """Write report rows of every party at once; ``prefix`` as in REPORT_FILES.
 
     ``layout='sorted'`` (default, for millions of parties): one folder per FY,
     rows rebalanced and sorted by ``file_key`` so each report is a contiguous

@@ -1,13 +1,14 @@
 """Splittable dirty-XML ingest.
 
 The XML data source parses before we could clean, and ``wholetext`` is one task
-per file. Instead the text source splits the files on the record end tag
-(``lineSep='</VOUCHER>'``; Hadoop's line reader splits large files across
-tasks), each chunk is cut back to its ``<VOUCHER`` start tag, the end tag is
-re-appended, the record is sanitised with ``regexp_replace`` and parsed with
-``from_xml`` against an explicit all-string schema (never inferred). Parse
-failures are kept per record in ``_corrupt_record`` (PERMISSIVE) so a bad
-record goes to quarantine instead of failing the file.
+per file. Instead the text source splits the files within the record end tag
+(``lineSep='/VOUCHER>'``; Hadoop's line reader splits large files across
+tasks). A chunk that ends in '<' had its end tag, which is put together again; the
+rest of a file that was cut off has none, at whatever split it lies, so an unfinished
+record never passes for a whole one. Records are sanitised with ``regexp_replace`` and
+parsed with ``from_xml`` against an explicit all-string schema (never inferred). Parse
+failures, unfinished records among them, are kept per record in ``_corrupt_record``
+(PERMISSIVE) so a bad record goes to quarantine instead of failing the file.
 """
 
 from __future__ import annotations
@@ -49,26 +50,32 @@ ENTRY_COLUMNS = ["date", "voucher_type", "voucher_no", "party_name", "particular
 # ----------------------------------------------------------------------------------
 
 
+def separator(tag: str) -> str:
+    """The part of a record's end tag that files are split at: all but its '<'."""
+    return f"/{tag}>"
+
+
 def read_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """One row per ``<tag ...>...</tag>`` record (column ``xml``) from text files."""
-    raw = spark.read.option("lineSep", f"</{tag}>").text(path)
+    """One row per ``<tag ...>...</tag>`` record (column ``xml``) from text files, and one
+    for an unfinished record at the end of a file, as it is."""
+    raw = spark.read.option("lineSep", separator(tag)).text(path)
     return cut_records(raw, tag)
 
 
 def cut_records(raw: DataFrame, tag: str) -> DataFrame:
-    """Chunks split on the end tag -> whole records.
+    """Chunks split at ``separator(tag)`` -> records.
 
     A chunk holds the text after the previous end tag: maybe some self-closing
     attribute-only records (``<LEDGER NAME="x"/>``, which have no end tag of
     their own) and then the start of one full record. Both are taken: the
     self-closing ones with ``regexp_extract_all``, the full one from its
-    (non-self-closing) start tag to the end, with the end tag re-appended. The
-    regexes run once per chunk (they feed a generator, so later filters are not
-    pushed below them and re-evaluated)."""
+    (non-self-closing) start tag to the end, where a '<' says that its end tag
+    followed. The regexes run once per chunk (they feed a generator, so later
+    filters are not pushed below them and re-evaluated)."""
     selfclosing = F.regexp_extract_all("value", F.lit(rf"<{tag}(?:\s[^>]*)?/>"), 0)
     full = F.regexp_extract("value", rf"(?s)(<{tag}(?:\s[^>]*)?(?<!/)>.*)$", 1)
-    full_rec = F.when(F.length(full) > 0, F.array(F.concat(full, F.lit(f"</{tag}>")))) \
-        .otherwise(F.array().cast("array<string>"))
+    whole = F.when(F.endswith(full, F.lit("<")), F.concat(full, F.lit(separator(tag)))).otherwise(full)
+    full_rec = F.when(F.length(full) > 0, F.array(whole)).otherwise(F.array().cast("array<string>"))
     return raw.select(F.explode(F.concat(selfclosing, full_rec)).alias("xml"))
 
 

@@ -28,14 +28,13 @@ from __future__ import annotations
 
 import traceback
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.session import scratch_path
 from ledgerflow.sources import xml as X
+from ledgerflow.sources.versions import publish, published, read_current, table_or_none
 
-POINTER = "_CURRENT"
 SNAP_RE = r"/snap=([^/]+)/"
 SNAP_FOLDER_RE = r"^(.*/snap=[^/]+)/"
 REFRESH_INTERVAL = "60 seconds"
@@ -70,51 +69,9 @@ def batch_folders(batch: DataFrame) -> dict[str, str]:
     return {r["snap"]: r["folder"] for r in rows if r["snap"]}
 
 
-def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The parquet table at ``path``, None where nothing was written yet; any other
-    error is an error."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def published(spark: SparkSession, table: str) -> tuple[str, int] | None:
-    """(snapshot id, try) of the version that readers see."""
-    pointers = _table_or_none(spark, f"{table}/{POINTER}")
-    top = None if pointers is None else pointers.agg(F.max(F.struct("snap", "n")).alias("v")).first()["v"]
-    return None if top is None else (top["snap"], top["n"])
-
-
-def _version(snap: str, n: int) -> str:
-    return f"v={snap}-{n:06d}"
-
-
-def publish(spark: SparkSession, rows: DataFrame, table: str, snap: str) -> bool:
-    """Write ``rows`` as a new version for the snapshot and point readers to it; False
-    if there are none or a newer snapshot is published. Pointers are only added, and
-    the greatest (snapshot, try) counts."""
-    now = published(spark, table)
-    if rows.isEmpty() or now is not None and now[0] > snap:
-        return False
-    n = now[1] + 1 if now is not None and now[0] == snap else 0
-    rows.write.mode("overwrite").parquet(f"{table}/{_version(snap, n)}")
-    (spark.createDataFrame([(snap, n)], "snap string, n int").coalesce(1)
-     .write.mode("append").parquet(f"{table}/{POINTER}"))
-    return True
-
-
-def read_current(spark: SparkSession, table: str) -> DataFrame | None:
-    """The current version of a refreshed table (None before the first write)."""
-    now = published(spark, table)
-    return None if now is None else spark.read.parquet(f"{table}/{_version(*now)}")
-
-
 def _failed(spark: SparkSession, errors_dir: str, since: str) -> dict[str, str]:
     """Snapshots from ``since`` on whose tries failed: id -> folder."""
-    errors = _table_or_none(spark, errors_dir)
+    errors = table_or_none(spark, errors_dir)
     if errors is None:
         return {}
     rows = errors.where((F.col("snap") > since) & (F.col("folder") != "")).select("snap", "folder").distinct().collect()
@@ -156,7 +113,7 @@ def start_refresh(spark: SparkSession, kind: str, drop_folder: str, table: str,
     """Start the refresh stream for ``kind`` in {'ledger', 'voucher'}; returns the query."""
     tag = "LEDGER" if kind == "ledger" else "VOUCHER"
     ckpt = checkpoint or scratch_path(spark, f"refresh-{kind}-ckpt")
-    src = (spark.readStream.format("text").option("lineSep", f"</{tag}>")
+    src = (spark.readStream.format("text").option("lineSep", X.separator(tag))
            .option("recursiveFileLookup", "true").load(drop_folder))
     w = src.writeStream.foreachBatch(snapshot_writer(
         spark, kind, table, f"{table}/_quarantine", f"{table}/_errors")).option("checkpointLocation", ckpt)

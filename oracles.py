@@ -519,8 +519,11 @@ SELECT ledger_name, source, seq, br_date, br_no, party, amount, due_date, status
 SELECT ledger_name, seq, br_date, due_date, br_no FROM br WHERE source = 'debtors'"""),
     "receivable_total": q(BR + " SELECT DISTINCT ledger_name, total_br FROM br"),
     "resolve_exact": q(REQUESTS + """
-SELECT r.req_id, r.request, l.ledger_name FROM requests r JOIN ledgers l ON lower(l.ledger_name) = lower(r.request)"""),
-    "resolve_contains": q(REQUESTS + " SELECT req_id, request, ledger_name FROM cm"),
+SELECT r.req_id, r.request, min(l.ledger_name) AS ledger_name
+FROM requests r JOIN ledgers l ON lower(l.ledger_name) = lower(r.request) GROUP BY ALL"""),
+    "resolve_contains": q(REQUESTS + """
+SELECT req_id, request, ledger_name FROM cm
+WHERE NOT EXISTS (SELECT 1 FROM ledgers x WHERE lower(x.ledger_name) = lower(cm.request))"""),
     "resolve_status": q(REQUESTS + """
 , ex AS (SELECT r.req_id, min(l.ledger_name) AS ledger_name FROM requests r
          JOIN ledgers l ON lower(l.ledger_name) = lower(r.request) GROUP BY r.req_id),
@@ -608,6 +611,10 @@ TEXT = """
               WHEN 'MACHINERY' THEN 'Duties & Taxes' WHEN 'HOUSEHOLD' THEN 'Primary'
               WHEN 'FURNITURE' THEN 'Bank Accounts' END AS PARENT, c_acctbal AS bal FROM customer
   UNION ALL SELECT s_suppkey * 2 + 1, s_name, 'Sundry Creditors', s_acctbal FROM supplier
+  UNION ALL SELECT 2 * (1000000000 + min(c_custkey)), substr(c_name, 1, 16), 'Sundry Debtors',
+    CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) FROM customer GROUP BY substr(c_name, 1, 16)
+  UNION ALL SELECT 4000000001, 'Profit & Loss A/c', 'Primary',
+    CAST(COALESCE(SUM(CAST(l_extendedprice AS DECIMAL(18,2))), 0) AS DOUBLE) FROM lineitem
 ),
 lt AS (
   SELECT rec_id, NAME, PARENT,
@@ -682,7 +689,12 @@ FROM ve_raw WHERE {VKEY} % 17 <> 0 AND {VKEY} % 11 <> 0"""),
     "source_pruned_scan": q("""
 SELECT date, voucher_type, voucher_no, party_name, particulars, debit_amount, credit_amount FROM entries
 WHERE date BETWEEN DATE '2000-04-01' AND DATE '2035-03-31'"""),
-    "scan_tables": q(f"SELECT {LC} FROM ledgers"),
+    "scan_tables": q(f"""
+SELECT 'ledgers' AS "table", {LC}, NULL AS date, NULL AS voucher_type, NULL AS voucher_no, NULL AS entry_no, NULL AS party_name,
+       NULL AS particulars, NULL AS debit_amount, NULL AS credit_amount, NULL AS party_key FROM ledgers
+UNION ALL
+SELECT 'voucher_entries', NULL, NULL, NULL, NULL, NULL, date, voucher_type, voucher_no, entry_no, party_name, particulars,
+       debit_amount, credit_amount, party_key FROM entries"""),
     "trim_column_names": q(f"SELECT {LC} FROM ledgers"),
     "sql_passthrough": q("""
 SELECT ledger_name, closing_balance FROM ledgers WHERE closing_balance > 0 AND parent = 'Sundry Debtors'"""),
@@ -702,9 +714,10 @@ SELECT rec_id, OPENINGBALANCE, CLOSINGBALANCE, {coerce('OPENINGBALANCE')} AS ope
 SELECT voucher_id, entry_no, COALESCE(NULLIF(VOUCHERTYPENAME, ''), '') AS voucher_type,
        COALESCE(NULLIF(VOUCHERNUMBER, ''), '') AS voucher_no,
        COALESCE(NULLIF(PARTYLEDGERNAME, ''), 'Unknown') AS party_name FROM vt"""),
-    "entry_field_fallback": q(TEXT + """
-SELECT voucher_id, entry_no, COALESCE(NULLIF(LEDGERNAME, ''), '') AS particulars,
-       COALESCE(NULLIF(AMOUNT, '0'), '0') AS amount_text FROM vt"""),
+    "entry_field_fallback": q(f"""
+SELECT voucher_no, entry_no, particulars,
+       CASE WHEN ({VKEY} + entry_no) % 13 = 0 THEN 'n/a' ELSE CAST(amount AS VARCHAR) END AS amount_text
+FROM ve_raw WHERE {VKEY} % 17 <> 0"""),
     "parse_altered_on": q(TEXT + f"SELECT rec_id, ALTEREDON, {ymd(before_dot('ALTEREDON'))} AS altered_on FROM lt"),
     "parse_voucher_date": q(TEXT + f"""
 SELECT * FROM (SELECT voucher_id, entry_no, DATE AS date_text, {ymd('DATE')} AS voucher_date FROM vt)
@@ -716,8 +729,9 @@ SELECT voucher_id, entry_no,
        CASE WHEN {coerce('AMOUNT')} < 0 THEN round_even(abs({coerce('AMOUNT')}), 2) ELSE 0.0 END AS credit_amount
 FROM vt"""),
     "stringify_keys": q("""
-SELECT CAST(o_orderkey AS VARCHAR) AS voucher_no, CAST(o_custkey AS VARCHAR) AS party_name,
-       CAST(o_orderstatus AS VARCHAR) AS voucher_type FROM orders"""),
+SELECT CAST(o_orderstatus AS VARCHAR) AS voucher_type, CAST(o_orderkey AS VARCHAR) AS voucher_no,
+       CAST(o_custkey AS VARCHAR) AS party_name, CAST(l_partkey AS VARCHAR) AS particulars
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"""),
     "display_columns": q("""
 SELECT date AS "Date", voucher_type AS "Voucher Type", voucher_no AS "Voucher No", party_name AS "Party Name",
        particulars AS "Particulars", debit_amount AS "Debit Amount", credit_amount AS "Credit Amount" FROM entries"""),
@@ -895,15 +909,17 @@ ORACLES.update({
     "sink_ledger_snapshot": ORACLES["scan_ledger_xml"],
     # the export writes a control character, a numeric reference or a bare '&' into these
     "xml_quarantine": q("""
-, k AS (SELECT DISTINCT voucher_no, CAST(voucher_no AS BIGINT) AS n FROM ve_raw)
+, k AS (SELECT CAST(o_orderkey AS VARCHAR) AS voucher_no, o_orderkey AS n FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT voucher_no FROM k WHERE n % 10 = 0 OR n % 7 = 0 OR (n % 5 = 0 AND n % 13 <> 0)"""),
     "skip_empty_snapshot": ORACLES["scan_ledger_xml"],
     "refresh_vouchers": ORACLES["scan_voucher_xml"],
     "sink_voucher_snapshot": ORACLES["scan_voucher_xml"],
-    "sink_reports": q(f"""
+    "sink_reports": q(BR + f"""
 , st AS ({FY_STATEMENT})
 SELECT replace('Statement_' || ledger_name || '_' || financial_year, ' ', '_') AS file_key,
-       ledger_name, seq, balance FROM st"""),
+       ledger_name, seq, balance AS amount FROM st
+UNION ALL
+SELECT replace('BR_Report_' || ledger_name || '_' || financial_year, ' ', '_'), ledger_name, seq, amount FROM br"""),
 })
 
 # --- N4: one answer row per question ------------------------------------------------

@@ -1,7 +1,9 @@
 """Edge cases of the column functions (FIXTURES §3), one literal row each."""
 
 import datetime as dt
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow import functions as FN
@@ -76,13 +78,13 @@ def test_voucher_without_entries_and_defaults(spark):
 
 
 def test_extreme_inputs_do_not_raise_under_ansi(spark):
-    from ledgerflow.functions.numbers import cents
+    from ledgerflow.functions.numbers import money2
     from ledgerflow.plans import questions as QN
 
     assert spark.conf.get("spark.sql.ansi.enabled") in ("true", "True")
     assert _one(spark, ["1e400", "-1e400", "1e300", "123456789012345678901234567890"],
                 FN.coerce_number) == [0.0, 0.0, 1e300, 1.2345678901234568e29]
-    assert _one(spark, [1e300, 12.34, float("inf")], cents, "double") == [None, 1234, 0]
+    assert _one(spark, [12.34, float("inf"), 1e35], money2, "double") == [Decimal("12.34"), 0, Decimal(10) ** 35]
     qs = ["top 000000000000000000000000000000005 parties", "top 123456789012345678901234567890 parties",
           "statement of ((a. for 2023-2024", "br"]
     df = spark.createDataFrame([(str(i), q) for i, q in enumerate(qs)], "q_id string, question string")
@@ -95,7 +97,28 @@ def test_extreme_inputs_do_not_raise_under_ansi(spark):
 def test_records_split_on_end_tag_with_self_closing_neighbours(spark):
     text = ('<ENVELOPE><LEDGER NAME="A" PARENT="P"/>\n<LEDGER><NAME>B</NAME></LEDGER>'
             '<LEDGER NAME="C"/><LEDGER NAME="D" RESERVEDNAME=""><PARENT>Q</PARENT></LEDGER></ENVELOPE>')
-    raw = spark.createDataFrame([(c,) for c in text.split("</LEDGER>")], "value string")
+    raw = spark.createDataFrame([(c,) for c in text.split(X.separator("LEDGER"))], "value string")
     led = X.conform_ledgers(X.parse_ledgers(X.cut_records(raw, "LEDGER")))
     got = sorted((r.ledger_name, r.parent) for r in led.collect())
     assert got == [("A", "P"), ("B", None), ("C", None), ("D", "Q")]
+
+
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_unfinished_records_go_to_quarantine_at_any_split_size(spark, tmp_path, split):
+    whole = "".join(f'<LEDGER><NAME>n{i}</NAME><PARENT>P</PARENT></LEDGER>\n<LEDGER NAME="s{i}"/>\n' for i in range(3))
+    tails = ["<LEDGER><NAME>half</NAME>", '<LEDGER><NAME>half</NAME><PARENT>P</PARENT></LEDG', "<LEDGER><NAME>ha", "</ENVELOPE>", ""]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for n, tail in enumerate(tails):
+            folder = tmp_path / f"{split}-{n}"
+            folder.mkdir()
+            (folder / "export.xml").write_text("<ENVELOPE>" + whole + tail)
+            got = sorted(r.ledger_name for r in X.scan_ledger_xml(spark, str(folder)).collect())
+            assert got == ["n0", "n1", "n2", "s0", "s1", "s2"]
+            bad = [r.record for r in X.quarantine(spark, str(folder), "LEDGER").collect()]
+            assert len(bad) == (1 if n < 3 else 0) and all("ha" in b for b in bad)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -114,3 +114,21 @@ def test_report_sink_layouts_read_back_the_same_rows(spark):
     assert got["sorted"] == got["per_report"] == [
         ("Statement_A_Co_2023-2024", 0, 1.0), ("Statement_A_Co_2023-2024", 1, 2.0),
         ("Statement_B_2023-2024", 0, 3.0)]
+
+
+def test_versions_replace_refuse_and_vacuum(spark):
+    from ledgerflow.sources import versions as V
+
+    table = scratch_path(spark, "t-versions")
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "a int")
+    assert V.read_current(spark, table) is None and not V.drop(spark, table)
+    assert V.publish(spark, rows(1), table, "0001") and V.publish(spark, rows(2, 3), table, "0002")
+    assert not V.publish(spark, rows(), table, "0003")      # empty
+    assert not V.publish(spark, rows(9), table, "0001")     # older than the published one
+    assert V.publish(spark, rows(4), table, "0002")         # the same snapshot again
+    rows(7).write.parquet(f"{table}/v=0009-000000")         # a crash before its pointer
+    assert _rows(V.read_current(spark, table)) == [(4,)]
+    assert V.vacuum(spark, table, keep=2) == ["v=0001-000000"]
+    assert V.vacuum(spark, table, keep=1) == ["v=0002-000000"]
+    assert _rows(V.read_current(spark, table)) == [(4,)]
+    assert V.drop(spark, table) and V.read_current(spark, table) is None
