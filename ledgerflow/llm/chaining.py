@@ -2,46 +2,64 @@
 
 Seeds are the winnowed k-word runs of every document (the least hash of every
 WINDOW runs in a row, so two copies of WINDOW + k - 1 words always share a seed).
-The first occurrence of a seed, by (doc_id, position), owns it; every other
-occurrence is joined to its owner, which makes as many matches as there are
-occurrences, never all pairs. The matches of a document with one owner are chained
-in order with a gap cost; the best chain end before each match is sought among the
-matches within a step's reach. Chains are then aligned
-on the words themselves: gaps by edit distance in a band, ends by extension while
-the words agree, which gives the fuzzy passages with their share of equal words.
-
-The seeds of a passage may first occur in several documents, none of which has the
-whole. So wherever all seeds in a row occur earlier, whoever owns them, every run of
-MIN_WORDS words is hashed and matched to its own first occurrence: no passage of
-equal words is lost, and the matches are as many as those words.
-
-A passage counts from MIN_WORDS words. The later document holds the copy.
+They are written once and sorted by (hash, document) over all partitions; every
+occurrence is matched to the one before it in another document, so there are as many
+matches as occurrences, never all pairs, and a seed that all documents share is dealt
+over many tasks. Matches on one diagonal become segments, and the segments of two
+documents are chained in order with a gap cost; the best chain end before a segment
+comes from a Fenwick tree over places in the earlier text. Chains are cut at gaps of
+more than MAX_GAP words. Then the words themselves are aligned: segments word by word,
+gaps by their longest common subsequence, ends by extension while equal words outweigh
+the others, which gives the fuzzy passages with their share of equal words.
+
+The seeds of one passage may have come last from several documents. Each of them still
+leads to a chain, and a chain is kept if the stretch of repeated seeds around it,
+whoever they come from, is long enough for a passage; its ends are extended over that
+whole stretch. So a passage is found when any one of its seeds leads to a document
+that has it, and in a family of edited copies each is compared with the ones before it.
+
+For passages of equal words this is made complete: where seeds in a row are repeated and
+a run of MIN_WORDS words among them lies in no passage found, the runs of that many words
+are hashed, there and wherever those seeds occur, and matched to their first occurrence.
+
+A passage counts from MIN_WORDS words. The later document holds the copy; documents are
+in order of (doc_id, hash of the text).
 
 Cases: null and blank texts have no passages; rows without doc_id take no part;
-repetition inside one document is not reported; rows repeated with one doc_id
-count once; an empty table gives an empty result; other columns are ignored.
+repetition inside one document is not reported; equal rows count once, and texts that
+share a doc_id are separate documents (a passage names its text by ``text_hash``); very
+long texts are hashed and aligned whole; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import WordHashes, doc_columns, run_hashes, stored, word_list
+from ledgerflow.llm.common import WordHashes, run_hashes, stored, word_list
 
 K = 5
 WINDOW = 16
 MIN_WORDS = 50
-MAX_GAP = 40        # words between two seeds of a chain, in either text
-GAP_COST = 0.05     # per word by which the gap differs between the texts
+MAX_GAP = 40        # words between two segments of a chain, in either text
+GAP_COST = 0.05     # per word that is skipped, half for each text
 MIN_IDENTITY = 0.7  # equal words in an aligned passage
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def text_hash(text: Column) -> Column:
+    """Tells apart the texts of one doc_id."""
+    return F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")
+
+
 def winnow(h: np.ndarray, window: int) -> np.ndarray:
     """Positions of the least hash (the last of equals) of every ``window`` in a row."""
     n = len(h)
@@ -62,58 +80,233 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """(doc_id, h, pos) of every winnowed seed."""
+    """(h, doc_id, th, pos) of every winnowed seed."""
 
     def run(batches):
         cache = WordHashes()
         for pdf in batches:
-            ids, hs, ps = [], [], []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
+            ids, ths, hs, ps, n = [], [], [], [], 0
+            for last, (i, th, text) in enumerate(zip(pdf["doc_id"], pdf["th"], pdf["text"]), 1 - len(pdf)):
                 h = run_hashes(cache.of(word_list(text)), k)
                 p = winnow(h, window)
                 ids.append(np.full(len(p), i, np.int64))
+                ths.append(np.full(len(p), th, np.int32))
                 hs.append(h[p].view(np.int64))
                 ps.append(p.astype(np.int32))
-                if sum(map(len, ps)) > 200_000:
-                    yield pd.DataFrame({"doc_id": np.concatenate(ids), "h": np.concatenate(hs), "pos": np.concatenate(ps)})
-                    ids, hs, ps = [], [], []
-            if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "h": np.concatenate(hs), "pos": np.concatenate(ps)})
-
-    return docs.mapInPandas(run, "doc_id long, h long, pos int")
-
-
-def chains(pos: np.ndarray, opos: np.ndarray, k: int) -> list[list[int]]:
-    """Chains of matches (indices, in order) that rise in both texts. A chain's score
-    is the words its seeds cover less the gap costs. Steps over MAX_GAP words end a
-    chain, so the best chain end before a match is sought among the matches of the
-    MAX_GAP + k words before it: a bounded number, since a position has few matches."""
-    order = np.lexsort((opos, pos))
-    p, q = pos[order].tolist(), opos[order].tolist()
-    score, back = [float(k)] * len(p), [-1] * len(p)
-    first = 0
-    for x in range(len(p)):
-        while p[x] - p[first] > MAX_GAP + k:
-            first += 1
-        for y in range(x - 1, first - 1, -1):
-            dp, dq = p[x] - p[y], q[x] - q[y]
-            if dp > 0 and 0 < dq <= MAX_GAP + k:
-                gain = min(k, dp, dq)
-                value = score[y] + gain - GAP_COST * (dp + dq - 2 * gain) / 2
-                if value > score[x]:
-                    score[x], back[x] = value, y
-    out, used = [], [False] * len(p)
-    for x in np.argsort(-np.array(score), kind="stable").tolist():  # best ends first; a match is in one chain
+                n += len(p)
+                if n > 200_000 or not last:
+                    yield pd.DataFrame({"h": np.concatenate(hs), "doc_id": np.concatenate(ids),
+                                        "th": np.concatenate(ths), "pos": np.concatenate(ps)})
+                    ids, ths, hs, ps, n = [], [], [], [], 0
+
+    return docs.mapInPandas(run, "h long, doc_id long, th int, pos int")
+
+
+class _Linker:
+    """Matches of rows that come in order of (h, doc_id, th, pos): each row to the last
+    row before it with the same hash and another document."""
+
+    CHUNK = 200_000
+
+    def __init__(self):
+        self.last = None    # the row before, as arrays of length 1
+        self.before = None  # the row that its document's rows are matched to
+        self.closed = False  # another document than the first has come
+
+    def links(self, rows: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """(doc_id, th, pos, other, oth, opos, h) of the rows that have a match, and (h,
+        doc_id, th, pos) of those in a hash's first document that its later rows hide."""
+        none = tuple(np.zeros(1, x.dtype) for x in rows)
+        h, d, t, p = (np.concatenate([a, b, x]) for a, b, x in
+                      zip(self.before or none, self.last or none, rows))
+        same_h = h[2:] == h[1:-1]
+        same_doc = same_h & (d[2:] == d[1:-1]) & (t[2:] == t[1:-1])
+        if self.last is None:
+            same_h[0] = same_doc[0] = False
+        # a document's first row is matched to the row before, its others alike
+        at = np.arange(2, len(h))
+        source = np.where(same_doc, -1, np.where(same_h, at - 1, -2))
+        opened = np.maximum.accumulate(np.where(source != -1, np.arange(len(source)), -1))
+        carried = 0 if self.before is not None else -2
+        source = np.where(opened >= 0, source[np.maximum(opened, 0)], carried)
+        hit = np.flatnonzero(source >= 0)
+        o = source[hit]
+        i = at[hit]
+        end = len(h) - 1
+        self.last = tuple(x[end:] for x in (h, d, t, p))
+        self.before = None if source[-1] < 0 else tuple(x[source[-1]:source[-1] + 1] for x in (h, d, t, p))
+        hidden = at[same_doc & (source < 0)] - 1
+        return (d[i], t[i], p[i], d[o], t[o], p[o], h[i]), tuple(x[hidden] for x in (h, d, t, p))
+
+
+LINKS = "doc_id long, th int, pos int, other long, oth int, opos int"
+
+
+def matches(seed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, pos, other, oth, opos, h) over all seeds, and (doc_id, th, pos, h) of
+    the seeds that no match names, though another document has them; stored. Rows are
+    dealt by range, so partitions may meet inside a hash: the first document's rows of
+    each partition are then matched to the last row of the one before."""
+    ordered = seed.repartitionByRange("h", "doc_id", "th").sortWithinPartitions("h", "doc_id", "th", "pos")
+    names = ["doc_id", "th", "pos", "other", "oth", "opos"]
+
+    def run(batches):
+        part, linker, head, waiting, n, last = TaskContext.get().partitionId(), _Linker(), None, [], 0, None
+
+        def done():
+            nonlocal head, waiting, n
+            rows = tuple(np.concatenate([w[j] for w in waiting]) for j in range(4))
+            waiting, n = [], 0
+            (*out, h), hidden = linker.links(rows)
+            yield batch([pa.array(x) for x in out], 0, h)
+            yield batch([pa.array(hidden[j]) for j in (1, 2, 3)] * 2, 3, hidden[0])
+            head = head or tuple(x[0] for x in rows)
+            if not linker.closed:  # the first document's rows
+                mine = (rows[0] == head[0]) & (rows[1] == head[1]) & (rows[2] == head[2])
+                linker.closed = not mine.all()
+                cols = [pa.array(rows[j][mine]) for j in (1, 2, 3)]
+                yield batch([*cols, *cols], 1, rows[0][mine])
+
+        def batch(cols, kind, h):
+            return pa.RecordBatch.from_arrays(
+                [*cols, pa.array(np.full(len(h), kind, np.int8)), pa.array(np.full(len(h), part, np.int32)), pa.array(h)],
+                names=[*names, "kind", "part", "h"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            waiting.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc_id", "th", "pos")))
+            n += b.num_rows
+            if n >= linker.CHUNK:
+                yield from done()
+        if n:
+            yield from done()
+        if linker.last is not None:
+            h, d, t, p = linker.last
+            yield batch([pa.array(x) for x in (d, t, p, d, t, p)], 2, h)
+
+    found = stored(ordered.select("h", "doc_id", "th", "pos").mapInArrow(
+        run, LINKS + ", kind byte, part int, h long"), "matches")
+    ends = found.where("kind = 2").select("part", F.col("h").alias("eh"), *[F.col(c).alias(f"e_{c}") for c in names[:3]])
+    # one row for each partition, so this window is small
+    before = Window.orderBy("part")
+    ends = ends.select(F.lead("part").over(before).alias("part"), F.col("eh").alias("h"), "e_doc_id", "e_th", "e_pos")
+    border = (found.where("kind = 1").select("part", "h", *names[:3]).join(F.broadcast(ends), ["part", "h"])
+              .where("doc_id <> e_doc_id or th <> e_th")
+              .select(*names[:3], F.col("e_doc_id").alias("other"), F.col("e_th").alias("oth"), F.col("e_pos").alias("opos"), "h"))
+    hidden = found.where("kind = 3").select(*names[:3], "h")
+    return found.where("kind = 0").select(*names, "h").unionByName(border), hidden
+
+
+def segments(pos: np.ndarray, opos: np.ndarray, k: int) -> list[tuple[int, int, int, float]]:
+    """(start, end, other start, score) of runs of matches on one diagonal with no gap of
+    more than MAX_GAP words; the score is the words their seeds cover less the cost of the
+    others."""
+    shift = opos.astype(np.int64) - pos
+    order = np.lexsort((pos, shift))
+    p, d = pos[order].astype(np.int64), shift[order]
+    if not len(p):
+        return []
+    step = np.diff(p)
+    cut = np.flatnonzero((np.diff(d) != 0) | (step > MAX_GAP + k)) + 1
+    starts, ends = np.append(0, cut), np.append(cut, len(p))
+    gain = np.append(0, np.minimum(step, k))
+    gain[starts] = k
+    covered = np.add.reduceat(gain, starts)
+    length = p[ends - 1] + k - p[starts]
+    score = covered - GAP_COST * (length - covered)
+    return [(int(p[a]), int(p[b - 1]) + k, int(p[a] + d[a]), float(x)) for a, b, x in zip(starts, ends, score)]
+
+
+def chains(segs: list[tuple[int, int, int, float]], k: int) -> list[list[int]]:
+    """Chains of segments (indices, in order) that rise in both texts, best first; each
+    segment is in one. The score of a chain is that of its segments less GAP_COST / 2 for
+    each word skipped in either text; segments may overlap by less than k words. With
+    ends brought forward by that, a step costs the same whichever chain it ends, so the best
+    end before a segment is a maximum over the ends that precede it in the other text:
+    ends enter a Fenwick tree of prefix maxima, at their rank there, once the segments
+    in hand start behind them. Chains are cut where a gap exceeds MAX_GAP words."""
+    if len(segs) == 1:
+        return [[0]]
+    n = len(segs)
+    half = GAP_COST / 2
+    end = [e - (k - 1) for _, e, _, _ in segs]
+    oend = [o + e - s - (k - 1) for s, e, o, _ in segs]
+    ranks = sorted(set(oend))
+    tree = [(-np.inf, -1)] * (len(ranks) + 1)
+    score, back = [0.0] * n, [-1] * n
+    entering = sorted(range(n), key=lambda y: end[y])
+    entered = 0
+    for x in sorted(range(n), key=lambda y: (segs[y][0], segs[y][2])):
+        s, _, o, own = segs[x]
+        while entered < n and end[entering[entered]] <= s:
+            y = entering[entered]
+            entered += 1
+            value = (score[y] + half * (end[y] + oend[y]), y)
+            at = bisect_left(ranks, oend[y]) + 1
+            while at < len(tree):
+                tree[at] = max(tree[at], value)
+                at += at & -at
+        best, at = (-np.inf, -1), bisect_right(ranks, o)
+        while at:
+            best = max(best, tree[at])
+            at -= at & -at
+        gain = best[0] - half * (s + o)
+        score[x] = own + max(0.0, gain)
+        back[x] = best[1] if gain > 0 else -1
+    out, used = [], [False] * n
+    for x in sorted(range(n), key=lambda y: -score[y]):
         chain = []
         while x >= 0 and not used[x]:
             used[x] = True
-            chain.append(int(order[x]))
+            if chain and max(segs[chain[-1]][0] - segs[x][1], segs[chain[-1]][2] - segs[x][2] - segs[x][1] + segs[x][0]) > MAX_GAP:
+                out.append(chain[::-1])
+                chain = []
+            chain.append(x)
             x = back[x]
         if chain:
             out.append(chain[::-1])
     return out
 
 
+def stretch_of(pos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of every run of repeated seeds with no gap of more than MAX_GAP
+    words, whoever they come from; ``pos`` ascending."""
+    cut = np.flatnonzero(np.diff(pos) > MAX_GAP + k) + 1
+    return pos[np.append(0, cut)], pos[np.append(cut, len(pos)) - 1] + k
+
+
+def candidates(pos, other, oth, opos, k: int, window: int, min_words: int):
+    """(other, oth, starts, ends, other starts, left, right) of the chains of a document
+    that may belong to a passage; left and right are the words beyond a chain's ends to
+    look at when they are extended."""
+    order = np.lexsort((pos, oth, other))
+    pos, other, oth, opos = pos[order], other[order], oth[order], opos[order]
+    first, last = stretch_of(np.unique(pos).astype(np.int64), k)
+    long_ = last - first + 2 * (window - 1) >= min_words
+    if not long_.any():
+        return
+    cut = np.flatnonzero((np.diff(other) != 0) | (np.diff(oth) != 0)) + 1
+    found = []
+    for a, b in zip(np.append(0, cut), np.append(cut, len(pos))):
+        segs = segments(pos[a:b], opos[a:b], k)
+        for c in chains(segs, k):
+            s, e = segs[c[0]][0], segs[c[-1]][1]
+            at = int(np.searchsorted(first, s, side="right")) - 1
+            if long_[at]:
+                found.append((sum(segs[x][3] for x in c), s, e, a, [segs[x] for x in c], int(first[at]), int(last[at])))
+    found.sort(key=lambda x: -x[0])
+    sure: list[tuple[int, int]] = []  # dense chains, which will be passages
+    for score, s, e, a, chain, lo, hi in found:
+        if any(x <= s and e <= y for x, y in sure):
+            continue
+        if e - s >= min_words and score >= 0.8 * (e - s):
+            sure.append((s, e))
+        # what an extension gains in the stretch may carry it half as far beyond
+        yield (int(other[a]), int(oth[a]), [x[0] for x in chain], [x[1] for x in chain], [x[2] for x in chain],
+               2 * (s - lo + window) + 64, 2 * (hi - e + window) + 64)
+
+
 def equal_words(a: list, b: list) -> int:
     """Words of a longest common subsequence of two short gaps."""
     if not a or not b:
@@ -141,20 +334,25 @@ def extend(a: list, i: int, b: list, j: int, step: int) -> tuple[int, int]:
     return best, best_equal
 
 
-def align(chain_pos, chain_opos, words: list, own: list, k: int) -> tuple[int, int, int, int, int]:
-    """(start, end, own start, own end, equal words) of a chain on both texts."""
-    s, o = int(chain_pos[0]), int(chain_opos[0])
+def align(chain: list[tuple[int, int, int]], words: np.ndarray, own: np.ndarray,
+          left: int, right: int) -> tuple[int, int, int, int, int]:
+    """(start, end, own start, own end, equal words) of a chain of (start, end, own
+    start) on both texts, its ends extended into ``left`` and ``right`` words."""
+    s, _, o = chain[0]
     e, oe, equal = s, o, 0
-    for p, q in zip(chain_pos, chain_opos):
-        p, q = int(p), int(q)
+    for p, end, q in chain:
+        over = max(e - p, oe - q, 0)
+        p, q = p + over, q + over
+        if p >= end:
+            continue
         if p > e and q > oe:
-            equal += equal_words(words[e:p], own[oe:q])
-        new = min(p + k - e, q + k - oe, k)
-        equal += max(0, new)
-        e, oe = max(e, p + k), max(oe, q + k)
-    n, same = extend(words, s - 1, own, o - 1, -1)
+            equal += equal_words(words[e:p].tolist(), own[oe:q].tolist())
+        equal += int((words[p:end] == own[q:q + end - p]).sum())
+        e, oe = end, q + end - p
+    a, b = max(0, s - left), max(0, o - left)
+    n, same = extend(words[a:s].tolist(), s - a - 1, own[b:o].tolist(), o - b - 1, -1)
     s, o, equal = s - n, o - n, equal + same
-    n, same = extend(words, e, own, oe, 1)
+    n, same = extend(words[e:e + right].tolist(), 0, own[oe:oe + right].tolist(), 0, 1)
     return s, e + n, o, oe + n, equal + same
 
 
@@ -168,40 +366,51 @@ def stretches(pos: np.ndarray, k: int, window: int, min_words: int) -> list[tupl
     return [(a, b) for a, b in runs if b - a + k + 2 * (window - 1) >= min_words]
 
 
-def whole_hits(d: DataFrame, shared: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
-    """(doc_id, owner, pos, opos) of every run of ``min_words`` words that an earlier
-    document has, matched to its first occurrence: a passage counts as one even when
-    its seeds first occur in several documents, or elsewhere in the owner. Looked for
-    only where all seeds in a row occur earlier, whoever owns them."""
-
-    def late(batches):
-        for pdf in batches:
-            out = [np.empty(0, np.int64)]
-            for ps, hs in zip(pdf["ps"], pdf["hs"]):
-                ps, hs = np.asarray(ps), np.asarray(hs)
-                out += [hs[(ps >= a) & (ps <= b)] for a, b in stretches(ps, k, window, min_words)]
-            yield pd.DataFrame({"h": np.unique(np.concatenate(out))})
-
-    wanted = stored(shared.where("doc_id > owner").groupBy("doc_id")
-                    .agg(F.collect_list("pos").alias("ps"), F.collect_list("h").alias("hs"))
-                    .select("ps", "hs").mapInPandas(late, "h long").distinct(), "stretch-seeds")
-    held = shared.join(wanted, "h").groupBy("doc_id").agg(F.collect_list("pos").alias("ps"))
+def unexplained(pos: np.ndarray, spans: list[tuple[int, int]], n_words: int, k: int, window: int,
+                min_words: int) -> np.ndarray:
+    """The seeds of stretches in which a run of ``min_words`` words may be repeated that
+    lies in none of the passages ``spans`` of this text of ``n_words`` words."""
+    out = [np.empty(0, pos.dtype)]
+    for a, b in stretches(pos, k, window, min_words):
+        lo, hi = max(0, a - window + 1), min(n_words, b + k + window - 1)
+        at = lo  # where the first run that is in no passage may start
+        for s, e in sorted(spans):
+            if s <= at:
+                at = max(at, e - min_words + 1)
+        if at + min_words <= hi:
+            out.append(pos[(pos >= a) & (pos <= b)])
+    return np.concatenate(out)
+
+
+def whole_runs(d: DataFrame, found: DataFrame, hidden: DataFrame, left: DataFrame, k: int, window: int,
+               min_words: int) -> DataFrame:
+    """Passages, as ``repeated_passages`` has them, of equal words that start from the seeds
+    ``left`` (doc_id, th, pos): every run of ``min_words`` words there and wherever these
+    seeds occur is hashed and matched to its first occurrence."""
+    keys = ["doc_id", "th"]
+    wanted = stored(found.join(left, [*keys, "pos"], "left_semi").select("h").distinct(), "left-seeds")
+    of = found.join(wanted, "h", "left_semi")
+    places = of.select(*keys, "pos").unionAll(of.select("other", "oth", "opos")).unionAll(
+        hidden.join(wanted, "h", "left_semi").select(*keys, "pos"))
+    held = places.groupBy(*keys).agg(
+        F.collect_set("pos").alias("ps"))
 
     def ranges(batches):
         for pdf in batches:
-            found = [stretches(np.asarray(ps), k, window, min_words) for ps in pdf["ps"]]
-            keep = [n for n, x in enumerate(found) if x]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[keep].to_numpy(),
-                                "a": [[a for a, _ in found[n]] for n in keep],
-                                "b": [[b for _, b in found[n]] for n in keep]})
+            out = []
+            for i, th, ps in zip(pdf["doc_id"], pdf["th"], pdf["ps"]):
+                runs = stretches(np.asarray(ps), k, window, min_words)
+                if runs:
+                    out.append((i, th, [a for a, _ in runs], [b for _, b in runs]))
+            yield pd.DataFrame(out, columns=["doc_id", "th", "a", "b"])
 
-    spans = stored(held.mapInPandas(ranges, "doc_id long, a array<int>, b array<int>"), "stretches")
+    spans = stored(held.mapInPandas(ranges, "doc_id long, th int, a array<int>, b array<int>"), "stretches")
 
     def runs(batches):
         cache = WordHashes()
         for pdf in batches:
             out, n = [], 0
-            for i, text, starts, ends in zip(pdf["doc_id"], pdf["text"], pdf["a"], pdf["b"]):
+            for i, th, text, starts, ends in zip(pdf["doc_id"], pdf["th"], pdf["text"], pdf["a"], pdf["b"]):
                 words, hs, ps = word_list(text), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for a, b in zip(starts, ends):
                     a = max(0, int(a) - window + 1)
@@ -210,7 +419,8 @@ def whole_hits(d: DataFrame, shared: DataFrame, k: int, window: int, min_words:
                     ps.append(a + np.arange(len(h)))
                 h, at = np.concatenate(hs), np.concatenate(ps)
                 at, one = np.unique(at, return_index=True)  # stretches may meet
-                out.append(pd.DataFrame({"doc_id": np.full(len(at), i, np.int64), "h": h[one], "pos": at.astype(np.int32)}))
+                out.append(pd.DataFrame({"doc_id": np.full(len(at), i, np.int64), "th": np.full(len(at), th, np.int32),
+                                         "h": h[one], "pos": at.astype(np.int32)}))
                 n += len(at)
                 if n > 200_000:
                     yield pd.concat(out)
@@ -218,11 +428,24 @@ def whole_hits(d: DataFrame, shared: DataFrame, k: int, window: int, min_words:
             if out:
                 yield pd.concat(out)
 
-    w = stored(d.join(spans, "doc_id").mapInPandas(runs, "doc_id long, h long, pos int"), "whole-runs")
-    own = stored(w.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("o"), F.count("*").alias("n"))
-                 .where("n > 1").select("h", F.col("o.doc_id").alias("owner"), F.col("o.pos").alias("opos")),
-                 "run-owners")
-    return w.join(own, "h").where("doc_id > owner").select("doc_id", "owner", "pos", "opos")
+    w = stored(d.join(spans, keys).mapInPandas(runs, "doc_id long, th int, h long, pos int"), "whole-runs")
+    own = stored(w.groupBy("h").agg(F.min(F.struct("doc_id", "th", "pos")).alias("o"), F.count("*").alias("n"))
+                 .where("n > 1").select("h", F.col("o.doc_id").alias("other"), F.col("o.th").alias("oth"),
+                                        F.col("o.pos").alias("opos")), "run-owners")
+    hits = (w.join(own, "h").where("doc_id > other or doc_id = other and th > oth").groupBy(*keys, "other")
+            .agg(F.collect_list(F.struct("pos", "opos")).alias("m")))
+
+    def joined(batches):
+        for pdf in batches:
+            out = []
+            for i, th, other, m in zip(pdf["doc_id"], pdf["th"], pdf["other"], pdf["m"]):
+                p, q = (np.array([x[c] for x in m], np.int64) for c in ("pos", "opos"))
+                out += [(i, th, other, a, b, a + shift, b + shift, b - a, 1.0)
+                        for a, b, shift in covering_runs(p, q, min_words)]
+            yield pd.DataFrame(out, columns=["doc_id", "text_hash", "other_doc_id", "start", "end", "other_start",
+                                             "other_end", "n_words", "identity"])
+
+    return hits.mapInPandas(joined, PASSAGES)
 
 
 def covering_runs(pos: np.ndarray, opos: np.ndarray, n: int) -> list[tuple[int, int, int]]:
@@ -248,107 +471,129 @@ def covering_runs(pos: np.ndarray, opos: np.ndarray, n: int) -> list[tuple[int,
     return out + [best] if best else out
 
 
+PASSAGES = ("doc_id long, text_hash int, other_doc_id long, start int, end int, other_start int, other_end int, "
+            "n_words int, identity double")
+
+
 def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, other_doc_id, start, end, other_start, other_end, n_words, identity):
-    word ranges (end exclusive) of passages of ``doc_id`` that an earlier document has."""
-    d = doc_columns(docs, id_col, text_col).where("doc_id is not null")
-    s = seeds(d, k, window)
-    first = F.min(F.struct("doc_id", "pos")).alias("o")
-    own = stored(s.groupBy("h").agg(first, F.count("*").alias("n")).where("n > 1")
-                 .select("h", F.col("o.doc_id").alias("owner"), F.col("o.pos").alias("opos")), "seed-owners")
-    shared = stored(s.join(own, "h").select("doc_id", "h", "pos", "owner", "opos"), "shared-seeds")
-    hits = shared.where("doc_id > owner").select("doc_id", "owner", "pos", "opos", F.lit(0).alias("whole"))
-    whole = whole_hits(d, shared, k, window, min_words)
-    # a document's matches are as many as its seeds and words
-    packed = (hits.unionByName(whole.withColumn("whole", F.lit(1))).groupBy("doc_id", "owner")
-              .agg(F.collect_list(F.expr("(bigint(pos) << 32) | (bigint(opos) << 1) | whole")).alias("m"),
-                   F.max("whole").alias("whole"))
-              .where((F.size("m") > 1) | (F.col("whole") == 1)).drop("whole"))
+    """(doc_id, text_hash, other_doc_id, start, end, other_start, other_end, n_words,
+    identity): word ranges (end exclusive) of passages of ``doc_id`` that an earlier
+    document has."""
+    text = F.col(text_col).cast("string")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("th"), text.alias("text")).where(
+        "doc_id is not null and text is not null")
+    links, hidden = matches(stored(seeds(d, k, window), "seeds"))
+    # a document's matches are as many as its seeds
+    packed = links.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "other", "oth", "opos")).alias("m"))
+    schema = ("doc_id long, th int, other long, oth int, ss array<int>, es array<int>, os array<int>, "
+              "l int, r int")
 
     def chained(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for i, owner, m in zip(pdf["doc_id"], pdf["owner"], pdf["m"]):
-                m = np.asarray(m, np.int64)
-                p, q, whole = m >> 32, (m & 0xFFFFFFFF) >> 1, (m & 1).astype(bool)
-                runs = covering_runs(p[whole], q[whole], min_words) if whole.any() else []
-                for a, b, shift in runs:
-                    at = np.append(np.arange(a, b - k, k), b - k)
-                    out.append((i, owner, at.astype(np.int32), (at + shift).astype(np.int32)))
-                p, q = p[~whole], q[~whole]
-                for c in chains(p, q, k):
-                    if any(a <= p[c[0]] and p[c[-1]] + k <= b and (q[c] - p[c] == x).all() for a, b, x in runs):
-                        continue  # within equal words
-                    # what two ends may still gain is under a window of words each
-                    if len(c) > 1 and p[c[-1]] + k - p[c[0]] + 2 * (window + k) >= min_words:
-                        out.append((i, owner, p[c].astype(np.int32), q[c].astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "owner", "ps", "qs"])
-
-    found = stored(packed.mapInPandas(chained, "doc_id long, owner long, ps array<int>, qs array<int>"), "chains")
-
-    side = 256  # words beyond the chain that an extension may look at
+            rows = batch.column("m")
+            flat = rows.flatten()
+            pos, other, oth, opos = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(4))
+            at = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+            for i, th, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), at, at[1:]):
+                out += [(i, th, *c) for c in candidates(pos[a:b], other[a:b], oth[a:b], opos[a:b], k, window, min_words)]
+            cols = list(zip(*out)) if out else [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (
+                pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.int32(), pa.int32()))],
+                names=["doc_id", "th", "other", "oth", "ss", "es", "os", "l", "r"])
+
+    found = stored(packed.mapInArrow(chained, schema), "chains")
+    named = found.select("doc_id", "th").unionAll(found.select(F.col("other"), F.col("oth"))).distinct()
+
+    def hashed(batches):
+        """The words of a text as 32-bit hashes."""
+        cache = WordHashes()
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"],
+                                "w": [cache.of(word_list(t)).astype(np.uint32).tobytes() for t in pdf["text"]]})
+
+    words = stored(d.join(named, ["doc_id", "th"], "left_semi").mapInPandas(hashed, "doc_id long, th int, w binary"),
+                   "words")
 
     def cut(batches):
-        """The owner's words around each chain, as text."""
+        """The other text's words around each chain."""
         for pdf in batches:
-            out, last, words = [], None, []
-            for text, qs in zip(pdf["text"], pdf["qs"]):
-                if text is not last:
-                    last, words = text, word_list(text)
-                a = max(0, int(qs[0]) - side)
-                out.append((a, b" ".join(words[a:int(qs[-1]) + k + side]).decode("utf-8", "surrogatepass")))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "owner": pdf["owner"], "ps": pdf["ps"], "qs": pdf["qs"],
-                                "from": [x[0] for x in out], "own": [x[1] for x in out]})
-
-    with_own = (found.join(d.select(F.col("doc_id").alias("owner"), "text"), "owner")
-                .mapInPandas(cut, "doc_id long, owner long, ps array<int>, qs array<int>, `from` int, own string"))
+            base, own = [], []
+            for w, es, ss, os, left, right in zip(pdf["w"], pdf["es"], pdf["ss"], pdf["os"], pdf["l"], pdf["r"]):
+                a = max(0, int(os[0]) - int(left))
+                base.append(a)
+                own.append(w[4 * a:4 * (int(os[-1]) + int(es[-1]) - int(ss[-1]) + int(right))])
+            yield pdf.drop(columns="w").assign(base=base, own=own)
+
+    other = words.select(F.col("doc_id").alias("other"), F.col("th").alias("oth"), "w").dropDuplicates(["other", "oth"])
+    with_own = found.join(other, ["other", "oth"]).mapInPandas(
+        cut, "other long, oth int, doc_id long, th int, ss array<int>, es array<int>, os array<int>, l int, r int, "
+             "base int, own binary")
 
     def aligned(batches):
         for pdf in batches:
-            out, last, words = [], None, []
-            for i, owner, ps, qs, base, own_text, text in zip(pdf["doc_id"], pdf["owner"], pdf["ps"], pdf["qs"],
-                                                              pdf["from"], pdf["own"], pdf["text"]):
-                if text is not last:
-                    last, words = text, word_list(text)
-                if len(ps) and ps[-1] + k > len(words):
-                    continue  # another row with this doc_id
-                a, b, c, e, equal = align(ps, np.asarray(qs) - base, words, word_list(own_text), k)
+            out = []
+            for row in pdf.itertuples():
+                chain = [(int(s), int(e), int(o) - row.base) for s, e, o in zip(row.ss, row.es, row.os)]
+                a, b, c, e, equal = align(chain, np.frombuffer(row.w, np.uint32), np.frombuffer(row.own, np.uint32),
+                                          row.l, row.r)
                 share = equal / max(1, b - a, e - c)
                 if b - a >= min_words and share >= MIN_IDENTITY:
-                    out.append((i, owner, a, b, c + base, e + base, b - a, min(1.0, share)))
-            yield pd.DataFrame(out, columns=["doc_id", "other_doc_id", "start", "end", "other_start", "other_end",
-                                             "n_words", "identity"])
+                    out.append((row.doc_id, row.th, row.other, a, b, c + row.base, e + row.base, b - a, min(1.0, share)))
+            yield pd.DataFrame(out, columns=["doc_id", "text_hash", "other_doc_id", "start", "end", "other_start",
+                                             "other_end", "n_words", "identity"])
 
-    return (with_own.join(d, "doc_id").mapInPandas(
-        aligned, "doc_id long, other_doc_id long, start int, end int, other_start int, other_end int, "
-                 "n_words int, identity double").distinct())
+    mine = words.dropDuplicates(["doc_id", "th"])
+    passages = stored(with_own.join(mine, ["doc_id", "th"]).mapInPandas(aligned, PASSAGES).distinct(), "passages")
+
+    spans = passages.groupBy(F.col("doc_id"), F.col("text_hash").alias("th")).agg(
+        F.collect_list(F.struct("start", "end")).alias("spans"))
+    lengths = mine.select("doc_id", "th", (F.octet_length("w") / 4).cast("int").alias("n"))
+    checked = (packed.join(lengths, ["doc_id", "th"]).join(spans, ["doc_id", "th"], "left")
+               .select("doc_id", "th", F.col("m.pos").alias("ps"), "n", F.col("spans.start").alias("ss"),
+                       F.col("spans.end").alias("es")))
+
+    def unchained(batches):
+        for pdf in batches:
+            ids, ths, ps = [], [], [np.empty(0, np.int32)]
+            for row in pdf.itertuples():
+                spans = [] if row.ss is None else list(zip(row.ss, row.es))
+                p = unexplained(np.asarray(row.ps, np.int32), spans, row.n, k, window, min_words)
+                ids += [row.doc_id] * len(p)
+                ths += [row.th] * len(p)
+                ps.append(p)
+            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "th": np.array(ths, np.int32), "pos": np.concatenate(ps)})
+
+    left = stored(checked.mapInPandas(unchained, "doc_id long, th int, pos int"), "left-places")
+    return passages.unionByName(whole_runs(d, links, hidden, left, k, window, min_words)).distinct()
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",
                      text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with the words of their passages cut out of ``text_col``; what white
-    space followed a passage goes with it, and ``length_col`` is counted anew. A
-    document of which nothing is left goes; those without passages stay as they are."""
-    spans = stored(passages.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
-                   .select(F.col("doc_id").alias("_span_id"), F.col("s.start").alias("_starts"),
-                           F.col("s.end").alias("_ends")), "spans")
-    joined = docs.join(spans, docs[id_col] == spans["_span_id"], "left")
+    space followed a passage goes with it, and ``length_col`` is counted anew. Spans are
+    cut only from the text in which they were found. A document of which nothing is left
+    goes; those without passages stay as they are."""
+    spans = stored(passages.groupBy("doc_id", "text_hash").agg(
+        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s")), "spans")
+    # the row in one struct, so that its columns may have any name
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col(f"row.`{text_col}`")
+    joined = row.withColumns({"i": F.col(f"row.`{id_col}`").cast("long"), "t": text_hash(text.cast("string"))}).join(
+        spans, (F.col("i") == spans["doc_id"]) & (F.col("t") == spans["text_hash"]), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        out = texts.tolist()
-        for n, (text, a, b) in enumerate(zip(out, starts, ends)):
-            if text is not None and a is not None:
-                out[n] = cut_words(text, zip(a, b))
-        return pd.Series(out, dtype=object)
-
-    whole = joined.where("_span_id is null").select(*docs.columns)
-    left = (joined.where("_span_id is not null").withColumn(text_col, cut(text_col, "_starts", "_ends"))
-            .where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")))
+        return pd.Series([cut_words(t, zip(a, b)) for t, a, b in zip(texts, starts, ends)], dtype=object)
+
+    whole = joined.where("s is null").select("row.*")
+    left = joined.where("s is not null").withColumn("cut", cut(text, "s.start", "s.end")).where(
+        F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
+    new = {text_col: F.col("cut")}
     if length_col in docs.columns:
-        left = left.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return whole.unionByName(left.select(*docs.columns))
+        new[length_col] = F.length("cut").cast(docs.schema[length_col].dataType)
+    return whole.unionByName(left.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))
 
 
 def cut_words(text: str, spans) -> str:

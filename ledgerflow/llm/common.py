@@ -16,16 +16,14 @@ from pyspark.sql import functions as F
 from ledgerflow.session import scratch_path
 
 
-TEXTS_PER_BATCH = 1000
+BATCH_BYTES = 4 << 20
 
 
 def importable(spark: SparkSession) -> None:
     """Let workers that start from now on import this package from where the driver
-    has it (on a cluster it is installed, or shipped with --py-files), and hand whole
-    texts to them in batches that fit beside an executor's heap."""
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(batch)) > TEXTS_PER_BATCH:
-        spark.conf.set(batch, TEXTS_PER_BATCH)
+    has it (on a cluster it is installed, or shipped with --py-files), and hand rows to
+    them in batches of so many bytes at most, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):

@@ -209,38 +209,112 @@ def test_winnowing_keeps_the_least_of_every_window():
         assert got == want or n < 17 and len(got) == (1 if n else 0)
 
 
-def brute_chain_scores(p, q, k):
-    """Best score of a chain that ends in each match, over all earlier matches."""
-    score = [float(k)] * len(p)
-    for x in sorted(range(len(p)), key=lambda i: (p[i], q[i])):
-        for y in range(len(p)):
-            dp, dq = p[x] - p[y], q[x] - q[y]
-            if dp > 0 and dq > 0 and max(dp, dq) <= chaining.MAX_GAP + k:
-                gain = min(k, dp, dq)
-                score[x] = max(score[x], score[y] + gain - chaining.GAP_COST * (dp + dq - 2 * gain) / 2)
+def brute_chain_scores(segs, k):
+    """Best score of a chain that ends in each segment, over all segments before it."""
+    half, score = chaining.GAP_COST / 2, [x[3] for x in segs]
+    for x in sorted(range(len(segs)), key=lambda i: (segs[i][0], segs[i][2])):
+        s, _, o, own = segs[x]
+        for y, (ys, ye, yo, _) in enumerate(segs):
+            end, oend = ye - (k - 1), yo + ye - ys - (k - 1)
+            if end <= s and oend <= o:
+                score[x] = max(score[x], own + score[y] - half * (s - end + o - oend))
     return score
 
 
 def test_chains_match_brute_force():
     rng = np.random.default_rng(11)
-    for n, reach in ((60, 200), (80, 800), (40, 3000)):
+    for n, reach in ((60, 200), (80, 800), (40, 3000), (1, 10)):
         p, q = rng.integers(0, reach, n), rng.integers(0, reach, n)
         run = np.arange(0, 90, 9)  # passages one after the other, each beyond the last one's reach
         at = [(0, 5), (200, 150), (350, 900), (600, 400)]
         p = np.concatenate([p] + [a + run for a, _ in at])
         q = np.concatenate([q] + [b + run for _, b in at])
-        found = chaining.chains(p, q, 5)
-        assert sorted(x for c in found for x in c) == list(range(len(p)))
-        want = brute_chain_scores(p.tolist(), q.tolist(), 5)
-        best = max(range(len(p)), key=lambda i: want[i])
-        steps = list(zip(found[0], found[0][1:]))
-        got = 5.0
-        for y, x in steps:
-            dp, dq = int(p[x] - p[y]), int(q[x] - q[y])
-            gain = min(5, dp, dq)
-            assert 0 < dp <= 45 and 0 < dq <= 45
-            got += gain - chaining.GAP_COST * (dp + dq - 2 * gain) / 2
-        assert got == pytest.approx(want[best])
+        segs = chaining.segments(p, q, 5)
+        assert all(e > s for s, e, _, _ in segs) and len(segs) <= len(p)
+        found = chaining.chains(segs, 5)
+        assert sorted(x for c in found for x in c) == list(range(len(segs)))
+        want = brute_chain_scores(segs, 5)
+        score, half = {}, chaining.GAP_COST / 2
+        whole = []  # the best chain before it was cut at gaps
+        for c in found:
+            steps = [segs[x] for x in c]
+            for (s, e, o, _), (t, _, u, _) in zip(steps, steps[1:]):
+                assert e - 4 <= t and o + e - s - 4 <= u and max(t - e, u - o - e + s) <= chaining.MAX_GAP
+            got = steps[0][3]
+            for (s, e, o, _), (t, _, u, own) in zip(steps, steps[1:]):
+                got += own - half * (t - e + 4 + u - (o + e - s) + 4)
+            score[c[-1]] = got
+            whole.append(got)
+        # no chain scores more than the best to its end, and where none was cut it is that
+        assert all(v <= want[x] + 1e-9 for x, v in score.items())
+    for _ in range(30):  # dense: nothing to cut
+        p = np.sort(rng.integers(0, 60, 25))
+        q = rng.integers(0, 40, 25)
+        segs = chaining.segments(p, q, 5)
+        want = brute_chain_scores(segs, 5)
+        first = chaining.chains(segs, 5)[0]
+        steps, half = [segs[x] for x in first], chaining.GAP_COST / 2
+        got = steps[0][3] + sum(b[3] - half * (b[0] - a[1] + 4 + b[2] - (a[2] + a[1] - a[0]) + 4) for a, b in zip(steps, steps[1:]))
+        assert got == pytest.approx(max(want))
+
+
+def test_links_go_to_the_last_row_of_another_document():
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(h), int(d), int(t), int(p)) for h, d, t, p in zip(
+        rng.integers(0, 12, 900), rng.integers(0, 30, 900), rng.integers(0, 2, 900), rng.integers(0, 50, 900))})
+    want = {}
+    for i, (h, d, t, p) in enumerate(rows):
+        before = [r for r in rows[:i] if r[0] == h and r[1:3] != (d, t)]
+        if before:
+            want[(d, t, p, h)] = before[-1][1:]
+    first = {}
+    for h, d, t, p in rows:
+        first.setdefault(h, (d, t))
+    hides = {r for r, n in zip(rows, rows[1:]) if r[:3] == n[:3] and first[r[0]] == r[1:3]}
+    for step in (1, 3, 7, 1000):
+        linker, got, hid = chaining._Linker(), {}, set()
+        for a in range(0, len(rows), step):
+            cols = tuple(np.array(c, x) for c, x in zip(zip(*rows[a:a + step]), (np.int64, np.int64, np.int32, np.int32)))
+            found, hidden = linker.links(cols)
+            for d, t, p, o, u, q, h in zip(*(x.tolist() for x in found)):
+                got[(d, t, p, h)] = (o, u, q)
+            hid |= set(zip(*(x.tolist() for x in hidden)))
+        assert got == want and hid == hides
+
+
+@pytest.mark.parametrize("parts", ["2", "9"])
+def test_edited_passages_whose_halves_come_from_other_documents(sp, parts):
+    rng = random.Random(21)
+    x, y = prose(rng, 32), prose(rng, 32)
+    docs = [(1, prose(rng, 90) + " " + x + " " + prose(rng, 60)), (2, prose(rng, 90) + " " + y + " " + prose(rng, 60))]
+    docs += [(10 + i, prose(rng, 70) + " " + edited(rng, x + " " + y, 0.04) + " " + prose(rng, 50)) for i in range(31)]
+    docs += [(100 + i, prose(rng, 150)) for i in range(20)]
+    before = sp.conf.get("spark.sql.shuffle.partitions")
+    sp.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = chaining.repeated_passages(sp.createDataFrame(docs, "doc_id long, text string")).collect()
+    finally:
+        sp.conf.set("spark.sql.shuffle.partitions", before)
+    got = {r["doc_id"] for r in found}
+    assert len(got & set(range(11, 41))) >= 28 and not got & {1, 2, *range(100, 120)}
+
+
+def test_passages_belong_to_their_text_and_helper_names_do_not_clash(sp):
+    rng = random.Random(22)
+    passage = prose(rng, 70)
+    big = (1 << 60) + 1
+    one, two = prose(rng, 40) + " " + passage + " " + prose(rng, 40), prose(rng, 300)
+    docs = [(1, passage + " " + prose(rng, 30)), (5, one), (5, two), (5, one), (None, one), (big, one), (big + 2, prose(rng, 90) + " " + one)]
+    df = sp.createDataFrame([(i, t, "x", 1, "s", [1], t) for i, t in docs],
+                            "doc_id long, text string, s string, i int, t string, th array<int>, row string")
+    found = chaining.repeated_passages(df)
+    got = {r["doc_id"] for r in found.collect()}
+    assert got == {5, big, big + 2}
+    left = chaining.without_passages(df, found)
+    assert left.columns == df.columns
+    texts = sorted((r["doc_id"] or 0, len(r["text"].split())) for r in left.collect())
+    assert (5, 300) in texts and (0, 150) in texts  # another text of the id, and no id: as they were
+    assert all(n < 150 for i, n in texts if i == big)
 
 
 def test_every_passage_shared_with_one_document_is_found(sp):
