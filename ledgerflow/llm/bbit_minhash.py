@@ -98,7 +98,8 @@ def band_keys(mins: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(doc_id, n_shingles, fp, sig, bands): fp names the shingle set."""
+    """(doc_id, th) -> (doc_id, th, n_shingles, fp, sig, bands): fp names the shingle set.
+    Ids go through the workers as text, exact beside a null."""
     n = bands_for(threshold) * ROWS
 
     def run(batches):
@@ -106,16 +107,18 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
         cache = WordHashes()
         for pdf in batches:
             out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
+            for i, th, text in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
                 s = shingle_set(cache.of(word_list(text)), k)
                 if len(s):
                     m = minima(s, a, b)
-                    out.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()), pack_low_bits(m), band_keys(m, ROWS)))
+                    out.append((i, th, len(s), xxhash.xxh3_128_digest(s.tobytes()), pack_low_bits(m), band_keys(m, ROWS)))
                 else:
-                    out.append((i, 0, f"empty {i}".encode(), b"", np.empty(0, np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "fp", "sig", "bands"])
+                    out.append((i, th, 0, f"empty {i}".encode(), b"", np.empty(0, np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "th", "n_shingles", "fp", "sig", "bands"])
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>")
+    found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        run, "doc_id string, th long, n_shingles long, fp binary, sig binary, bands array<long>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _links_in_block(texts, sigs, sides, ids, k, share: Fraction, n: int):
@@ -154,33 +157,34 @@ def _links_in_block(texts, sigs, sides, ids, k, share: Fraction, n: int):
 
 
 def near_links(docs: DataFrame, sig: DataFrame, k: int, threshold: float, block: int) -> DataFrame:
-    """(u, v): links whose components are those of all pairs at the threshold."""
+    """(u, v): links between representatives, by rid, whose components are those of all
+    pairs at the threshold."""
     n = bands_for(threshold) * ROWS
     share = Fraction(str(threshold))
-    rows = sig.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    rows = sig.select("rid", "n_shingles", F.explode("bands").alias("key"))
     buckets = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = stored(rows.join(buckets, "key"), "members")
-    weight = members.groupBy("doc_id").agg(F.sum("n").alias("w"))
-    hubs = stored(members.select("key", "doc_id").join(weight, "doc_id").groupBy("key")
-                  .agg(F.max(F.struct("w", (-F.col("doc_id")).alias("d"))).alias("h"))
+    weight = members.groupBy("rid").agg(F.sum("n").alias("w"))
+    hubs = stored(members.select("key", "rid").join(weight, "rid").groupBy("key")
+                  .agg(F.max(F.struct("w", (-F.col("rid")).alias("d"))).alias("h"))
                   .select("key", (-F.col("h.d")).alias("hub")), "hubs")
-    clusters = stored(members.join(hubs, "key").select("hub", "doc_id", "n_shingles").distinct(), "clusters")
+    clusters = stored(members.join(hubs, "key").select("hub", "rid", "n_shingles").distinct(), "clusters")
     sizes = stored(clusters.groupBy("hub").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("m"))
                    .where("m > 1").select("hub", F.ceil(F.col("total") / block).cast("long").alias("nb")), "clusters-n")
     parts = (clusters.join(sizes, "hub")
-             .withColumn("i", F.expr("pmod(xxhash64(doc_id), nb)"))
+             .withColumn("i", F.expr("pmod(xxhash64(rid), nb)"))
              .withColumn("j", F.explode(F.expr("sequence(0L, nb - 1)")))
-             .select("hub", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "doc_id",
+             .select("hub", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "rid",
                      F.expr("case when i = j then 2 when i < j then 0 else 1 end").alias("side")))
-    packed = sig.select("doc_id", "sig")
+    packed = sig.select("rid", "sig", "doc_id", "th")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+        pdf = pdf.sort_values("rid", kind="stable").drop_duplicates("rid")
         found = _links_in_block(pdf["text"].tolist(), pdf["sig"].tolist(), pdf["side"].to_numpy(),
-                                pdf["doc_id"].tolist(), k, share, n) if len(pdf) > 1 else ()
+                                pdf["rid"].tolist(), k, share, n) if len(pdf) > 1 else ()
         return pd.DataFrame(list(found), columns=["u", "v"]).astype("int64")
 
-    return (parts.join(packed, "doc_id").join(docs, "doc_id")
+    return (parts.join(packed, "rid").join(docs.select("doc_id", "th", "text"), ["doc_id", "th"])
             .groupBy("hub", "p", "q").applyInPandas(verify, "u long, v long"))
 
 
@@ -188,19 +192,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, block:
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id
     reachable over links with Jaccard similarity >= threshold on distinct k-word
-    shingles), kept (it is that document)."""
-    d = doc_columns(docs, id_col, text_col)
+    shingles), kept (it is that document), text_hash (which of an id's texts it is)."""
+    d = doc_columns(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     sig = stored(signatures(d, k, threshold), "signatures")
-    classes = stored(sig.where("n_shingles > 0 and doc_id is not null").groupBy("fp")
-                     .agg(F.min("doc_id").alias("rep")), "classes")
-    reps = (sig.join(classes.select(F.col("rep").alias("doc_id"), F.col("fp").alias("own")), "doc_id")
-            .where("fp = own").drop("own"))
-    reps = stored(reps.dropDuplicates(["doc_id", "fp"]), "reps")
-    links = near_links(d, reps, k, threshold, block)
-    parts = connected_components(links)
-    named = stored(classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-                   .select("fp", F.coalesce("component", "rep").alias("component")), "named")
-    return (sig.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    classes = (sig.where("n_shingles > 0 and doc_id is not null").groupBy("fp")
+               .agg(F.min(F.struct("doc_id", "th")).alias("r")).select("fp", "r.doc_id", "r.th"))
+    # texts of one id are different nodes, so nodes have numbers of their own
+    reps = sig.join(stored(classes, "classes"), ["fp", "doc_id", "th"]).dropDuplicates(["fp"])
+    reps = stored(reps.withColumn("rid", F.monotonically_increasing_id()), "reps")
+    parts = connected_components(near_links(d, reps, k, threshold, block))
+    nodes = reps.select("rid", "fp", "doc_id").join(parts.withColumnRenamed("node", "rid"), "rid", "left")
+    least = nodes.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = stored(nodes.join(least, "component", "left").select("fp", F.coalesce("least", "doc_id").alias("component")),
+                   "named")
+    return (sig.select("doc_id", "n_shingles", "fp", F.col("th").alias("text_hash")).join(named, "fp", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "text_hash")
             .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

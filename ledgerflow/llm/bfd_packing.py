@@ -195,7 +195,7 @@ def packed_sequences(docs: DataFrame, size: int = WINDOW, tokenizer: str = "word
             for pdf in batches:
                 for i, text in zip(pdf["doc_id"], pdf["text"]):
                     ids = tok.packed(text) + end
-                    yield Piece(None if pd.isna(i) else int(i), 0, ids, len(ids) // 4)
+                    yield Piece(None if i is None else int(i), 0, ids, len(ids) // 4)
 
         base, out, n = TaskContext.get().partitionId() << 36, [], 0
         try:
@@ -213,10 +213,11 @@ def packed_sequences(docs: DataFrame, size: int = WINDOW, tokenizer: str = "word
             tok.forget()
 
     def frame(rows):
-        return pd.DataFrame(rows, columns=["doc_id", "start", "ids", "length", "doc_tokens", "sequence_id",
-                                           "offset"]).astype({"doc_id": "Int64"})
+        # ids by themselves: pandas would make floats of them beside a null
+        out = pd.DataFrame([r[1:] for r in rows], columns=["start", "ids", "length", "doc_tokens", "sequence_id", "offset"])
+        return out.assign(doc_id=pd.array([r[0] for r in rows], dtype="Int64"))[["doc_id", *out.columns]]
 
-    return d.mapInPandas(run, "doc_id long, start long, ids binary, length long, doc_tokens long, "
+    return d.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id long, start long, ids binary, length long, doc_tokens long, "
                               "sequence_id long, offset long")
 
 

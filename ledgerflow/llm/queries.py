@@ -27,7 +27,7 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three words, 85 per cent."""
-    return bbit_minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, threshold=0.85)
+    return bbit_minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, threshold=0.85).drop("text_hash")
 
 
 def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,11 +16,11 @@ ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ EPOCHS = 4
 FOLDS, HELD_OUT = 4, 2
 REJECT_QUANTILE = 0.01
 CHUNK = 1 << 16      # bytes hashed at once
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def subwords(text: str):
@@ -144,8 +144,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
                     F.col(lang_col).cast("string").alias("lang"))
     d = d.where("doc_id is not null and text is not null and lang is not null").where(
         remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = d.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= sample).select("doc_id")
+    # the sample of a language is its ids of least hash; those far above the hash that so
+    # many are expected to stay under are left out before they are ranked
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / float(1 << 53)
+    sizes = d.groupBy("lang").agg(F.count("*").alias("n"))
+    near = d.select("doc_id", "lang", spread.alias("u")).join(F.broadcast(sizes), "lang").where(
+        F.col("u") * F.col("n") <= sample + 6 * sample ** 0.5)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))
+    ids = near.withColumn("place", place).where(F.col("place") <= sample).select("doc_id")
 
     def run(batches):
         for pdf in batches:

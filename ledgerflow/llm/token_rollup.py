@@ -63,14 +63,17 @@ class TokenRollup:
             try:
                 for pdf in batches:
                     for name, tok in toks.items():
-                        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "source": pdf["source"],
+                        yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"],
                                             "lang": pdf["lang"], "tokenizer": name,
                                             "n_tokens": [tok.count(t) for t in pdf["text"]]})
             finally:
                 for tok in toks.values():
                     tok.forget()
 
-        return docs.mapInPandas(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
+        # ids go through the workers as text, exact beside a null
+        rows = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+            run, "doc_id string, source string, lang string, tokenizer string, n_tokens long")
+        return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def apply(self, batch: int, changes: DataFrame) -> bool:
         """Commit ``changes`` (op, doc_id, source, lang, text; op is insert, revise or

@@ -14,8 +14,9 @@ reaches it. Full scores are integer sums, so results are exact.
 Cases: null vectors and vectors with null or non-finite components take no part;
 shorter vectors count as padded with zeros; ties go to the smaller vec_id; equal
 rows are separate candidates only by vec_id (a row with the query's own vec_id is
-never its candidate); an empty table gives an empty result. Vectors with a component
-of 2**26 or more in size after scaling take no part: their scores may not fit a long.
+never its candidate); an empty table gives an empty result. Large components are exact
+as well: blocks whose scores may not fit 64 bits are scored in Python integers, scores are
+ranked by all their digits, and one that doesn't fit a long is ranked but returned as null.
 """
 
 from __future__ import annotations
@@ -31,17 +32,18 @@ BLOCK = 4096        # vectors in a block
 QUERY_BLOCK = 512   # queries in a block
 HEAD = 16           # rotated dimensions of the partial sum
 SLICE = 512         # vectors looked at before the bound is renewed
-LIMIT = 1 << 26
 
 
 def integer_vectors(table: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(vec_id, v, norm) of the vectors that take part."""
-    v = F.transform(F.col(vec_col), lambda x: F.floor(F.lit(scale) * x.cast("double")))
+    # from 2**62 on a double is an integer already, and floor() would leave its range
+    whole = lambda x: F.when(F.abs(x) < float(1 << 62), F.floor(x).cast("double")).otherwise(x)
+    v = F.transform(F.col(vec_col), lambda x: whole(F.lit(scale) * x.cast("double")))
     ok = F.col(vec_col).isNotNull() & F.forall(
-        vec_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < LIMIT / scale))
+        vec_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return (table.where(ok & F.col(id_col).isNotNull())
-            .select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(v, F.array().cast("array<bigint>")).alias("v"))
-            .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))))
+            .select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(v, F.array().cast("array<double>")).alias("v"))
+            .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))))
 
 
 def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -52,7 +54,7 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
         total = np.zeros((dim, dim))
         for pdf in batches:
             if len(pdf):
-                x = _matrix(pdf["v"], dim).astype(float)
+                x = _matrix(pdf["v"], dim)
                 total += x.T @ x
         yield pd.DataFrame({"cell": np.arange(dim * dim), "x": total.ravel()})
 
@@ -64,7 +66,7 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    out = np.zeros((len(column), dim), np.int64)
+    out = np.zeros((len(column), dim))
     for i, v in enumerate(column):
         out[i, :len(v)] = v
     return out
@@ -78,21 +80,38 @@ class _Best:
         self.found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        if len(scores) > self.k:
+        if len(scores) > self.k and scores.dtype != object:
             top = np.lexsort((ids, -scores))[:self.k]
             scores, ids = scores[top], ids[top]
         best = sorted(self.found[q] + list(zip((-scores).tolist(), ids.tolist())))[:self.k]
         self.found[q] = best
         if len(best) == self.k:
-            self.bounds[q] = max(self.bounds[q], -best[-1][0])
+            self.bounds[q] = max(self.bounds[q], float(-best[-1][0]))
+
+
+def exact_integers(*parts: np.ndarray) -> list[np.ndarray]:
+    """Integral doubles as 64-bit integers where no inner product of theirs can leave
+    that range, else as Python integers."""
+    size = 1.0
+    for m in parts:
+        size *= np.abs(m).max(initial=1.0)
+    if size * max(1, parts[0].shape[1]) < 2.0 ** 62:
+        return [m.astype(np.int64) for m in parts]
+    return [np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in parts]
+
+
+def rank_text(score: int) -> str:
+    """Text in whose order scores rise: sign, number of digits, digits; below zero all
+    of it is complemented."""
+    digits = f"{len(str(abs(score))):04d}{abs(score)}"
+    return "1" + digits if score >= 0 else "0" + "".join(chr(ord("0") + ord("9") - ord(c)) for c in digits) + "~"
 
 
 def search_block(q: np.ndarray, qids: np.ndarray, bounds: np.ndarray, x: np.ndarray, xids: np.ndarray,
                  rot: np.ndarray, k: int, head: int = HEAD, width: int = SLICE) -> list[tuple[int, int, int]]:
     """(query_id, vec_id, score) of the best k of each query in one block of vectors
     that are sorted by descending length. ``bounds`` are scores known to be reached."""
-    exact, qexact = x, q  # integers
-    x, q = x.astype(float), q.astype(float)
+    exact, qexact = exact_integers(x, q)
     qr, xr = q @ rot, x @ rot
     tail = lambda m: np.sqrt(np.maximum((m[:, head:] ** 2).sum(axis=1), 0))
     qt, xt = tail(qr), tail(xr)
@@ -135,7 +154,7 @@ def _packed(rows: DataFrame, dim: int, size: int) -> DataFrame:
     def one(pdf):
         m = _matrix(pdf["v"], dim)
         bound = pdf["bound"].to_numpy(float)
-        return pd.DataFrame([(pdf["vec_id"].to_numpy(np.int64).tobytes(), m.astype(np.int32).tobytes(),
+        return pd.DataFrame([(pdf["vec_id"].to_numpy(np.int64).tobytes(), m.tobytes(),
                               bound.tobytes(), float(pdf["norm"].max()), float(bound.min()))],
                             columns=["ids", "m", "bounds", "norm", "bound"])
 
@@ -152,21 +171,21 @@ def top_k_inner(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     dim = max(1, size["dim"] or 1)
     rot = rotation(vectors, dim)
     longest = vectors.orderBy(F.desc("norm"), "vec_id").limit(SLICE).collect()  # SLICE rows
-    lx = _matrix([r["v"] for r in longest], dim).astype(float)
+    lx = _matrix([r["v"] for r in longest], dim)
     lids = np.array([r["vec_id"] for r in longest], np.int64)
 
     def bounded(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            s = _matrix(pdf["v"], dim).astype(float) @ lx.T
+            s = _matrix(pdf["v"], dim) @ lx.T
             s[pdf["vec_id"].to_numpy()[:, None] == lids[None, :]] = -np.inf
             kth = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(s), -np.inf)
             yield pdf.assign(bound=kth)
 
     parts = max(1, -(-size["n"] // (every * QUERY_BLOCK)))
     queries = (vectors.where(F.col("vec_id") % every == 0)
-               .mapInPandas(bounded, "vec_id long, v array<bigint>, norm double, bound double")
+               .mapInPandas(bounded, "vec_id long, v array<double>, norm double, bound double")
                .repartitionByRange(parts, F.desc("norm"), "vec_id"))
     qblocks = stored(_packed(queries, dim, QUERY_BLOCK).withColumn("qp", F.spark_partition_id()), "query-blocks")
     sorted_vectors = (vectors.withColumn("bound", F.lit(0.0))
@@ -184,12 +203,14 @@ def top_k_inner(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples():
-                x, q = (np.frombuffer(b, np.int32).reshape(-1, dim).astype(np.int64) for b in (row.m, row.qm))
+                x, q = (np.frombuffer(b).reshape(-1, dim) for b in (row.m, row.qm))
                 found = search_block(q, np.frombuffer(row.qids, np.int64), np.frombuffer(row.bounds), x,
                                      np.frombuffer(row.ids, np.int64), rot, k)
-                out = pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-                yield out.astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
-
-    best = pairs.select("ids", "m", "qids", "qm", "bounds").mapInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield pd.DataFrame([(a, b, str(c), rank_text(c)) for a, b, c in found],
+                                   columns=["query_id", "vec_id", "score", "place"])
+
+    best = pairs.select("ids", "m", "qids", "qm", "bounds").mapInPandas(
+        run, "query_id long, vec_id long, score string, place string")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", F.col("score").try_cast("long").alias("score"))

@@ -35,12 +35,20 @@ from ledgerflow.session import scratch_path
 
 RECORDS_PER_FILE = 2048
 CAPTURE_EPOCH = 1_700_000_000
+CAPTURE_SPAN = 10 ** 9  # seconds after it in which capture times lie
 MIN_REVISIT_BYTES = 0
 INDEX = ("url_key string, capture_time long, page_id long, url string, record_type string, refers_to long, "
          "payload_bytes long, payload_digest string, archive string, record_offset long, record_length long")
+IDS = ("page_id", "refers_to")
+# ids go through the workers as text: pandas would make floats of them beside a null
+_TEXT_IDS = INDEX.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
 ORDER = ["url_key", "capture_time", "page_id", "record_offset"]
 
 
+def _as(kind: str) -> dict:
+    return {c: F.col(c).cast(kind) for c in IDS}
+
+
 def url_key(url):
     """Sort key of a URL: the host's labels from the last to the first, then port,
     path and query; scheme and fragment don't count."""
@@ -58,7 +66,7 @@ def _record(page_id, url, payload: str, refers_to) -> str:
     body = payload.encode("utf-8", "surrogatepass")
     digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
     revisit = refers_to is not None
-    at = datetime.fromtimestamp(CAPTURE_EPOCH + (page_id or 0), UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    at = datetime.fromtimestamp(CAPTURE_EPOCH + (page_id or 0) % CAPTURE_SPAN, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     head = "WARC/1.1\r\n" + _header("WARC-Type", "revisit" if revisit else "response") + _header("WARC-Date", at)
     if page_id is not None:
         head += _header("WARC-Record-ID", f"<urn:page:{page_id}>")
@@ -89,12 +97,12 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> str:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            none = lambda x: None if pd.isna(x) else int(x)
+            none = lambda x: None if x is None else int(x)
             yield pd.DataFrame({"value": [_record(none(i), u, h, none(r)) for i, u, h, r in
                                           zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"])]})
 
     path = scratch_path(pages.sparkSession, "warc")
-    (linked.mapInPandas(run, "value string").write.option("lineSep", "\r\n").option("compression", "gzip")
+    (linked.withColumns(_as("string")).mapInPandas(run, "value string").write.option("lineSep", "\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
     return path
 
@@ -136,13 +144,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for archive, content in zip(pdf["path"], pdf["content"]):
                 data = zlib.decompress(content, 31) if content else b""
-                out = pd.DataFrame([_entry(h, b, archive.rsplit("/", 1)[-1], at, n)
-                                    for h, b, at, n in parse_records(data)], columns=cols)
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                rows = [_entry(h, b, archive.rsplit("/", 1)[-1], at, n) for h, b, at, n in parse_records(data)]
+                ids = [[r[i] for r in rows] for i in (1, 4)]
+                out = pd.DataFrame(rows, columns=cols, dtype=object)
+                yield out.assign(**{c: pd.array([None if x is None else str(x) for x in found], dtype="string")
+                                    for c, found in zip(IDS, ids)})
 
-    schema = INDEX.split(", ", 1)[1]
+    schema = _TEXT_IDS.split(", ", 1)[1]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    runs = files.mapInPandas(run, schema).withColumn("url_key", url_key(F.col("url")))
+    runs = files.mapInPandas(run, schema).withColumns({**_as("long"), "url_key": url_key(F.col("url"))})
     return stored(runs.sortWithinPartitions("archive", *ORDER), "index-runs")
 
 
@@ -182,7 +192,7 @@ class LoserTree:
 
 def _key_part(x):
     """Nulls first, as Spark sorts."""
-    return (0, 0) if x is None or pd.isna(x) else (1, x)
+    return (0, 0) if x is None or pd.isna(x) else (1, int(x))
 
 
 def merged_index(runs: DataFrame) -> DataFrame:
@@ -201,7 +211,7 @@ def merged_index(runs: DataFrame) -> DataFrame:
         yield pdf.iloc[order].assign(slot=range(len(pdf)))
 
     ranged = runs.select(*names).repartitionByRange(*ORDER, "archive").sortWithinPartitions("archive", *ORDER)
-    return ranged.mapInPandas(run, INDEX + ", slot long")
+    return ranged.withColumns(_as("string")).mapInPandas(run, _TEXT_IDS + ", slot long").withColumns(_as("long"))
 
 
 def capture_index(pages: DataFrame) -> DataFrame:
