@@ -28,17 +28,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each group of near duplicates the smallest doc_id stays."""
+    """Operator 2: of each group of near duplicates the smallest doc_id stays, once."""
     importable(spark)
     found = stored(bbit_minhash.near_duplicates(docs), "near-duplicates")
-    gone = stored(found.where("not kept").select("doc_id").distinct(), "not-kept")
-    docs = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumns({
+        "id": F.col("row.doc_id").cast("long"), "th": F.xxhash64(F.col("row.text").cast("string"))})
+    # an id may come with several texts, each with a fate of its own
+    gone = stored(found.where("not kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).distinct(),
+                  "not-kept")
+    docs = row.join(gone, ["id", "th"], "left_anti")
+    kept = found.where("kept and doc_id is not null").groupBy("doc_id", "component_id")
+    again = kept.agg(F.count("*").alias("n"), F.min("text_hash").alias("first")).where("n > 1")
     if again.isEmpty():
-        return docs
-    again = stored(again, "repeated-ids")
-    once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return docs.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return docs.select("row.*")
+    again = stored(again.select(F.col("doc_id").alias("id"), "first"), "repeated-ids")
+    ids = again.select("id").distinct()
+    once = docs.join(again, "id").where("th = first").dropDuplicates(["id", "th"]).select("row.*")
+    return docs.join(ids, "id", "left_anti").select("row.*").unionByName(once)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
