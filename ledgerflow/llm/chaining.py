@@ -2,7 +2,9 @@
 
 Seeds are the winnowed k-word runs of every document (the least hash of every
 WINDOW runs in a row, so two copies of WINDOW + k - 1 words always share a seed).
-They are written once and sorted by (hash, document) over all partitions; every
+One pass over the texts writes them, with the words as 16-bit hashes (unequal words pass
+for equal once in 65,536 comparisons); no text is read or moved again. Seeds are sorted
+by (hash, document) over all partitions; every
 occurrence is matched to the one before it in another document, so there are as many
 matches as occurrences, never all pairs, and a seed that all documents share is dealt
 over many tasks. Matches on one diagonal become segments, and the segments of two
@@ -47,11 +49,14 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import WordHashes, run_hashes, stored, word_list
 
 K = 5
-WINDOW = 16
+WINDOW = 24
 MIN_WORDS = 50
 MAX_GAP = 40        # words between two segments of a chain, in either text
 GAP_COST = 0.05     # per word that is skipped, half for each text
 MIN_IDENTITY = 0.7  # equal words in an aligned passage
+DENSE = 0.3         # score of a chain to its words from which it is sure to be a passage: of
+                    # equal texts it is some k * 2 / (WINDOW + 1), of words edited in one of
+                    # ten half of that
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -79,32 +84,37 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
     return np.unique(start + ((at.astype(np.int64) - start) % (1 << 24)))
 
 
-def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """(h, doc_id, th, pos) of every winnowed seed."""
+def hashed_texts(docs: DataFrame, k: int, window: int) -> DataFrame:
+    """(doc_id, th, text) -> (doc_id, th, n, w, hs, ps): the number of words, their hashes,
+    two bytes each, and the hashes and positions of the winnowed seeds."""
 
     def run(batches):
         cache = WordHashes()
         for pdf in batches:
-            ids, ths, hs, ps, n = [], [], [], [], 0
-            for last, (i, th, text) in enumerate(zip(pdf["doc_id"], pdf["th"], pdf["text"]), 1 - len(pdf)):
-                h = run_hashes(cache.of(word_list(text)), k)
+            out = []
+            for i, th, text in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
+                words = cache.of(word_list(text))
+                h = run_hashes(words, k)
                 p = winnow(h, window)
-                ids.append(np.full(len(p), i, np.int64))
-                ths.append(np.full(len(p), th, np.int32))
-                hs.append(h[p].view(np.int64))
-                ps.append(p.astype(np.int32))
-                n += len(p)
-                if n > 200_000 or not last:
-                    yield pd.DataFrame({"h": np.concatenate(hs), "doc_id": np.concatenate(ids),
-                                        "th": np.concatenate(ths), "pos": np.concatenate(ps)})
-                    ids, ths, hs, ps, n = [], [], [], [], 0
+                out.append((i, th, len(words), words.astype(np.uint16).tobytes(), h[p].view(np.int64), p.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["doc_id", "th", "n", "w", "hs", "ps"])
+
+    return docs.mapInPandas(run, "doc_id long, th int, n int, w binary, hs array<long>, ps array<int>")
+
 
-    return docs.mapInPandas(run, "h long, doc_id long, th int, pos int")
+def seeds(texts: DataFrame) -> DataFrame:
+    """(h, doc_id, at) of every seed; ``at`` is the text's hash and the position in one."""
+    each = texts.select("doc_id", "th", F.explode(F.arrays_zip("hs", "ps")).alias("s"))
+    return each.select(F.col("s.hs").alias("h"), "doc_id",
+                       (F.shiftleft(F.col("th").cast("long"), 32) + F.col("s.ps")).alias("at"))
+
+
+POS = (1 << 32) - 1
 
 
 class _Linker:
-    """Matches of rows that come in order of (h, doc_id, th, pos): each row to the last
-    row before it with the same hash and another document."""
+    """Matches of rows that come in order of (h, doc_id, at): each row to the last row
+    before it with the same hash and another document."""
 
     CHUNK = 200_000
 
@@ -114,13 +124,12 @@ class _Linker:
         self.closed = False  # another document than the first has come
 
     def links(self, rows: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-        """(doc_id, th, pos, other, oth, opos, h) of the rows that have a match, and (h,
-        doc_id, th, pos) of those in a hash's first document that its later rows hide."""
+        """(doc_id, at, other, oat, h) of the rows that have a match, and (h, doc_id, at) of
+        those in a hash's first document that its later rows hide."""
         none = tuple(np.zeros(1, x.dtype) for x in rows)
-        h, d, t, p = (np.concatenate([a, b, x]) for a, b, x in
-                      zip(self.before or none, self.last or none, rows))
+        h, d, t = (np.concatenate([a, b, x]) for a, b, x in zip(self.before or none, self.last or none, rows))
         same_h = h[2:] == h[1:-1]
-        same_doc = same_h & (d[2:] == d[1:-1]) & (t[2:] == t[1:-1])
+        same_doc = same_h & (d[2:] == d[1:-1]) & (t[2:] >> 32 == t[1:-1] >> 32)
         if self.last is None:
             same_h[0] = same_doc[0] = False
         # a document's first row is matched to the row before, its others alike
@@ -130,42 +139,37 @@ class _Linker:
         carried = 0 if self.before is not None else -2
         source = np.where(opened >= 0, source[np.maximum(opened, 0)], carried)
         hit = np.flatnonzero(source >= 0)
-        o = source[hit]
-        i = at[hit]
-        end = len(h) - 1
-        self.last = tuple(x[end:] for x in (h, d, t, p))
-        self.before = None if source[-1] < 0 else tuple(x[source[-1]:source[-1] + 1] for x in (h, d, t, p))
+        o, i, end = source[hit], at[hit], len(h) - 1
+        self.last = tuple(x[end:] for x in (h, d, t))
+        self.before = None if source[-1] < 0 else tuple(x[source[-1]:source[-1] + 1] for x in (h, d, t))
         hidden = at[same_doc & (source < 0)] - 1
-        return (d[i], t[i], p[i], d[o], t[o], p[o], h[i]), tuple(x[hidden] for x in (h, d, t, p))
-
-
-LINKS = "doc_id long, th int, pos int, other long, oth int, opos int"
+        return (d[i], t[i], d[o], t[o], h[i]), tuple(x[hidden] for x in (h, d, t))
 
 
 def matches(seed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, pos, other, oth, opos, h) over all seeds, and (doc_id, th, pos, h) of
-    the seeds that no match names, though another document has them; stored. Rows are
-    dealt by range, so partitions may meet inside a hash: the first document's rows of
-    each partition are then matched to the last row of the one before."""
-    ordered = seed.repartitionByRange("h", "doc_id", "th").sortWithinPartitions("h", "doc_id", "th", "pos")
-    names = ["doc_id", "th", "pos", "other", "oth", "opos"]
+    """(doc_id, at, other, oat, h) over all seeds, and (doc_id, at, h) of the seeds that no
+    match names, though another document has them; stored. Rows are dealt by range, so
+    partitions may meet inside a hash: the first document's rows of each partition are
+    then matched to the last row of the one before."""
+    ordered = (seed.withColumn("th", F.shiftright("at", 32)).repartitionByRange("h", "doc_id", "th")
+               .sortWithinPartitions("h", "doc_id", "at"))
+    names = ["doc_id", "at", "other", "oat"]
 
     def run(batches):
-        part, linker, head, waiting, n, last = TaskContext.get().partitionId(), _Linker(), None, [], 0, None
+        part, linker, head, waiting, n = TaskContext.get().partitionId(), _Linker(), None, [], 0
 
         def done():
             nonlocal head, waiting, n
-            rows = tuple(np.concatenate([w[j] for w in waiting]) for j in range(4))
+            rows = tuple(np.concatenate([w[j] for w in waiting]) for j in range(3))
             waiting, n = [], 0
             (*out, h), hidden = linker.links(rows)
             yield batch([pa.array(x) for x in out], 0, h)
-            yield batch([pa.array(hidden[j]) for j in (1, 2, 3)] * 2, 3, hidden[0])
-            head = head or tuple(x[0] for x in rows)
+            yield batch([pa.array(hidden[j]) for j in (1, 2)] * 2, 3, hidden[0])
+            head = head or tuple(int(x[0]) for x in rows)
             if not linker.closed:  # the first document's rows
-                mine = (rows[0] == head[0]) & (rows[1] == head[1]) & (rows[2] == head[2])
+                mine = (rows[0] == head[0]) & (rows[1] == head[1]) & (rows[2] >> 32 == head[2] >> 32)
                 linker.closed = not mine.all()
-                cols = [pa.array(rows[j][mine]) for j in (1, 2, 3)]
-                yield batch([*cols, *cols], 1, rows[0][mine])
+                yield batch([pa.array(rows[j][mine]) for j in (1, 2)] * 2, 1, rows[0][mine])
 
         def batch(cols, kind, h):
             return pa.RecordBatch.from_arrays(
@@ -175,26 +179,23 @@ def matches(seed: DataFrame) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             if not b.num_rows:
                 continue
-            waiting.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc_id", "th", "pos")))
+            waiting.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc_id", "at")))
             n += b.num_rows
             if n >= linker.CHUNK:
                 yield from done()
         if n:
             yield from done()
         if linker.last is not None:
-            h, d, t, p = linker.last
-            yield batch([pa.array(x) for x in (d, t, p, d, t, p)], 2, h)
+            yield batch([pa.array(linker.last[j]) for j in (1, 2)] * 2, 2, linker.last[0])
 
-    found = stored(ordered.select("h", "doc_id", "th", "pos").mapInArrow(
-        run, LINKS + ", kind byte, part int, h long"), "matches")
-    ends = found.where("kind = 2").select("part", F.col("h").alias("eh"), *[F.col(c).alias(f"e_{c}") for c in names[:3]])
+    found = stored(ordered.select("h", "doc_id", "at").mapInArrow(
+        run, "doc_id long, at long, other long, oat long, kind byte, part int, h long"), "matches")
     # one row for each partition, so this window is small
-    before = Window.orderBy("part")
-    ends = ends.select(F.lead("part").over(before).alias("part"), F.col("eh").alias("h"), "e_doc_id", "e_th", "e_pos")
-    border = (found.where("kind = 1").select("part", "h", *names[:3]).join(F.broadcast(ends), ["part", "h"])
-              .where("doc_id <> e_doc_id or th <> e_th")
-              .select(*names[:3], F.col("e_doc_id").alias("other"), F.col("e_th").alias("oth"), F.col("e_pos").alias("opos"), "h"))
-    hidden = found.where("kind = 3").select(*names[:3], "h")
+    ends = found.where("kind = 2").select(
+        F.lead("part").over(Window.orderBy("part")).alias("part"), "h", F.col("doc_id").alias("other"), F.col("at").alias("oat"))
+    border = (found.where("kind = 1").select("part", "h", "doc_id", "at").join(F.broadcast(ends), ["part", "h"])
+              .where("doc_id <> other or shiftright(at, 32) <> shiftright(oat, 32)").select(*names, "h"))
+    hidden = found.where("kind = 3").select("doc_id", "at", "h")
     return found.where("kind = 0").select(*names, "h").unionByName(border), hidden
 
 
@@ -276,12 +277,12 @@ def stretch_of(pos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return pos[np.append(0, cut)], pos[np.append(cut, len(pos)) - 1] + k
 
 
-def candidates(pos, other, oth, opos, k: int, window: int, min_words: int):
+def candidates(pos, other, oat, k: int, window: int, min_words: int):
     """(other, oth, starts, ends, other starts, left, right) of the chains of a document
     that may belong to a passage; left and right are the words beyond a chain's ends to
     look at when they are extended."""
-    order = np.lexsort((pos, oth, other))
-    pos, other, oth, opos = pos[order], other[order], oth[order], opos[order]
+    order = np.lexsort((pos, oat >> 32, other))
+    pos, other, oth, opos = pos[order], other[order], oat[order] >> 32, oat[order] & POS
     first, last = stretch_of(np.unique(pos).astype(np.int64), k)
     long_ = last - first + 2 * (window - 1) >= min_words
     if not long_.any():
@@ -296,11 +297,11 @@ def candidates(pos, other, oth, opos, k: int, window: int, min_words: int):
             if long_[at]:
                 found.append((sum(segs[x][3] for x in c), s, e, a, [segs[x] for x in c], int(first[at]), int(last[at])))
     found.sort(key=lambda x: -x[0])
-    sure: list[tuple[int, int]] = []  # dense chains, which will be passages
+    sure: list[tuple[int, int]] = []  # dense chains, which will be passages and hold the chains within them
     for score, s, e, a, chain, lo, hi in found:
-        if any(x <= s and e <= y for x, y in sure):
+        if any(x - window <= s and e <= y + window for x, y in sure):
             continue
-        if e - s >= min_words and score >= 0.8 * (e - s):
+        if e - s >= min_words and score >= DENSE * (e - s):
             sure.append((s, e))
         # what an extension gains in the stretch may carry it half as far beyond
         yield (int(other[a]), int(oth[a]), [x[0] for x in chain], [x[1] for x in chain], [x[2] for x in chain],
@@ -382,18 +383,18 @@ def unexplained(pos: np.ndarray, spans: list[tuple[int, int]], n_words: int, k:
     return np.concatenate(out)
 
 
-def whole_runs(d: DataFrame, found: DataFrame, hidden: DataFrame, left: DataFrame, k: int, window: int,
+def whole_runs(words: DataFrame, found: DataFrame, hidden: DataFrame, left: DataFrame, k: int, window: int,
                min_words: int) -> DataFrame:
     """Passages, as ``repeated_passages`` has them, of equal words that start from the seeds
-    ``left`` (doc_id, th, pos): every run of ``min_words`` words there and wherever these
-    seeds occur is hashed and matched to its first occurrence."""
+    ``left`` (doc_id, at): every run of ``min_words`` words there and wherever these seeds
+    occur is hashed and matched to its first occurrence."""
     keys = ["doc_id", "th"]
-    wanted = stored(found.join(left, [*keys, "pos"], "left_semi").select("h").distinct(), "left-seeds")
+    wanted = stored(found.join(left, ["doc_id", "at"], "left_semi").select("h").distinct(), "left-seeds")
     of = found.join(wanted, "h", "left_semi")
-    places = of.select(*keys, "pos").unionAll(of.select("other", "oth", "opos")).unionAll(
-        hidden.join(wanted, "h", "left_semi").select(*keys, "pos"))
-    held = places.groupBy(*keys).agg(
-        F.collect_set("pos").alias("ps"))
+    places = of.select("doc_id", "at").unionAll(of.select("other", "oat")).unionAll(
+        hidden.join(wanted, "h", "left_semi").select("doc_id", "at"))
+    held = places.groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("th")).agg(
+        F.collect_set(F.col("at").bitwiseAND(POS).cast("int")).alias("ps"))
 
     def ranges(batches):
         for pdf in batches:
@@ -407,14 +408,13 @@ def whole_runs(d: DataFrame, found: DataFrame, hidden: DataFrame, left: DataFram
     spans = stored(held.mapInPandas(ranges, "doc_id long, th int, a array<int>, b array<int>"), "stretches")
 
     def runs(batches):
-        cache = WordHashes()
         for pdf in batches:
             out, n = [], 0
-            for i, th, text, starts, ends in zip(pdf["doc_id"], pdf["th"], pdf["text"], pdf["a"], pdf["b"]):
-                words, hs, ps = word_list(text), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, th, w, starts, ends in zip(pdf["doc_id"], pdf["th"], pdf["w"], pdf["a"], pdf["b"]):
+                own, hs, ps = np.frombuffer(w, np.uint16).astype(np.uint64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for a, b in zip(starts, ends):
                     a = max(0, int(a) - window + 1)
-                    h = run_hashes(cache.of(words[a:int(b) + k + window - 1]), min_words)
+                    h = run_hashes(own[a:int(b) + k + window - 1], min_words)
                     hs.append(h.view(np.int64))
                     ps.append(a + np.arange(len(h)))
                 h, at = np.concatenate(hs), np.concatenate(ps)
@@ -428,7 +428,7 @@ def whole_runs(d: DataFrame, found: DataFrame, hidden: DataFrame, left: DataFram
             if out:
                 yield pd.concat(out)
 
-    w = stored(d.join(spans, keys).mapInPandas(runs, "doc_id long, th int, h long, pos int"), "whole-runs")
+    w = stored(words.join(spans, keys).mapInPandas(runs, "doc_id long, th int, h long, pos int").distinct(), "whole-runs")
     own = stored(w.groupBy("h").agg(F.min(F.struct("doc_id", "th", "pos")).alias("o"), F.count("*").alias("n"))
                  .where("n > 1").select("h", F.col("o.doc_id").alias("other"), F.col("o.th").alias("oth"),
                                         F.col("o.pos").alias("opos")), "run-owners")
@@ -483,9 +483,12 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
     text = F.col(text_col).cast("string")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("th"), text.alias("text")).where(
         "doc_id is not null and text is not null")
-    links, hidden = matches(stored(seeds(d, k, window), "seeds"))
+    texts = stored(hashed_texts(d, k, window), "hashed-texts")
+    words = texts.select("doc_id", "th", "w").dropDuplicates(["doc_id", "th"])
+    links, hidden = matches(seeds(texts))
     # a document's matches are as many as its seeds
-    packed = links.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "other", "oth", "opos")).alias("m"))
+    packed = links.groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("th")).agg(
+        F.collect_list(F.struct("at", "other", "oat")).alias("m"))
     schema = ("doc_id long, th int, other long, oth int, ss array<int>, es array<int>, os array<int>, "
               "l int, r int")
 
@@ -494,27 +497,17 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
             out = []
             rows = batch.column("m")
             flat = rows.flatten()
-            pos, other, oth, opos = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(4))
+            pos, other, oat = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+            pos = pos & POS
             at = rows.offsets.to_numpy() - rows.offsets[0].as_py()
             for i, th, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), at, at[1:]):
-                out += [(i, th, *c) for c in candidates(pos[a:b], other[a:b], oth[a:b], opos[a:b], k, window, min_words)]
+                out += [(i, th, *c) for c in candidates(pos[a:b], other[a:b], oat[a:b], k, window, min_words)]
             cols = list(zip(*out)) if out else [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (
                 pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.int32(), pa.int32()))],
                 names=["doc_id", "th", "other", "oth", "ss", "es", "os", "l", "r"])
 
     found = stored(packed.mapInArrow(chained, schema), "chains")
-    named = found.select("doc_id", "th").unionAll(found.select(F.col("other"), F.col("oth"))).distinct()
-
-    def hashed(batches):
-        """The words of a text as 32-bit hashes."""
-        cache = WordHashes()
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"],
-                                "w": [cache.of(word_list(t)).astype(np.uint32).tobytes() for t in pdf["text"]]})
-
-    words = stored(d.join(named, ["doc_id", "th"], "left_semi").mapInPandas(hashed, "doc_id long, th int, w binary"),
-                   "words")
 
     def cut(batches):
         """The other text's words around each chain."""
@@ -523,10 +516,10 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
             for w, es, ss, os, left, right in zip(pdf["w"], pdf["es"], pdf["ss"], pdf["os"], pdf["l"], pdf["r"]):
                 a = max(0, int(os[0]) - int(left))
                 base.append(a)
-                own.append(w[4 * a:4 * (int(os[-1]) + int(es[-1]) - int(ss[-1]) + int(right))])
+                own.append(w[2 * a:2 * (int(os[-1]) + int(es[-1]) - int(ss[-1]) + int(right))])
             yield pdf.drop(columns="w").assign(base=base, own=own)
 
-    other = words.select(F.col("doc_id").alias("other"), F.col("th").alias("oth"), "w").dropDuplicates(["other", "oth"])
+    other = words.select(F.col("doc_id").alias("other"), F.col("th").alias("oth"), "w")
     with_own = found.join(other, ["other", "oth"]).mapInPandas(
         cut, "other long, oth int, doc_id long, th int, ss array<int>, es array<int>, os array<int>, l int, r int, "
              "base int, own binary")
@@ -536,7 +529,7 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
             out = []
             for row in pdf.itertuples():
                 chain = [(int(s), int(e), int(o) - row.base) for s, e, o in zip(row.ss, row.es, row.os)]
-                a, b, c, e, equal = align(chain, np.frombuffer(row.w, np.uint32), np.frombuffer(row.own, np.uint32),
+                a, b, c, e, equal = align(chain, np.frombuffer(row.w, np.uint16), np.frombuffer(row.own, np.uint16),
                                           row.l, row.r)
                 share = equal / max(1, b - a, e - c)
                 if b - a >= min_words and share >= MIN_IDENTITY:
@@ -544,29 +537,27 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
             yield pd.DataFrame(out, columns=["doc_id", "text_hash", "other_doc_id", "start", "end", "other_start",
                                              "other_end", "n_words", "identity"])
 
-    mine = words.dropDuplicates(["doc_id", "th"])
-    passages = stored(with_own.join(mine, ["doc_id", "th"]).mapInPandas(aligned, PASSAGES).distinct(), "passages")
+    passages = stored(with_own.join(words, ["doc_id", "th"]).mapInPandas(aligned, PASSAGES).distinct(), "passages")
 
     spans = passages.groupBy(F.col("doc_id"), F.col("text_hash").alias("th")).agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))
-    lengths = mine.select("doc_id", "th", (F.octet_length("w") / 4).cast("int").alias("n"))
+    lengths = texts.select("doc_id", "th", "n").distinct()
     checked = (packed.join(lengths, ["doc_id", "th"]).join(spans, ["doc_id", "th"], "left")
-               .select("doc_id", "th", F.col("m.pos").alias("ps"), "n", F.col("spans.start").alias("ss"),
+               .select("doc_id", "th", F.col("m.at").alias("ats"), "n", F.col("spans.start").alias("ss"),
                        F.col("spans.end").alias("es")))
 
     def unchained(batches):
         for pdf in batches:
-            ids, ths, ps = [], [], [np.empty(0, np.int32)]
+            ids, ats = [], [np.empty(0, np.int64)]
             for row in pdf.itertuples():
                 spans = [] if row.ss is None else list(zip(row.ss, row.es))
-                p = unexplained(np.asarray(row.ps, np.int32), spans, row.n, k, window, min_words)
+                p = unexplained(np.asarray(row.ats, np.int64) & POS, spans, row.n, k, window, min_words)
                 ids += [row.doc_id] * len(p)
-                ths += [row.th] * len(p)
-                ps.append(p)
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "th": np.array(ths, np.int32), "pos": np.concatenate(ps)})
+                ats.append(p + (row.th << 32))
+            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "at": np.concatenate(ats)})
 
-    left = stored(checked.mapInPandas(unchained, "doc_id long, th int, pos int"), "left-places")
-    return passages.unionByName(whole_runs(d, links, hidden, left, k, window, min_words)).distinct()
+    left = stored(checked.mapInPandas(unchained, "doc_id long, at long"), "left-places")
+    return passages.unionByName(whole_runs(words, links, hidden, left, k, window, min_words)).distinct()
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",

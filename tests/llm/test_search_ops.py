@@ -260,24 +260,22 @@ def test_chains_match_brute_force():
 
 def test_links_go_to_the_last_row_of_another_document():
     rng = np.random.default_rng(5)
-    rows = sorted({(int(h), int(d), int(t), int(p)) for h, d, t, p in zip(
+    rows = sorted({(int(h), int(d), (int(t) << 32) + int(p)) for h, d, t, p in zip(
         rng.integers(0, 12, 900), rng.integers(0, 30, 900), rng.integers(0, 2, 900), rng.integers(0, 50, 900))})
-    want = {}
-    for i, (h, d, t, p) in enumerate(rows):
-        before = [r for r in rows[:i] if r[0] == h and r[1:3] != (d, t)]
+    doc = lambda r: (r[1], r[2] >> 32)
+    want, first = {}, {}
+    for i, r in enumerate(rows):
+        first.setdefault(r[0], doc(r))
+        before = [x for x in rows[:i] if x[0] == r[0] and doc(x) != doc(r)]
         if before:
-            want[(d, t, p, h)] = before[-1][1:]
-    first = {}
-    for h, d, t, p in rows:
-        first.setdefault(h, (d, t))
-    hides = {r for r, n in zip(rows, rows[1:]) if r[:3] == n[:3] and first[r[0]] == r[1:3]}
+            want[r] = before[-1][1:]
+    hides = {r for r, n in zip(rows, rows[1:]) if r[0] == n[0] and doc(r) == doc(n) == first[r[0]]}
     for step in (1, 3, 7, 1000):
         linker, got, hid = chaining._Linker(), {}, set()
         for a in range(0, len(rows), step):
-            cols = tuple(np.array(c, x) for c, x in zip(zip(*rows[a:a + step]), (np.int64, np.int64, np.int32, np.int32)))
-            found, hidden = linker.links(cols)
-            for d, t, p, o, u, q, h in zip(*(x.tolist() for x in found)):
-                got[(d, t, p, h)] = (o, u, q)
+            found, hidden = linker.links(tuple(np.array(c, np.int64) for c in zip(*rows[a:a + step])))
+            for d, t, o, u, h in zip(*(x.tolist() for x in found)):
+                got[(h, d, t)] = (o, u)
             hid |= set(zip(*(x.tolist() for x in hidden)))
         assert got == want and hid == hides
 
