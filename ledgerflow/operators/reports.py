@@ -7,7 +7,10 @@ no window ever runs over the whole table. Every order ends in ``ledger_name``
 so ties are deterministic.
 
 Report-level numbers (counts, totals) are attached to detail rows as scalar
-subqueries (``DataFrame.scalar()``), which Spark evaluates once.
+subqueries (``DataFrame.scalar()``), which Spark evaluates once. Reports of several
+sections read the table once for all their first-k lists (each row is dealt to the
+sections it belongs to, and a group limit keeps k rows of each per task) and once for
+all their sums; which sections show is decided on the few rows that are left.
 """
 
 from __future__ import annotations
@@ -187,77 +190,109 @@ def pending_report(ledgers: DataFrame, page: int = 1, mode: str = "normalized")
         F.ceil(m.select("total_pending").scalar() / F.lit(PAGE_SIZE)).cast("long").alias("pages"))
 
 
-def _items(df: DataFrame, section: str, name: str = "ledger_name", amount: str = "closing_balance",
-           parent: str | None = "parent") -> DataFrame:
-    return df.select(F.lit(section).alias("section"), F.col("rank").cast("int").alias("rank"),
-                     F.col(name).alias("name"),
-                     (F.col(parent) if parent else F.lit(None).cast("string")).alias("parent"),
-                     F.col(amount).cast("double").alias("amount"))
+ROW = "struct<section:string,rank:int,name:string,parent:string,amount:double>"
 
 
-def _metric(df: DataFrame, section: str, name_col: str | None, amount: str) -> DataFrame:
-    return df.select(F.lit(section).alias("section"), F.lit(None).cast("int").alias("rank"),
-                     (F.col(name_col) if name_col else F.lit(None).cast("string")).alias("name"),
-                     F.lit(None).cast("string").alias("parent"),
-                     F.col(amount).cast("double").alias("amount"))
+def _row(section: str, amount, name=None, rank=None, parent=None) -> Column:
+    """One report row as a struct; columns, column names or None."""
+    c = lambda x: F.lit(None) if x is None else F.col(x) if isinstance(x, str) else x
+    return F.struct(F.lit(section).alias("section"), c(rank).alias("rank"), c(name).alias("name"),
+                    c(parent).alias("parent"), c(amount).alias("amount")).cast(ROW)
+
+
+def _rows(df: DataFrame, *rows: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Report rows out of each row of ``df``, in one pass; nulls among them are left out."""
+    out = df.select(*carry, F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("r"))
+    return out.select("r.*", *carry)
+
+
+def _first_of(ledgers: DataFrame, sections: dict[str, tuple[Column, Column | None, int]]) -> DataFrame:
+    """The first rows of several lists in one scan: section -> (which ledgers, sort key,
+    smallest first and then by name, how many). Adds ``section`` and ``rank``."""
+    keyed = [F.when(which, F.struct(F.lit(name).alias("section"),
+                                    (F.lit(0.0) if key is None else key.cast("double")).alias("key")))
+             for name, (which, key, _) in sections.items()]
+    dealt = ledgers.withColumn("s", F.explode(F.filter(F.array(*keyed), lambda x: x.isNotNull())))
+    most = max(k for _, _, k in sections.values())
+    place = F.row_number().over(Window.partitionBy("s.section").orderBy("s.key", "ledger_name"))
+    few = dealt.withColumn("rank", place).where(F.col("rank") <= most).withColumn("section", F.col("s.section")).drop("s")
+    limit = F.lit(most)
+    for name, (_, _, k) in sections.items():
+        limit = F.when(F.col("section") == name, F.lit(k)).otherwise(limit)
+    return few.where(F.col("rank") <= limit)
+
+
+def _if_any(rows: DataFrame, section: str) -> Column:
+    """Whether a section has a row, on each row of a report (a few dozen rows)."""
+    return F.coalesce(F.max(F.col("section") == section).over(Window.partitionBy(F.lit(0))), F.lit(False))
+
+
+def _card() -> tuple[Column, ...]:
+    """A P&L account's three rows (F7, A5) from its ledger."""
+    closing, opening = limbs("closing_balance"), limbs("opening_balance")
+    profit = joined(closing[0] - opening[0], closing[1] - opening[1])
+    of = lambda section, amount: F.when(F.col("section") == "pnl", _row(section, amount, "ledger_name"))
+    return of("pnl_closing", "closing_balance"), of("pnl_opening", "opening_balance"), of("net_profit", profit)
+
+
+def _listed(section: str, parent: str | None = "parent") -> Column:
+    return F.when(F.col("section") == section, _row(section, "closing_balance", "ledger_name", "rank", parent))
+
+
+def _report(df: DataFrame) -> DataFrame:
+    return df.select("section", "rank", "name", "parent", "amount")
 
 
 def financial_analysis(ledgers: DataFrame, mode: str = "normalized") -> DataFrame:
     """P&L account found -> its card and top 5 business parties; otherwise the
-    financial position (F2) with the 3 largest and 3 smallest balances.
-
-    Long format (section, rank, name, parent, amount). Both branches are planned;
-    a scalar subquery on the P&L match count selects the live one.
-    """
-    card = pnl_card(ledgers, FL.PNL_PATTERN, mode)
-    found = card.select(F.count(F.lit(1))).scalar() > 0
-    biz = ledgers.where(FL.business(mode))
-    wide = ledgers.where(FL.business_wide(mode))
-    pos = net_position(ledgers, mode)
-    with_pnl = (_metric(card, "pnl_closing", "account", "pnl_closing")
-                .unionByName(_metric(card, "pnl_opening", "account", "pnl_opening"))
-                .unionByName(_metric(card, "net_profit", "account", "net_profit"))
-                .unionByName(_items(top_k(biz, 5), "top_party")))
-    without = (_metric(pos, "assets", None, "assets")
-               .unionByName(_metric(pos, "liabilities", None, "liabilities"))
-               .unionByName(_metric(pos, "net_position", None, "net_position"))
-               .unionByName(_items(top_k(wide, 3), "top_asset", parent=None))
-               .unionByName(_items(bottom_k(wide, 3), "top_liability", parent=None)))
-    return with_pnl.where(found).unionByName(without.where(~found))
+    financial position (F2) with the 3 largest and 3 smallest balances. Long format
+    (section, rank, name, parent, amount)."""
+    wide, closing = FL.business_wide(mode), F.col("closing_balance")
+    lists = _first_of(ledgers, {
+        "pnl": (FL.name_contains(FL.PNL_PATTERN, mode), None, 1), "top_party": (FL.business(mode), -closing, 5),
+        "top_asset": (wide, -closing, 3), "top_liability": (wide, closing, 3)})
+    rows = _rows(lists, *_card(), _listed("top_party"), _listed("top_asset", None), _listed("top_liability", None))
+    sums = _rows(net_position(ledgers, mode), *[_row(c, c) for c in ("assets", "liabilities", "net_position")])
+    rows = rows.unionByName(sums)
+    with_pnl = F.col("section").isin("pnl_closing", "pnl_opening", "net_profit", "top_party")
+    return _report(rows.withColumn("found", _if_any(rows, "pnl_closing")).where(F.col("found") == with_pnl))
 
 
 def trend_snapshot(ledgers: DataFrame, mode: str = "normalized") -> DataFrame:
     """Count and net closing of all ledgers, top/bottom 5 business ledgers;
     a single 'no_dates' row when no ledger has a date."""
-    tot = trend_totals(ledgers)
-    has = tot.select("has_dates").scalar()
-    biz = ledgers.where(FL.business(mode))
-    rows = (_metric(tot, "total_parties", None, "total_parties")
-            .unionByName(_metric(tot, "net_balance", None, "net_balance"))
-            .unionByName(_items(top_k(biz, 5), "top_positive"))
-            .unionByName(_items(bottom_k(biz, 5), "top_negative")))
-    none = tot.select(F.lit("no_dates").alias("section"), F.lit(None).cast("int").alias("rank"),
-                      F.lit(None).cast("string").alias("name"),
-                      F.lit(None).cast("string").alias("parent"),
-                      F.lit(None).cast("double").alias("amount"))
-    return rows.where(has).unionByName(none.where(~has))
+    closing = F.col("closing_balance")
+    lists = _first_of(ledgers, {"top_positive": (FL.business(mode), -closing, 5), "top_negative": (FL.business(mode), closing, 5)})
+    rows = _rows(lists, _listed("top_positive"), _listed("top_negative"))
+    sums = _rows(trend_totals(ledgers), _row("total_parties", "total_parties"), _row("net_balance", "net_balance"),
+                 F.when(~F.col("has_dates"), _row("no_dates", None)))
+    rows = rows.unionByName(sums)
+    none = _if_any(rows, "no_dates")
+    return _report(rows.withColumn("none", none).where(F.col("none") == (F.col("section") == "no_dates")))
 
 
 def business_summary(ledgers: DataFrame, mode: str = "normalized") -> DataFrame:
-    """A2 stats, top 5 groups (A3), 5 most recently altered ledgers."""
-    st = summary_stats(ledgers)
-    out = _metric(st, "total_parties", None, "total_parties")
-    for c in ("total_balance", "avg_balance", "max_balance", "min_balance"):
-        out = out.unionByName(_metric(st, c, None, c))
-    out = out.unionByName(_items(group_totals(ledgers, 5, mode), "top_group", name="parent",
-                                 amount="group_balance", parent=None))
-    recent = recent_k(ledgers, 5)
-    out = out.unionByName(recent.select(
-        F.lit("recent").alias("section"), F.col("rank").cast("int").alias("rank"),
-        F.col("ledger_name").alias("name"),
-        F.date_format("altered_on", "yyyy-MM-dd").alias("parent"),
-        F.col("closing_balance").cast("double").alias("amount")))
-    return out
+    """A2 stats, top 5 groups (A3), 5 most recently altered ledgers (T3). Group
+    totals and those of all ledgers come from the same grouping sets."""
+    whole, rest = exact_sum("closing_balance")
+    sets = ledgers.groupingSets([["parent"], []], "parent").agg(
+        F.grouping_id().alias("all"), F.count(F.lit(1)).alias("n"), whole.alias("whole"), rest.alias("rest"),
+        F.max("closing_balance").alias("max_balance"), F.min("closing_balance").alias("min_balance"))
+    sets = sets.select("parent", "all", "n", joined(F.col("whole"), F.col("rest")).alias("total"), "max_balance", "min_balance")
+    # an empty table has no grouping set, but a report of zeros
+    none = ledgers.sparkSession.range(1).select(F.struct(
+        F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), F.lit(None).cast("double").alias("max_balance"),
+        F.lit(None).cast("double").alias("min_balance")).alias("t"))
+    whole_row = sets.where(F.col("all") == 1).select(F.struct("n", "total", "max_balance", "min_balance").alias("t"))
+    stats = whole_row.unionByName(none).agg(F.max_by("t", "t.n").alias("t")).select("t.*")
+    stats = _rows(stats.withColumn("avg", F.when(F.col("n") > 0, F.col("total") / F.col("n"))),
+                  _row("total_parties", "n"), _row("total_balance", "total"), _row("avg_balance", "avg"),
+                  _row("max_balance", "max_balance"), _row("min_balance", "min_balance"))
+    groups = ranked(sets.where((F.col("all") == 0) & FL.business(mode)).select("parent", F.col("total").alias("group_balance")),
+                    [F.col("group_balance").desc(), F.col("parent").asc_nulls_first()], 5)
+    recent = _first_of(ledgers, {"recent": (FL.has_date(), -F.unix_date("altered_on"), 5)})
+    return _report(stats.unionByName(_rows(groups, _row("top_group", "group_balance", "parent", "rank"))).unionByName(
+        _rows(recent, _row("recent", "closing_balance", "ledger_name", "rank", F.date_format("altered_on", "yyyy-MM-dd")))))
 
 
 def party_ranking(ledgers: DataFrame, count: int | None = 10, order: str = "DESC",
@@ -285,15 +320,10 @@ def party_ranking(ledgers: DataFrame, count: int | None = 10, order: str = "DESC
 def pnl_report(ledgers: DataFrame, mode: str = "normalized") -> DataFrame:
     """First ledger containing 'Profit' (card) and top 5 parties outside
     the narrow exclusion list (F3)."""
-    card = pnl_card(ledgers, FL.PNL_QUICK_PATTERN, mode)
-    found = card.select(F.count(F.lit(1))).scalar() > 0
-    narrow = ledgers.where(FL.business_narrow(mode))
-    out = (_metric(card, "pnl_closing", "account", "pnl_closing")
-           .unionByName(_metric(card, "pnl_opening", "account", "pnl_opening"))
-           .unionByName(_metric(card, "net_profit", "account", "net_profit"))
-           .unionByName(_items(top_k(narrow, 5), "top_party", parent=None)))
-    missing = ledgers.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("not_found").alias("section"), F.lit(None).cast("int").alias("rank"),
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("parent"),
-        F.lit(None).cast("double").alias("amount"))
-    return out.where(found).unionByName(missing.where(~found))
+    lists = _first_of(ledgers, {"pnl": (FL.name_contains(FL.PNL_QUICK_PATTERN, mode), None, 1),
+                                "top_party": (FL.business_narrow(mode), -F.col("closing_balance"), 5)})
+    rows = _rows(lists, *_card(), _listed("top_party", None))
+    missing = _rows(ledgers.sparkSession.range(1), _row("not_found", None))
+    rows = rows.unionByName(missing)
+    found = _if_any(rows, "pnl_closing")
+    return _report(rows.withColumn("found", found).where(F.col("found") == (F.col("section") != "not_found")))

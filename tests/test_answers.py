@@ -178,3 +178,34 @@ def test_first_invoices_do_not_depend_on_row_order(spark, flip):
     ent = spark.createDataFrame(rows[::-1] if flip else rows, ENTRIES).coalesce(1)
     br = RV.bills_receivable(led, ent, FY).collect()
     assert sorted((r["seq"], r["amount"]) for r in br) == [(1, 20.0), (2, 10.0)]
+
+
+def test_reports_read_their_table_at_most_twice(spark, tables, tmp_path):
+    tables[0].write.parquet(str(tmp_path / "ledgers"))
+    led = spark.read.parquet(str(tmp_path / "ledgers"))
+    for report, most in ((RP.financial_analysis, 2), (RP.trend_snapshot, 2), (RP.business_summary, 3), (RP.pnl_report, 1)):
+        plan = report(led)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= most, report
+
+
+def test_reports_of_empty_and_dateless_tables(spark, tables):
+    led, _ = tables
+    none = led.limit(0)
+    rows = lambda df: sorted((r["section"], r["rank"], r["name"], r["amount"]) for r in df.collect())
+    assert rows(RP.business_summary(none)) == [("avg_balance", None, None, None), ("max_balance", None, None, None),
+                                               ("min_balance", None, None, None), ("total_balance", None, None, 0.0),
+                                               ("total_parties", None, None, 0.0)]
+    assert rows(RP.trend_snapshot(led.where("altered_on is null"))) == [("no_dates", None, None, None)]
+    assert rows(RP.trend_snapshot(none)) == [("no_dates", None, None, None)]
+    assert rows(RP.financial_analysis(none)) == [("assets", None, None, 0.0), ("liabilities", None, None, 0.0),
+                                                 ("net_position", None, None, 0.0)]
+    assert rows(RP.pnl_report(none)) == [("not_found", None, None, None)]
+    other = led.where("ledger_name is null or not contains(ledger_name, 'Profit')")
+    got = RP.financial_analysis(other).collect()
+    assert {r["section"] for r in got} == {"assets", "liabilities", "net_position", "top_asset", "top_liability"}
+    assert [r["name"] for r in sorted(got, key=lambda r: r["rank"] or 0) if r["section"] == "top_asset"] == [
+        "Alpha Traders", "Beta Mills", "Gamma"]
+    card = {r["section"]: r["amount"] for r in RP.financial_analysis(led).collect() if r["rank"] is None}
+    assert card == {"pnl_closing": 9.0, "pnl_opening": 3.0, "net_profit": 6.0}
+    assert [r["name"] for r in sorted(RP.pnl_report(led).collect(), key=lambda r: r["rank"] or 0) if r["section"] == "top_party"][:2] == [
+        "Alpha Traders", "Beta Mills"]
