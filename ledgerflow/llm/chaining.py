@@ -5,9 +5,9 @@ WINDOW runs in a row, so two copies of WINDOW + k - 1 words always share a seed)
 One pass over the texts writes them, with the words as 16-bit hashes (unequal words pass
 for equal once in 65,536 comparisons); no text is read or moved again. Seeds are sorted
 by (hash, document) over all partitions; every
-occurrence is matched to the one before it in another document, so there are as many
-matches as occurrences, never all pairs, and a seed that all documents share is dealt
-over many tasks. Matches on one diagonal become segments, and the segments of two
+occurrence is matched to one in the document before, so there are as many matches as
+occurrences, never all pairs, and a seed that all documents share is dealt over many
+tasks. Matches on one diagonal become segments, and the segments of two
 documents are chained in order with a gap cost; the best chain end before a segment
 comes from a Fenwick tree over places in the earlier text. Chains are cut at gaps of
 more than MAX_GAP words. Then the words themselves are aligned: segments word by word,
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import WordHashes, run_hashes, stored, word_list
 
 K = 5
-WINDOW = 24
+WINDOW = 20
 MIN_WORDS = 50
 MAX_GAP = 40        # words between two segments of a chain, in either text
 GAP_COST = 0.05     # per word that is skipped, half for each text
@@ -113,42 +113,46 @@ POS = (1 << 32) - 1
 
 
 class _Linker:
-    """Matches of rows that come in order of (h, doc_id, at): each row to the last row
-    before it with the same hash and another document."""
+    """Matches of rows that come in order of (h, doc_id, at): the n-th row of a hash and
+    document to the n-th (or last) row of that hash and the document before. In texts that
+    repeat themselves matches so keep to one diagonal."""
 
     CHUNK = 200_000
 
     def __init__(self):
-        self.last = None    # the row before, as arrays of length 1
-        self.before = None  # the row that its document's rows are matched to
+        self.held = None     # rows of the last document and, for the same hash, of the one before
         self.closed = False  # another document than the first has come
 
     def links(self, rows: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
         """(doc_id, at, other, oat, h) of the rows that have a match, and (h, doc_id, at) of
-        those in a hash's first document that its later rows hide."""
-        none = tuple(np.zeros(1, x.dtype) for x in rows)
-        h, d, t = (np.concatenate([a, b, x]) for a, b, x in zip(self.before or none, self.last or none, rows))
-        same_h = h[2:] == h[1:-1]
-        same_doc = same_h & (d[2:] == d[1:-1]) & (t[2:] >> 32 == t[1:-1] >> 32)
-        if self.last is None:
-            same_h[0] = same_doc[0] = False
-        # a document's first row is matched to the row before, its others alike
-        at = np.arange(2, len(h))
-        source = np.where(same_doc, -1, np.where(same_h, at - 1, -2))
-        opened = np.maximum.accumulate(np.where(source != -1, np.arange(len(source)), -1))
-        carried = 0 if self.before is not None else -2
-        source = np.where(opened >= 0, source[np.maximum(opened, 0)], carried)
-        hit = np.flatnonzero(source >= 0)
-        o, i, end = source[hit], at[hit], len(h) - 1
-        self.last = tuple(x[end:] for x in (h, d, t))
-        self.before = None if source[-1] < 0 else tuple(x[source[-1]:source[-1] + 1] for x in (h, d, t))
-        hidden = at[same_doc & (source < 0)] - 1
+        the later rows of a hash's first document, which no match needs to name."""
+        old = 0 if self.held is None else len(self.held[0])
+        h, d, t = rows if self.held is None else (np.concatenate(x) for x in zip(self.held, rows))
+        new_h = np.append(True, h[1:] != h[:-1])
+        new_run = new_h | np.append(True, (d[1:] != d[:-1]) | (t[1:] >> 32 != t[:-1] >> 32))
+        starts = np.flatnonzero(new_run)
+        sizes = np.diff(np.append(starts, len(h)))
+        run = np.cumsum(new_run) - 1
+        rank = np.arange(len(h)) - starts[run]
+        first = new_h[starts][run]
+        before = np.maximum(run - 1, 0)
+        source = starts[before] + np.minimum(rank, sizes[before] - 1)
+        fresh = np.arange(len(h)) >= old
+        i = np.flatnonzero(fresh & ~first)
+        o = source[i]
+        hidden = fresh & first & (rank > 0)
+        keep = starts[-1] if new_h[starts[-1]] else starts[-2]
+        self.held = tuple(x[keep:] for x in (h, d, t))
         return (d[i], t[i], d[o], t[o], h[i]), tuple(x[hidden] for x in (h, d, t))
 
+    def last(self) -> tuple[np.ndarray, ...] | None:
+        """The last row, as arrays."""
+        return None if self.held is None else tuple(x[-1:] for x in self.held)
+
 
 def matches(seed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, at, other, oat, h) over all seeds, and (doc_id, at, h) of the seeds that no
-    match names, though another document has them; stored. Rows are dealt by range, so
+    """(doc_id, at, other, oat, h) over all seeds, and (doc_id, at, h) of the seeds that
+    matches may not name, though another document has them; stored. Rows are dealt by range, so
     partitions may meet inside a hash: the first document's rows of each partition are
     then matched to the last row of the one before."""
     ordered = (seed.withColumn("th", F.shiftright("at", 32)).repartitionByRange("h", "doc_id", "th")
@@ -185,8 +189,9 @@ def matches(seed: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield from done()
         if n:
             yield from done()
-        if linker.last is not None:
-            yield batch([pa.array(linker.last[j]) for j in (1, 2)] * 2, 2, linker.last[0])
+        end = linker.last()
+        if end is not None:
+            yield batch([pa.array(end[j]) for j in (1, 2)] * 2, 2, end[0])
 
     found = stored(ordered.select("h", "doc_id", "at").mapInArrow(
         run, "doc_id long, at long, other long, oat long, kind byte, part int, h long"), "matches")
@@ -278,7 +283,7 @@ def stretch_of(pos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(pos, other, oat, k: int, window: int, min_words: int):
-    """(other, oth, starts, ends, other starts, left, right) of the chains of a document
+    """(other, oth, score, starts, ends, other starts, left, right) of the chains of a document
     that may belong to a passage; left and right are the words beyond a chain's ends to
     look at when they are extended."""
     order = np.lexsort((pos, oat >> 32, other))
@@ -304,7 +309,7 @@ def candidates(pos, other, oat, k: int, window: int, min_words: int):
         if e - s >= min_words and score >= DENSE * (e - s):
             sure.append((s, e))
         # what an extension gains in the stretch may carry it half as far beyond
-        yield (int(other[a]), int(oth[a]), [x[0] for x in chain], [x[1] for x in chain], [x[2] for x in chain],
+        yield (int(other[a]), int(oth[a]), score, [x[0] for x in chain], [x[1] for x in chain], [x[2] for x in chain],
                2 * (s - lo + window) + 64, 2 * (hi - e + window) + 64)
 
 
@@ -322,16 +327,24 @@ def equal_words(a: list, b: list) -> int:
     return row[-1]
 
 
-def extend(a: list, i: int, b: list, j: int, step: int) -> tuple[int, int]:
+def extend(words: np.ndarray, i: int, own: np.ndarray, j: int, step: int, reach: int) -> tuple[int, int]:
     """Words to take in beyond (i, j) in direction ``step``, and how many are equal:
-    up to the last place where the equal words still outweigh the others."""
+    up to the last place where the equal words still outweigh the others, ``reach``
+    words away at most. Looked at in short pieces, since most ends are near."""
     best = best_equal = score = equal = n = 0
-    while 0 <= i < len(a) and 0 <= j < len(b) and score > -4:
-        same = a[i] == b[j]
-        n, equal, score = n + 1, equal + same, score + (1 if same else -2)
-        if same and score > 0 and n - equal <= n * (1 - MIN_IDENTITY):
-            best, best_equal = n, equal
-        i, j = i + step, j + step
+    reach = min(reach, i + 1, j + 1) if step < 0 else min(reach, len(words) - i, len(own) - j)
+    while n < reach:
+        m = min(32, reach - n)
+        if step > 0:
+            same = words[i + n:i + n + m] == own[j + n:j + n + m]
+        else:
+            same = (words[i - n - m + 1:i - n + 1] == own[j - n - m + 1:j - n + 1])[::-1]
+        for x in same.tolist():
+            n, equal, score = n + 1, equal + x, score + (1 if x else -2)
+            if x and score > 0 and n - equal <= n * (1 - MIN_IDENTITY):
+                best, best_equal = n, equal
+            if score <= -4:
+                return best, best_equal
     return best, best_equal
 
 
@@ -350,10 +363,9 @@ def align(chain: list[tuple[int, int, int]], words: np.ndarray, own: np.ndarray,
             equal += equal_words(words[e:p].tolist(), own[oe:q].tolist())
         equal += int((words[p:end] == own[q:q + end - p]).sum())
         e, oe = end, q + end - p
-    a, b = max(0, s - left), max(0, o - left)
-    n, same = extend(words[a:s].tolist(), s - a - 1, own[b:o].tolist(), o - b - 1, -1)
+    n, same = extend(words, s - 1, own, o - 1, -1, left)
     s, o, equal = s - n, o - n, equal + same
-    n, same = extend(words[e:e + right].tolist(), 0, own[oe:oe + right].tolist(), 0, 1)
+    n, same = extend(words, e, own, oe, 1, right)
     return s, e + n, o, oe + n, equal + same
 
 
@@ -489,7 +501,7 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
     # a document's matches are as many as its seeds
     packed = links.groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("th")).agg(
         F.collect_list(F.struct("at", "other", "oat")).alias("m"))
-    schema = ("doc_id long, th int, other long, oth int, ss array<int>, es array<int>, os array<int>, "
+    schema = ("doc_id long, th int, other long, oth int, score double, ss array<int>, es array<int>, os array<int>, "
               "l int, r int")
 
     def chained(batches):
@@ -502,10 +514,10 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
             at = rows.offsets.to_numpy() - rows.offsets[0].as_py()
             for i, th, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), at, at[1:]):
                 out += [(i, th, *c) for c in candidates(pos[a:b], other[a:b], oat[a:b], k, window, min_words)]
-            cols = list(zip(*out)) if out else [()] * 9
+            cols = list(zip(*out)) if out else [()] * 10
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (
-                pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.int32(), pa.int32()))],
-                names=["doc_id", "th", "other", "oth", "ss", "es", "os", "l", "r"])
+                pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), *[pa.list_(pa.int32())] * 3, pa.int32(),
+                pa.int32()))], names=["doc_id", "th", "other", "oth", "score", "ss", "es", "os", "l", "r"])
 
     found = stored(packed.mapInArrow(chained, schema), "chains")
 
@@ -521,23 +533,31 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
 
     other = words.select(F.col("doc_id").alias("other"), F.col("th").alias("oth"), "w")
     with_own = found.join(other, ["other", "oth"]).mapInPandas(
-        cut, "other long, oth int, doc_id long, th int, ss array<int>, es array<int>, os array<int>, l int, r int, "
-             "base int, own binary")
+        cut, "other long, oth int, doc_id long, th int, score double, ss array<int>, es array<int>, os array<int>, "
+             "l int, r int, base int, own binary")
 
     def aligned(batches):
+        """The passages of one document after the other; a chain within one that was found
+        before adds no word."""
+        at, spans = None, []
         for pdf in batches:
             out = []
-            for row in pdf.itertuples():
-                chain = [(int(s), int(e), int(o) - row.base) for s, e, o in zip(row.ss, row.es, row.os)]
-                a, b, c, e, equal = align(chain, np.frombuffer(row.w, np.uint16), np.frombuffer(row.own, np.uint16),
-                                          row.l, row.r)
+            for i, th, other, ss, es, os, left, right, base, own, w in zip(*(pdf[c] for c in (
+                    "doc_id", "th", "other", "ss", "es", "os", "l", "r", "base", "own", "w"))):
+                if at != (i, th):
+                    at, spans = (i, th), []
+                if any(a <= ss[0] and es[-1] <= b for a, b in spans):
+                    continue
+                chain = [(int(s), int(e), int(o) - base) for s, e, o in zip(ss, es, os)]
+                a, b, c, e, equal = align(chain, np.frombuffer(w, np.uint16), np.frombuffer(own, np.uint16), left, right)
                 share = equal / max(1, b - a, e - c)
                 if b - a >= min_words and share >= MIN_IDENTITY:
-                    out.append((row.doc_id, row.th, row.other, a, b, c + row.base, e + row.base, b - a, min(1.0, share)))
-            yield pd.DataFrame(out, columns=["doc_id", "text_hash", "other_doc_id", "start", "end", "other_start",
-                                             "other_end", "n_words", "identity"])
+                    out.append((i, th, other, a, b, c + base, e + base, b - a, min(1.0, share)))
+                    spans.append((a, b))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in PASSAGES.split(", ")])
 
-    passages = stored(with_own.join(words, ["doc_id", "th"]).mapInPandas(aligned, PASSAGES).distinct(), "passages")
+    both = with_own.join(words, ["doc_id", "th"]).sortWithinPartitions("doc_id", "th", F.desc("score"), "other", "oth")
+    passages = stored(both.mapInPandas(aligned, PASSAGES).distinct(), "passages")
 
     spans = passages.groupBy(F.col("doc_id"), F.col("text_hash").alias("th")).agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))
