@@ -351,6 +351,24 @@ def did_you_mean(spark, sf_dir):
     return RS.did_you_mean(_requests(spark, sf_dir), led)
 
 
+def _regex_requests(spark, sf_dir):
+    """Every request, and patterns made of it: a wildcard, an alternative, a class with a
+    count, a group that is not closed."""
+    r = _requests(spark, sf_dir)
+    of = lambda i, c: F.struct((F.col("req_id") * 8 + i).alias("req_id"), c.alias("request"))
+    q = F.col("request")
+    return r.select(F.explode(F.array(
+        of(0, q), of(1, F.concat(F.substring(q, 1, 4), F.lit(".*"), F.substring(q, -3, 3), F.lit("$"))),
+        of(2, F.concat(q, F.lit("|^"), F.substring(q, 3, 40))), of(3, F.concat(F.lit("^[a-m]"), F.substring(q, 2, 8), F.lit("0{2,}"))),
+        of(4, F.concat(q, F.lit("("))))).alias("r")).select("r.*")
+
+
+@job("regex_status")
+def regex_status(spark, sf_dir):
+    """J3/J4 in regex mode over patterns made from every request."""
+    return RS.regex_status(_regex_requests(spark, sf_dir), _tables(spark, sf_dir)[0]).drop("error")
+
+
 @job("match_head")
 def match_head(spark, sf_dir):
     led, _ = _tables(spark, sf_dir)

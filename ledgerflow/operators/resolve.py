@@ -1,8 +1,8 @@
 """Name resolution for many requests at once.
 
 A request is a (req_id, request) row. Matching is case-insensitive; ``contains``
-is literal by default (the reference used a regex search, which errors on
-'a(' and treats '.' as a wildcard; see README deviations).
+is literal by default. ``regex_matches`` searches as the reference does, with the request
+as a regular expression; one that doesn't compile gets a status row.
 
 Per-request "first k" lists use ``row_number() <= k`` (Spark plans a partial
 WindowGroupLimit before the shuffle, so a request matching millions of
@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.operators.regexjoin import planned_patterns, regex_pairs
 from ledgerflow.operators.textjoin import contains_pairs
 from ledgerflow.session import cut_lineage
 
@@ -86,11 +87,38 @@ def resolve_status(requests: DataFrame, ledgers: DataFrame, k: int = STATEMENT_L
         F.coalesce(F.array_join("options", "; "), F.lit("")).alias("options"))
 
 
+def regex_matches(requests: DataFrame, ledgers: DataFrame, text_col: str = "ledger_name") -> tuple[DataFrame, DataFrame]:
+    """J3 in regex mode: every (request row, ledger row) where the request is found as a
+    regular expression, any case; and (req_id, request, error) of the requests that are
+    none."""
+    planned = planned_patterns(requests, "request")
+    pairs = regex_pairs(planned, ledgers, text_col)
+    r = requests.join(pairs, requests.request == pairs.pattern).drop("pattern")
+    bad = planned.where("error is not null").select("pattern", "error")
+    return (r.join(ledgers, r.text == ledgers[text_col]).drop("text"),
+            requests.join(bad, requests.request == bad.pattern).select("req_id", "request", "error"))
+
+
+def regex_status(requests: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """J4 in regex mode: (req_id, request, status, n_matches, first_match, error); status is
+    found, not_found or bad_pattern."""
+    hits, bad = regex_matches(requests, ledgers)
+    per = hits.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min("ledger_name").alias("first_match"))
+    out = requests.join(per, "req_id", "left").join(bad.select("req_id", "error"), "req_id", "left")
+    status = (F.when(F.col("error").isNotNull(), F.lit("bad_pattern")).when(F.col("n_matches") > 0, F.lit("found"))
+              .otherwise(F.lit("not_found")))
+    return out.select("req_id", "request", status.alias("status"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
+                      "first_match", "error")
+
+
 def did_you_mean(requests: DataFrame, ledgers: DataFrame, k: int = STATEMENT_LIST) -> DataFrame:
-    """Distinct ledger names literally containing the request, first k per request."""
+    """Where the (regex) search finds nothing, distinct ledger names that hold the
+    request as it is written, first k per request. A request that is no regular
+    expression is an error there, not a search without a hit."""
     names = ledgers.select("ledger_name").distinct()
-    m = contains_matches(requests, names)
-    return first_k(m, k).select("req_id", "request", "rank", "ledger_name")
+    hits, bad = regex_matches(requests, names)
+    missed = requests.join(hits.select("req_id").unionByName(bad.select("req_id")).distinct(), "req_id", "left_anti")
+    return first_k(contains_matches(missed, names), k).select("req_id", "request", "rank", "ledger_name")
 
 
 def stored_matches(requests: DataFrame, ledgers: DataFrame) -> DataFrame:

@@ -543,11 +543,26 @@ SELECT r.req_id, r.request, COALESCE(c.n_matches, 0) AS n_matches,
        CASE WHEN c.n_matches = 1 THEN h.options END AS resolved_name,
        COALESCE(h.options, '') AS options
 FROM requests r LEFT JOIN n c USING (req_id) LEFT JOIN h USING (req_id)"""),
+    # names hold no character that a regex reads otherwise, so what is written is found
     "did_you_mean": q(REQUESTS + """
 , d AS (SELECT DISTINCT r.req_id, r.request, l.ledger_name FROM requests r JOIN ledgers l
-          ON contains(lower(l.ledger_name), lower(r.request)) WHERE length(r.request) > 0)
+          ON contains(lower(l.ledger_name), lower(r.request)) WHERE length(r.request) > 0
+          AND NOT EXISTS (SELECT 1 FROM ledgers x WHERE regexp_matches(lower(x.ledger_name), lower(r.request))))
 SELECT req_id, request, CAST(rank AS INTEGER) AS rank, ledger_name FROM (
   SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY ledger_name) AS rank FROM d) WHERE rank <= 5"""),
+    "regex_status": q(REQUESTS + """
+, p AS (
+  SELECT req_id * 8 AS req_id, request, true AS good FROM requests
+  UNION ALL SELECT req_id * 8 + 1, substr(request, 1, 4) || '.*' || right(request, 3) || '$', true FROM requests
+  UNION ALL SELECT req_id * 8 + 2, request || '|^' || substr(request, 3, 40), true FROM requests
+  UNION ALL SELECT req_id * 8 + 3, '^[a-m]' || substr(request, 2, 8) || '0{2,}', true FROM requests
+  UNION ALL SELECT req_id * 8 + 4, request || '(', false FROM requests
+),
+n AS (SELECT p.req_id, COUNT(*) AS n, min(l.ledger_name) AS one FROM p JOIN ledgers l
+        ON CASE WHEN good THEN regexp_matches(lower(l.ledger_name), lower(p.request)) ELSE false END GROUP BY 1)
+SELECT req_id, request, CASE WHEN NOT good THEN 'bad_pattern' WHEN n > 0 THEN 'found' ELSE 'not_found' END AS status,
+       COALESCE(n, 0) AS n_matches, one AS first_match
+FROM p LEFT JOIN n USING (req_id)"""),
     "match_head": q(REQUESTS + """
 SELECT req_id, CAST(rank AS INTEGER) AS rank, ledger_name, n_matches FROM (
   SELECT cm.*, cc.n_matches, row_number() OVER (PARTITION BY cm.req_id ORDER BY ledger_name) AS rank

@@ -209,3 +209,38 @@ def test_reports_of_empty_and_dateless_tables(spark, tables):
     assert card == {"pnl_closing": 9.0, "pnl_opening": 3.0, "net_profit": 6.0}
     assert [r["name"] for r in sorted(RP.pnl_report(led).collect(), key=lambda r: r["rank"] or 0) if r["section"] == "top_party"][:2] == [
         "Alpha Traders", "Beta Mills"]
+
+
+PIECES = ["a", "b", "ab", "ba ", ".", ".*", "a?", "b+", "(ab)", "(a|b)", "[ab]", "[^a]", "a{2}", "b{1,2}", "^", "$", "\\.", "\\(", "\\w",
+          "|", "x*", "(?:b)", "(", "[", "c", "C", "(?i)", "*", "]", "}", "é", "\\d"]
+
+
+def test_regex_joins_match_searching_everything(spark):
+    import re
+
+    from ledgerflow.operators import regexjoin
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aabbc .(éA1") for _ in range(rng.randrange(0, 12))) for _ in range(150)] + ["a(b", "A.B (P) Ltd"]
+    pats = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(1, 6))) for _ in range(900)] + ["a(", "a.b (p)", "ltd$"]
+    led = spark.createDataFrame([ledger(t) for t in texts] + [ledger(None)], LEDGERS)
+    req = spark.createDataFrame(list(enumerate(pats)) + [(9999, None), (9998, "")], "req_id int, request string")
+    hits, bad = RS.regex_matches(req, led.select("ledger_name").distinct())
+    want, errors = set(), set()
+    for i, p in enumerate(pats):
+        try:
+            c = re.compile(p.lower())
+        except re.error:
+            errors.add(i)
+            continue
+        want |= {(i, t) for t in texts if c.search(t.lower())}
+        lits = regexjoin.literals(p.lower())
+        assert lits is None or all(any(x in t.lower() for x in lits) for t in texts if c.search(t.lower())), p
+    assert {(r["req_id"], r["ledger_name"]) for r in hits.collect()} == want
+    assert {r["req_id"] for r in bad.collect()} == errors and len(errors) > 50
+    assert sum(regexjoin.literals(p.lower()) is not None for p in pats) > 300
+    status = {r["req_id"]: r["status"] for r in RS.regex_status(req, led).collect()}
+    assert status[900] == "bad_pattern" and status[9999] == "not_found" and status[902] == "found"
+    # what is written 'a.b (p)' is no match of itself, but it is in a name
+    mean = {(r["req_id"], r["ledger_name"]) for r in RS.did_you_mean(req, led).collect()}
+    assert (901, "A.B (P) Ltd") in mean and not {i for i, _ in mean} & ({i for i, _ in want} | errors)
