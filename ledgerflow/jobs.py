@@ -50,6 +50,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 from pyspark.sql import functions as F  # noqa: E402
 
 from ledgerflow.operators import filters as FL  # noqa: E402
+from ledgerflow.operators import passthrough as PT  # noqa: E402
 from ledgerflow.operators import receivable as RV  # noqa: E402
 from ledgerflow.operators import reports as RP  # noqa: E402
 from ledgerflow.operators import resolve as RS  # noqa: E402
@@ -488,6 +489,23 @@ def sql_passthrough(spark, sf_dir):
                      args={"lo": 0, "grp": "Sundry Debtors"})
 
 
+@job("sql_statements")
+def sql_statements(spark, sf_dir):
+    """S10 as a batch: a good statement, one without rows, one that doesn't parse, one that
+    names a missing column and one that fails while it runs."""
+    _tables(spark, sf_dir)[0].createOrReplaceTempView("lf_ledgers")
+    rows = PT.run_statements(spark, [
+        ("good", "SELECT ledger_name, closing_balance FROM lf_ledgers WHERE closing_balance > :lo", {"lo": 0}),
+        ("groups", "SELECT parent AS ledger_name, count(*) AS n FROM lf_ledgers GROUP BY parent", None),
+        ("empty", "SELECT * FROM lf_ledgers WHERE ledger_name = :name", {"name": "no such ledger"}),
+        ("syntax", "SELEC ledger_name FROM lf_ledgers", None),
+        ("column", "SELECT no_such_column FROM lf_ledgers", None),
+        ("failing", "SELECT raise_error(ledger_name) AS x FROM lf_ledgers", None)])
+    return rows.select("statement", "status", F.try_variant_get("row", "$.ledger_name", "string").alias("ledger_name"),
+                       F.coalesce(F.try_variant_get("row", "$.closing_balance", "double"),
+                                  F.try_variant_get("row", "$.n", "double")).alias("amount"))
+
+
 @job("flatten_entries")
 def flatten_entries(spark, sf_dir):
     """J1 over the nested voucher form (header + sorted array of entries)."""

@@ -713,6 +713,11 @@ SELECT 'voucher_entries', NULL, NULL, NULL, NULL, NULL, date, voucher_type, vouc
     "trim_column_names": q(f"SELECT {LC} FROM ledgers"),
     "sql_passthrough": q("""
 SELECT ledger_name, closing_balance FROM ledgers WHERE closing_balance > 0 AND parent = 'Sundry Debtors'"""),
+    "sql_statements": q("""
+SELECT 'good' AS statement, 'ok' AS status, ledger_name, closing_balance AS amount FROM ledgers WHERE closing_balance > 0
+UNION ALL SELECT 'groups', 'ok', parent, CAST(COUNT(*) AS DOUBLE) FROM ledgers GROUP BY parent
+UNION ALL SELECT 'empty', 'empty', NULL, NULL
+UNION ALL SELECT unnest(['syntax', 'column', 'failing']), 'error', NULL, NULL"""),
     "flatten_entries": q("""
 SELECT date, voucher_type, voucher_no, party_name, entry_no, particulars, CAST(amount AS DOUBLE) AS amount
 FROM ve_raw"""),

@@ -244,3 +244,21 @@ def test_regex_joins_match_searching_everything(spark):
     # what is written 'a.b (p)' is no match of itself, but it is in a name
     mean = {(r["req_id"], r["ledger_name"]) for r in RS.did_you_mean(req, led).collect()}
     assert (901, "A.B (P) Ltd") in mean and not {i for i, _ in mean} & ({i for i, _ in want} | errors)
+
+
+def test_statements_fail_as_rows_and_keep_their_order(spark, tables):
+    from ledgerflow.operators.passthrough import run_statements
+
+    tables[0].createOrReplaceTempView("t_ledgers")
+    rows = run_statements(spark, [
+        ("a", "SELECT ledger_name AS n, closing_balance AS c FROM t_ledgers WHERE ledger_name > :x ORDER BY closing_balance DESC",
+         {"x": "Al"}),
+        ("b", "SELECT 1 AS n WHERE false", None), ("c", "SELEC 1", None), ("d", "SELECT * FROM no_such_view", None),
+        ("e", "SELECT CAST('x' AS INT) AS n", None), ("f", "SELECT :y AS n", None), ("g", "SELECT named_struct('p', 1) AS n", None)])
+    got = {}
+    for r in rows.withColumn("n", F.try_variant_get("row", "$.n", "string")).orderBy("statement", "seq").collect():
+        got.setdefault(r["statement"], []).append((r["status"], r["n"], r["error"]))
+    assert [n for _, n, _ in got["a"]] == ["Alpha Traders", "Beta Mills", "Profit  Loss Ac", "Gamma", "Alpha Stores"]
+    assert [got[x][0][0] for x in "bcdefg"] == ["empty", "error", "error", "error", "error", "ok"]
+    assert got["c"][0][2] == "PARSE_SYNTAX_ERROR" and got["d"][0][2] == "TABLE_OR_VIEW_NOT_FOUND"
+    assert "CAST_INVALID_INPUT" in got["e"][0][2]
