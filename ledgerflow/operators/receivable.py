@@ -22,6 +22,7 @@ from ledgerflow.functions.numbers import CENTS, money2
 from ledgerflow.operators import filters as FL
 from ledgerflow.operators.statement import ORDER, fy_entries, ordered, unique_ledgers
 from ledgerflow.operators.textjoin import contains_pairs
+from ledgerflow.session import cut_lineage
 
 # --- fixed values ------------------------------------------------------------------
 INVOICES_PER_PARTY = 10
@@ -108,9 +109,11 @@ def debtor_fallback(ledgers: DataFrame, without: DataFrame, fy: str) -> DataFram
 def bills_receivable(ledgers: DataFrame, entries: DataFrame, fy: str) -> DataFrame:
     """R2 for all ledgers: ledger_name, financial_year, source, seq, br_date, br_no,
     party, amount, due_date, status, total_br (A10, per ledger)."""
-    led = unique_ledgers(ledgers)
-    tx = party_entries(led, entries, fy)
-    inv = invoice_rows(tx)
+    # each of these feeds several branches, so each is computed once: the ledgers, the
+    # sales and payments of the year, and at most ten invoices a ledger
+    led = cut_lineage(unique_ledgers(ledgers).select("ledger_name", "name_key", "parent", "closing_balance"))
+    tx = cut_lineage(party_entries(led, entries, fy).where(FL.is_sale() | FL.is_payment()))
+    inv = cut_lineage(invoice_rows(tx))
     without = led.select("ledger_name", "name_key").join(
         inv.select("ledger_name").distinct(), "ledger_name", "left_anti")
     fb = debtor_fallback(led, without, fy)

@@ -11,7 +11,7 @@ from tests.conftest import SMOKE
 
 SUBSET = [
     "fy_statement", "running_balance", "reconcile", "bills_receivable", "debtor_fallback",
-    "resolve_contains", "resolve_status", "balance_lookup", "ledger_search", "did_you_mean",
+    "resolve_contains", "resolve_status", "request_status", "paginate_all", "regex_status", "sql_statements", "balance_lookup", "ledger_search", "did_you_mean",
     "pending_report", "financial_analysis", "financial_analysis_as_written", "business_summary",
     "party_ranking_year", "party_ranking_no_year", "trend_snapshot", "pnl_report",
     "scan_ledger_xml", "scan_voucher_xml", "sanitize_voucher_xml", "normalize_names",
