@@ -110,6 +110,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p><article
 def test_main_text_by_markup():
     main, _ = host_suffix.by_markup(PAGE)
     assert main == ["A & B", "One two three", "Four <five>", "six", "seven"]
+    kept = "<article><h1>A</h1><p>x <math><mi>y</mi></math></p></article>"
+    for head in ("<head><title>t</title>", "<head><title>t</title></head>", "<head><meta charset=utf-8><style>p{}</style>",
+                 "<svg>", "<object data=1>", "<title>"):
+        assert host_suffix.by_markup(f"<html>{head}<body>{kept}")[0] == ["A", "x y"], head
     assert host_suffix.by_markup(None) == (None, []) and host_suffix.by_markup("a < b <i") == (None, ["a < b <i"])
 
 
