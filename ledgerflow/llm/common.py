@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from ledgerflow.session import scratch_path
 
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Workers live on from stage to stage; with these they give back what a task has freed.
+GIVES_BACK = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_MMAP_THRESHOLD_": "131072",
+              "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def importable(spark: SparkSession) -> None:
@@ -28,6 +31,8 @@ def importable(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    for name, value in GIVES_BACK.items():
+        env.setdefault(name, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
