@@ -262,3 +262,10 @@ def test_statements_fail_as_rows_and_keep_their_order(spark, tables):
     assert [got[x][0][0] for x in "bcdefg"] == ["empty", "error", "error", "error", "error", "ok"]
     assert got["c"][0][2] == "PARSE_SYNTAX_ERROR" and got["d"][0][2] == "TABLE_OR_VIEW_NOT_FOUND"
     assert "CAST_INVALID_INPUT" in got["e"][0][2]
+
+
+def test_contained_names_are_listed_for_whole_names_too(spark):
+    led = spark.createDataFrame([ledger("Acme"), ledger("Acme Stores"), ledger("Beta"), ledger(None)], LEDGERS)
+    req = spark.createDataFrame([(1, "acme"), (2, "eta"), (3, "zz"), (4, None)], "req_id int, request string")
+    got = RS.resolve_contains(req, led).select("req_id", "ledger_name").collect()
+    assert sorted(map(tuple, got)) == [(1, "Acme"), (1, "Acme Stores"), (2, "Beta")]
