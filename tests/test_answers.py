@@ -269,3 +269,13 @@ def test_contained_names_are_listed_for_whole_names_too(spark):
     req = spark.createDataFrame([(1, "acme"), (2, "eta"), (3, "zz"), (4, None)], "req_id int, request string")
     got = RS.resolve_contains(req, led).select("req_id", "ledger_name").collect()
     assert sorted(map(tuple, got)) == [(1, "Acme"), (1, "Acme Stores"), (2, "Beta")]
+
+
+def test_names_are_suggested_for_found_requests_too(spark):
+    led = spark.createDataFrame([ledger(f"Acme {i}") for i in range(7)] + [ledger("Acme 1"), ledger(None)], LEDGERS)
+    req = spark.createDataFrame([(1, "acme"), (1, "acme"), (2, "ACME 6"), (3, "zz"), (4, None), (5, "acme")],
+                                "req_id int, request string")
+    got = RS.did_you_mean(req, led, missed_only=False).collect()
+    first = [(i + 1, f"Acme {i}") for i in range(5)]
+    assert sorted((r["req_id"], r["rank"], r["ledger_name"]) for r in got) == sorted(
+        [(1, *x) for x in first] + [(5, *x) for x in first] + [(2, 1, "Acme 6")])
