@@ -3,10 +3,11 @@
 The reference searches names with the user's text as a regular expression, any case. As
 a join that would test every pattern against every text. Here each distinct pattern is
 planned once: a pattern that doesn't compile becomes a status row, any other becomes the
-literals that a match must hold - the longest run of plain characters of each of its
-alternatives. Texts that hold one of them come from the q-gram join, and only these
-candidates are searched. Patterns without such a literal (``.*``, ``a?``) are searched in
-all texts, in blocks of bounded size. The result is that of searching everything.
+literals that a match must hold - the runs of plain characters of each of its
+alternatives. Texts that hold a literal come from the q-gram join; of each alternative's
+literals the one that the fewest texts hold gives the candidates, and only these are
+searched. Patterns without such a literal (``.*``, ``a?``) are searched in all texts, in
+blocks of bounded size. The result is that of searching everything.
 
 Patterns are Python's, as in the reference, so the search itself is a pandas UDF over
 candidates; nothing else here leaves the JVM.
@@ -67,10 +68,10 @@ def _class_end(pattern: str, i: int) -> int:
     return i
 
 
-def longest_literal(alternative: str) -> str:
-    """The longest run of plain characters that every match of an alternative holds;
-    groups and classes count as unknown, and so does a character that may be absent."""
-    best, run, i, n = "", "", 0, len(alternative)
+def literal_runs(alternative: str) -> list[str]:
+    """The runs of plain characters that every match of an alternative holds; groups and
+    classes count as unknown, and so does a character that may be absent."""
+    runs, run, i, n = [], "", 0, len(alternative)
     while i < n:
         c, literal = alternative[i], None
         if c == "\\" and i + 1 < n:
@@ -92,31 +93,37 @@ def longest_literal(alternative: str) -> str:
             literal = c
         after = alternative[i + 1:i + 2]
         if literal is None or after in ("*", "?", "{"):
-            best, run = max(best, run, key=len), ""
+            runs, run = [*runs, run], ""
         else:
             run += literal
             if after == "+":
-                best, run = max(best, run, key=len), ""
+                runs, run = [*runs, run], ""
         i += 1
         if after == "{":  # the digits of a count are no characters of the text
             i = max(i, alternative.find("}", i) + 1)
         elif after and after in "*?+":
             i += 1
-    return max(best, run, key=len)
+    return sorted({x for x in (*runs, run) if x})
 
 
 def literals(pattern: str) -> list[str] | None:
     """One literal for each alternative, of which a match holds at least one; None where
     an alternative has none, or where flags change what characters mean."""
+    found = needed(pattern)
+    return found and sorted({max(runs, key=len) for runs in found})
+
+
+def needed(pattern: str) -> list[list[str]] | None:
+    """Every alternative's literals, all of which its matches hold; None as in ``literals``."""
     if "(?" in pattern:
         return None
-    found = [longest_literal(a) for a in alternatives(pattern)]
-    return sorted(set(found)) if all(found) else None
+    found = [literal_runs(a) for a in alternatives(pattern)]
+    return found if all(found) else None
 
 
 def _planned(patterns: pd.Series) -> pd.DataFrame:
     errors = [None if not isinstance(compiled(p), str) else compiled(p) for p in patterns]
-    return pd.DataFrame({"error": errors, "literals": [None if e else literals(p) for p, e in zip(patterns, errors)]})
+    return pd.DataFrame({"error": errors, "literals": [None if e else needed(p) for p, e in zip(patterns, errors)]})
 
 
 def _found(patterns: pd.Series, texts: pd.Series) -> pd.Series:
@@ -125,7 +132,7 @@ def _found(patterns: pd.Series, texts: pd.Series) -> pd.Series:
 
 def planned_patterns(patterns: DataFrame, col: str) -> DataFrame:
     """(pattern, lowered, error, literals) of every distinct pattern that isn't empty."""
-    plan = F.pandas_udf(_planned, "error string, literals array<string>")
+    plan = F.pandas_udf(_planned, "error string, literals array<array<string>>")
     p = patterns.select(F.col(col).alias("pattern")).where(F.length("pattern") > 0).distinct()
     return cut_lineage(p.withColumn("lowered", F.lower("pattern")).withColumn("plan", plan("lowered"))
                        .select("pattern", "lowered", "plan.*"))
@@ -136,9 +143,15 @@ def regex_pairs(planned: DataFrame, texts: DataFrame, text_col: str) -> DataFram
     text, for the patterns of ``planned_patterns`` that compile."""
     good = planned.where("error is null").select("pattern", "lowered", "literals")
     names = texts.select(F.col(text_col).alias("text")).where("text is not null").distinct()
-    by_literal = good.where("literals is not null").select("pattern", "lowered", F.explode("literals").alias("literal"))
-    held = contains_pairs(by_literal, "literal", names, "text").withColumnRenamed("pattern", "literal")
-    candidates = by_literal.join(held, "literal").select("pattern", "lowered", "text").distinct()
+    by_literal = (good.where("literals is not null").select("pattern", "lowered", F.posexplode("literals").alias("alternative", "runs"))
+                  .select("pattern", "lowered", "alternative", F.explode("runs").alias("literal")))
+    # stored: counted to choose the literals, then joined to those chosen
+    held = cut_lineage(contains_pairs(by_literal, "literal", names, "text").withColumnRenamed("pattern", "literal"))
+    n = held.groupBy("literal").agg(F.count(F.lit(1)).alias("n"))
+    rarest = by_literal.join(n, "literal", "left").groupBy("pattern", "lowered", "alternative").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "literal")).alias("rarest"))
+    chosen = rarest.select("pattern", "lowered", F.col("rarest.literal").alias("literal")).distinct()
+    candidates = chosen.join(held, "literal").select("pattern", "lowered", "text").distinct()
     found = F.pandas_udf(_found, "boolean")
     out = candidates.where(found("lowered", F.lower("text"))).select("pattern", "text")
     bare = good.where("literals is null").select("pattern", "lowered")

@@ -279,3 +279,23 @@ def test_names_are_suggested_for_found_requests_too(spark):
     first = [(i + 1, f"Acme {i}") for i in range(5)]
     assert sorted((r["req_id"], r["rank"], r["ledger_name"]) for r in got) == sorted(
         [(1, *x) for x in first] + [(5, *x) for x in first] + [(2, 1, "Acme 6")])
+
+
+def test_regex_candidates_come_from_the_rarest_literal(spark):
+    from ledgerflow.operators import regexjoin
+
+    assert regexjoin.needed("cust.*0+7$|a[bc]de") == [["0", "7", "cust"], ["a", "de"]] and regexjoin.needed("x|.*") is None
+    names = [f"Customer {i:04d}" for i in range(400)] + ["Customer 0007"]
+    led = spark.createDataFrame([ledger(n) for n in names] + [ledger(None)], LEDGERS)
+    req = spark.createDataFrame([(i, "cust.*0007$" if i % 2 else "cust.*zz$") for i in range(40)] + [(1, "^c"), (99, "a(")],
+                                "req_id int, request string")
+    planned, pairs = RS.regex_plan(req, led, "ledger_name")
+    assert sorted(map(tuple, pairs.where("pattern <> '^c'").collect())) == [("cust.*0007$", "Customer 0007")]
+    status = RS.regex_status(req, led)
+    got = {(r["req_id"], r["request"]): (r["status"], r["n_matches"], r["first_match"]) for r in status.collect()}
+    assert got[3, "cust.*0007$"] == ("found", 2, "Customer 0007") and got[2, "cust.*zz$"] == ("not_found", 0, None)
+    # rows with one req_id count together
+    assert got[1, "^c"] == ("found", 403, "Customer 0000") and got[99, "a("][:2] == ("bad_pattern", 0)
+    # a pattern's hits are counted before they meet the requests
+    plan = status._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(copies" in plan
