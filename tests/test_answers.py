@@ -299,3 +299,14 @@ def test_regex_candidates_come_from_the_rarest_literal(spark):
     # a pattern's hits are counted before they meet the requests
     plan = status._jdf.queryExecution().optimizedPlan().toString()
     assert "sum(copies" in plan
+
+
+def test_fallback_lists_the_first_debtors_of_a_key_before_joining_them(spark):
+    led = spark.createDataFrame([ledger(f"Acme {i}", closing=-1.0 - i if i != 2 else 5.0) for i in range(9)]
+                                + [ledger("Acme", "Bank"), ledger(None)], LEDGERS)
+    rows = RV.debtor_fallback(led, led.select("ledger_name", "name_key").where("ledger_name in ('Acme', 'Acme 7')"), FY)
+    got = sorted((r["ledger_name"], r["seq"], r["party"], r["amount"]) for r in rows.collect())
+    assert got == [("Acme", 1, "Acme 0", 1.0), ("Acme", 2, "Acme 1", 2.0), ("Acme", 4, "Acme 3", 4.0), ("Acme", 5, "Acme 4", 5.0),
+                   ("Acme 7", 1, "Acme 7", 8.0)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit [pattern" in plan and "Partial" in plan
