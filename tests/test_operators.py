@@ -182,3 +182,24 @@ def test_reconcile_covers_ledgers_without_entries(spark):
     ent = spark.createDataFrame([], "party_key string, debit_amount double, credit_amount double")
     r = ST.reconcile(led, ent).first()
     assert (r.n_entries, r.computed_closing, r.drift, r.ok) == (0, 5.0, -4.0, False)
+
+
+def test_reports_on_ledgers_alone_store_no_entries(spark, tmp_path, monkeypatch):
+    import os
+
+    from ledgerflow.jobs import JOBS
+    from ledgerflow.sources import store
+    from tests.conftest import SMOKE
+
+    for f in os.listdir(SMOKE):
+        os.symlink(f"{SMOKE}/{f}", tmp_path / f)
+
+    def refuse(*args):
+        raise AssertionError("entries stored")
+
+    monkeypatch.setattr(store, "write_entries", refuse)
+    got = JOBS["debtor_groups"](spark, str(tmp_path)).collect()
+    assert len(got) > 0
+    monkeypatch.undo()
+    assert sorted(map(str, got)) == sorted(map(str, JOBS["debtor_groups"](spark, SMOKE).collect()))
+    assert JOBS["available_years"](spark, str(tmp_path)).count() > 0 and store.entries(spark, str(tmp_path)).count() > 0
