@@ -203,3 +203,20 @@ def test_reports_on_ledgers_alone_store_no_entries(spark, tmp_path, monkeypatch)
     monkeypatch.undo()
     assert sorted(map(str, got)) == sorted(map(str, JOBS["debtor_groups"](spark, SMOKE).collect()))
     assert JOBS["available_years"](spark, str(tmp_path)).count() > 0 and store.entries(spark, str(tmp_path)).count() > 0
+
+
+def test_exports_of_both_snapshots_are_built_once(spark, tmp_path, monkeypatch):
+    import os
+
+    from ledgerflow.jobs import JOBS
+    from ledgerflow.sources import fixtures as FX
+    from tests.conftest import SMOKE
+
+    for f in os.listdir(SMOKE):
+        os.symlink(f"{SMOKE}/{f}", tmp_path / f)
+    build, calls = FX.voucher_xml_records, []
+    monkeypatch.setattr(FX, "voucher_xml_records", lambda t: calls.append(1) or build(t))
+    got = JOBS["sink_voucher_snapshot"](spark, str(tmp_path))
+    now = JOBS["scan_voucher_xml"](spark, str(tmp_path)).select(*got.columns)
+    assert len(calls) == 1 and got.count() > 0
+    assert got.exceptAll(now).isEmpty() and now.exceptAll(got).isEmpty()
