@@ -61,6 +61,35 @@ def test_the_threshold_follows_all_labels_beyond_the_sample(sp):
         assert abs((model.score(x) < pairwise_quality.CUT).mean() - bad) < 0.04
 
 
+def test_quality_is_learned_from_all_pairs_of_labelled_documents(sp):
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(260):  # kinds overlap
+        y = int(i % 4 > 0)
+        words = rng.choice([f"word{k}" for k in range(60)], 80)
+        words[rng.random(80) < np.clip(rng.normal(0.15 if y else 0.25, 0.1), 0, 1)] = "!!!"
+        rows.append((i, " ".join(words), y))
+    docs = sp.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = sp.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = pairwise_quality.train(docs, labels, rounds=60)
+    x, y = (np.array(c) for c in zip(*[(pairwise_quality.features(t), y) for i, t, y in rows
+                                       if not pairwise_quality.held_out(i)]))
+    assert np.allclose(model.mean, pairwise_quality.shaped(x).mean(axis=0), atol=1e-4)
+    z = pairwise_quality.steps(x, model.mean, model.scale) / pairwise_quality.Z_STEP
+    pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+
+    def loss(w):
+        return np.logaddexp(0, -pairs @ w).mean() + pairwise_quality.L2 / 2 * w @ w
+
+    best = np.zeros(z.shape[1])
+    for _ in range(30):  # Newton's method over every pair
+        p = 1 / (1 + np.exp(pairs @ best))
+        curve = (pairs * (p * (1 - p))[:, None]).T @ pairs / len(pairs) + pairwise_quality.L2 * np.eye(len(best))
+        best = best - 0.7 * np.linalg.solve(curve, -(pairs * p[:, None]).mean(axis=0) + pairwise_quality.L2 * best)
+    assert loss(model.weights) < loss(best) + 0.003
+    assert (model.strength(x) < model.threshold - 1e-9).sum() == (y == 0).sum()
+
+
 def test_weighted_quantile_counts_what_values_stand_for():
     x = np.random.default_rng(16).normal(size=101)
     assert pairwise_quality.weighted_quantile(x, np.ones(101), 0.14) == pytest.approx(np.quantile(x, 0.14))
