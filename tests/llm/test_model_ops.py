@@ -162,6 +162,31 @@ def test_repeated_runs_go_where_markup_is_silent(sp):
     assert host_suffix.main_text(pages.limit(0)).count() == 0
 
 
+def test_runs_of_marked_menus_and_of_short_blocks_decide_too(sp):
+    items = "home news sport weather travel money food shop about contact help login".split()
+    menu = "".join(f"<li>{w}</li>" for w in items)
+    notice = "all rights to these pages belong to the owners of this host"
+    rows = [(1, "http://a.example/1", f"<nav><ul>{menu}</ul></nav><article><p>one story</p></article><footer>{notice}</footer>"),
+            (2, "http://a.example/2", f"<body><ul>{menu}</ul><p>another story alone</p><div>{notice}</div></body>"),
+            (3, "http://a.example/3", f"<article><p>{notice} 3</p><p>third</p></article><div>{notice}</div>"),
+            (4, "http://b.example/4", f"<body><ul>{menu}</ul><p>home</p></body>")]
+    text = {r["page_id"]: r["text"] for r in
+            host_suffix.main_text(sp.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text == {1: "one story", 2: "another story alone", 3: f"{notice} 3\nthird", 4: "\n".join([*items, "home"])}
+
+
+def test_runs_of_a_host_match_searching_them_all():
+    rng = np.random.default_rng(8)
+    pages = [(f"h{i % 2}", i, [" ".join(rng.choice(list("abc"), rng.integers(1, 9))) for _ in range(3)]) for i in range(12)]
+    want = {}
+    for host, page, texts in pages:
+        words = " ".join(texts).split()
+        for i in range(len(words) - 3):
+            want.setdefault((host, tuple(words[i:i + 4])), set()).add(page)
+    got = host_suffix.host_runs(pages, 4)
+    assert sorted((h, a, b) for h, _, a, b in got) == sorted((h, min(x), max(x)) for (h, _), x in want.items())
+
+
 def test_suffix_groups_share_their_first_tokens():
     rng = np.random.default_rng(7)
     for run in (1, 2, 3, 5, 8):
