@@ -25,12 +25,12 @@ voucher records (orders, entries = lineitems), key = orderkey
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.sources.bindings import (
-    BRANCH_PARENT, BRANCH_PREFIX_LEN, PNL_NAME, PNL_PARENT, SEGMENT_PARENT, STATUS_TYPE, SUPPLIER_PARENT, Tables, _map,
-    voucher_entries_raw,
+    BRANCH_PARENT, BRANCH_PREFIX_LEN, LINE_ORDER, PNL_NAME, PNL_PARENT, SEGMENT_PARENT, STATUS_TYPE, SUPPLIER_PARENT,
+    Tables, _map, line_amount, voucher_entries_raw,
 )
 
 BRANCH_BASE, PNL_BASE = 10 ** 9, 2 * 10 ** 9
@@ -77,7 +77,7 @@ def ledger_text(t: Tables) -> DataFrame:
 
 
 def _headers(t: Tables) -> DataFrame:
-    """One row per order: the text fields of its voucher."""
+    """One row per order: the text fields of its voucher, and its status."""
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     j = o.join(t.customer.select("c_custkey", F.col("c_name").alias("party_name")), F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
@@ -90,13 +90,13 @@ def _headers(t: Tables) -> DataFrame:
         key.cast("string").alias("VOUCHERNUMBER"),
         F.when(key % 13 == 0, F.lit(""))
         .when(key % 5 == 0, F.concat(F.col("party_name"), F.lit(" & Co")))
-        .otherwise(F.col("party_name")).alias("PARTYLEDGERNAME"))
+        .otherwise(F.col("party_name")).alias("PARTYLEDGERNAME"), "o_orderstatus")
 
 
 def voucher_text(t: Tables) -> DataFrame:
     """Flat text view: one row per (voucher, entry) with header text fields."""
     e = voucher_entries_raw(t).select("voucher_no", "entry_no", "particulars", "amount")
-    h = _headers(t)
+    h = _headers(t).drop("o_orderstatus")
     key = F.col("voucher_id")
     return h.join(e, h.VOUCHERNUMBER == e.voucher_no).select(
         *h.columns, "entry_no",
@@ -144,21 +144,43 @@ def ledger_xml_records(t: Tables) -> DataFrame:
     return lt.select("rec_id", F.when(rid % 4 == 3, selfclosing).otherwise(full).alias("value"))
 
 
-def voucher_xml_records(t: Tables) -> DataFrame:
-    """One dirty <VOUCHER> record per order (column ``value``); entries nested."""
-    vt = voucher_text(t)
-    key = F.col("voucher_id")
-    spelling = (key + F.col("entry_no")) % 4
-    name, amount = _esc(F.col("LEDGERNAME")), F.col("AMOUNT")
-    entry = F.concat(F.lit("<ALLLEDGERENTRIES.LIST>"), F.when(spelling == 1, F.concat(
+def _entry_xml(key: Column, no: Column, particulars: Column, amount: Column) -> Column:
+    spelling = (key + no) % 4
+    name = _esc(particulars)
+    amount = F.when((key + no) % 13 == 0, F.lit("n/a")).otherwise(amount.cast("string"))
+    return F.concat(F.lit("<ALLLEDGERENTRIES.LIST>"), F.when(spelling == 1, F.concat(
         _el("ledgername", name), _el("amount", amount))).when(spelling == 2, F.concat(
             _el("LEDGERNAME", name), _el("AMOUNT", F.lit("0")), _el("amount", amount))).otherwise(F.concat(
                 _el("LEDGERNAME", name), _el("AMOUNT", amount))), F.lit("</ALLLEDGERENTRIES.LIST>"))
-    g = (vt.groupBy(key.alias("entries_of"))
-         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry_no", entry.alias("x")))),
-                                       lambda s: s["x"]), "\n ").alias("entries")))
-    h = _headers(t)
-    g = h.join(g, h.voucher_id == F.col("entries_of"), "left").drop("entries_of")
+
+
+def _order_lines(t: Tables) -> DataFrame:
+    """One row per order key: its lines in order. Lines are moved to their order and
+    sorted there once; the text is made when they have met the order's header."""
+    li = t.lineitem.select("l_orderkey", *LINE_ORDER, "l_returnflag").where("l_orderkey is not null")
+    part = t.part.select("p_partkey", "p_name")
+    j = li.join(part, li.l_partkey == part.p_partkey)
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    lines = F.collect_list(F.struct("p_name", "l_extendedprice", "l_returnflag")).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return j.select("l_orderkey", lines.alias("lines"), F.row_number().over(w).alias("line")) \
+        .where("line = 1").drop("line")
+
+
+def voucher_xml_records(t: Tables) -> DataFrame:
+    """One dirty <VOUCHER> record per order (column ``value``); entries nested."""
+    key = F.col("voucher_id")
+    # of rows with one order key each has the entries of all, as often as there are such rows
+    h = _headers(t).withColumn("orders", F.sort_array(F.collect_list(F.struct("o_orderstatus")).over(
+        Window.partitionBy("voucher_id"))))
+    lines = _order_lines(t)
+    g = h.join(lines, h.voucher_id == lines.l_orderkey, "left").drop("l_orderkey")
+    each = F.flatten(F.transform("lines", lambda x: F.transform("orders", lambda o: F.struct(
+        x["p_name"].alias("particulars"),
+        line_amount(o["o_orderstatus"], x["l_returnflag"], x["l_extendedprice"]).alias("amount")))))
+    texts = F.transform(each, lambda e, i: F.array_repeat(
+        _entry_xml(key, i + 1, e["particulars"], e["amount"]), F.size("orders")))
+    g = g.withColumn("entries", F.array_join(F.flatten(texts), "\n "))
     party = F.col("PARTYLEDGERNAME")  # bare '&' left in on purpose (dirty export)
     party = F.when(key % 10 == 0, F.concat(F.lit(CTRL), party)).otherwise(party)
     vtype = F.when(key % 7 == 0, F.concat(F.col("VOUCHERTYPENAME"), F.lit(CHARREF))) \

@@ -101,3 +101,30 @@ def test_statement_plan_is_hash_aggregated_and_small(spark):
     p = _plan(JOBS["fy_statement"](spark, SMOKE))
     assert "SortAggregate" not in p
     assert p.count("Exchange") - p.count("ReusedExchange") <= 20
+
+
+def test_voucher_export_moves_lines_once_and_keeps_repeated_orders(spark):
+    from types import SimpleNamespace
+
+    from ledgerflow.sources import fixtures as FX
+    from ledgerflow.sources.bindings import Tables
+
+    plan = _plan(FX.voucher_xml_records(Tables(spark, SMOKE)))
+    assert "ObjectHashAggregate" not in plan and plan.count("Exchange hashpartitioning") <= 2
+    day = "timestamp'1996-05-01'"
+    t = SimpleNamespace(
+        customer=spark.sql("select 1L as c_custkey, 'A' as c_name"),
+        part=spark.sql("select * from values (1L, 'nut'), (2L, 'b<lt') as t(p_partkey, p_name)"),
+        orders=spark.sql(f"select * from values (2L, 1L, 'P', {day}), (2L, 1L, 'P', {day}), (3L, 1L, 'F', {day}), "
+                         f"(cast(null as bigint), 1L, 'O', {day}) as t(o_orderkey, o_custkey, o_orderstatus, o_orderdate)"),
+        lineitem=spark.sql("select * from values (2L, 2L, 1L, 2, 5.0D, 'R'), (2L, 1L, 1L, 1, 7.5D, 'N'), "
+                           "(cast(null as bigint), 1L, 1L, 1, 1.0D, 'N') "
+                           "as t(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_returnflag)"))
+    got = FX.voucher_xml_records(t).collect()
+    assert sorted(str(r["voucher_id"]) for r in got) == ["2", "2", "3", "None"]
+    entries = {str(r["voucher_id"]): [x.split("</ALL")[0] for x in r["value"].split("<ALLLEDGERENTRIES.LIST>")[1:]] for r in got}
+    nut, bolt = "<LEDGERNAME>nut</LEDGERNAME>", "LEDGERNAME>b&lt;lt</LEDGERNAME>"
+    assert entries["3"] == entries["None"] == [] and len(entries["2"]) == 8  # entries 1, 2 and 3, 4, twice each
+    assert entries["2"][::2] == entries["2"][1::2] and entries["2"][0] == f"{nut}<AMOUNT>-7.50</AMOUNT>"
+    assert entries["2"][2] == f"{nut}<AMOUNT>-7.50</AMOUNT>" and "<ledgername>b&lt;lt</ledgername><amount>5.00</amount>" == entries["2"][4]
+    assert entries["2"][6] == f"<{bolt}<AMOUNT>0</AMOUNT><amount>5.00</amount>"
