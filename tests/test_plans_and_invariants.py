@@ -128,3 +128,17 @@ def test_voucher_export_moves_lines_once_and_keeps_repeated_orders(spark):
     assert entries["2"][::2] == entries["2"][1::2] and entries["2"][0] == f"{nut}<AMOUNT>-7.50</AMOUNT>"
     assert entries["2"][2] == f"{nut}<AMOUNT>-7.50</AMOUNT>" and "<ledgername>b&lt;lt</ledgername><amount>5.00</amount>" == entries["2"][4]
     assert entries["2"][6] == f"<{bolt}<AMOUNT>0</AMOUNT><amount>5.00</amount>"
+
+
+def test_questions_of_many_customers_are_routed_in_many_tasks(spark, monkeypatch):
+    def routed():
+        monkeypatch.setattr(store, "_XML_MEMO", {})
+        df = spark.read.parquet(store.routed_questions_path(spark, SMOKE))
+        made = df.where("q_id like 'c%'").withColumn("file", F.input_file_name())
+        files = made.groupBy("route").agg(F.countDistinct("file").alias("n")).agg(F.max("n")).first()[0]
+        return files, sorted(map(str, df.collect()))
+
+    one, rows = routed()
+    monkeypatch.setattr(store, "CUSTOMERS_A_TASK", 40)
+    many, again = routed()
+    assert one == 1 and many > 1 and rows == again
