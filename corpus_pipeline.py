@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import bbit_minhash, bfd_packing, chaining, containment, pairwise_quality
-from ledgerflow.llm.common import importable, stored
+from ledgerflow.llm.common import importable, parted, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +36,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # an id may come with several texts, each with a fate of its own
     gone = stored(found.where("not kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).distinct(),
                   "not-kept")
-    docs = row.join(gone, ["id", "th"], "left_anti")
+    docs = _without(row, gone, ["id", "th"])
     kept = found.where("kept and doc_id is not null").groupBy("doc_id", "component_id")
     again = kept.agg(F.count("*").alias("n"), F.min("text_hash").alias("first")).where("n > 1")
     if again.isEmpty():
         return docs.select("row.*")
     again = stored(again.select(F.col("doc_id").alias("id"), "first"), "repeated-ids")
     ids = again.select("id").distinct()
-    once = docs.join(again, "id").where("th = first").dropDuplicates(["id", "th"]).select("row.*")
-    return docs.join(ids, "id", "left_anti").select("row.*").unionByName(once)
+    may, no = parted(docs, ids, ["id"])
+    once = may.join(again, "id").where("th = first").dropDuplicates(["id", "th"]).select("row.*")
+    rest = may.join(ids, "id", "left_anti").unionByName(no)
+    return rest.select("row.*").unionByName(once)
+
+
+def _without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose keys are not in ``gone``; only those that may be there move."""
+    may, no = parted(rows, gone, keys)
+    return may.join(gone, keys, "left_anti").unionByName(no)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

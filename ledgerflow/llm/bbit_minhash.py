@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import WordHashes, doc_columns, shingle_set, stored, word_list
+from ledgerflow.llm.common import WordHashes, doc_columns, parted, shingle_set, stored, word_list
 from ledgerflow.llm.components import connected_components
 
 ROWS = 6        # minima in a band
@@ -176,7 +176,10 @@ def near_links(docs: DataFrame, sig: DataFrame, k: int, threshold: float, block:
              .withColumn("j", F.explode(F.expr("sequence(0L, nb - 1)")))
              .select("hub", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "rid",
                      F.expr("case when i = j then 2 when i < j then 0 else 1 end").alias("side")))
-    packed = sig.select("rid", "sig", "doc_id", "th")
+    # of the texts, only those in a cluster of several move
+    rids = clusters.join(sizes, "hub").select("rid").distinct()
+    packed = stored(sig.select("rid", "sig", "doc_id", "th").join(rids, "rid"), "packed")
+    texts, _ = parted(docs.select("doc_id", "th", "text"), packed, ["doc_id", "th"])
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rid", kind="stable").drop_duplicates("rid")
@@ -184,7 +187,7 @@ def near_links(docs: DataFrame, sig: DataFrame, k: int, threshold: float, block:
                                 pdf["rid"].tolist(), k, share, n) if len(pdf) > 1 else ()
         return pd.DataFrame(list(found), columns=["u", "v"]).astype("int64")
 
-    return (parts.join(packed, "rid").join(docs.select("doc_id", "th", "text"), ["doc_id", "th"])
+    return (parts.join(packed, "rid").join(texts, ["doc_id", "th"])
             .groupBy("hub", "p", "q").applyInPandas(verify, "u long, v long"))
 
 

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import WordHashes, run_hashes, stored, word_list
+from ledgerflow.llm.common import WordHashes, parted, run_hashes, stored, word_list
 
 K = 5
 WINDOW = 20
@@ -381,9 +381,9 @@ def stretches(pos: np.ndarray, k: int, window: int, min_words: int) -> list[tupl
 
 def unexplained(pos: np.ndarray, spans: list[tuple[int, int]], n_words: int, k: int, window: int,
                 min_words: int) -> np.ndarray:
-    """The seeds of stretches in which a run of ``min_words`` words may be repeated that
-    lies in none of the passages ``spans`` of this text of ``n_words`` words."""
-    out = [np.empty(0, pos.dtype)]
+    """Which seeds lie in stretches where a run of ``min_words`` words may be repeated that
+    is in none of the passages ``spans`` of this text of ``n_words`` words."""
+    out = np.zeros(len(pos), bool)
     for a, b in stretches(pos, k, window, min_words):
         lo, hi = max(0, a - window + 1), min(n_words, b + k + window - 1)
         at = lo  # where the first run that is in no passage may start
@@ -391,17 +391,16 @@ def unexplained(pos: np.ndarray, spans: list[tuple[int, int]], n_words: int, k:
             if s <= at:
                 at = max(at, e - min_words + 1)
         if at + min_words <= hi:
-            out.append(pos[(pos >= a) & (pos <= b)])
-    return np.concatenate(out)
+            out |= (pos >= a) & (pos <= b)
+    return out
 
 
-def whole_runs(words: DataFrame, found: DataFrame, hidden: DataFrame, left: DataFrame, k: int, window: int,
+def whole_runs(words: DataFrame, found: DataFrame, hidden: DataFrame, wanted: DataFrame, k: int, window: int,
                min_words: int) -> DataFrame:
     """Passages, as ``repeated_passages`` has them, of equal words that start from the seeds
-    ``left`` (doc_id, at): every run of ``min_words`` words there and wherever these seeds
-    occur is hashed and matched to its first occurrence."""
+    ``wanted`` (h, distinct): every run of ``min_words`` words wherever these seeds occur is
+    hashed and matched to its first occurrence."""
     keys = ["doc_id", "th"]
-    wanted = stored(found.join(left, ["doc_id", "at"], "left_semi").select("h").distinct(), "left-seeds")
     of = found.join(wanted, "h", "left_semi")
     places = of.select("doc_id", "at").unionAll(of.select("other", "oat")).unionAll(
         hidden.join(wanted, "h", "left_semi").select("doc_id", "at"))
@@ -440,7 +439,10 @@ def whole_runs(words: DataFrame, found: DataFrame, hidden: DataFrame, left: Data
             if out:
                 yield pd.concat(out)
 
-    w = stored(words.join(spans, keys).mapInPandas(runs, "doc_id long, th int, h long, pos int").distinct(), "whole-runs")
+    near, _ = parted(words, spans, keys)
+    # one row for each text on either side, so no run comes twice
+    w = stored(near.dropDuplicates(keys).join(spans, keys).mapInPandas(runs, "doc_id long, th int, h long, pos int"),
+               "whole-runs")
     own = stored(w.groupBy("h").agg(F.min(F.struct("doc_id", "th", "pos")).alias("o"), F.count("*").alias("n"))
                  .where("n > 1").select("h", F.col("o.doc_id").alias("other"), F.col("o.th").alias("oth"),
                                         F.col("o.pos").alias("opos")), "run-owners")
@@ -496,11 +498,11 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("th"), text.alias("text")).where(
         "doc_id is not null and text is not null")
     texts = stored(hashed_texts(d, k, window), "hashed-texts")
-    words = texts.select("doc_id", "th", "w").dropDuplicates(["doc_id", "th"])
+    words = texts.select("doc_id", "th", "w")  # twice, where a row is repeated
     links, hidden = matches(seeds(texts))
     # a document's matches are as many as its seeds
-    packed = links.groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("th")).agg(
-        F.collect_list(F.struct("at", "other", "oat")).alias("m"))
+    of_text = links.groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("th"))
+    packed = of_text.agg(F.collect_list(F.struct("at", "other", "oat")).alias("m"))
     schema = ("doc_id long, th int, other long, oth int, score double, ss array<int>, es array<int>, os array<int>, "
               "l int, r int")
 
@@ -531,7 +533,9 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
                 own.append(w[2 * a:2 * (int(os[-1]) + int(es[-1]) - int(ss[-1]) + int(right))])
             yield pdf.drop(columns="w").assign(base=base, own=own)
 
-    other = words.select(F.col("doc_id").alias("other"), F.col("th").alias("oth"), "w")
+    ends = found.select("doc_id", "th").unionAll(found.select("other", "oth"))
+    chained_words = parted(words, ends, ["doc_id", "th"])[0].dropDuplicates(["doc_id", "th"])
+    other = chained_words.select(F.col("doc_id").alias("other"), F.col("th").alias("oth"), "w")
     with_own = found.join(other, ["other", "oth"]).mapInPandas(
         cut, "other long, oth int, doc_id long, th int, score double, ss array<int>, es array<int>, os array<int>, "
              "l int, r int, base int, own binary")
@@ -556,28 +560,30 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
                     spans.append((a, b))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in PASSAGES.split(", ")])
 
-    both = with_own.join(words, ["doc_id", "th"]).sortWithinPartitions("doc_id", "th", F.desc("score"), "other", "oth")
+    both = with_own.join(chained_words, ["doc_id", "th"]).sortWithinPartitions("doc_id", "th", F.desc("score"), "other", "oth")
     passages = stored(both.mapInPandas(aligned, PASSAGES).distinct(), "passages")
 
     spans = passages.groupBy(F.col("doc_id"), F.col("text_hash").alias("th")).agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))
     lengths = texts.select("doc_id", "th", "n").distinct()
-    checked = (packed.join(lengths, ["doc_id", "th"]).join(spans, ["doc_id", "th"], "left")
-               .select("doc_id", "th", F.col("m.at").alias("ats"), "n", F.col("spans.start").alias("ss"),
-                       F.col("spans.end").alias("es")))
+    seen = of_text.agg(F.collect_list(F.struct("at", "h")).alias("m"))
+    checked = (seen.join(lengths, ["doc_id", "th"]).join(spans, ["doc_id", "th"], "left")
+               .select("m", "n", F.col("spans.start").alias("ss"), F.col("spans.end").alias("es")))
 
     def unchained(batches):
-        for pdf in batches:
-            ids, ats = [], [np.empty(0, np.int64)]
-            for row in pdf.itertuples():
-                spans = [] if row.ss is None else list(zip(row.ss, row.es))
-                p = unexplained(np.asarray(row.ats, np.int64) & POS, spans, row.n, k, window, min_words)
-                ids += [row.doc_id] * len(p)
-                ats.append(p + (row.th << 32))
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "at": np.concatenate(ats)})
+        """The seeds' hashes; copies of a passage share them, so each comes once from a batch."""
+        for batch in batches:
+            rows = batch.column("m")
+            flat = rows.flatten()
+            pos, h = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(2))
+            pos, out = pos & POS, np.zeros(len(pos), bool)
+            at = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+            for a, b, n, ss, es in zip(at, at[1:], *(batch.column(c).to_pylist() for c in ("n", "ss", "es"))):
+                out[a:b] = unexplained(pos[a:b], list(zip(ss or (), es or ())), n, k, window, min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[out]))], names=["h"])
 
-    left = stored(checked.mapInPandas(unchained, "doc_id long, at long"), "left-places")
-    return passages.unionByName(whole_runs(words, links, hidden, left, k, window, min_words)).distinct()
+    wanted = stored(checked.mapInArrow(unchained, "h long").distinct(), "left-seeds")
+    return passages.unionByName(whole_runs(words, links, hidden, wanted, k, window, min_words)).distinct()
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",
@@ -591,20 +597,25 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
     # the row in one struct, so that its columns may have any name
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.col(f"row.`{text_col}`")
-    joined = row.withColumns({"i": F.col(f"row.`{id_col}`").cast("long"), "t": text_hash(text.cast("string"))}).join(
-        spans, (F.col("i") == spans["doc_id"]) & (F.col("t") == spans["text_hash"]), "left")
+    keys = ["doc_id", "text_hash"]
+    may, no = parted(row.withColumns({"doc_id": F.col(f"row.`{id_col}`").cast("long"),
+                                      "text_hash": text_hash(text.cast("string"))}), spans, keys)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t, zip(a, b)) for t, a, b in zip(texts, starts, ends)], dtype=object)
-
-    whole = joined.where("s is null").select("row.*")
-    left = joined.where("s is not null").withColumn("cut", cut(text, "s.start", "s.end")).where(
-        F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
-    new = {text_col: F.col("cut")}
+        return pd.Series([None if a is None else cut_words(t, zip(a, b)) for t, a, b in zip(texts, starts, ends)],
+                         dtype=object)
+
+    has = F.col("s").isNotNull()
+    # one join for the rows with passages and those without
+    joined = may.join(spans, keys, "left").withColumn("cut", cut(F.when(has, text), "s.start", "s.end")).where(
+        ~has | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
+    new = {text_col: F.when(has, F.col("cut")).otherwise(text)}
     if length_col in docs.columns:
-        new[length_col] = F.length("cut").cast(docs.schema[length_col].dataType)
-    return whole.unionByName(left.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))
+        n = F.col(f"row.`{length_col}`")
+        new[length_col] = F.when(has, F.length("cut").cast(docs.schema[length_col].dataType)).otherwise(n)
+    return no.select("row.*").unionByName(
+        joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))
 
 
 def cut_words(text: str, spans) -> str:

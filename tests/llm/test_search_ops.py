@@ -6,8 +6,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from ledgerflow.llm import bbit_minhash, chaining, containment, topk_inner, warc_index
-from ledgerflow.llm.common import importable
+from ledgerflow.llm.common import importable, parted
 from ledgerflow.llm.components import connected_components
 
 DOCS = "doc_id long, text string, sig string, component_id string"
@@ -363,3 +364,72 @@ def test_no_run_of_equal_words_is_lost(sp):
     want = covered(docs, 50)
     found = chaining.repeated_passages(sp.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len(want) > 500 and want <= {(r["doc_id"], p) for r in found for p in range(r["start"], r["end"])}
+
+
+def exchanged(df):
+    """Rows that each exchange of ``df`` wrote, once it has run."""
+    df._jdf.collectToPython()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        else:
+            if name == "Exchange":
+                out.append(node.metrics().apply("shuffleRecordsWritten").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_texts_that_match_nothing_are_not_moved(sp):
+    rng = random.Random(31)
+    passage, copy = prose(rng, 70), prose(rng, 200)
+    docs = [(i, prose(rng, 40), 1) for i in range(300)] + [(None, copy, 1)]
+    docs += [(400, passage + " " + prose(rng, 20), 1), (401, prose(rng, 20) + " " + passage, 1), (500, copy, 1), (501, copy, 1)]
+    df = sp.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    limit = sp.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    sp.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = chaining.repeated_passages(df)
+        cut = chaining.without_passages(df, found)
+        assert max(exchanged(cut)) < 20
+        left = {r["doc_id"]: r["text"] for r in cut.collect()}
+        assert set(left) == {i for i, _, _ in docs} - {501} and left[401] == docs[302][1].replace(passage, "")
+        kept = corpus_pipeline.near_dedup(sp, df, "")
+        assert max(exchanged(kept)) < 20
+        assert {r["doc_id"] for r in kept.collect()} == {i for i, _, _ in docs} - {501}
+    finally:
+        sp.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_parts_hold_every_row_once(sp):
+    rows = sp.createDataFrame([(i, str(i % 7), "x") for i in range(500)] * 2 + [(None, "1", "y"), (3, None, "y"), (None, None, "y")],
+                              "`k.1` long, may string, word string")
+    keys = sp.createDataFrame([(3, None), (4, "4"), (None, "1"), (9, "nine"), (4, "4")], "`k.1` long, may string")
+    for found in (keys, keys.limit(0), rows):
+        may, no = parted(rows, found, ["k.1", "may"])
+        assert may.columns == no.columns == rows.columns
+        a, b = ([tuple(r) for r in x.collect()] for x in (may, no))
+        assert sorted(map(str, a + b)) == sorted(str(tuple(r)) for r in rows.collect())
+        wanted = {tuple(r) for r in found.select("`k.1`", "may").collect()}
+        assert not {r[:2] for r in b} & wanted and (len(a) < 20 or found is rows)
+
+
+def test_seeds_outside_passages_come_once_and_without_a_join(sp, monkeypatch):
+    plans = {}
+
+    def stored(df, name, old=chaining.stored):
+        plans[name] = df
+        return old(df, name)
+
+    monkeypatch.setattr(chaining, "stored", stored)
+    rng = random.Random(32)
+    parts = [prose(rng, rng.randint(15, 45)) for _ in range(12)]
+    docs = [(i, " ".join(rng.choice(parts) if rng.random() < 0.8 else prose(rng, 20) for _ in range(8))) for i in range(40)]
+    chaining.repeated_passages(sp.createDataFrame(docs, "doc_id long, text string"))
+    seeds = [r["h"] for r in plans["left-seeds"].collect()]
+    assert len(seeds) == len(set(seeds)) > 0
+    assert "LeftSemi" not in plans["left-seeds"]._jdf.queryExecution().executedPlan().toString()
