@@ -310,3 +310,32 @@ def test_fallback_lists_the_first_debtors_of_a_key_before_joining_them(spark):
                    ("Acme 7", 1, "Acme 7", 8.0)]
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit [pattern" in plan and "Partial" in plan
+
+
+def test_br_requests_list_every_invoice_and_every_debtor(spark):
+    names = [f"Delta House {i:04d}" for i in range(1203)]
+    led = [ledger("Many Bills", "Bank Accounts"), ledger("Delta House", "Bank Accounts"), ledger("Lonely", "Primary")]
+    led += [ledger(n, closing=float(i % 3 - 1)) for i, n in enumerate(names)]
+    ent = [entry("Many Bills", 1 + i % 28, 100 + i, credit=1.0 + i) for i in range(25)]
+    tables = spark.createDataFrame(led, LEDGERS), spark.createDataFrame(ent, ENTRIES)
+    q = spark.createDataFrame([("a", "BR of many bills"), ("b", "BR of delta house"), ("c", "BR of lonely"),
+                               ("d", "BR of many bills")], "q_id string, question string")
+    got = {}
+    for r in AN.br_requests(q, *tables, FY).collect():
+        got.setdefault(r["q_id"], []).append(r)
+    for x in "ad":
+        rows = sorted(got[x], key=lambda r: r["seq"])
+        want = sorted(ent, key=lambda e: (e[0], e[2]))
+        assert [(r["seq"], r["br_no"], r["amount"], r["br_date"]) for r in rows] == [
+            (i + 1, e[2], e[7], e[0]) for i, e in enumerate(want)]
+        assert {r["total_br"] for r in rows} == {sum(1.0 + i for i in range(25))}
+    # no debtor is asked for by itself
+    rows = sorted(got["b"], key=lambda r: r["seq"])
+    assert [(r["seq"], r["br_no"], r["party"]) for r in rows] == [
+        (i + 1, f"BR-{i + 1:03d}", n) for i, n in enumerate(names) if i % 3 == 0]
+    assert rows[3]["br_date"] == dt.date(1996, 4, 1) + dt.timedelta(days=15 * 9) and rows[0]["total_br"] == 401.0
+    assert set(got) == {"a", "b", "d"}
+    capped = RV.bills_receivable(*tables, FY).groupBy("ledger_name").count().collect()
+    assert {r["ledger_name"]: r["count"] for r in capped}["Many Bills"] == 10
+    some = RV.bills_receivable(tables[0].where("ledger_name = 'Delta House'"), tables[1], FY, tables[0])
+    assert sorted(r["seq"] for r in some.collect()) == [1, 4]
