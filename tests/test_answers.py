@@ -339,3 +339,25 @@ def test_br_requests_list_every_invoice_and_every_debtor(spark):
     assert {r["ledger_name"]: r["count"] for r in capped}["Many Bills"] == 10
     some = RV.bills_receivable(tables[0].where("ledger_name = 'Delta House'"), tables[1], FY, tables[0])
     assert sorted(r["seq"] for r in some.collect()) == [1, 4]
+
+
+def test_global_questions_are_answered_by_their_reports(spark, tables):
+    extra = [ledger(f"Party {i:02d}", closing=float(i + 1)) for i in range(40)]
+    led = tables[0].unionByName(spark.createDataFrame(extra, LEDGERS))
+    q = spark.createDataFrame(QUESTIONS, "q_id string, question string")
+    got = {r["q_id"]: r for r in AN.answer_questions(q, led, tables[1], FY).collect()}
+    assert set(got) == {x for x, _ in QUESTIONS}
+    metrics = RP.pending_metrics(led).first()
+    text = got["q25"]["answer"].split("\n")
+    assert got["q25"]["n_rows"] == RP.pending(led).count() == metrics["total_pending"] > RP.PAGE_SIZE
+    assert text[:2] == ["avg_pending | %.2f" % metrics["avg_pending"], "pending | 1 | Alpha Traders | Sundry Debtors | 120.00"]
+    assert text[-2:] == ["total_amount | %.2f" % metrics["total_amount"], "total_pending | %d.00" % metrics["total_pending"]]
+    assert len(text) == 3 + RP.PAGE_SIZE
+    for x, report in (("q16", RP.business_summary), ("q20", RP.financial_analysis), ("q26", RP.trend_snapshot), ("q27", RP.pnl_report)):
+        rows = report(led).collect()
+        lines = sorted(" | ".join(str(v) for v in (r["section"], r["rank"], r["name"], r["parent"]) if v is not None)
+                       + ("" if r["amount"] is None else f" | {r['amount']:.2f}") for r in rows)
+        assert sorted(got[x]["answer"].split("\n")) == lines and got[x]["n_rows"] == len(rows)
+    assert got["q1"]["answer"] is None and got["q17"]["answer"] is None
+    none = {r["q_id"]: r for r in AN.answer_questions(q, led.limit(0), tables[1], FY).collect()}
+    assert none["q25"]["n_rows"] == 1 and RP.ALL_SETTLED in none["q25"]["answer"]
