@@ -11,6 +11,9 @@ blocks of bounded size. The result is that of searching everything.
 
 Patterns are Python's, as in the reference, so the search itself is a pandas UDF over
 candidates; nothing else here leaves the JVM.
+
+Patterns and literals are exploded and stored on the way, where size estimates fall far
+short, so the joins ask for a sort-merge join: none of them gathers a side in the driver.
 """
 
 from __future__ import annotations
@@ -147,11 +150,11 @@ def regex_pairs(planned: DataFrame, texts: DataFrame, text_col: str) -> DataFram
                   .select("pattern", "lowered", "alternative", F.explode("runs").alias("literal")))
     # stored: counted to choose the literals, then joined to those chosen
     held = cut_lineage(contains_pairs(by_literal, "literal", names, "text").withColumnRenamed("pattern", "literal"))
-    n = held.groupBy("literal").agg(F.count(F.lit(1)).alias("n"))
+    n = held.groupBy("literal").agg(F.count(F.lit(1)).alias("n")).hint("merge")
     rarest = by_literal.join(n, "literal", "left").groupBy("pattern", "lowered", "alternative").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "literal")).alias("rarest"))
     chosen = rarest.select("pattern", "lowered", F.col("rarest.literal").alias("literal")).distinct()
-    candidates = chosen.join(held, "literal").select("pattern", "lowered", "text").distinct()
+    candidates = chosen.join(held.hint("merge"), "literal").select("pattern", "lowered", "text").distinct()
     found = F.pandas_udf(_found, "boolean")
     out = candidates.where(found("lowered", F.lower("text"))).select("pattern", "text")
     bare = good.where("literals is null").select("pattern", "lowered")

@@ -361,3 +361,23 @@ def test_global_questions_are_answered_by_their_reports(spark, tables):
     assert got["q1"]["answer"] is None and got["q17"]["answer"] is None
     none = {r["q_id"]: r for r in AN.answer_questions(q, led.limit(0), tables[1], FY).collect()}
     assert none["q25"]["n_rows"] == 1 and RP.ALL_SETTLED in none["q25"]["answer"]
+
+
+def test_grams_and_patterns_stay_out_of_the_driver(spark, monkeypatch):
+    from ledgerflow.operators import textjoin
+
+    texts = [f"Customer{i:05d}" for i in range(300)] + ["ab", "Ab c", ""]
+    pats = ["customer001", "00", "B", "r0029", "zz", "customer00299x", "ab C", "mer"]
+    t, p = spark.createDataFrame([(x,) for x in texts], "t string"), spark.createDataFrame([(x,) for x in pats], "p string")
+    want = {(a, b) for a in pats for b in texts if a.lower() in b.lower()}
+    for n in (1, 2, textjoin.FREQ_BUCKETS):  # whatever share a bucket, all pairs are found
+        monkeypatch.setattr(textjoin, "FREQ_BUCKETS", n)
+        pairs = textjoin.contains_pairs(p, "p", t, "t")
+        assert {tuple(r) for r in pairs.collect()} == want
+    led = spark.createDataFrame([ledger(x) for x in texts], LEDGERS)
+    req = p.select(F.monotonically_increasing_id().alias("req_id"), F.explode(F.array("p", F.concat("p", F.lit("(")))).alias("request"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [gram" in plan(pairs) and "BroadcastHashJoin [gram" not in plan(pairs)
+    assert all(f"BroadcastHashJoin [{c}" not in plan(RS.regex_status(req, led)) for c in ("text", "request", "pattern"))
+    got = {r["request"]: (r["status"], r["n_matches"]) for r in RS.regex_status(req, led).collect()}
+    assert got["00"] == ("found", sum("00" in x for x in texts)) and got["zz("] == ("bad_pattern", 0)
