@@ -45,7 +45,7 @@ def _parse(kind: str, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = records.sparkSession
     parsed = X.parse_ledgers(records) if kind == "ledger" else X.parse_vouchers(records)
     path = scratch_path(spark, f"refresh-{kind}-parsed")
-    parsed.write.parquet(path)
+    parsed.write.option("compression", "zstd").parquet(path)
     p = spark.read.schema(parsed.schema).parquet(path)
     fine = p.where(F.col(X.CORRUPT).isNull())
     if kind == "ledger":

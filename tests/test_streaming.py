@@ -132,3 +132,38 @@ def test_versions_replace_refuse_and_vacuum(spark):
     assert V.vacuum(spark, table, keep=1) == ["v=0002-000000"]
     assert _rows(V.read_current(spark, table)) == [(4,)]
     assert V.drop(spark, table) and V.read_current(spark, table) is None
+
+
+def test_exports_are_compressed_slices_with_every_record(spark, tmp_path, monkeypatch):
+    import os
+
+    from ledgerflow.session import SHUFFLE_CLEANUP
+    from ledgerflow.sources import fixtures as FX
+    from ledgerflow.sources.bindings import Tables
+
+    for f in os.listdir(SMOKE):
+        os.symlink(f"{SMOKE}/{f}", tmp_path / f)
+    monkeypatch.setattr(store, "RECORDS_A_FILE", 40)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    for kind, build, old in (("voucher", FX.voucher_xml_records, [("<VOUCHERNUMBER>", "<VOUCHERNUMBER>old-")]),
+                             ("ledger", FX.ledger_xml_records, [("<PARENT>", "<PARENT>Old "), ('PARENT="', 'PARENT="Old ')])):
+        drop = store.snapshot_drop_folder(spark, str(tmp_path), kind)
+        want = [r["value"] for r in build(Tables(spark, SMOKE)).select("value").collect()]
+        older = list(want)
+        for a, b in old:
+            older = [x.replace(a, b) for x in older]
+        for snap, records in (("0002", want), ("0001", older)):
+            folder = f"{drop}/snap={snap}".removeprefix("file:")
+            names = [f for f in os.listdir(folder) if f.startswith("part-")]
+            assert names and all(f.endswith(".gz") for f in names)
+            lines = [r["value"] for r in spark.read.option("lineSep", "\n").text(folder).collect()]
+            assert sorted(lines) == sorted(x for r in records for x in r.split("\n"))
+            # each file is whole records, and a bounded number of them
+            start = "<VOUCHER>" if kind == "voucher" else "<LEDGER"
+            sizes = [r["value"].strip() for r in spark.read.text(folder, wholetext=True).select("value").collect()]
+            assert [x[:60] for x in sizes if x and not x.startswith(start)] == []
+            assert snap == "0001" or max(x.count(start) for x in sizes) <= 40 < len(records)
+    assert spark.conf.get(SHUFFLE_CLEANUP) == before
+    keys = spark.sql("select if(id % 5 = 0, null, id) as k, concat('<V>', id, '</V>') as value from range(100)")
+    store.write_export(keys.repartition(3, "k"), "k", str(tmp_path / "x"))
+    assert spark.read.text(str(tmp_path / "x")).select(F.countDistinct("value"), F.count("value")).first()[:] == (100, 100)
