@@ -46,7 +46,7 @@ def publish(spark: SparkSession, rows: DataFrame, table: str, snap: str) -> bool
     if rows.isEmpty() or now is not None and now[0] > snap:
         return False
     n = now[1] + 1 if now is not None and now[0] == snap else 0
-    rows.write.mode("overwrite").parquet(f"{table}/{_version(snap, n)}")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{table}/{_version(snap, n)}")
     (spark.createDataFrame([(snap, n)], "snap string, n int").coalesce(1)
      .write.mode("append").parquet(f"{table}/{POINTER}"))
     return True

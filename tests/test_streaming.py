@@ -167,3 +167,15 @@ def test_exports_are_compressed_slices_with_every_record(spark, tmp_path, monkey
     keys = spark.sql("select if(id % 5 = 0, null, id) as k, concat('<V>', id, '</V>') as value from range(100)")
     store.write_export(keys.repartition(3, "k"), "k", str(tmp_path / "x"))
     assert spark.read.text(str(tmp_path / "x")).select(F.countDistinct("value"), F.count("value")).first()[:] == (100, 100)
+
+
+def test_published_versions_are_stored_with_zstd(spark):
+    import os
+
+    from ledgerflow.sources import versions as V
+
+    table = scratch_path(spark, "versions")
+    assert V.publish(spark, spark.range(10), table, "0001")
+    names = [f for _, _, fs in os.walk(f"{table}/v=0001-000000".removeprefix("file:")) for f in fs if f.endswith(".parquet")]
+    assert names and all(f.endswith(".zstd.parquet") for f in names)
+    assert _rows(V.read_current(spark, table)) == [(i,) for i in range(10)]
